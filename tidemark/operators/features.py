@@ -11,6 +11,7 @@ from tidemark.functions import series as S
 from tidemark.functions import shapes
 from tidemark.functions.series import SERIES
 from tidemark.operators.ordering import ewm_mean
+from tidemark.operators.attach import attach_row
 
 CANDLE_FEATURES = (
     "ret_1", "ret_3", "ret_6", "vol_10", "vol_20", "rsi_14", "sma_ratio_10", "sma_ratio_20",
@@ -122,5 +123,5 @@ def fill_missing(df: DataFrame, col: str, with_: str | float, by: Sequence[str]
     if by:
         filled = df.join(df.groupBy(*by).agg(stat.alias("_fill")), list(by), "left")
     else:
-        filled = df.crossJoin(F.broadcast(df.agg(stat.alias("_fill"))))
+        filled = attach_row(df, df.agg(stat.alias("_fill")))
     return filled.withColumn(col, F.coalesce(col, "_fill")).drop("_fill")
