@@ -75,9 +75,10 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     queries, oracles = load()
     names = sys.argv[2:] or list(queries)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf), []
+    spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count().collect()
     for name in names:
         try:
             ok, text, a, b = compare(spark, con, name, queries[name], oracles.get(name), sf)

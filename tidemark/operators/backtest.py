@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import series as S
 from tidemark.functions.series import SERIES
 from tidemark.operators.features import fill_missing
-from tidemark.operators.ordering import cumulative, drawdown
+from tidemark.operators.ordering import cumulative, drawdown, drop_blocks, split_blocks
 
 # Cost defaults in basis points and calendar lengths.
 TAKER_BPS = 10.0
@@ -27,15 +27,17 @@ def run_backtest(df: DataFrame, signal: str = "signal", by: Sequence[str] = SERI
     Log returns are compounded as simple ones, as in the published results.
     """
     bt = df.withColumn("strategy_return", F.col(signal) * F.col("return"))
+    if block_rows:
+        bt = split_blocks(bt, by, ts, block_rows)
     bt = cumulative(
         bt,
         {
             "equity_curve": ("product", 1 + F.col("strategy_return")),
             "buy_hold_curve": ("product", 1 + F.col("return")),
         },
-        by, ts, block_rows,
+        by, ts,
     )
-    return drawdown(bt, "equity_curve", "drawdown", by, ts, block_rows)
+    return drop_blocks(drawdown(bt, "equity_curve", "drawdown", by, ts))
 
 
 def dynamic_slippage_bps(df: DataFrame, vol: str = "vol_20d", base: float = SLIPPAGE_BASE_BPS, mult: float = SLIPPAGE_VOL_MULT, out: str = "slippage_bps", by: Sequence[str] = SERIES) -> DataFrame:
@@ -57,12 +59,14 @@ def apply_frictions(
         out = out.withColumn(f"cost_{side}", cost)
         out = out.withColumn(f"strategy_return_net_{side}", F.col("strategy_return") - F.col(f"cost_{side}"))
     out = out.withColumn("fee_cost", F.col("turnover") * taker / 10_000.0)
+    if block_rows:
+        out = split_blocks(out, by, ts, block_rows)
     out = cumulative(
         out,
         {f"equity_curve_net_{s}": ("product", 1 + F.col(f"strategy_return_net_{s}")) for s in ("taker", "maker")},
-        by, ts, block_rows,
+        by, ts,
     )
-    return drawdown(out, "equity_curve_net_taker", "drawdown_net_taker", by, ts, block_rows)
+    return drop_blocks(drawdown(out, "equity_curve_net_taker", "drawdown_net_taker", by, ts))
 
 
 def friction_measures() -> dict[str, Column]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.functions import shapes
 from tidemark.functions.series import SERIES
 from tidemark.operators.ordering import ewm_mean
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.attach import attach_row
 
 CANDLE_FEATURES = (
@@ -110,18 +111,14 @@ def lagged_features(
 def fill_missing(df: DataFrame, col: str, with_: str | float, by: Sequence[str] = ()) -> DataFrame:
     """Fill nulls with a constant or the full-sample ``mean``, ``std`` or ``median``.
 
-    The statistic is a small aggregate joined back: one row without ``by``,
-    else one row per group (Spark sizes that join itself).
+    Without ``by`` the statistic is one number for the whole table. With ``by``
+    it is a window over the group, for bars that are partitioned by it anyway.
     """
     if not isinstance(with_, str):
         return df.fillna({col: with_})
     if with_ == "median" and not by:
-        from tidemark.operators.quantiles import exact_quantiles
-
         return df.fillna({col: exact_quantiles(df, col, [0.5])[0]})
     stat = {"mean": F.avg(col), "std": F.stddev_samp(col), "median": F.percentile(col, F.lit(0.5))}[with_]
     if by:
-        filled = df.join(df.groupBy(*by).agg(stat.alias("_fill")), list(by), "left")
-    else:
-        filled = attach_row(df, df.agg(stat.alias("_fill")))
-    return filled.withColumn(col, F.coalesce(col, "_fill")).drop("_fill")
+        return df.withColumn(col, F.coalesce(col, stat.over(Window.partitionBy(*by))))
+    return attach_row(df, df.agg(stat.alias("_fill"))).withColumn(col, F.coalesce(col, "_fill")).drop("_fill")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.series import SERIES, ordered, up_to_now
+from tidemark.session import materialised
 
 SLOT_SECONDS = 30 * 86_400
 SLOT_UNITS = 100_000
@@ -39,6 +40,7 @@ def row_index(
     slot_width: int | None = None,
     name: str = "row_idx",
     total: str | None = None,
+    slots: bool = True,
 ) -> DataFrame:
     """Exact 0-based position of each row in its series.
 
@@ -47,9 +49,13 @@ def row_index(
     shift use the same (series, slot) partitioning, so the rows move once, and
     a hot series is spread over its slots. The slot counts are a map-side
     combined aggregate with one row per slot. ``total`` also returns the length
-    of the series.
+    of the series. ``slots=False`` numbers bars, whose series are short, in one
+    window and one pass.
     """
     by = list(by)
+    if not slots:
+        numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(ts, *ties)) - 1)
+        return numbered.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by))) if total else numbered
     slotted = df.withColumn("_slot", _slot(df, ts, slot_width))
     counts = slotted.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_in_slot"))
     before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,6 +106,22 @@ _SCANS = {
 }
 
 
+def split_blocks(
+    df: DataFrame, by: Sequence[str] = SERIES, ts: str = "ts", block_rows: int = BLOCK_ROWS, slot_width: int | None = None,
+) -> DataFrame:
+    """Number rows and cut every series in blocks of ``block_rows`` rows.
+
+    The numbered rows are written once; scans over blocks read them several
+    times. Later scans on the same frame reuse its blocks.
+    """
+    numbered = row_index(df, by, ts, slot_width=slot_width, name="_scan_idx")
+    return materialised(numbered.withColumn("_scan_block", F.floor(F.col("_scan_idx") / block_rows)), "blocks")
+
+
+def drop_blocks(df: DataFrame) -> DataFrame:
+    return df.drop("_scan_idx", "_scan_block")
+
+
 def cumulative(
     df: DataFrame,
     outputs: dict[str, tuple[str, Column | str]],
@@ -111,35 +133,36 @@ def cumulative(
     """Running sum, product, max or min: ``{"equity": ("product", expr)}``.
 
     With ``block_rows`` the scan is done per block of a series and the totals
-    of earlier blocks are carried in; the carry table has one row per block.
+    of earlier blocks are carried in; the carry table has one row per block. A
+    frame from ``split_blocks`` is scanned by its own blocks and keeps them.
     """
     by = list(by)
     values = {
         out: (fn, F.col(x) if isinstance(x, str) else x) for out, (fn, x) in outputs.items()
     }
-    if block_rows is None:
+    ready = "_scan_block" in df.columns
+    if block_rows is None and not ready:
         running = up_to_now(by, ts)
         return df.withColumns({out: _SCANS[fn][0](x).over(running) for out, (fn, x) in values.items()})
-    blocked = row_index(df, by, ts, slot_width=slot_width, name="_idx").withColumn(
-        "_block", F.floor(F.col("_idx") / block_rows)
-    )
-    totals = blocked.groupBy(*by, "_block").agg(
+    blocked = df if ready else split_blocks(df, by, ts, block_rows, slot_width)
+    keys = [*by, "_scan_block"]
+    totals = blocked.groupBy(*keys).agg(
         *[_SCANS[fn][0](x).alias(f"_end_{out}") for out, (fn, x) in values.items()]
     )
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
-        *by,
-        "_block",
+        *keys,
         *[_SCANS[fn][0](f"_end_{out}").over(earlier).alias(f"_carry_{out}") for out, (fn, _) in values.items()],
     )
-    local = up_to_now([*by, "_block"], ts)
+    local = up_to_now(keys, ts)
     out = blocked.withColumns({f"_here_{o}": _SCANS[fn][0](x).over(local) for o, (fn, x) in values.items()})
-    out = out.join(carries, [*by, "_block"])
+    out = out.join(carries, keys)
     out = out.withColumns(
         {o: _SCANS[fn][1](F.col(f"_carry_{o}"), F.col(f"_here_{o}")) for o, (fn, _) in values.items()}
     )
     extra = [f"_{kind}_{o}" for o in values for kind in ("here", "carry")]
-    return out.drop("_idx", "_block", *extra)
+    out = out.drop(*extra)
+    return out if ready else drop_blocks(out)
 
 
 def drawdown(
@@ -244,8 +267,8 @@ def hysteresis(
     if block_rows is None:
         keys, marked = by, df
     else:
-        keys = [*by, "_block"]
-        marked = row_index(df, by, ts, name="_idx").withColumn("_block", F.floor(F.col("_idx") / block_rows))
+        keys = [*by, "_scan_block"]
+        marked = split_blocks(df, by, ts, block_rows)
     marked = marked.withColumn("_island", F.sum(leaves).over(up_to_now(keys, ts))).withColumn("_side", side)
     local = F.first("_side", ignorenulls=True).over(up_to_now([*keys, "_island"], ts))
     marked = marked.withColumn("_open", local)
@@ -256,16 +279,14 @@ def hysteresis(
         # Blocks after one with an exit start a new island of blocks; inside it
         # the first open position found is the one still held.
         ends = ends.withColumn(
-            "_group", F.sum((F.col("_exits") > 0).cast("int")).over(up_to_now(by, "_block"))
-        ).withColumn("_held", F.first("_last", ignorenulls=True).over(up_to_now([*by, "_group"], "_block")))
-        carry = ends.select(*keys, F.lag("_held").over(ordered(by, "_block")).alias("_carry"))
+            "_group", F.sum((F.col("_exits") > 0).cast("int")).over(up_to_now(by, "_scan_block"))
+        ).withColumn("_held", F.first("_last", ignorenulls=True).over(up_to_now([*by, "_group"], "_scan_block")))
+        carry = ends.select(*keys, F.lag("_held").over(ordered(by, "_scan_block")).alias("_carry"))
         marked = marked.join(carry, keys).withColumn(
             "_open", F.when(F.col("_island") == 0, F.coalesce("_carry", "_open")).otherwise(F.col("_open"))
         )
     held = F.when(zc.isNull(), 0).otherwise(F.coalesce("_open", F.lit(0)))
-    return marked.withColumn(out, held.cast("int")).drop(
-        "_idx", "_block", "_island", "_side", "_open", "_carry"
-    )
+    return drop_blocks(marked.withColumn(out, held.cast("int")).drop("_island", "_side", "_open", "_carry"))
 
 
 def runs(df: DataFrame, col: str, by: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:

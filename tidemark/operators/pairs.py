@@ -14,7 +14,7 @@ from tidemark.functions import series as S
 from tidemark.operators.backtest import DAYS_PER_YEAR, sharpe, sortino
 from tidemark.operators.bars import pair_panel
 from tidemark.operators.gram import grouped_gram, unpack
-from tidemark.operators.ordering import cumulative, drawdown
+from tidemark.operators.ordering import cumulative, drawdown, drop_blocks, split_blocks
 
 PAIR = ("pair",)
 
@@ -148,32 +148,38 @@ def unit_root(
     lagged = lagged.withColumn("_lags", lags)
     history = [F.lag("_d", k).over(w) for k in range(1, top + 1)]
     past = [F.when(F.lit(k) <= F.col("_lags"), h).otherwise(0.0) for k, h in enumerate(history, 1)]
-    design = lagged.withColumn(
-        "_row", F.array(F.col("_level"), *past, F.lit(1.0), F.col("_d"))
+    row = F.array(F.col("_level"), *past, F.lit(1.0), F.col("_d"))
+    usable = lagged.withColumn("_row", row).filter(F.col("_t") > F.col("_lags")).select(
+        *by, "_n", "_lags", (F.col("_t") == F.col("_lags") + 1).alias("_first"), "_row"
     )
-    usable = design.filter(F.col("_t") > F.col("_lags")).select(*by, "_row")
+    # The first usable row is kept apart: its lags give back the values before it.
     width = top + 3
-    grams = grouped_gram(usable, "_row", width, by)
-    heads = design.groupBy(*by).agg(
-        F.max("_n").alias("_n"), F.max("_lags").alias("_lags"),
-        F.array_sort(F.collect_list(F.when(F.col("_t") <= F.col("_lags") + 1, F.struct("_t", col)))).alias("_head"),
-    ).withColumn("_head", F.transform("_head", lambda h: h[col]))
-    ready = heads.join(grams, by)
+    grams = grouped_gram(usable, "_row", width, [*by, "_n", "_lags", "_first"])
+    both = grams.groupBy(*by, "_n", "_lags").agg(
+        F.sum("n_rows").alias("rows_used"),
+        F.first(F.when(F.col("_first"), F.col("gram")), ignorenulls=True).alias("first_gram"),
+        F.first(F.when(~F.col("_first"), F.col("gram")), ignorenulls=True).alias("rest_gram"),
+    )
+    names = [f.split()[0] for f in UNIT_ROOT_FIELDS.split(", ")]
+    keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [
-                (
-                    *(getattr(r, b) for b in by),
-                    *_unit_root_row(unpack(r.gram, width), int(r.n_rows), np.asarray(r.head, dtype=float), int(r.n), int(r.lags), constant, n_vars),
-                )
-                for r in pdf.itertuples(index=False)
-            ]
+            out = []
+            for r in pdf.itertuples(index=False):
+                gram = unpack(r.first_gram, width)
+                lags = int(r.lags)
+                first = gram[width - 2]
+                past_d = first[1 : lags + 1][::-1]
+                start = first[0] - past_d.sum()
+                head = start + np.concatenate([[0.0], np.cumsum(past_d), [past_d.sum() + first[-1]]])
+                if r.rest_gram is not None:
+                    gram = gram + unpack(r.rest_gram, width)
+                key = tuple(getattr(r, b) for b in by)
+                out.append((*key, *_unit_root_row(gram, int(r.rows_used), head, int(r.n), lags, constant, n_vars)))
             yield pd.DataFrame(out, columns=[*by, *names])
 
-    names = [f.split()[0] for f in UNIT_ROOT_FIELDS.split(", ")]
-    keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
-    tidy = ready.select(*by, "gram", "n_rows", F.col("_head").alias("head"), F.col("_n").alias("n"), F.col("_lags").alias("lags"))
+    tidy = both.select(*by, "rows_used", "first_gram", "rest_gram", F.col("_n").alias("n"), F.col("_lags").alias("lags"))
     return tidy.mapInPandas(solve, f"{keys}, {UNIT_ROOT_FIELDS}")
 
 
@@ -183,18 +189,29 @@ def adf_test(df: DataFrame, col: str, by: Sequence[str] = S.SERIES, ts: str = "t
     return out.withColumn("is_stationary_5pct", F.col("p_value") < 0.05)
 
 
-def engle_granger(pairs: DataFrame, y: str = "y", x: str = "x", by: Sequence[str] = PAIR, ts: str = "date") -> DataFrame:
-    """Engle-Granger test: OLS residuals per pair, then Dickey-Fuller without a constant."""
-    residuals = spread(pairs, grouped_ols(pairs, y, x, by), y, x, by)
-    out = unit_root(residuals.select(*by, ts, "spread"), "spread", by, ts, constant=False, n_vars=2)
+def engle_granger(
+    pairs: DataFrame, y: str = "y", x: str = "x", by: Sequence[str] = PAIR, ts: str = "date", longest: int | None = None,
+) -> DataFrame:
+    """Engle-Granger test: OLS residuals per pair, then Dickey-Fuller without a constant.
+
+    The regression runs as a window over the pair, on the partitioning that the
+    lags need as well, so the pairs move once.
+    """
+    whole = Window.partitionBy(*by)
+    fitted = pairs.withColumns(
+        {"_b": F.regr_slope(y, x).over(whole), "_a": F.regr_intercept(y, x).over(whole)}
+    )
+    residuals = fitted.select(*by, ts, (F.col(y) - (F.col("_a") + F.col("_b") * F.col(x))).alias("spread"))
+    out = unit_root(residuals, "spread", by, ts, constant=False, n_vars=2, longest=longest)
     return out.withColumn("cointegrated_5pct", F.col("p_value") < 0.05)
 
 
 def screen_pairs(prices: DataFrame, ts: str = "date") -> DataFrame:
     """Engle-Granger on log prices for every pair of series, best p-value first."""
     logs = prices.select("series_id", ts, F.log("price").alias("price"))
-    pairs = pair_panel(logs, ts=ts)
-    tested = engle_granger(pairs, by=["pair", "y_id", "x_id"], ts=ts)
+    # A pair is no longer than its longer series.
+    longest = prices.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    tested = engle_granger(pair_panel(logs, ts=ts), by=["pair", "y_id", "x_id"], ts=ts, longest=longest)
     return tested.select(
         "pair", "y_id", "x_id", F.col("statistic").alias("eg_statistic"), F.col("p_value").alias("eg_pvalue"), "cointegrated_5pct"
     ).orderBy("eg_pvalue", "pair")
@@ -238,12 +255,14 @@ def pair_returns(
     move = S.simple_return(y, by, ts) - used * S.simple_return(x, by, ts)
     rows = costs.withColumns({"prev_position": held, "gross_return": F.coalesce(held * move, F.lit(0.0))}).drop("_beta")
     rows = rows.withColumn("strategy_return", F.col("gross_return") - F.col("transaction_cost"))
+    if block_rows:
+        rows = split_blocks(rows, by, ts, block_rows)
     rows = cumulative(
         rows,
         {"equity_gross": ("product", 1 + F.col("gross_return")), "equity": ("product", 1 + F.col("strategy_return"))},
-        by, ts, block_rows,
+        by, ts,
     )
-    return drawdown(rows, "equity", "drawdown", by, ts, block_rows)
+    return drop_blocks(drawdown(rows, "equity", "drawdown", by, ts))
 
 
 def pair_summary(rows: DataFrame, position: str = "position", by: Sequence[str] = PAIR, ts: str = "date", periods: int = DAYS_PER_YEAR) -> DataFrame:

@@ -117,7 +117,7 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     ends = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.when(width > 0, F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    binned = df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(ends)).withColumn("bin", slot.cast("long"))
+    binned = attach_row(df.filter(F.col(col).isNotNull()), ends).withColumn("bin", slot.cast("long"))
     counted = binned.groupBy("bin", "_lo", width.alias("_width")).agg(F.count(F.lit(1)).alias("n_rows"))
     left = F.col("_lo") + F.col("bin") * F.col("_width")
     return counted.select("bin", left.alias("left_edge"), (left + F.col("_width")).alias("right_edge"), "n_rows")

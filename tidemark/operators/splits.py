@@ -14,13 +14,14 @@ from tidemark.operators.attach import attach_row
 
 def chronological_split(
     df: DataFrame, fractions: Sequence[float] = (0.7, 0.15, 0.15), names: Sequence[str] = ("train", "val", "test"),
-    by: Sequence[str] = SERIES, ts: str = "ts", out: str = "split",
+    by: Sequence[str] = SERIES, ts: str = "ts", out: str = "split", slots: bool = True,
 ) -> DataFrame:
     """Name the part of its series each row falls into, earliest part first.
 
-    Borders are ``int(n * fraction)``; the last part takes the rest.
+    Borders are ``int(n * fraction)``; the last part takes the rest. Bars can
+    be numbered in one window with ``slots=False``.
     """
-    numbered = row_index(df, by, ts, name="_idx", total="_len")
+    numbered = row_index(df, by, ts, name="_idx", total="_len", slots=slots)
     label: Column | None = None
     end: Column = F.lit(0)
     for share, name in zip(fractions[:-1], names):
@@ -50,14 +51,14 @@ def fold_table(n_folds: int = 5, min_train: float = 0.5, val: float = 0.15, leng
 
 def assign_folds(
     df: DataFrame, n_folds: int = 5, min_train: float = 0.5, val: float = 0.15,
-    by: Sequence[str] = SERIES, ts: str = "ts",
+    by: Sequence[str] = SERIES, ts: str = "ts", slots: bool = True,
 ) -> DataFrame:
     """One row per (row, fold it takes part in) with its role: train, val or test.
 
     The fold borders are computed from the exact series length on each row, so
     no fold table has to be joined.
     """
-    numbered = row_index(df, by, ts, name="row_idx", total="_len")
+    numbered = row_index(df, by, ts, name="row_idx", total="_len", slots=slots)
     spread = numbered.withColumn("_f", F.explode(fold_table(n_folds, min_train, val)))
     i = F.col("row_idx")
     role = (
@@ -74,9 +75,9 @@ def assign_folds(
 walk_forward_splits = assign_folds
 
 
-def expanding_folds(df: DataFrame, n_splits: int = 4, by: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
+def expanding_folds(df: DataFrame, n_splits: int = 4, by: Sequence[str] = SERIES, ts: str = "ts", slots: bool = True) -> DataFrame:
     """Time-series cross-validation: each fold tests the block after its training rows."""
-    numbered = row_index(df, by, ts, name="row_idx", total="_len")
+    numbered = row_index(df, by, ts, name="row_idx", total="_len", slots=slots)
     size = F.floor(F.col("_len") / (n_splits + 1))
     starts = F.array(*[F.struct(F.lit(k).alias("fold"), (F.col("_len") - (n_splits - k) * size).alias("start")) for k in range(n_splits)])
     spread = numbered.withColumn("_size", size).withColumn("_f", F.explode(starts))
@@ -90,7 +91,7 @@ def expanding_folds(df: DataFrame, n_splits: int = 4, by: Sequence[str] = SERIES
 
 def assign_refit_windows(
     df: DataFrame, initial: int = 1000, refit: int = 250, rolling: int = 1500,
-    by: Sequence[str] = SERIES, ts: str = "ts",
+    by: Sequence[str] = SERIES, ts: str = "ts", slots: bool = True,
 ) -> DataFrame:
     """One row per (row, refit model): training rows and the chunk the model scores.
 
@@ -98,7 +99,7 @@ def assign_refit_windows(
     and scores the ``refit`` rows from there. The models of a row follow from
     its index, so rows are copied at most ``rolling / refit + 1`` times.
     """
-    numbered = row_index(df, by, ts, name="row_idx", total="_len")
+    numbered = row_index(df, by, ts, name="row_idx", total="_len", slots=slots)
     i = F.col("row_idx")
     first = F.greatest(F.lit(0), F.floor((i - initial) / refit))
     last_model = F.floor((F.col("_len") - initial - 1) / refit)

@@ -66,10 +66,9 @@ def tfidf(
 
     n_docs = train.agg(F.count(F.lit(1)).alias("_n"))
     train_counts = counts(train)
-    idf = (
-        train_counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-        .crossJoin(F.broadcast(n_docs))
-        .select("term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+    doc_freq = train_counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = attach_row(doc_freq, n_docs).select(
+        "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf")
     )
     rows = train_counts if fit_on is None else counts(df)
     raw = rows.join(F.broadcast(idf), "term").withColumn("_raw", F.col("n_in_doc") * F.col("idf"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("market",)
+_MODULES = ("market", "series", "trading", "pairs")
 
 
 def load():

@@ -62,3 +62,14 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder once and read it back.
+
+    For frames that several branches of a plan need: the branches then read
+    only their columns, and lost executors cost a re-read, not a recomputation.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
