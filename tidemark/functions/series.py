@@ -20,6 +20,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """``a / b``, null when ``b`` is 0 (Spark would raise an error)."""
+    return _col(a) / F.nullif(_col(b), F.lit(0.0))
+
+
 def ordered(by: Sequence[str] = SERIES, ts: str = "ts") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(ts)
 
@@ -39,7 +44,7 @@ def log_return(x: Column | str, k: int = 1, by: Sequence[str] = SERIES, ts: str
 
 def simple_return(x: Column | str, by: Sequence[str] = SERIES, ts: str = "ts") -> Column:
     x = _col(x)
-    return x / F.lag(x, 1).over(ordered(by, ts)) - 1
+    return ratio(x, F.lag(x, 1).over(ordered(by, ts))) - 1
 
 
 def forward_return(x: Column | str, h: int = 1, by: Sequence[str] = SERIES, ts: str = "ts") -> Column:
@@ -83,12 +88,12 @@ def rolling_corr(
 def rolling_zscore(x: Column | str, n: int = 30, by: Sequence[str] = SERIES, ts: str = "ts") -> Column:
     x = _col(x)
     std = rolling(x, "std", n, by=by, ts=ts)
-    return (x - rolling(x, "mean", n, by=by, ts=ts)) / F.nullif(std, F.lit(0.0))
+    return ratio(x - rolling(x, "mean", n, by=by, ts=ts), std)
 
 
 def sma_ratio(x: Column | str, n: int, by: Sequence[str] = SERIES, ts: str = "ts") -> Column:
     x = _col(x)
-    return x / rolling(x, "mean", n, by=by, ts=ts) - 1
+    return ratio(x, rolling(x, "mean", n, by=by, ts=ts)) - 1
 
 
 def volume_zscore(x: Column | str, n: int = 20, by: Sequence[str] = SERIES, ts: str = "ts") -> Column:
@@ -126,4 +131,4 @@ def turnover(position: Column | str, by: Sequence[str] = SERIES, ts: str = "ts")
 
 def rebase(x: Column | str, base: float = 100.0, by: Sequence[str] = SERIES, ts: str = "ts") -> Column:
     x = _col(x)
-    return F.lit(base) * x / F.first(x).over(up_to_now(by, ts))
+    return ratio(F.lit(base) * x, F.first(x).over(up_to_now(by, ts)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import TINY
+from tidemark.functions.series import TINY, ratio
 
 
 def body_ratio() -> Column:
@@ -22,7 +22,7 @@ def lower_wick_ratio() -> Column:
 
 def imbalance(bid: Column, ask: Column) -> Column:
     """``(bid - ask) / (bid + ask)``; null when the book side sum is 0."""
-    return (bid - ask) / F.nullif(bid + ask, F.lit(0.0))
+    return ratio(bid - ask, bid + ask)
 
 
 def cancel_ratio(canceled: Column, executed: Column) -> Column:

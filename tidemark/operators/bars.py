@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import SERIES
+from tidemark.functions.series import SERIES, ratio
 from tidemark.functions.shapes import imbalance
 
 _UNITS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
@@ -29,7 +29,7 @@ def signed_quantity() -> Column:
 
 def trade_measures() -> list[Column]:
     return [
-        (F.sum(F.col("price") * F.col("quantity")) / F.sum("quantity")).alias("vwap"),
+        ratio(F.sum(F.col("price") * F.col("quantity")), F.sum("quantity")).alias("vwap"),
         F.sum("quantity").alias("trade_volume"),
         F.sum(signed_quantity()).alias("signed_volume"),
     ]
@@ -42,7 +42,7 @@ def trade_bars(trades: DataFrame, every: str = "1 minute", by: Sequence[str] = S
     rows before the shuffle, which then moves one row per task, series and bin.
     """
     bars = trades.groupBy(*by, time_bin(F.col(ts), every).alias("bin")).agg(*trade_measures())
-    return bars.withColumn("trade_flow_imbalance", F.col("signed_volume") / F.col("trade_volume"))
+    return bars.withColumn("trade_flow_imbalance", ratio("signed_volume", "trade_volume"))
 
 
 def depth_at(level: int) -> Column:

@@ -111,5 +111,4 @@ def book_features(
 
     snaps = _maybe_blocks(snaps, step, window, by, ts, block_rows)
     snaps = _filled(snaps, "rolling_avg_size", "top_size", "mean", fill, by, ts)
-    ratio = F.col("top_size") / F.nullif(F.col("rolling_avg_size"), F.lit(0.0))
-    return snaps.withColumn("top_level_size_ratio", ratio)
+    return snaps.withColumn("top_level_size_ratio", S.ratio("top_size", "rolling_avg_size"))

@@ -105,7 +105,7 @@ def regression_measures(truth: str, pred: str, train_mean: Column) -> dict[str,
         "mae": F.avg(F.abs(err)),
         "r2": 1 - sse / F.nullif(F.var_pop(y) * n, F.lit(0.0)),
         "baseline_rmse": baseline,
-        "reduction_pct": (1 - rmse / baseline) * 100,
+        "reduction_pct": (1 - rmse / F.nullif(baseline, F.lit(0.0))) * 100,
         "n_test": n,
     }
 
@@ -160,7 +160,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cells.groupBy("_a").agg(F.sum("_n").alias("_n")).agg(F.sum(pairs(F.col("_n"))).alias("rows"))
     cols = cells.groupBy("_b").agg(F.sum("_n").alias("_n")).agg(F.sum(pairs(F.col("_n"))).alias("cols"))
     one = attach_row(attach_row(both, rows), cols)
-    expected = F.col("rows") * F.col("cols") / pairs(F.col("n"))
+    expected = F.col("rows") * F.col("cols") / F.nullif(pairs(F.col("n")), F.lit(0.0))
     top, span = F.col("both") - expected, (F.col("rows") + F.col("cols")) / 2 - expected
     return one.select(F.when(span == 0, 1.0).otherwise(top / span).alias("adjusted_rand"))
 

@@ -53,7 +53,7 @@ def ohlcv_features(bars: DataFrame, by: Sequence[str] = SERIES, ts: str = "ts",
         }
     )
     out = ewm_mean(out, "close", "_ema", span=12, by=by, ts=ts)
-    out = out.withColumn("ema_ratio_12", F.col("close") / F.col("_ema") - 1).drop("_ema")
+    out = out.withColumn("ema_ratio_12", S.ratio("close", "_ema") - 1).drop("_ema")
     return out.na.drop(subset=[*CANDLE_FEATURES, "label_next_bullish"]) if dropna else out
 
 

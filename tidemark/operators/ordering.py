@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.series import SERIES, ordered, up_to_now
+from tidemark.functions.series import SERIES, ordered, ratio, up_to_now
 from tidemark.session import materialised
 
 SLOT_SECONDS = 30 * 86_400
@@ -175,7 +175,7 @@ def drawdown(
 ) -> DataFrame:
     """Distance of an equity curve from its running maximum."""
     peaked = cumulative(df, {"_peak": ("max", equity)}, by, ts, block_rows)
-    return peaked.withColumn(out, F.col(equity) / F.col("_peak") - 1).drop("_peak")
+    return peaked.withColumn(out, ratio(equity, "_peak") - 1).drop("_peak")
 
 
 def ewm_mean(
@@ -226,7 +226,7 @@ def ewm_mean(
     carried = F.pow(F.lit(keep), F.col("_j") + 1)
     num = F.col("_num") + F.coalesce(F.col("_prev._num"), F.lit(0.0)) * carried
     den = F.col("_den") + F.coalesce(F.col("_prev._den"), F.lit(0.0)) * carried
-    value = num / den if adjust else num
+    value = ratio(num, den) if adjust else num
     enough = (F.col("_seen") > 0) & (F.col("_seen") >= min_periods)
     return df.withColumn(out, F.when(enough, value)).drop(
         "_seen", "_age", "_step", "_j", "_num", "_den", "_prev"
@@ -318,7 +318,7 @@ def window_drawdown(ret: Column, n: int, by: Sequence[str] = SERIES, ts: str = "
         level = s["level"] * (1 + r)
         peak = F.greatest(s["peak"], level)
         return F.struct(
-            level.alias("level"), peak.alias("peak"), F.least(s["worst"], level / peak - 1).alias("worst")
+            level.alias("level"), peak.alias("peak"), F.least(s["worst"], ratio(level, peak) - 1).alias("worst")
         )
 
     worst = F.aggregate(F.collect_list(ret).over(frame), start, step, lambda s: s["worst"])

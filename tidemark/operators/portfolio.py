@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.series import ratio
 from tidemark.operators.bars import pair_panel
 
 TRADING_DAYS = 365
@@ -51,7 +52,7 @@ def portfolio_performance(weights: DataFrame, mean: DataFrame, cov: DataFrame, r
     )
     own = weights.select(key, F.col("series_id").alias("i"), "weight")
     risk = own.join(inner, [key, "i"]).groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("_inner"))).alias("vol"))
-    return ret.join(risk, key).select(key, "ret", "vol", ((F.col("ret") - rf) / F.col("vol")).alias("sharpe"))
+    return ret.join(risk, key).select(key, "ret", "vol", ratio(F.col("ret") - rf, "vol").alias("sharpe"))
 
 
 def random_weights(mean: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:

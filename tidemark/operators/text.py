@@ -77,16 +77,13 @@ def tfidf(
 
 
 def as_vectors(weights: DataFrame, vocab: DataFrame, keys: Sequence[str], out: str = "features") -> DataFrame:
-    """Sparse vectors from TF-IDF rows; term numbers follow the alphabet."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """One vector per document; term numbers follow the alphabet of the bounded vocabulary."""
+    from pyspark.ml.functions import array_to_vector
 
     listed = vocab.agg(F.array_sort(F.collect_list("term")).alias("_terms"))
-    placed = attach_row(weights, listed).select(
-        *keys, (F.array_position("_terms", F.col("term")) - 1).cast("int").alias("_i"), "weight", F.size("_terms").alias("_size")
-    )
-    packed = placed.groupBy(*keys, "_size").agg(F.array_sort(F.collect_list(F.struct("_i", "weight"))).alias("_v"))
-    build = F.udf(lambda n, v: SparseVector(n, [r[0] for r in v], [r[1] for r in v]), VectorUDT())
-    return packed.select(*keys, build("_size", "_v").alias(out))
+    packed = weights.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_w"))
+    dense = F.transform("_terms", lambda t: F.coalesce(F.try_element_at("_w", t), F.lit(0.0)))
+    return attach_row(packed, listed).select(*keys, array_to_vector(dense).alias(out))
 
 
 def sentiment_from_probs(df: DataFrame, probs: str = "probs") -> DataFrame:

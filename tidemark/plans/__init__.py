@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("market", "series", "trading", "pairs", "market_structure", "surveillance", "texts", "evaluation", "learning")
+_MODULES = ("market", "series", "trading", "pairs", "market_structure", "surveillance", "texts", "evaluation", "learning", "storage", "live")
 
 
 def load():

@@ -17,7 +17,7 @@ NUMBERED = f"""n AS (SELECT series_id, date, price, row_number() OVER (PARTITION
 
 
 @query("chronological_split", f"""WITH {V.PANEL_SQL}, {NUMBERED},
-s AS (SELECT *, CASE WHEN idx < floor(n * 0.7) THEN 'train' WHEN idx < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM n)
+s AS (SELECT *, CASE WHEN idx < floor(n * 0.7::DOUBLE) THEN 'train' WHEN idx < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM n)
 SELECT series_id, split, {big('count(*)', 'n_rows')}, {day('min(date)', 'first_day')}, {day('max(date)', 'last_day')} FROM s GROUP BY series_id, split""")
 def chronological_split(spark, sf):
     out = splits.chronological_split(V.panel(spark, sf), ts="date")
@@ -26,16 +26,19 @@ def chronological_split(spark, sf):
     ))
 
 
-FOLD_COUNT = [F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row")]
+def _fold_sizes(rows):
+    return rows.groupBy("series_id", "fold", "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row")
+    )
 
 
 @query("walk_forward_folds", f"""WITH {V.PANEL_SQL}, {NUMBERED}, k AS (SELECT k FROM range(5) AS r(k)),
-f AS (SELECT series_id, idx, k, floor(n * 0.5) + k * floor((n - floor(n * 0.5)) / 5) AS ts, CASE WHEN k = 4 THEN n ELSE floor(n * 0.5) + (k + 1) * floor((n - floor(n * 0.5)) / 5) END AS te FROM n, k),
+f AS (SELECT series_id, idx, k, floor(n * 0.5::DOUBLE) + k * floor((n - floor(n * 0.5::DOUBLE)) / 5) AS ts, CASE WHEN k = 4 THEN n ELSE floor(n * 0.5::DOUBLE) + (k + 1) * floor((n - floor(n * 0.5::DOUBLE)) / 5) END AS te FROM n, k),
 r AS (SELECT series_id, idx, k, CASE WHEN idx < floor(ts * (1 - 0.15::DOUBLE)) THEN 'train' WHEN idx < ts THEN 'val' WHEN idx < te THEN 'test' END AS role FROM f)
 SELECT series_id, {big('k', 'fold')}, role, {big('count(*)', 'n_rows')}, {big('min(idx)', 'first_row')}, {big('max(idx)', 'last_row')} FROM r WHERE role IS NOT NULL GROUP BY series_id, k, role""")
 def walk_forward_folds(spark, sf):
     out = splits.assign_folds(V.panel(spark, sf), ts="date")
-    return shown(out.groupBy("series_id", "fold", "role").agg(*FOLD_COUNT))
+    return shown(_fold_sizes(out))
 
 
 @query("time_series_folds", f"""WITH {V.PANEL_SQL}, {NUMBERED}, k AS (SELECT k FROM range(4) AS r(k)),
@@ -44,10 +47,10 @@ r AS (SELECT series_id, idx, k, CASE WHEN idx < start THEN 'train' WHEN idx < st
 SELECT series_id, {big('k', 'fold')}, role, {big('count(*)', 'n_rows')}, {big('min(idx)', 'first_row')}, {big('max(idx)', 'last_row')} FROM r WHERE role IS NOT NULL GROUP BY series_id, k, role""")
 def time_series_folds(spark, sf):
     out = splits.expanding_folds(V.panel(spark, sf), ts="date")
-    return shown(out.groupBy("series_id", "fold", "role").agg(*FOLD_COUNT))
+    return shown(_fold_sizes(out))
 
 
-@query("standardised_returns", f"""WITH {RETURNS_SQL}, {NUMBERED}, t AS (SELECT r.series_id, r.date, r.ret, idx < floor(n * 0.8) AS train FROM rets r JOIN n USING (series_id, date)),
+@query("standardised_returns", f"""WITH {RETURNS_SQL}, {NUMBERED}, t AS (SELECT r.series_id, r.date, r.ret, idx < floor(n * 0.8::DOUBLE) AS train FROM rets r JOIN n USING (series_id, date)),
 s AS (SELECT series_id, avg(ret) AS m, stddev_pop(ret) AS sd FROM t WHERE train GROUP BY series_id)
 SELECT series_id, {day('date', 'date')}, CASE WHEN train THEN 'train' ELSE 'test' END AS split, {num('(ret - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END', 'ret')} FROM t JOIN s USING (series_id)""")
 def standardised_returns(spark, sf):

@@ -57,7 +57,7 @@ def technical_signals(spark, sf):
 
 BACKTEST_SQL = f"""{SIGNALS_SQL},
 numbered AS (SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM signals {W}),
-test AS (SELECT * FROM numbered WHERE idx >= floor(n * 0.7)),
+test AS (SELECT * FROM numbered WHERE idx >= floor(n * 0.7::DOUBLE)),
 long AS (
   SELECT 'signal_sma_crossover' AS strategy, signal_sma_crossover AS signal, * FROM test
   UNION ALL SELECT 'signal_rsi_mean_reversion', signal_rsi_mean_reversion, * FROM test

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.series import SERIES
+from tidemark.functions.series import SERIES, ratio
 from tidemark.functions.shapes import imbalance
 from tidemark.operators.bars import trade_measures
 
@@ -22,7 +22,7 @@ def stream_trade_bars(stream: DataFrame, every: str = "1 minute", watermark: str
     """Tumbling trade bars, each emitted once the watermark has passed its end."""
     timed = with_event_time(stream, watermark, ts)
     bars = timed.groupBy(*by, F.window(ts, every)).agg(*trade_measures())
-    return bars.withColumn("trade_flow_imbalance", F.col("signed_volume") / F.col("trade_volume"))
+    return bars.withColumn("trade_flow_imbalance", ratio("signed_volume", "trade_volume"))
 
 
 def stream_depth_bars(

@@ -52,7 +52,8 @@ def stream_kalman(
                     out.append((*key, a, b, c, *f.advance(b, c, q, r_lambda)))
                 held_ts, f.held_y, f.held_x = [], [], []
         state.update((f.alpha, f.beta, f.p_aa, f.p_ab, f.p_bb, f.r, held_ts, f.held_y, f.held_x))
-        yield pd.DataFrame(out, columns=[*keep, *OUTPUT])
+        if out:
+            yield pd.DataFrame(out, columns=[*keep, *OUTPUT])
 
     return stream.select(*keep).groupBy(*by).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
