@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.functions.series import SERIES
 from tidemark.functions.shapes import cancel_ratio, clip, imbalance
 from tidemark.operators.ordering import in_blocks
+from tidemark.session import materialised
 
 SIDES = ("bid", "ask")
 TOP_FEATURES = ("top_level_size_ratio", "max_cancel_ratio_across_levels", "max_size_velocity_across_levels")
@@ -44,11 +45,13 @@ def book_totals(levels: DataFrame, by: Sequence[str] = SERIES, ts: str = "snapsh
     )
 
 
-def _filled(df: DataFrame, col: str, base: str, stat: str, fill: str, by: Sequence[str], ts: str) -> DataFrame:
+def _filled(df: DataFrame, col: str, base: str, stat: str, fill: str, by: Sequence[str], ts: str, blocked: bool) -> DataFrame:
     """Warm-up gaps of ``col`` from the whole sample of ``base`` or from its past only."""
     fn = {"mean": F.avg, "std": F.stddev_samp}[stat]
     if fill == "expanding":
         return df.withColumn(col, F.coalesce(col, _usable(fn(base).over(S.up_to_now(by, ts)), stat)))
+    if not blocked:
+        return df.withColumn(col, F.coalesce(col, _usable(fn(base).over(Window.partitionBy(*by)), stat)))
     whole = df.groupBy(*by).agg(_usable(fn(base), stat).alias("_whole"))
     return df.join(whole, list(by)).withColumn(col, F.coalesce(col, "_whole")).drop("_whole")
 
@@ -63,7 +66,9 @@ def _usable(value: Column, stat: str) -> Column:
 def _maybe_blocks(df: DataFrame, step, lookback: int, by: Sequence[str], ts: str, block_rows: int | None) -> DataFrame:
     if block_rows is None:
         return step(df, list(by))
-    return in_blocks(df, step, lookback=lookback, by=by, ts=ts, block_rows=block_rows)
+    # Numbering, blocks and the whole-sample fill all read the rows: store both ends.
+    ready = materialised(df, "book")
+    return materialised(in_blocks(ready, step, lookback=lookback, by=by, ts=ts, block_rows=block_rows), "book-blocks")
 
 
 def size_velocity(
@@ -79,7 +84,7 @@ def size_velocity(
         return df.withColumn("_std", S.rolling("_delta", "std", n, min_samples, by=k, ts=ts))
 
     out = _maybe_blocks(levels, step, n + 1, keys, ts, block_rows)
-    out = _filled(out, "_std", "_delta", "std", fill, keys, ts)
+    out = _filled(out, "_std", "_delta", "std", fill, keys, ts, block_rows is not None)
     return out.withColumn("size_velocity", F.col("_delta") / clip(F.col("_std"), lower=1e-6)).drop("_delta", "_std")
 
 
@@ -110,5 +115,5 @@ def book_features(
         return df.withColumn("rolling_avg_size", S.rolling("top_size", "mean", window, 10, by=k, ts=ts))
 
     snaps = _maybe_blocks(snaps, step, window, by, ts, block_rows)
-    snaps = _filled(snaps, "rolling_avg_size", "top_size", "mean", fill, by, ts)
+    snaps = _filled(snaps, "rolling_avg_size", "top_size", "mean", fill, by, ts, block_rows is not None)
     return snaps.withColumn("top_level_size_ratio", S.ratio("top_size", "rolling_avg_size"))

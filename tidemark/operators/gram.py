@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +32,25 @@ def grouped_gram(df: DataFrame, row: str, width: int, by: Sequence[str]) -> Data
     by = list(by)
     size = gram_size(width)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = np.triu_indices(width)
-        for pdf in batches:
-            out = []
-            for key, part in pdf.groupby(by, sort=False):
-                m = np.stack(part[row].to_numpy())
-                out.append((*key, len(m), (m.T @ m)[upper].tolist()))
-            yield pd.DataFrame(out, columns=[*by, "n_rows", "gram"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(len(by)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            keys = batch.select(list(range(len(by))))
+            group = keys.to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+            first = np.unique(group, return_index=True)[1]
+            parts = [rows[group == g] for g in range(len(first))]
+            grams = [(m.T @ m)[upper] for m in parts]
+            kept = keys.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array([len(m) for m in parts], pa.int64()), pa.array(grams, pa.list_(pa.float64()))],
+                names=[*by, "n_rows", "gram"],
+            )
 
     keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
-    parts = df.select(*by, row).mapInPandas(partial, f"{keys}, n_rows long, gram array<double>")
+    parts = df.select(*by, row).mapInArrow(partial, f"{keys}, n_rows long, gram array<double>")
     cells = parts.select(*by, F.posexplode(F.concat(F.array(F.col("n_rows").cast("double")), "gram")).alias("_pos", "_x"))
     summed = cells.groupBy(*by, "_pos").agg(F.sum("_x").alias("_x"))
     packed = summed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_pos", "_x"))).alias("_cells"))

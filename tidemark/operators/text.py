@@ -10,15 +10,17 @@ from pyspark.sql import types as T
 
 from tidemark.functions.shapes import polarity, top_label
 from tidemark.operators.attach import attach_row
+from tidemark.session import materialised
 
-# Fixed value: a token is two or more letters, digits or underscores.
-TOKEN = r"[\p{L}\p{N}_]{2,}"
+# A token is a run of letters, digits or underscores of this length.
+NOT_TOKEN = r"[^\p{L}\p{N}_]+"
+SHORTEST = 2
 # Report order of the sentiment categories.
 CATEGORY_ORDER = ("negative", "neutral", "positive")
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.filter(F.split(F.lower(text), NOT_TOKEN), lambda w: F.length(w) >= SHORTEST)
 
 
 def ngrams(words: Column, ngram: tuple[int, int] = (1, 2)) -> Column:
@@ -65,7 +67,7 @@ def tfidf(
         return kept.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n_in_doc"))
 
     n_docs = train.agg(F.count(F.lit(1)).alias("_n"))
-    train_counts = counts(train)
+    train_counts = materialised(counts(train), "term-counts")
     doc_freq = train_counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     idf = attach_row(doc_freq, n_docs).select(
         "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf")

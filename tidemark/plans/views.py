@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.plans.registry import snapped, snapped_sql
+from tidemark.sources.readers import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -217,7 +218,7 @@ book AS (SELECT series_id, snapshot_id, side, level, coalesce(size, 0) AS size,
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as headlines: source is the ticker, length the volume."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = spread(table(spark, sf, "documents")), table(spark, sf, "labels")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id", F.col("source").alias("ticker"), F.col("text").alias("headline"),
         F.col("n_chars").cast("double").alias("volume"), "quality", "toxic",

@@ -34,6 +34,15 @@ def _csv(spark: SparkSession, path: str | Sequence[str], schema: str, header: bo
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly per-row work all cores when a scan has fewer splits than that.
+
+    For plain scans only: a large table has enough splits and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_ohlcv(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Candles with a header row, or Parquet with the same columns."""
     if fmt == "parquet":
