@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from tidemark.functions.series import SERIES, ordered, ratio, up_to_now
 from tidemark.session import materialised
 
-SLOT_SECONDS = 30 * 86_400
+# An hour of even a very dense series sorts within one task; wider slots only
+# save rows in the small table of slot counts.
+SLOT_SECONDS = 3_600
 SLOT_UNITS = 100_000
 BLOCK_ROWS = 50_000
 

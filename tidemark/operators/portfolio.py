@@ -10,33 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import ratio
-from tidemark.operators.bars import pair_panel
+from tidemark.operators.panel import both_ways, correlation, covariance, pair_moments
 
 TRADING_DAYS = 365
 RISK_FREE = 0.045
 
 
-def _both_ways(pairs: DataFrame, diagonal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Long symmetric matrix from its upper part and its diagonal."""
-    swapped = pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "value")
-    return pairs.unionByName(swapped).unionByName(diagonal)
+def annualised_moments(
+    returns: DataFrame, periods: int = TRADING_DAYS, ts: str = "date", value: str = "ret", by: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Annualised mean per series and covariance (ddof 1) per pair of series, long.
 
-
-def annualised_moments(returns: DataFrame, periods: int = TRADING_DAYS, ts: str = "date", value: str = "ret") -> tuple[DataFrame, DataFrame]:
-    """Annualised mean per series and covariance (ddof 1) per pair of series, long."""
-    mean = returns.groupBy("series_id").agg((F.avg(value) * periods).alias("mean_return"))
-    pairs = pair_panel(returns.filter(F.col(value).isNotNull()), value, ts=ts)
-    upper = pairs.groupBy(F.col("y_id").alias("i"), F.col("x_id").alias("j")).agg((F.covar_samp("y", "x") * periods).alias("value"))
-    diagonal = returns.groupBy(F.col("series_id").alias("i")).agg((F.var_samp(value) * periods).alias("value"))
-    return mean, _both_ways(upper, diagonal.select("i", F.col("i").alias("j"), "value"))
+    ``by`` separates baskets, each with its own moments.
+    """
+    mean = returns.groupBy(*by, "series_id").agg((F.avg(value) * periods).alias("mean_return"))
+    upper = pair_moments(returns, value, by, ts).withColumn("value", covariance() * periods)
+    return mean, both_ways(upper, by)
 
 
 def correlation_matrix(returns: DataFrame, ts: str = "date", value: str = "ret") -> DataFrame:
     """Full-period correlation, long: ``i, j, value``."""
-    pairs = pair_panel(returns.filter(F.col(value).isNotNull()), value, ts=ts)
-    upper = pairs.groupBy(F.col("y_id").alias("i"), F.col("x_id").alias("j")).agg(F.corr("y", "x").alias("value"))
-    ids = returns.select(F.col("series_id").alias("i")).distinct()
-    return _both_ways(upper, ids.select("i", F.col("i").alias("j"), F.lit(1.0).alias("value")))
+    upper = pair_moments(returns, value, (), ts)
+    return both_ways(upper.withColumn("value", F.when(F.col("i") == F.col("j"), 1.0).otherwise(correlation())))
 
 
 def portfolio_performance(weights: DataFrame, mean: DataFrame, cov: DataFrame, rf: float = RISK_FREE, key: str = "portfolio_id") -> DataFrame:
@@ -143,7 +138,9 @@ def optimize_portfolios(
 
     The moments of a basket become two arrays (its size is the number of its
     assets); every goal and frontier point is a row of its own, and rows are
-    solved in parallel.
+    solved in parallel. A basket with assets that never traded on a common date
+    has no covariance matrix, and one without excess return no best ratio:
+    their rows come back with nulls.
     """
     vec = mean.groupBy(basket).agg(F.array_sort(F.collect_list(F.struct("series_id", "mean_return"))).alias("_m"))
     mat = cov.groupBy(basket).agg(F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("_c"))
@@ -165,6 +162,9 @@ def optimize_portfolios(
             out = []
             for r in pdf.itertuples(index=False):
                 mu = np.asarray(r.mu, dtype=float)
+                if len(r.sigma) != len(mu) ** 2:
+                    out.append((getattr(r, basket), r.goal, int(r.point), None, None, None, None))
+                    continue
                 sigma = np.asarray(r.sigma, dtype=float).reshape(len(mu), len(mu))
                 if r.goal == "max_sharpe":
                     w = max_sharpe(mu, sigma, rf)
@@ -175,6 +175,7 @@ def optimize_portfolios(
                     share = r.point / max(n_frontier - 1, 1)
                     w = at_return(mu, sigma, low + share * (float(mu.max()) - low))
                 if w is None:
+                    out.append((getattr(r, basket), r.goal, int(r.point), None, None, None, None))
                     continue
                 ret, vol = float(w @ mu), float(np.sqrt(max(w @ sigma @ w, 0.0)))
                 out.append((getattr(r, basket), r.goal, int(r.point), ret, vol, (ret - rf) / vol if vol else None, dict(zip(r.ids, w.tolist()))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.operators.bars import pair_panel
+from tidemark.operators.panel import correlation, pair_moments
 from tidemark.operators.ordering import window_drawdown
 from tidemark.operators.attach import attach_row
 
@@ -91,8 +92,9 @@ def regime_summary(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def correlation_by_group(returns: DataFrame, groups: DataFrame, cluster: str = "cluster", ts: str = "date", value: str = "ret") -> DataFrame:
     """Pair correlations pooled over each cluster's dates."""
-    joined = pair_panel(returns.filter(F.col(value).isNotNull()), value, ts=ts).join(groups.select(ts, cluster), ts)
-    return joined.groupBy(cluster, F.col("y_id").alias("i"), F.col("x_id").alias("j")).agg(F.corr("y", "x").alias("value"))
+    joined = returns.join(groups.select(ts, cluster), ts)
+    cells = pair_moments(joined, value, [cluster], ts).filter(F.col("i") != F.col("j"))
+    return cells.select(cluster, "i", "j", correlation().alias("value"))
 
 
 def mean_correlation_by_group(returns: DataFrame, groups: DataFrame, cluster: str = "cluster", ts: str = "date", value: str = "ret") -> DataFrame:

@@ -120,7 +120,7 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test: float
     """
     hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
     placed = row_index(
-        hashed, by=[label], ts="_h", ties=list(keys), slot_width=1 << 55, name="_idx", total="_len"
+        hashed, by=[label], ts="_h", ties=list(keys), slot_width=1 << 44, name="_idx", total="_len"
     )
     n_test = F.ceil(F.col("_len") * test - 1e-9)
     return placed.withColumn(out, F.when(F.col("_idx") < n_test, "test").otherwise("train")).drop("_h", "_idx", "_len")

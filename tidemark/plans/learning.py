@@ -10,6 +10,7 @@ from tidemark.operators import gram as G
 from tidemark.operators import models as M
 from tidemark.operators import splits
 from tidemark.operators import text as Tx
+from tidemark.operators.attach import attach_row
 from tidemark.plans import views as V
 from tidemark.plans.market import _impact
 from tidemark.plans.registry import query, shown
@@ -62,7 +63,7 @@ def _direction(spark, sf, kind, **params):
     train, test = candle_parts(spark, sf)
     model = M.fit_classifier(train, kind, CANDLE, "label_next_bullish", **params)
     scored = materialised(M.predict(model, test, CANDLE), "scored")
-    table = E.binary_metrics(scored, "label_next_bullish", "prediction").crossJoin(E.roc_auc(scored, "label_next_bullish", "score"))
+    table = attach_row(E.binary_metrics(scored, "label_next_bullish", "prediction"), E.roc_auc(scored, "label_next_bullish", "score"))
     return table.withColumn("model", F.lit(kind))
 
 
@@ -107,7 +108,7 @@ def walk_forward_model(spark, sf):
     _, metrics, pnl = M.walk_forward_eval(rows, "logistic", CANDLE, n_folds=3, regParam=0.001, maxIter=20)
     fold = metrics.groupBy("fold").agg(F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"))
     overall = pnl.agg(F.sum("n_trades").alias("n_trades"), F.sum("net_return_total").alias("net_return_total"))
-    return shown(fold.crossJoin(F.broadcast(overall)))
+    return shown(attach_row(fold, overall))
 
 
 @query("text_quality_forest")

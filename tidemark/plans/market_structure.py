@@ -93,11 +93,7 @@ def random_portfolios(spark, sf):
 def optimal_portfolios(spark, sf):
     """Max-Sharpe, minimum-volatility and frontier portfolios for each year's moments."""
     rows = quote_returns(spark, sf).filter(F.col("ret").isNotNull()).withColumn("basket", F.year("date"))
-    mean = rows.groupBy("basket", "series_id").agg((F.avg("ret") * 365).alias("mean_return"))
-    pairs = B.pair_panel(rows, "ret").withColumn("basket", F.year("date"))
-    upper = pairs.groupBy("basket", F.col("y_id").alias("i"), F.col("x_id").alias("j")).agg((F.covar_samp("y", "x") * 365).alias("value"))
-    diag = rows.groupBy("basket", F.col("series_id").alias("i")).agg((F.var_samp("ret") * 365).alias("value"))
-    cov = Pf._both_ways(upper, diag.select("basket", "i", F.col("i").alias("j"), "value"), ["basket"])
+    mean, cov = Pf.annualised_moments(rows, by=["basket"])
     best = Pf.optimize_portfolios(mean, cov, n_frontier=20)
     return shown(best.withColumn("n_held", F.size(F.map_filter("weights", lambda _, w: w > 1e-9))).drop("weights"))
 

@@ -24,9 +24,9 @@ book_rows AS (SELECT *, (total_bid_depth - total_ask_depth) / (total_bid_depth +
   num_orders_canceled / (num_orders_executed + 1) AS cancel_to_trade_ratio, num_orders_canceled > num_orders_executed AS truth FROM totals)"""
 
 
-def totals(spark, sf):
+def totals(spark, sf, levels=None):
     """Snapshot totals; more cancellations than executions is the truth to find."""
-    out = Bk.book_totals(V.book_levels(spark, sf), means=["price_impact"])
+    out = Bk.book_totals(V.book_levels(spark, sf) if levels is None else levels, means=["price_impact"])
     return out.withColumn("truth", F.col("num_orders_canceled") > F.col("num_orders_executed"))
 
 
@@ -62,8 +62,9 @@ def book_features(spark, sf):
 
 def scored(spark, sf):
     """Feature rows with snapshot totals and truth."""
-    feats = Bk.book_features(V.book_levels(spark, sf))
-    return feats.join(totals(spark, sf), ["series_id", TS]).fillna(0.0, subset=ALL_FEATURES)
+    levels = materialised(V.book_levels(spark, sf), "levels")
+    feats = Bk.book_features(levels)
+    return feats.join(totals(spark, sf, levels), ["series_id", TS]).fillna(0.0, subset=ALL_FEATURES)
 
 
 SCORE_SQL = f"{FEATURE_SQL}, sc AS (SELECT round(max_size_velocity_across_levels + 3.1e-9, 6) AS score, * FROM bf JOIN book_rows USING (series_id, snapshot_id))"

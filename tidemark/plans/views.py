@@ -190,15 +190,20 @@ def book_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def complete_levels(cells: DataFrame) -> DataFrame:
-    """Every snapshot gets all sides and levels; the ones without orders are 0."""
-    grid = (
-        cells.select("series_id", "snapshot_id").distinct()
-        .withColumn("side", F.explode(F.array(*[F.lit(s) for s in SIDES])))
-        .withColumn("level", F.explode(F.array(*[F.lit(v) for v in LEVELS])))
-    )
-    return grid.join(cells, ["series_id", "snapshot_id", "side", "level"], "left").fillna(
-        {"size": 0.0, "placed": 0, "canceled": 0, "executed": 0, "price_impact": 0.0}
-    )
+    """Every snapshot gets all sides and levels; the ones without orders are 0.
+
+    A snapshot has at most ten cells. They are gathered in a map and spread
+    over the full grid again, which needs no join.
+    """
+    cell = F.concat_ws("-", "side", "level")
+    facts = F.struct("size", "placed", "canceled", "executed", "price_impact")
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    empty = F.struct(none.alias("size"), zero.alias("placed"), zero.alias("canceled"), zero.alias("executed"), none.alias("price_impact"))
+    snaps = cells.groupBy("series_id", "snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct(cell, facts))).alias("_m"))
+    grid = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(v).alias("level")) for s in SIDES for v in LEVELS])
+    rows = snaps.withColumn("_c", F.explode(grid)).select("series_id", "snapshot_id", "_c.side", "_c.level", "_m")
+    found = F.coalesce(F.try_element_at("_m", cell), empty)
+    return rows.withColumn("_f", found).select("series_id", "snapshot_id", "side", "level", "_f.*")
 
 
 BOOK_SQL = f"""cells AS (
