@@ -15,6 +15,7 @@ from tidemark.functions.series import SERIES
 from tidemark.operators.evaluate import binary_measures
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.splits import assign_refit_windows, standardize
+from tidemark.session import fan_out
 
 TREES = 200
 SUBSAMPLE = 256
@@ -124,7 +125,7 @@ def fit_forest(df: DataFrame, cols: Sequence[str], keys: Sequence[str], trees: i
         nodes = grow_tree(np.stack(pdf["x"].to_numpy()), rng)
         return pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "depth_cost"]).assign(tree=int(key[0]))
 
-    grown = samples.groupBy("tree").applyInPandas(grow, f"tree int, {NODE_FIELDS}").toPandas()
+    grown = fan_out(samples, "tree").groupBy("tree").applyInPandas(grow, f"tree int, {NODE_FIELDS}").toPandas()
     forest = [
         _as_arrays(list(part.sort_values("node")[["node", "feature", "threshold", "left", "right", "depth_cost"]].itertuples(index=False, name=None)))
         for _, part in grown.groupby("tree")
@@ -196,7 +197,7 @@ def walk_forward_scores(
         score = forest_score((np.stack(chunk["x"].to_numpy()) - mean) / std, forest, size)
         return chunk[[*by, ts]].assign(streaming_score=score, streaming_model_id=int(key[-1]))
 
-    scored = rows.groupBy(*by, "model_id").applyInPandas(
+    scored = fan_out(rows, *by, "model_id").groupBy(*by, "model_id").applyInPandas(
         fit_and_score, f"{kinds}, streaming_score double, streaming_model_id long"
     )
     out = df.join(scored, [*by, ts], "left")

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.session import fan_out
+
 # Filter settings.
 DELTA = 1e-4
 BURN_IN = 60
@@ -103,5 +105,5 @@ def kalman_hedge(
         if waiting:
             yield pd.DataFrame(flush(), columns=[*keep, *OUTPUT])
 
-    rows = pairs.select(*keep).repartition(*by).sortWithinPartitions(*by, ts)
+    rows = fan_out(pairs.select(*keep), *by).sortWithinPartitions(*by, ts)
     return rows.mapInPandas(run, schema)

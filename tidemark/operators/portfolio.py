@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import ratio
 from tidemark.operators.panel import both_ways, correlation, covariance, pair_moments
+from tidemark.session import fan_out
 
 TRADING_DAYS = 365
 RISK_FREE = 0.045
@@ -153,8 +154,8 @@ def optimize_portfolios(
             F.col("_c.value").alias("sigma"), F.explode(F.array(*goal)).alias("_g"),
         )
         .select(basket, "ids", "mu", "sigma", "_g.goal", "_g.point")
-        .repartition(basket, "goal", "point")
     )
+    tasks = fan_out(tasks, basket, "goal", "point")
     kind = mean.schema[basket].dataType.simpleString()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,3 +73,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by key for costly Python work per group.
+
+    Adaptive execution merges small shuffle partitions by their bytes, which
+    would put many cheap-to-move but slow-to-process groups in one task. A given
+    number of partitions is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
