@@ -23,7 +23,8 @@ def test_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any(re.match(r"op\d", n) or "pipeline" in n for n in entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
+    assert not any(re.match(r"op\d", n) or "pipeline" in n for n in QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
