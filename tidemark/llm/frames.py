@@ -11,13 +11,14 @@ from tidemark.session import materialised
 BROADCAST_ROWS = 500_000
 
 
-def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, narrow: bool = True) -> DataFrame:
+def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, items: str | None = None) -> DataFrame:
     """Join a written side: broadcast if counted small, shuffled beyond that.
 
-    ``narrow`` says that the side's rows have a fixed size. ``side`` should be
-    read from files, so that counting it is cheap.
+    ``side`` should be read from files, so that counting it is cheap. Its rows
+    have a fixed size, but for the list column ``items``, whose items count too.
     """
-    if narrow and side.count() <= BROADCAST_ROWS:
+    each = F.lit(1) if items is None else 1 + F.size(items)
+    if (side.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_ROWS:
         side = F.broadcast(side)
     return df.join(side, on, how)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join
+from tidemark.llm import fm_index, jaccard_join, recompression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark, sf_dir):
     """Components of texts whose sets of 4-word shingles have a similarity of 0.85."""
     return jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@_query
+def op3_substring_recompression(spark, sf_dir):
+    """Words outside of 50-word windows that a lesser doc_id has as well."""
+    out = recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query
+def op6_benchmark_fm_index(spark, sf_dir):
+    """Words of each text inside 10-word windows of benchmark items, and those items."""
+    out = fm_index.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
