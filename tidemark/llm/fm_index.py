@@ -157,11 +157,12 @@ class Phrases:
 
 def merged(at: np.ndarray, end: np.ndarray, owner: np.ndarray):
     """Disjoint spans per owner: overlapping or touching spans become one."""
+    if not len(at):
+        return at, end, owner
     order = np.lexsort((end, at, owner))
     at, end, owner = at[order], end[order], owner[order]
     new = np.concatenate([[True], owner[1:] != owner[:-1]])
-    reach = np.zeros(len(at), dtype=np.int64)
-    base = np.cumsum(new) * (int(end.max()) + 1 if len(end) else 1)
+    base = np.cumsum(new) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + base) - base
     new[1:] |= at[1:] > reach[:-1]
     head = np.flatnonzero(new)
