@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fm_index, jaccard_join, recompression
+from tidemark.llm import fm_index, jaccard_join, recompression, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,10 @@ def op6_benchmark_fm_index(spark, sf_dir):
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@_query
+def op10_suffix_array_dedup(spark, sf_dir):
+    """Bytes of each text outside of 200-byte strings that start anywhere else."""
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
