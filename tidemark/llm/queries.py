@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fm_index, jaccard_join, recompression, suffix_dedup
+from tidemark.llm import fm_index, jaccard_join, recompression, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,11 @@ def op10_suffix_array_dedup(spark, sf_dir):
     """Bytes of each text outside of 200-byte strings that start anywhere else."""
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op7_toxicity_factorization(spark, sf_dir):
+    """Toxicity scores of all texts, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
