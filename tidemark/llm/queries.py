@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fm_index, jaccard_join, recompression, suffix_dedup, toxicity
+from tidemark.llm import chat, fm_index, jaccard_join, mixing, recompression, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,36 @@ def op7_toxicity_factorization(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     out = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op1_chat_formatting(spark, sf_dir):
+    """Conversations that no other one continues, rendered."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op4_mix_sources(spark, sf_dir):
+    """How many words of each document a mix of all sources takes."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op5_hilbert_sharding(spark, sf_dir):
+    """Shards and slots of all documents along a Hilbert curve."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@_query
+def op8_pstable_embeddings(spark, sf_dir):
+    """Links and components of embeddings with a cosine of at least 0.98."""
+    return vector_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@_query
+def op9_url_trees(spark, sf_dir):
+    """Verdicts on all page URLs by rules and boosted trees."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op1_chat_formatting"] = chat.ORACLE

@@ -341,7 +341,9 @@ def repeated_windows(docs: DataFrame, window: int = 200) -> DataFrame:
     schema = "anchor long, segment long, doc_id long, text_key long, at int, wins int"
     found = materialised(docs.mapInArrow(_segments(window), schema), "byte_segments")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b")).filter("n > 1")
-    shared = materialised(found.join(often.select("anchor", (F.col("a") != F.col("b")).alias("differ")), "anchor"), "shared_bytes")
+    # Written, so that the join sees two plain shuffles and can split a frequent gram.
+    often = materialised(often.select("anchor", (F.col("a") != F.col("b")).alias("differ")), "shared_grams")
+    shared = materialised(found.join(often, "anchor"), "shared_bytes")
     alike = shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "at", "wins", "differ")).alias("one"))
     alike = materialised(alike.select("anchor", "segment", "n", "one.*"), "distinct_bytes")
     whole = shared.join(alike.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "text_key", "at", "wins")
@@ -358,7 +360,7 @@ def repeated_windows(docs: DataFrame, window: int = 200) -> DataFrame:
     out = "doc_id long, text_key long, at int, wins int"
     cold = pieces.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats(window), out)
     each = materialised(pieces.filter("hot").mapInArrow(_window_hashes(window), "one long, two long, doc_id long, text_key long, at int, single boolean"), "hot_windows")
-    twice = each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
+    twice = materialised(each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two"), "repeated_windows")
     hot = each.filter("single").join(twice, ["one", "two"]).select("doc_id", "text_key", "at", F.lit(1).alias("wins"))
     spans = whole.unionByName(cold).unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "wins")).alias("spans"))
     return materialised(spans, "byte_spans")
