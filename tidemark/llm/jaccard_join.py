@@ -1,8 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Every text becomes a set of k-word shingles. Equal sets share one 64-bit set id
-and are handled once. Shingles are ordered from rare to frequent by a fixed-size
-count sketch over all texts. Two sets of similarity t share at least l shingles
+and are handled once. Shingles are ordered from rare to frequent: by what a
+fixed-size count sketch over all texts shows above its noise, and below that by
+how often their words would meet by chance. Two sets of similarity t share at least l shingles
 among the first ``n - ceil(t n) + l`` of each, for any l. Each set picks its l by
 estimated cost: a longer prefix reads more postings, but asks for more shared
 shingles before a pair is verified.
@@ -16,6 +17,7 @@ different components, so no link that could join two components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,54 +33,78 @@ SKETCH_CHUNK = 1 << 14
 MAX_MATCHES = 4
 #: Cost of verifying one pair, in postings read.
 VERIFY_COST = 40.0
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
 
 
-def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, k: int, powers: Powers, parts: np.ndarray, lower: np.ndarray):
-    """Per text: its distinct shingle hashes, ascending."""
-    shingles, first = Words(lower[data], offsets, parts, powers).shingles(k)
-    out = []
-    for i in range(len(offsets) - 1):
-        one = np.sort(shingles[first[i] : first[i + 1]])
-        if len(one) > 1:
-            one = one[np.concatenate([[True], one[1:] != one[:-1]])]
-        out.append(one)
-    return out
+class Shingles:
+    """Per text of a slice: its distinct shingle hashes, ascending."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.powers, self.parts, self.lower = k, Powers(), white_space(), lower_table()
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        return Words(self.lower[data], offsets, self.parts, self.powers)
+
+    def __call__(self, words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The sets, and where in the slice's shingles each member stands first."""
+        shingles, first = words.shingles(self.k)
+        sets, places = [], []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            one, at = np.unique(shingles[a:b], return_index=True)
+            sets.append(one)
+            places.append(at + a)
+        return sets, places
+
+    def sums(self, words: Words, each: np.ndarray) -> np.ndarray:
+        """For each shingle of the slice, the sum of whole numbers ``each`` over its words."""
+        total = np.concatenate([[0], np.cumsum(each)])
+        _, first = words.shingles(self.k)
+        text = np.repeat(np.arange(len(words.count)), np.diff(first))
+        start = words.first[text] + np.arange(len(text)) - first[text]
+        return total[np.minimum(start + self.k, words.first[text + 1])] - total[start]
 
 
 def _set_id(one: np.ndarray) -> np.uint64:
     return scramble(scramble(one ^ U64(0x2545F4914F6CDD1D)).sum(dtype=U64, keepdims=True) + U64(len(one)))[0]
 
 
+def _bucket(hashes: np.ndarray, width: int) -> np.ndarray:
+    return (hashes & U64(width - 1)).astype(np.int64)
+
+
 def _id_of_empty(rows: int, salt: int) -> np.ndarray:
     return scramble(np.arange(rows, dtype=U64) + U64(salt << 32))
 
 
 def _read_sets(k: int, bits: int):
-    """Map: texts to (doc_id, n_shingles, set_id), and each task's part of the sketch."""
+    """Map: texts to (doc_id, n_shingles, set_id), and each task's part of the sketch.
+
+    The sketch counts shingles once for each text, and in its second half words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, parts, lower = Powers(), white_space(), lower_table()
-        counts = np.zeros(1 << bits, dtype=np.int32)
-        mask = U64((1 << bits) - 1)
+        shingles = Shingles(k)
+        width = 1 << bits
+        counts = np.zeros(2 * width, dtype=np.int32)
         names = ["doc_id", "n_shingles", "set_id", "chunk", "counts"]
         salt = 0
         for rows, data, offsets in text_slices(batches):
-            sets = _sets(rows, data, offsets, k, powers, parts, lower)
+            words = shingles.words(data, offsets)
+            sets, _ = shingles(words)
             ids = _id_of_empty(len(sets), salt)
             salt += 1
             for i, one in enumerate(sets):
                 if len(one):
                     ids[i] = _set_id(one)
             if sets:
-                counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=1 << bits).astype(np.int32)
+                counts[:width] += np.bincount(_bucket(np.concatenate(sets), width), minlength=width).astype(np.int32)
+                counts[width:] += np.bincount(_bucket(words.hash, width), minlength=width).astype(np.int32)
             none = pa.nulls(len(sets))
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), sizes, signed(ids), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if counts.any():
-            cut = min(SKETCH_CHUNK, len(counts))
-            for c in range(len(counts) // cut):
-                part = counts[c * cut : (c + 1) * cut].tobytes()
+            for c in range(len(counts) // SKETCH_CHUNK):
+                part = counts[c * SKETCH_CHUNK : (c + 1) * SKETCH_CHUNK].tobytes()
                 null = pa.nulls(1, pa.int64())
                 yield pa.RecordBatch.from_arrays([null, null, null, pa.array([c], pa.int32()), pa.array([part], pa.binary())], names)
 
@@ -113,53 +139,67 @@ def prefix_choice(weights: np.ndarray, n: int, percent: int, most: int = MAX_MAT
     return chosen
 
 
-def _prefixes(k: int, percent: int, frequency: np.ndarray):
-    """Map: texts to postings (token, set_id, meta) of their longest prefix.
+def _prefixes(k: int, percent: int, sketch: np.ndarray):
+    """Map: texts to postings (token, set_id, meta, reader) of their longest prefix.
 
-    ``meta`` packs the set size, the least l whose prefix holds the token, and
-    the set's own l. A task emits a set once.
+    ``meta`` packs the set size, the token's position in the order, and the
+    set's own l. ``reader`` is the doc_id. A task emits a set once.
     """
-    mean = float(frequency.mean())
-    floor = mean + 4.0 * mean**0.5 + 1.0
+    width = len(sketch) // 2
+    mean = float(sketch[:width].mean())
+    floor = mean + 5.0 * mean**0.5 + 1.0
+    total = max(float(sketch[width:].sum()), 1.0)
+    # In 64ths and whole, so that sums do not depend on what stands before.
+    chance = np.round(64 * np.log(np.maximum(sketch[width:], 1) / total)).astype(np.int32)
+    heavy = np.where(sketch[:width] > floor, sketch[:width] - mean, 0.0).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, parts, lower = Powers(), white_space(), lower_table()
-        mask = U64(len(frequency) - 1)
+        shingles = Shingles(k)
         seen: set[int] = set()
         for rows, data, offsets in text_slices(batches):
-            tokens, owners, metas = [], [], []
-            for one in _sets(rows, data, offsets, k, powers, parts, lower):
+            words = shingles.words(data, offsets)
+            rarity = shingles.sums(words, chance[_bucket(words.hash, width)])
+            tokens, owners, metas, readers = [], [], [], []
+            for i, (one, at) in enumerate(zip(*shingles(words))):
                 n = len(one)
                 if not n or (own := int(_set_id(one))) in seen:
                     continue
                 seen.add(own)
                 need = -(-percent * n // 100)
-                each = frequency[(one & mask).astype(np.int64)]
+                often = heavy[_bucket(one, width)]
                 length = min(n, n - need + min(MAX_MATCHES, need))
-                order = np.argsort(each, kind="stable")[:length]
-                matches = prefix_choice(np.maximum(each[order] - floor, 0.0), n, percent)
-                level = np.maximum(np.arange(length) - (n - need) + 1, 1)
+                # Chance is a negative logarithm, far smaller than the factor.
+                order = np.argsort(often * 1e6 + rarity[at], kind="stable")[:length]
+                expected = often[order] + total * np.exp(rarity[at[order]] / 64)
+                matches = prefix_choice(expected, n, percent)
                 tokens.append(one[order])
                 owners.append(np.full(length, own, dtype=U64))
-                metas.append((np.int64(n) << 16) | (level.astype(np.int64) << 8) | matches)
+                metas.append((np.int64(n) << 34) | (np.arange(length) << 4) | matches)
+                readers.append(np.full(length, i))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(tokens)), signed(np.concatenate(owners)), pa.array(np.concatenate(metas))], ["token", "set_id", "meta"]
-                )
+                    [signed(np.concatenate(tokens)), signed(np.concatenate(owners)), pa.array(np.concatenate(metas)),
+                     rows.column("doc_id").take(pa.array(np.concatenate(readers)))], ["token", "set_id", "meta", "reader"],
+                )
 
     return run
 
 
 def _set_tokens(k: int):
-    """Map: texts to (set_id, tokens) for verification."""
+    """Map: texts to (set_id, tokens) for verification, each set once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, parts, lower = Powers(), white_space(), lower_table()
+        shingles = Shingles(k)
+        seen: set[int] = set()
         for rows, data, offsets in text_slices(batches):
-            sets = [s for s in _sets(rows, data, offsets, k, powers, parts, lower) if len(s)]
-            if sets:
-                ids = np.array([_set_id(s) for s in sets], dtype=U64)
-                yield pa.RecordBatch.from_arrays([signed(ids), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "tokens"])
+            ids, tokens = [], []
+            for one in shingles(shingles.words(data, offsets))[0]:
+                if len(one) and (own := int(_set_id(one))) not in seen:
+                    seen.add(own)
+                    ids.append(own)
+                    tokens.append(one.tobytes())
+            if ids:
+                yield pa.RecordBatch.from_arrays([signed(np.array(ids, dtype=U64)), pa.array(tokens, pa.binary())], ["set_id", "tokens"])
 
     return run
 
@@ -178,27 +218,38 @@ def _verify(percent: int):
                 at[at == len(y)] = 0
                 shared = int((y[at] == x).sum())
                 keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "a_comp", "b_comp"]).filter(pa.array(keep))
 
     return run
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of set ids whose sets are similar enough, checked exactly."""
-    pairs = materialised(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    readers = materialised(classes.join(wanted, "set_id").select(F.col("least").alias("doc_id")).distinct(), "readers")
-    texts = with_small(docs, readers, ["doc_id"], "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    sets = materialised(texts.mapInArrow(_set_tokens(k), "set_id long, tokens binary").dropDuplicates(["set_id"]), "sets")
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of sets that are similar enough, checked exactly.
+
+    A pair has the ids of both sets, their present components, and the doc_ids
+    of texts to read them from.
+    """
+    readers = materialised(pairs.select(F.explode(F.array("a_reader", "b_reader")).alias("doc_id")).distinct(), "readers")
+    sets = with_small(docs, readers, ["doc_id"], "left_semi").mapInArrow(_set_tokens(k), "set_id long, tokens binary")
+    sets = materialised(sets, "sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("b_tokens"))
-    return materialised(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long"), "links")
+    checked = pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long, a_comp long, b_comp long")
+    return materialised(checked, "links")
+
 
+def _fitting(percent: int, a: str, b: str) -> str:
+    """Condition on two packed metas of one token: the pair can still be similar.
 
-def _fitting(percent: int, a: str, b: str):
-    """Sizes (in packed metas) that can reach the similarity at all."""
-    x, y = F.shiftright(a, 16), F.shiftright(b, 16)
-    return percent * F.greatest(x, y) <= 100 * F.least(x, y)
+    Sets of these sizes must share ``need`` shingles, so at least l of them
+    within the first ``size - need + l`` of either set.
+    """
+    n_a, n_b = (f"shiftright({m}, 34)" for m in (a, b))
+    need = f"(({percent} * ({n_a} + {n_b}) + {99 + percent}) div {100 + percent})"
+    asked = f"greatest({a} & 15, {b} & 15)"
+    at_a, at_b = (f"(shiftright({m}, 4) & {(1 << 30) - 1})" for m in (a, b))
+    sizes = f"{percent} * greatest({n_a}, {n_b}) <= 100 * least({n_a}, {n_b})"
+    return f"{sizes} AND {at_a} < {n_a} - {need} + {asked} AND {at_b} < {n_b} - {need} + {asked}"
 
 
 def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -210,8 +261,8 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     doc_id reachable by links, itself included.
 
     Null or empty texts have no shingles and link with nothing; their
-    ``component_id`` is their own doc_id. Rows with a null doc_id are linked as
-    texts, but never name a component. Repeated rows give repeated rows. Extra
+    ``component_id`` is their own doc_id. Rows with a null doc_id link with
+    nothing and have a null component. Repeated rows give repeated rows. Extra
     columns are left out. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -219,57 +270,94 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     read = materialised(docs.mapInArrow(_read_sets(k, SKETCH_BITS), schema), "set_ids")
     owners = read.filter("chunk IS NULL").select("doc_id", "n_shingles", "set_id")
     parts = read.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
-    frequency = np.zeros(1 << SKETCH_BITS, dtype=np.float64)
-    cut = min(SKETCH_CHUNK, len(frequency))
+    sketch = np.zeros(2 << SKETCH_BITS, dtype=np.float64)
     for row in parts.mapInArrow(_add_sketches, "chunk int, counts binary").collect():  # a fixed number of chunks
-        frequency[row["chunk"] * cut : (row["chunk"] + 1) * cut] += np.frombuffer(row["counts"], dtype=np.int64)
+        sketch[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] += np.frombuffer(row["counts"], dtype=np.int64)
 
-    named = owners.filter("n_shingles > 0")
-    classes = materialised(named.groupBy("set_id").agg(F.min("doc_id").alias("least")), "classes")
+    docs = docs.filter("doc_id IS NOT NULL")
     per_token = Window.partitionBy("token")
-    postings = docs.mapInArrow(_prefixes(k, percent, frequency), "token long, set_id long, meta long")
-    shared = postings.withColumn("low", F.min("set_id").over(per_token)).withColumn("high", F.max("set_id").over(per_token)).filter("low <> high")
-    shared = materialised(shared.select("token", "set_id", "meta").distinct(), "postings")
-
-    links = None
-    groups = shared.withColumn("comp", F.col("set_id"))
+    postings = docs.mapInArrow(_prefixes(k, percent, sketch), "token long, set_id long, meta long, reader long")
+    groups = postings.withColumn("low", F.min("set_id").over(per_token)).withColumn("high", F.max("set_id").over(per_token))
+    groups = groups.withColumn("size", F.count(F.lit(1)).over(per_token)).filter("low <> high")
+    groups = groups.groupBy("token", "set_id", "meta").agg(F.min("reader").alias("reader"), F.max("size").alias("size")).withColumn("comp", F.col("set_id"))
+    groups = materialised(groups, "postings")
+    # Where the other sets of its lists gather around a set, it is the better hub.
+    centre = groups.groupBy("set_id").agg((F.sum("size") / F.shiftright(F.max("meta"), 34)).alias("rank"))
+    groups = groups.drop("size").join(centre, "set_id")
+
+    links = []
     for turn in range(HUB_ROUNDS):
         many = groups.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
         load = many.agg((F.sum(F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         if not load["pairs"] or load["pairs"] <= 4 * load["rows"]:
             break
-        hubs = groups.groupBy("token").agg(
-            F.min_by(F.struct("set_id", "meta", "comp"), F.xxhash64("set_id", F.lit(turn))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low <> high").select("token", "hub")
-        star = groups.join(hubs, "token").filter("comp <> hub.comp").withColumn("hub_meta", F.col("hub.meta")).filter(_fitting(percent, "meta", "hub_meta"))
-        star = star.select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
-        found = _linked(star, classes, docs, k, percent)
-        if found.isEmpty():
+        pairs = materialised(_star_pairs(groups, percent, turn), "star_pairs")
+        found = _linked(pairs, docs, k, percent)
+        links.append(found.select("a", "b"))
+        linked, tried = found.count(), pairs.count()
+        groups = materialised(_merged(groups, found.join(pairs.select("a", "b", "rank"), ["a", "b"]), turn), "groups")
+        if 10 * linked < tried:
             break
-        links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        groups = materialised(
-            shared.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("token", "set_id", "meta", F.coalesce("component", "set_id").alias("comp")), "groups"
-        )
 
+    links.append(_linked(materialised(_open_pairs(groups, percent), "pairs"), docs, k, percent).select("a", "b"))
+    joined = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "set_id")
+    classes = owners.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    classes = materialised(classes.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "classes")
+    several = classes.filter("component <> set_id").select("component").distinct()
+    lowest = classes.join(several, "component").groupBy("component").agg(F.min("least").alias("lowest"))
+    final = classes.join(lowest, "component", "left").select("set_id", F.coalesce("lowest", "least").alias("component_id"))
+    out = owners.join(final, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _star_pairs(groups: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each posting list's sets with one hub of the list, if of another component.
+
+    The first hub of a list is its most central set, later ones are any.
+    """
+    first = F.struct("rank", "set_id") if turn == 0 else F.struct(-F.xxhash64("set_id", F.lit(turn)).cast("double"), "set_id")
+    hub = F.max_by(F.struct("set_id", "meta", "comp", "reader", "rank"), first)
+    hubs = groups.groupBy("token").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    hubs = hubs.filter("low <> high").select("token", "hub", F.col("hub.meta").alias("hub_meta"))
+    star = groups.join(hubs, "token").filter("comp <> hub.comp").filter(_fitting(percent, "meta", "hub_meta"))
+    return star.select(
+        F.col("set_id").alias("a"), F.col("reader").alias("a_reader"), F.col("comp").alias("a_comp"),
+        F.col("hub.set_id").alias("b"), F.col("hub.reader").alias("b_reader"), F.col("hub.comp").alias("b_comp"), F.col("hub.rank").alias("rank"),
+    ).distinct()
+
+
+def _merged(groups: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Give linked components one name.
+
+    At first each set takes the name of its most central hub, and then that
+    hub's. Later a component takes the linked name that comes first by a hash.
+    Both orders are strict, so no two names can swap. What shares a name is
+    linked; what is linked need not share one yet.
+    """
+    if turn == 0:
+        moves = found.groupBy(F.col("a_comp").alias("comp")).agg(F.max_by("b_comp", F.struct("rank", "b")).alias("new"))
+        jump = moves.select(F.col("comp").alias("new"), F.col("new").alias("next"))
+        moves = moves.join(jump, "new", "left").select("comp", F.coalesce("next", "new").alias("new"))
+    else:
+        a, b = F.xxhash64("a_comp", F.lit(turn)), F.xxhash64("b_comp", F.lit(turn))
+        low, high = (F.when(a < b, F.col(x)).otherwise(F.col(y)) for x, y in (("a_comp", "b_comp"), ("b_comp", "a_comp")))
+        moves = found.select(high.alias("comp"), low.alias("new")).groupBy("comp").agg(F.min_by("new", F.xxhash64("new", F.lit(turn))).alias("new"))
+    return groups.join(moves, "comp", "left").select("token", "set_id", "meta", "reader", "rank", F.coalesce("new", "comp").alias("comp"))
+
+
+def _open_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs between components that share as many prefix shingles as they must."""
     open_tokens = groups.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    rest = groups.join(open_tokens, "token").withColumn("level", F.shiftright("meta", 8).bitwiseAND(255)).withColumn("own", F.col("meta").bitwiseAND(255))
-    x = rest.select("token", *[F.col(c).alias(f"a_{c}") for c in ("set_id", "meta", "comp", "level", "own")])
-    y = rest.select("token", *[F.col(c).alias(f"b_{c}") for c in ("set_id", "meta", "comp", "level", "own")])
-    asked = F.greatest("a_own", "b_own")
+    rest = groups.join(open_tokens, "token")
+    names = ("set_id", "meta", "comp", "reader")
+    x = rest.select("token", *[F.col(c).alias(f"a_{c}") for c in names])
+    y = rest.select("token", *[F.col(c).alias(f"b_{c}") for c in names])
+    asked = F.expr("greatest(a_meta & 15, b_meta & 15)")
     pairs = x.join(y, "token").filter("a_set_id < b_set_id AND a_comp <> b_comp").filter(_fitting(percent, "a_meta", "b_meta"))
-    pairs = pairs.filter(F.greatest("a_level", "b_level") <= asked)
-    pairs = pairs.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(F.count(F.lit(1)).alias("matches"), F.max(asked).alias("asked"))
-    found = _linked(pairs.filter("matches >= asked").select("a", "b"), classes, docs, k, percent)
-    links = found if links is None else links.unionByName(found)
-
-    joined = components(links).withColumnRenamed("node", "set_id")
-    merged = joined.join(classes.select("set_id", "least"), "set_id").select("set_id", "component", "least")
-    least = merged.groupBy("component").agg(F.min("least").alias("lowest"))
-    merged = merged.join(least, "component").select("set_id", "lowest")
-    final = classes.join(merged, "set_id", "left").select("set_id", F.coalesce("lowest", "least").alias("component_id"))
-    out = owners.join(final, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    pairs = pairs.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(
+        F.count(F.lit(1)).alias("matches"), F.max(asked).alias("asked"), *[F.min(c).alias(c) for c in ("a_comp", "b_comp", "a_reader", "b_reader")]
+    )
+    return pairs.filter("matches >= asked").drop("matches", "asked")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
