@@ -92,3 +92,44 @@ def op9_url_trees(spark, sf_dir):
 
 
 ORACLES["op1_chat_formatting"] = chat.ORACLE
+
+#: Words of a text as the contracts part them, in DuckDB.
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+ORACLES["op3_substring_recompression"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM g),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN f USING (h) WHERE first < doc_id),
+o AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+s AS (SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.p) AS kept, count(*) AS n FROM o ANTI JOIN r ON o.doc_id = r.doc_id AND o.p = r.p GROUP BY o.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
+
+ORACLES["op4_mix_sources"] = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight FROM d GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(weight) OVER () AS weights FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / (weights - coalesce(sum(weight) OVER o, 0)) AS level FROM c
+    WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT source, source_size, coalesce(least(v.level * weight, cap), cap) AS target FROM l, v),
+b AS (SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS budget FROM t),
+p AS (SELECT d.*, source_size, target, budget // greatest(source_size, 1) AS times, budget - budget // greatest(source_size, 1) * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before
+    FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (times * size + least(greatest(rest - before, 0), size))::BIGINT AS taken FROM p"""
+
+ORACLES["op6_benchmark_fm_index"] = f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+n AS (SELECT item_id, unnest(range(1, greatest(len(w) - 8, 2))) AS i, w FROM b WHERE len(w) > 0),
+q AS (SELECT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS phrase FROM n),
+z AS (SELECT DISTINCT size FROM q),
+g AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM d, z WHERE len(w) >= size),
+k AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM g),
+h AS (SELECT doc_id, k.size, i, item_id FROM k JOIN q USING (phrase)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
+e AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)"""
