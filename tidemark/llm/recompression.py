@@ -210,9 +210,10 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     schema = "anchor long, segment long, doc_id long, text_key long, at int, wins int"
     found = materialised(docs.filter("doc_id IS NOT NULL").mapInArrow(_segments(window), schema), "segments")
     spread = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("segment").alias("a"), F.max("segment").alias("b"))
-    spread = spread.filter("low < high").select("anchor", (F.col("a") != F.col("b")).alias("differ"))
+    # Written, so that the join sees two plain shuffles and can split a frequent symbol.
+    spread = materialised(spread.filter("low < high").select("anchor", (F.col("a") != F.col("b")).alias("differ")), "shared_symbols")
     shared = materialised(found.join(spread, "anchor"), "shared_segments")
-    firsts = shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"))
+    firsts = materialised(shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first")), "first_segments")
     marked = materialised(shared.join(firsts, ["anchor", "segment"]), "marked_segments")
     whole = marked.filter("first < doc_id").select("doc_id", "text_key", "at", "wins")
     left = marked.filter("first = doc_id AND differ").groupBy("doc_id", "text_key")
@@ -221,6 +222,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     texts = with_small(texts, left, ["doc_id", "text_key"], "inner", "segments").select("doc_id", "text_key", "text", "segments")
     windows = materialised(texts.mapInArrow(_windows(window), "anchor long, hash long, doc_id long, text_key long, at int"), "windows")
     earliest = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    earliest = materialised(earliest.select("anchor", "hash", "first"), "first_windows")
     single = windows.join(earliest, ["anchor", "hash"]).filter("first < doc_id").select("doc_id", "text_key", "at", F.lit(1).alias("wins"))
     spans = whole.unionByName(single).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "wins")).alias("spans"))
     return materialised(spans, "repeat_spans")
