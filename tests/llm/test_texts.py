@@ -92,9 +92,10 @@ def test_equal_passages_get_equal_symbols():
     assert symbols[0] == symbols[1] and len(symbols[0]) > 20
 
 
-@pytest.mark.parametrize("window,most", [(48, 256), (48, 1), (200, 256), (200, 1)])
-def test_byte_repeats(docs, rows, window, most, monkeypatch):
+@pytest.mark.parametrize("window,most,cuts", [(48, 256, 4), (100, 1, 2), (200, 256, 4), (200, 1, 0)])
+def test_byte_repeats(docs, rows, window, most, cuts, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORTED_SEGMENTS", most)
+    monkeypatch.setattr(suffix_dedup, "CUTS", cuts)
     out = suffix_dedup.remove_repeats(docs, window).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     same(out, bytes_kept(rows, window))
 

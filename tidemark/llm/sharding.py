@@ -70,7 +70,9 @@ def _cell(code: str, low: int | None, high: int | None) -> Column:
     if low is None:
         return F.lit((1 << BITS) - 1)
     width = high - low + 1
-    return F.coalesce(F.floor((F.col(code) - low).cast("double") * (1 << BITS) / width).cast("int"), F.lit((1 << BITS) - 1))
+    # Long codes are rounded as doubles, so the greatest could step over the last cell.
+    cell = F.least(F.floor((F.col(code) - low).cast("double") * (1 << BITS) / width).cast("int"), F.lit((1 << BITS) - 1))
+    return F.coalesce(cell, F.lit((1 << BITS) - 1))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
