@@ -14,7 +14,7 @@ def values(spark, v):
 
 
 @pytest.mark.parametrize("kind", ["spread", "ties", "edges", "two"])
-def test_bracketed_quantiles_equal_numpy(spark, kind):
+def test_quantiles_equal_numpy(spark, kind):
     rng = np.random.default_rng(0)
     v = {
         "spread": rng.lognormal(0, 3, 5000),
@@ -23,11 +23,35 @@ def test_bracketed_quantiles_equal_numpy(spark, kind):
         "two": np.array([1.0, 5.0]),
     }[kind]
     probs = [0.0, 0.005, 0.25, 0.5, 0.61, 0.98, 0.995, 1.0]
-    got = Q.exact_quantiles(values(spark, v), "v", probs, limit=20)
-    np.testing.assert_allclose(got, np.quantile(v, probs), rtol=1e-12, atol=1e-12)
     np.testing.assert_allclose(Q.exact_quantiles(values(spark, v), "v", probs), np.quantile(v, probs), rtol=1e-12, atol=1e-12)
 
 
+def test_quantiles_with_infinite_values(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 50 THEN -double('inf') WHEN id >= 2900 THEN double('inf') ELSE double(id) END AS v")
+    got = Q.exact_quantiles(df, "v", [0.0, 0.01, 0.5, 0.9, 0.99, 1.0])
+    assert got[0] == got[1] == -np.inf and got[2:4] == pytest.approx([1499.5, 2699.1]) and got[4] == got[5] == np.inf
+    odd = spark.createDataFrame([(1.0,), (2.0,), (None,), (float("nan"),)], "v double")
+    got = Q.exact_quantiles(odd, "v", [0.0, 0.5, 1.0])
+    assert got[:2] == [1.0, 2.0] and np.isnan(got[2])
+
+
+def test_scoring_keeps_every_row(spark):
+    from tidemark.operators import models as M
+
+    rows = [(float(i % 7), None if i % 10 == 0 else float(i % 3), i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    out = M.predict(M.fit_classifier(df, "logistic", ["a", "b"], "y"), df, ["a", "b"])
+    assert out.count() == 100 and out.filter("score IS NULL").count() == 10 and out.filter("b IS NULL AND prediction IS NOT NULL").isEmpty()
+
+
+def test_ridge_far_from_zero(spark):
+    t = np.arange(80.0)
+    pdf = pd.DataFrame({"k": "s", "x": 1e8 + np.sin(t), "z": np.cos(2 * t), "y": 2e8 + 3 * np.sin(t) - np.cos(2 * t)})
+    model = {r["feature"]: r for r in G.fit_ridge(spark.createDataFrame(pdf), ["x", "z"], "y", ["k"], 1e-6).collect()}
+    assert model["x"]["coefficient"] / model["x"]["std"] == pytest.approx(3, rel=1e-5) and model["z"]["coefficient"] / model["z"]["std"] == pytest.approx(-1, rel=1e-5)
+    assert model["x"]["mean"] == pytest.approx(pdf["x"].mean(), rel=1e-12) and model["(intercept)"]["coefficient"] == pytest.approx(pdf["y"].mean(), rel=1e-12)
+
+
 def test_quantiles_of_nothing(spark):
     assert Q.exact_quantiles(values(spark, [1.0]).filter("v > 2"), "v", [0.5]) == [None]
 

@@ -10,30 +10,29 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpointed
 from tidemark.operators.attach import attach_row
 
-DIRECT_LIMIT = 1_000_000
 
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], limit: int = DIRECT_LIMIT) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact linearly interpolated quantiles of one column over the whole table.
 
-    Up to ``limit`` rows the built-in ``percentile`` does it. Beyond that, a
-    mergeable sketch brackets each wanted rank, an exact count tells how many
-    values lie below the bracket, and the values inside it are narrowed until
-    they fit. Like ``approxQuantile`` it runs jobs and returns plain numbers;
-    only counts, bracket ends and the wanted values reach the driver.
+    Equal values are counted together, range partitioned and given their ranks,
+    at every size alike; only the wanted values reach the driver. Infinite
+    values are values; NaN is the greatest, as in Spark's order. Nulls do not
+    count. Like ``approxQuantile`` it runs jobs and returns plain numbers.
     """
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if n == 0:
+    ranked = ordered_totals(values, "v", {"n": F.count(F.lit(1))}, descending=False)
+    some = ranked.select("all_n").first()
+    if some is None:
         return [None for _ in probs]
-    if n <= limit:
-        return list(values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()["q"])
+    n = some["all_n"]
     ranks = sorted({r for p in probs for r in _neighbours(p, n)})
-    found = _order_statistics(values, ranks, n, limit)
+    wanted = F.explode(F.filter(F.array(*[F.lit(r) for r in ranks]), lambda r: (r < F.col("cum_n")) & (r >= F.col("cum_n") - F.col("n"))))
+    found = {row["rank"]: row["v"] for row in ranked.select("v", wanted.alias("rank")).collect()}
     out = []
     for p in probs:
-        lo, hi = _neighbours(p, n)
-        out.append(found[lo] + ((n - 1) * p - lo) * (found[hi] - found[lo]))
+        (lo, hi), at = _neighbours(p, n), (n - 1) * p
+        a, b = found[lo], found[hi]
+        out.append(a if a == b or at == lo else a + (at - lo) * (b - a))
     return out
 
 
@@ -42,76 +41,11 @@ def _neighbours(p: float, n: int) -> tuple[int, int]:
     return lo, min(lo + 1, n - 1)
 
 
-def _order_statistics(values: DataFrame, ranks: Sequence[int], n: int, limit: int) -> dict[int, float]:
-    """Values at the given 0-based ranks, narrowed by open brackets.
-
-    A bracket's end values are counted on their own, so that a value shared by
-    very many rows is either found or left outside, never carried along.
-    """
-    accuracy = 10_000
-    v = F.col("v")
-    # Per rank: open bracket (lo, hi), rows at or below lo, rows inside.
-    state = {r: (float("-inf"), float("inf"), 0, n) for r in ranks}
-    found: dict[int, float] = {}
-
-    def inside(lo: float, hi: float) -> Column:
-        return (v > lo) & (v < hi)
-
-    while len(found) < len(ranks):
-        todo = [r for r in ranks if r not in found]
-        small = [r for r in todo if state[r][3] <= limit]
-        if small:
-            picks = [
-                F.sort_array(F.collect_list(F.when(inside(*state[r][:2]), v))).getItem(r - state[r][2]).alias(f"r{r}")
-                for r in small
-            ]
-            row = values.agg(*picks).first()
-            found.update({r: row[f"r{r}"] for r in small})
-            continue
-        sketches = []
-        for r in todo:
-            lo, hi, below, size = state[r]
-            at, slack = (r - below) / size, 2.0 / accuracy
-            ends = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-            sketches.append(F.percentile_approx(F.when(inside(lo, hi), v), ends, F.lit(accuracy)).alias(f"r{r}"))
-        ends = values.agg(*sketches).first()
-        parts = []
-        for r in todo:
-            lo, hi = ends[f"r{r}"]
-            kinds = {"below": v < lo, "low": v == lo, "mid": inside(lo, hi)}
-            parts += [F.count(F.when(c, 1)).alias(f"{k}{r}") for k, c in kinds.items()]
-        counts = values.agg(*parts).first()
-        for r in todo:
-            lo, hi = ends[f"r{r}"]
-            below, low, mid = (counts[f"{k}{r}"] for k in ("below", "low", "mid"))
-            if r < below:
-                state[r] = (state[r][0], lo, state[r][2], below - state[r][2])
-            elif r < below + low:
-                found[r] = lo
-            elif r < below + low + mid:
-                state[r] = (lo, hi, below + low, mid)
-            elif lo == hi:
-                state[r] = (hi, state[r][1], below + low, state[r][2] + state[r][3] - below - low)
-            else:
-                at_hi = values.filter(v == hi).count()
-                if r < below + low + mid + at_hi:
-                    found[r] = hi
-                else:
-                    past = below + low + mid + at_hi
-                    state[r] = (hi, state[r][1], past, state[r][2] + state[r][3] - past)
-    return found
-
-
 def score_threshold(df: DataFrame, score: str, budget: float) -> float:
     """Threshold that flags the top ``budget`` share of rows."""
     return exact_quantiles(df, score, [1.0 - budget])[0]
 
 
-def clip_range(df: DataFrame, col: str, lo: float = 0.005, hi: float = 0.995) -> tuple[float, float]:
-    low, high = exact_quantiles(df, col, [lo, hi])
-    return low, high
-
-
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width counts from minimum to maximum; the last bin is closed."""
     ends = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))

@@ -133,7 +133,7 @@ def price_description(spark, sf):
 def exact_quantiles(spark, sf):
     """Axis limits and an alert threshold, narrowed by brackets as for huge tables."""
     rows = V.table(spark, sf, "lineitem")
-    low, high, cut = Q.exact_quantiles(rows, "l_extendedprice", [0.005, 0.995, 0.98], limit=1_000)
+    low, high, cut = Q.exact_quantiles(rows, "l_extendedprice", [0.005, 0.995, 0.98])
     one = rows.agg(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(cut).alias("threshold_2pct"))
     return shown(one)
 
@@ -156,7 +156,7 @@ FOREST_COLS = ["top_level_size_ratio", "max_cancel_ratio_across_levels", "max_si
 @query("isolation_forest")
 def isolation_forest(spark, sf):
     rows = materialised(scored(spark, sf).select("series_id", TS, "truth", *FOREST_COLS), "book-scores")
-    out = A.isolation_forest(rows, FOREST_COLS, ["series_id", TS], trees=100)
+    out = A.isolation_forest(rows, FOREST_COLS, ["series_id", TS])
     return shown(out.select("series_id", TS, "anomaly_score", "is_anomaly"))
 
 
@@ -164,14 +164,14 @@ def isolation_forest(spark, sf):
 def feature_ablation(spark, sf):
     rows = materialised(scored(spark, sf).select("series_id", TS, "truth", *FOREST_COLS), "book-scores")
     sets = {"top": FOREST_COLS[:1], "levels": FOREST_COLS[:3], "all": FOREST_COLS}
-    return shown(A.ablation(rows, sets, "truth", ["series_id", TS], trees=50))
+    return shown(A.ablation(rows, sets, "truth", ["series_id", TS]))
 
 
 @query("walk_forward_alerts")
 def walk_forward_alerts(spark, sf):
     """Scores from forests refit on trailing snapshots only."""
     rows = materialised(scored(spark, sf).select("series_id", TS, "truth", *FOREST_COLS), "book-scores")
-    out = A.walk_forward_scores(rows, FOREST_COLS, trees=50)
+    out = A.walk_forward_scores(rows, FOREST_COLS)
     return shown(out.select("series_id", TS, "streaming_score", "streaming_model_id"))
 
 
