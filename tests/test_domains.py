@@ -82,6 +82,19 @@ def test_pair_moments_equal_pandas_with_gaps(spark):
     assert per == pytest.approx(part["w"].corr(part["z"]))
 
 
+def test_moments_far_from_zero(spark):
+    """A level of 1e8 must not cost the digits of deviations of 0.1."""
+    t = np.arange(60)
+    m = pd.DataFrame({"x": 1e8 + 0.1 * np.sin(t), "y": 1e8 + 0.1 * np.sin(t + 0.5), "flat": 0.1}, index=pd.date_range("2024-01-01", periods=60))
+    df = spark.createDataFrame(m.rename_axis("date").reset_index().melt("date", var_name="series_id", value_name="ret")).repartition(3)
+    dev = m[["x", "y"]].to_numpy() - 1e8
+    _, cov = Pf.annualised_moments(df, periods=1)
+    got = {(r["i"], r["j"]): r["value"] for r in cov.collect()}
+    assert got[("x", "y")] == pytest.approx(np.cov(dev.T)[0, 1], rel=1e-6) and got[("x", "x")] == pytest.approx(dev[:, 0].var(ddof=1), rel=1e-6)
+    corr = {(r["i"], r["j"]): r["value"] for r in Pf.correlation_matrix(df).collect()}
+    assert corr[("x", "y")] == pytest.approx(np.corrcoef(dev.T)[0, 1], rel=1e-6) and corr.get(("flat", "x")) is None
+
+
 def returns_frame(spark, panel):
     n = len(next(iter(panel.values())))
     parts = [pd.DataFrame({"series_id": k, "date": pd.date_range("2024-01-01", periods=n), "ret": v}) for k, v in panel.items()]
@@ -94,19 +107,17 @@ def test_equal_series_correlate_fully(spark):
     assert len(got) == 21 and np.allclose(got, 1.0)
 
 
-def test_regime_features_equal_numpy(spark):
-    rng = np.random.default_rng(1)
-    m = rng.normal(0, 0.01, (60, 4))
-    got = R.regime_features(returns_frame(spark, {f"s{i}": m[:, i] for i in range(4)}), 20).toPandas().sort_values("date")
-    assert len(got) == 41
-    for t, row in zip(range(19, 60), got.itertuples()):
-        w = m[t - 19 : t + 1]
-        c = np.corrcoef(w, rowvar=False)
-        level = np.cumprod(1 + w.mean(1))
-        assert row.avg_pairwise_corr == pytest.approx(c[~np.eye(4, dtype=bool)].mean())
-        assert row.dispersion == pytest.approx(w.std(1).mean())
-        assert row.drawdown == pytest.approx((level / np.maximum.accumulate(level) - 1).min(), abs=1e-12)
-        assert row.avg_volatility == pytest.approx(w.std(0, ddof=1).mean())
+def test_regime_features_of_given_returns(spark):
+    """Two series, one twice the other: all values are worked out by hand."""
+    frame = returns_frame(spark, {"a": [0.1, -0.1, 0.2, 0.0], "b": [0.2, -0.2, 0.4, 0.0]})
+    first, second = R.regime_features(frame, 3).orderBy("date").collect()
+    # Means of the days: 0.15, -0.15, 0.3, 0; half distances between the two: 0.05, 0.05, 0.1, 0.
+    assert first["avg_pairwise_corr"] == pytest.approx(1) and second["avg_pairwise_corr"] == pytest.approx(1)
+    assert first["dispersion"] == pytest.approx(0.2 / 3) and second["dispersion"] == pytest.approx(0.05)
+    assert first["drawdown"] == pytest.approx(-0.15)
+    # Squared deviations of a: 0.14 / 3 and, a day later, 0.14 / 3 as well; b is twice a.
+    assert first["avg_volatility"] == pytest.approx(1.5 * (0.14 / 3 / 2) ** 0.5)
+    assert second["avg_volatility"] == pytest.approx(1.5 * (0.14 / 3 / 2) ** 0.5)
 
 
 def test_regime_names(spark):
@@ -116,14 +127,15 @@ def test_regime_names(spark):
 
 
 def levels_frame(spark, n=120):
-    rng = np.random.default_rng(5)
+    """A book of repeating patterns, no two snapshots in a row alike."""
     rows = []
     for t in range(n):
-        for side in ("bid", "ask"):
+        for s, side in enumerate(("bid", "ask")):
             for level in range(5):
-                placed = int(rng.integers(6, 20))
-                canceled = int(rng.integers(placed // 2, placed + 1))
-                rows.append(("s", t, side, level, float(rng.lognormal(2, 0.5)), placed, canceled, placed - canceled))
+                placed = 6 + (5 * t + 3 * level + s) % 13
+                executed = (t + level * s) % 4
+                size = 1.0 + (7 * t + 4 * level * level + 2 * s) % 17 / 2
+                rows.append(("s", t, side, level, size, placed, placed - executed, executed))
     return spark.createDataFrame(rows, "series_id string, snapshot_id long, side string, level int, size double, placed long, canceled long, executed long")
 
 

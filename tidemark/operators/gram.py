@@ -58,6 +58,19 @@ def grouped_gram(df: DataFrame, row: str, width: int, by: Sequence[str]) -> Data
     return flat.select(*by, F.col("_flat")[0].cast("long").alias("n_rows"), F.slice("_flat", 2, size).alias("gram"))
 
 
+def _from_origin(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Design rows (1, x, y) counted from each group's minima, and the minima.
+
+    Cross products of values far from zero lose the digits their deviations
+    need; from an origin near the values they keep them.
+    """
+    cols = [*features, label]
+    full = df.na.drop(subset=cols)
+    origins = full.groupBy(*by).agg(F.array(*[F.min(F.col(c).cast("double")) for c in cols]).alias("_origin"))
+    shifted = [F.col(c).cast("double") - F.col("_origin")[i] for i, c in enumerate(cols)]
+    return full.join(origins, list(by)).select(*by, *keep, F.array(F.lit(1.0), *shifted).alias("_row")), origins
+
+
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str], alpha: float = 1.0) -> DataFrame:
     """Ridge on standardised features per group, solved from one pass of cross products.
 
@@ -67,9 +80,8 @@ def fit_ridge(df: DataFrame, features: Sequence[str], label: str, by: Sequence[s
     """
     by, features = list(by), list(features)
     width = len(features) + 2
-    full = df.na.drop(subset=[*features, label])
-    design = full.select(*by, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(label).cast("double")).alias("_row"))
-    grams = grouped_gram(design, "_row", width, by)
+    design, origins = _from_origin(df, features, label, by)
+    grams = grouped_gram(design, "_row", width, by).join(origins.withColumnRenamed("_origin", "origin"), by)
     keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,6 +90,8 @@ def fit_ridge(df: DataFrame, features: Sequence[str], label: str, by: Sequence[s
             for r in pdf.itertuples(index=False):
                 key = tuple(getattr(r, b) for b in by)
                 w, mean, std, level = ridge_weights(unpack(r.gram, width), alpha)
+                origin = np.asarray(r.origin, dtype=float)
+                mean, level = mean + origin[:-1], level + origin[-1]
                 out.append((*key, "(intercept)", level, 0.0, 1.0))
                 out += [(*key, f, *vals) for f, *vals in zip(features, w.tolist(), mean.tolist(), std.tolist())]
             yield pd.DataFrame(out, columns=[*by, "feature", "coefficient", "mean", "std"])
@@ -122,10 +136,7 @@ def ridge_search(folds: DataFrame, features: Sequence[str], label: str, alphas:
     """
     by, features = list(by), list(features)
     width = len(features) + 2
-    design = folds.na.drop(subset=[*features, label]).select(
-        *by, "fold", "role",
-        F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(label).cast("double")).alias("_row"),
-    )
+    design, _ = _from_origin(folds, features, label, by, ["fold", "role"])
     grams = grouped_gram(design, "_row", width, [*by, "fold", "role"])
     sides = [grams.filter(F.col("role") == r).select(*by, "fold", F.col("gram").alias(r)) for r in ("train", "test")]
     both = sides[0].join(sides[1], [*by, "fold"])

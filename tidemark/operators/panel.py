@@ -13,16 +13,22 @@ SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def pair_moments(rows: DataFrame, value: str = "ret", by: Sequence[str] = (), ts: str = "date", series: str = "series_id") -> DataFrame:
-    """Counts, sums and products of every pair of series over their common dates.
+    """Counts, sums and products, from an origin near the values, of every pair of series over their common dates.
 
     One row per ``by`` and pair ``i < j``, plus ``i = j``. Every date is first
     gathered as one array with a value per series. A task turns a batch of
     dates into a dates-by-series matrix and reduces it to one row per pair by
     matrix products, so neither the shuffle nor the task ever holds a row per
     pair and date. Dates on which one of the two is missing do not count.
+
+    Values are taken from their series' minimum before they are multiplied, so
+    that a level far above the deviations costs no digits; covariance and
+    correlation are the same from any origin.
     """
     by = list(by)
     known = rows.filter(F.col(value).isNotNull())
+    origin = known.groupBy(series).agg(F.min(F.col(value).cast("double")).alias("_origin"))
+    known = known.join(origin, series).withColumn(value, F.col(value).cast("double") - F.col("_origin"))
     dates = known.groupBy(*by, ts).agg(F.collect_list(F.struct(F.col(series).alias("s"), F.col(value).cast("double").alias("v"))).alias("c"))
     packed = dates.select(*by, F.col("c.s").alias("ids"), F.col("c.v").alias("vals"))
     keys = "".join(f"{b} {rows.schema[b].dataType.simpleString()}, " for b in by)
