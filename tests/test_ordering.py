@@ -71,6 +71,18 @@ def test_ewm_equals_pandas(hot, adjust):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [0.5, 0.05])
+@pytest.mark.parametrize("adjust", [True, False])
+def test_smoothed_mean_over_gaps_equals_pandas(spark, adjust, alpha):
+    values = [None, None, 1.0, 2.0, None, 4.0, None, None, 6.0] + [None] * 200 + [3.0, 5.0] + [float(i % 4) for i in range(200)] + [None, None]
+    pdf = pd.DataFrame({"series_id": "s", "ts": pd.date_range("2020-01-01", periods=len(values)), "x": pd.Series(values, dtype=float)})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    got = [r["e"] for r in O.ewm_mean(df, "x", "e", alpha=alpha, adjust=adjust).orderBy("ts").collect()]
+    want = pdf["x"].ewm(alpha=alpha, adjust=adjust).mean()
+    np.testing.assert_allclose(np.array(got, dtype=float), want.to_numpy(), atol=1e-12)
+
+
+# Scores with their published positions.
 Z_CASES = [
     ([0, 0.5, 2.5, 2.2, 1.8, 0.3, 0.1], [0, 0, -1, -1, -1, 0, 0]),
     ([0, -2.5, -2.1, -0.4], [0, 1, 1, 0]),
@@ -155,3 +167,10 @@ def test_streak_and_rsi_bounds(hot):
     out = df.withColumn("r", S.log_return("price")).select("r", S.rsi_sma("r").alias("rsi"), S.streak("r").alias("k")).toPandas()
     rsi = out["rsi"].dropna()
     assert rsi.between(0, 100).all() and out["k"].dropna().between(-5, 5).all()
+
+
+def test_horizontal_mean_skips_nulls(spark):
+    from tidemark.functions.shapes import horizontal_mean
+
+    df = spark.createDataFrame([(1.0, 3.0, None), (None, None, None), (2.0, 4.0, 9.0)], "a double, b double, c double")
+    assert [r[0] for r in df.select(horizontal_mean("a", "b", "c")).collect()] == [2.0, None, 5.0]

@@ -19,17 +19,18 @@ def pair_frame(spark, parts):
 
 
 def cointegrated(n=400, seed=0):
+    """A price that swings and drifts by fixed steps, and half of it plus averaged uniform noise."""
     rng = np.random.default_rng(seed)
-    x = np.cumsum(rng.normal(0, 0.02, n)) + 4
-    noise = np.zeros(n)
-    for t in range(1, n):
-        noise[t] = 0.6 * noise[t - 1] + rng.normal(0, 0.01)
-    return 1 + 0.5 * x + noise, x
+    x = 3.5 + np.sin(np.arange(n) / 40) / 5 + 0.015 * np.cumsum(rng.choice([-1.0, 1.0], n))
+    u = rng.uniform(-0.02, 0.02, n + 2)
+    return 0.8 + 0.5 * x + (u[2:] + u[1:-1] + u[:-2]) / 3, x
 
 
 def walks(n=400, seed=1):
+    """Two unrelated prices made of signs."""
     rng = np.random.default_rng(seed)
-    return np.cumsum(rng.normal(0, 0.02, n)) + 4, np.cumsum(rng.normal(0, 0.02, n)) + 4
+    steps = 0.02 * rng.choice([-1.0, 1.0], (2, n))
+    return tuple(4.2 + steps.cumsum(axis=1))
 
 
 def brute_adf(e, constant):
@@ -105,35 +106,52 @@ def test_screening_covers_all_pairs_best_first(spark):
     assert [r["eg_pvalue"] for r in got] == sorted(r["eg_pvalue"] for r in got)
 
 
-def brute_kalman(y, x, delta=1e-4, burn=60, lam=2 / 31):
-    b, a = np.polyfit(x[:burn], y[:burn], 1)
-    r = max(float(((y[:burn] - a - b * x[:burn]) ** 2).sum() / (min(burn, len(y)) - 2)), 1e-8)
-    theta, p, q = np.zeros(2), 1e4 * np.eye(2), delta / (1 - delta) * np.eye(2)
-    out = []
-    for yt, xt in zip(y, x):
-        f = np.array([1.0, xt])
-        p = p + q
-        e = yt - f @ theta
-        s = f @ p @ f + r
-        k = p @ f / s
-        theta = theta + k * e
-        p = p - np.outer(k, f) @ p
-        out.append((*theta, e, s, e / math.sqrt(s)))
-        r = (1 - lam) * r + lam * e * e
-    return np.array(out)
-
-
-def test_kalman_equals_brute_force(spark):
-    parts = {"p1": cointegrated(300), "p2": walks(200), "short": walks(20)}
+def least_squares_view(y, x, errors, q=1e-4 / (1 - 1e-4), prior=1e4, share=2 / 31):
+    """What a filter must give, from the joint normal distribution of states and data.
+
+    States are a random walk from the prior, so the covariance of all data is
+    known in closed form; its Cholesky factor gives the one-step errors and
+    their variances, and regression on the data so far gives the states.
+    """
+    n = len(y)
+    line = np.polynomial.Polynomial.fit(x[:60], y[:60], 1)
+    noise = [max(((y[:60] - line(x[:60])) ** 2).sum() / (min(60, n) - 2), 1e-8)]
+    for e in errors[:-1]:
+        noise.append(noise[-1] + share * (e * e - noise[-1]))
+    shared = prior + q * (1 + np.minimum.outer(np.arange(n), np.arange(n)))
+    f = np.stack([np.ones(n), x])
+    cov = (f.T @ f) * shared + np.diag(noise)
+    root = np.linalg.cholesky(cov)
+    scaled = np.linalg.solve(root, y)
+    states = [(f[:, : t + 1] * shared[t, : t + 1]) @ np.linalg.solve(cov[: t + 1, : t + 1], y[: t + 1]) for t in range(n)]
+    return np.array(states), np.diag(root) * scaled, np.diag(root) ** 2
+
+
+def test_kalman_equals_joint_regression(spark):
+    parts = {"p1": cointegrated(90), "p2": walks(70), "short": walks(20)}
     got = K.kalman_hedge(pair_frame(spark, parts)).toPandas().sort_values(["pair", "date"])
     for name, (y, x) in parts.items():
-        np.testing.assert_allclose(got.loc[got["pair"] == name, list(K.OUTPUT)].to_numpy(), brute_kalman(y, x), rtol=1e-6, atol=1e-9)
+        own = got[got["pair"] == name]
+        states, errors, variances = least_squares_view(y, x, own["spread"].to_numpy())
+        np.testing.assert_allclose(own[["alpha", "beta"]].to_numpy()[3:], states[3:], rtol=1e-3, atol=1e-4)
+        np.testing.assert_allclose(own["spread"].to_numpy()[3:], errors[3:], rtol=1e-3, atol=1e-4)
+        np.testing.assert_allclose(own["innovation_variance"].to_numpy()[3:], variances[3:], rtol=1e-3)
+        np.testing.assert_allclose(own["zscore"], own["spread"] / np.sqrt(own["innovation_variance"]))
+
+
+def test_kalman_goes_on_after_a_gap(spark):
+    y, x = cointegrated(120)
+    y = y.copy()
+    y[[0, 40, 80, 81]] = np.nan
+    got = K.kalman_hedge(pair_frame(spark, {"p": (y, x)})).orderBy("date").collect()
+    missing = [i for i, r in enumerate(got) if r["beta"] is None]
+    assert missing == [0, 40, 80, 81] and all(r["zscore"] is None for r in (got[i] for i in missing))
+    assert abs(got[-1]["alpha"] + got[-1]["beta"] * x[-1] - y[-1]) < 0.1
 
 
 def test_kalman_recovers_a_constant_hedge(spark):
-    rng = np.random.default_rng(4)
-    x = np.cumsum(rng.normal(0, 0.02, 500)) + 4
-    y = 0.5 + 0.7 * x + rng.normal(0, 0.03, 500)
+    x = cointegrated(500, 4)[1]
+    y = 1.5 - 0.4 * x + np.random.default_rng(4).uniform(-0.05, 0.05, 500)
     out = K.kalman_hedge(pair_frame(spark, {"p": (y, x)})).toPandas().sort_values("date")
     assert (out["innovation_variance"] > 0).all()
     resid = y - (out["alpha"] + out["beta"] * x).to_numpy()

@@ -30,10 +30,9 @@ def cancel_ratio(canceled: Column, executed: Column) -> Column:
 
 
 def horizontal_mean(*cols: str) -> Column:
-    total = F.col(cols[0])
-    for name in cols[1:]:
-        total = total + F.col(name)
-    return total / len(cols)
+    """Mean of the values that are there, null if none is."""
+    known = F.filter(F.array(*[F.col(c).cast("double") for c in cols]), lambda v: v.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda total, v: total + v) / F.size(known))
 
 
 def clip(x: Column, lower: float | None = None, upper: float | None = None) -> Column:

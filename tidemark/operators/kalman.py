@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -24,6 +25,10 @@ OUTPUT = ("alpha", "beta", "spread", "innovation_variance", "zscore")
 def burn_in_variance(y: Sequence[float], x: Sequence[float]) -> float:
     """Residual variance (n - 2) of a straight-line fit over the burn-in rows."""
     y, x = np.asarray(y, dtype=float), np.asarray(x, dtype=float)
+    known = np.isfinite(y) & np.isfinite(x)
+    y, x = y[known], x[known]
+    if not len(y):
+        return R_FLOOR
     dx, dy = x - x.mean(), y - y.mean()
     sxx = float(dx @ dx)
     slope = float(dx @ dy) / sxx if sxx > 0 else 0.0
@@ -44,9 +49,15 @@ class FilterState:
     held_y: list[float] = field(default_factory=list)
     held_x: list[float] = field(default_factory=list)
 
-    def advance(self, y: float, x: float, q: float, r_lambda: float) -> tuple[float, ...]:
-        """Use one observation; the variance R is updated for the next one."""
+    def advance(self, y: float, x: float, q: float, r_lambda: float) -> tuple[float | None, ...]:
+        """Use one observation; the variance R is updated for the next one.
+
+        A row without both prices only lets the uncertainty grow, and gives nulls.
+        """
         p_aa, p_ab, p_bb = self.p_aa + q, self.p_ab, self.p_bb + q
+        if y is None or x is None or not (math.isfinite(y) and math.isfinite(x)):
+            self.p_aa, self.p_bb = p_aa, p_bb
+            return (None,) * len(OUTPUT)
         err = y - (self.alpha + self.beta * x)
         g_a, g_b = p_aa + p_ab * x, p_ab + p_bb * x
         var = g_a + g_b * x + self.r
@@ -101,9 +112,9 @@ def kalman_hedge(
                 else:
                     out.append((*row, *state.advance(row[-2], row[-1], q, r_lambda)))
             if out:
-                yield pd.DataFrame(out, columns=[*keep, *OUTPUT])
+                yield pd.DataFrame(out, columns=[*keep, *OUTPUT]).astype({c: float for c in OUTPUT})
         if waiting:
-            yield pd.DataFrame(flush(), columns=[*keep, *OUTPUT])
+            yield pd.DataFrame(flush(), columns=[*keep, *OUTPUT]).astype({c: float for c in OUTPUT})
 
     rows = fan_out(pairs.select(*keep), *by).sortWithinPartitions(*by, ts)
     return rows.mapInPandas(run, schema)

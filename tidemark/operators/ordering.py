@@ -195,11 +195,13 @@ def ewm_mean(
 
     The weights ``(1-a)^-j`` are kept finite by restarting ``j`` every
     ``step`` rows; ``step`` is chosen so that ``(1-a)^step`` is below double
-    precision, hence only the end of the previous step has to be carried. With
-    ``adjust=False`` nulls after the first value are not expected. For a hot
-    series call it inside ``in_blocks`` with ``lookback=ewm_memory(alpha)``.
+    precision, hence only the end of the previous step has to be carried. A null
+    repeats the mean so far and ages it by a row. For a hot series call it
+    inside ``in_blocks`` with ``lookback=ewm_memory(alpha)``.
     """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
+    if not adjust:
+        return _recursive_mean(df, col, out, a, min_periods, list(by), ts)
     keep = 1.0 - a
     step = ewm_memory(a)
     by = list(by)
@@ -210,10 +212,7 @@ def ewm_mean(
     )
     df = df.withColumn("_step", F.floor(F.col("_age") / step)).withColumn("_j", F.col("_age") % step)
     grow = F.pow(F.lit(keep), -F.col("_j"))
-    if adjust:
-        weight = F.when(x.isNotNull(), grow)
-    else:
-        weight = F.when(x.isNotNull(), F.when(F.col("_age") == 0, 1.0).otherwise(a) * grow)
+    weight = F.when(x.isNotNull(), grow)
     inside = up_to_now([*by, "_step"], ts)
     fade = F.pow(F.lit(keep), F.col("_j"))
     df = df.withColumns(
@@ -228,13 +227,40 @@ def ewm_mean(
     carried = F.pow(F.lit(keep), F.col("_j") + 1)
     num = F.col("_num") + F.coalesce(F.col("_prev._num"), F.lit(0.0)) * carried
     den = F.col("_den") + F.coalesce(F.col("_prev._den"), F.lit(0.0)) * carried
-    value = ratio(num, den) if adjust else num
+    value = F.last(F.when(x.isNotNull(), ratio(num, den)), ignorenulls=True).over(running)
     enough = (F.col("_seen") > 0) & (F.col("_seen") >= min_periods)
     return df.withColumn(out, F.when(enough, value)).drop(
         "_seen", "_age", "_step", "_j", "_num", "_den", "_prev"
     )
 
 
+def _recursive_mean(df: DataFrame, col: str, out: str, a: float, min_periods: int, by: list[str], ts: str) -> DataFrame:
+    """Mean that moves towards each value by a share of the way.
+
+    The share is ``a`` after a value in the row before. Over a gap of g rows the
+    old mean has faded to ``(1-a)^g`` against a weight of ``a`` for the value, so
+    it keeps ``(1-a)^g / ((1-a)^g + a)``. Fading is summed as a logarithm and
+    restarted whenever it has come to double precision.
+    """
+    x, running, order = F.col(col), up_to_now(by, ts), ordered(by, ts)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_row", F.row_number().over(order)).withColumn("_seen", F.count(x).over(running))
+    df = df.withColumn("_gap", F.col("_row") - F.last(F.when(x.isNotNull(), F.col("_row")), ignorenulls=True).over(past))
+    old = F.pow(F.lit(1.0 - a), F.col("_gap"))
+    held = F.when(x.isNotNull() & F.col("_gap").isNotNull(), old / (old + a))
+    df = df.withColumn("_fade", F.when(held.isNull(), 0.0).when(held == 0, 60.0).otherwise(F.least(-F.log(held), F.lit(60.0))))
+    df = df.withColumn("_move", F.when(x.isNotNull(), F.when(F.col("_seen") == 1, 1.0).otherwise(1.0 - F.exp(-F.col("_fade")))))
+    df = df.withColumn("_step", F.floor(F.sum("_fade").over(running) / 45.0))
+    inside = up_to_now([*by, "_step"], ts)
+    df = df.withColumn("_faded", F.sum("_fade").over(inside))
+    df = df.withColumn("_own", F.coalesce(F.sum(x * F.col("_move") * F.exp(F.col("_faded"))).over(inside), F.lit(0.0)) * F.exp(-F.col("_faded")))
+    ends = F.when(F.lead("_step").over(order) > F.col("_step"), F.col("_own"))
+    df = df.withColumn("_end", ends).withColumn("_prev", F.coalesce(F.last("_end", ignorenulls=True).over(past), F.lit(0.0)))
+    value = F.col("_own") + F.col("_prev") * F.exp(-F.col("_faded"))
+    enough = (F.col("_seen") > 0) & (F.col("_seen") >= min_periods)
+    return df.withColumn(out, F.when(enough, value)).drop("_row", "_seen", "_gap", "_fade", "_move", "_step", "_faded", "_own", "_end", "_prev")
+
+
 def ewm_memory(alpha: float) -> int:
     """Rows after which a value's weight is below double precision."""
     import math
