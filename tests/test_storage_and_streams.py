@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,3 +110,41 @@ def test_streams_equal_batch(spark):
     Sb.run_available(live, held, work_path(spark, "cp"))
     batch = hysteresis(scores, "zscore", 1.0, 0.4, by=("pair",), ts="date").toPandas().sort_values(order)
     assert spark.read.parquet(held).toPandas().sort_values(order)["position"].tolist() == batch["position"].tolist()
+
+
+def test_streamed_depth_takes_the_last_snapshot_only(spark):
+    from tidemark.operators.bars import depth_bars
+
+    schema = "series_id string, ts timestamp, percentage int, depth double"
+    t0 = pd.Timestamp("2024-01-01 10:00:00").to_pydatetime()
+    full = [("s", t0, p, d) for p, d in ((-5, 5.0), (-1, 10.0), (1, 12.0), (5, 6.0))]
+    part = [("s", t0 + timedelta(seconds=30), p, d) for p, d in ((-1, 7.0), (1, 9.0))]
+    later = [("s", t0 + timedelta(hours=1), p, 1.0) for p in (-5, -1, 1, 5)]
+    folder = work_path(spark, "depth")
+    spark.createDataFrame([*full, *part, *later], schema).coalesce(1).write.parquet(folder)
+    out = work_path(spark, "depth-bars")
+    stream = Sb.flat_window(Sb.stream_depth_bars(spark.readStream.schema(schema).parquet(folder)))
+    Sb.run_available(stream, out, work_path(spark, "cp"))
+    first = spark.read.parquet(out).orderBy("bin").first()
+    want = depth_bars(spark.createDataFrame([*full, *part], schema)).first()
+    assert [first[c] for c in ("near_depth_imbalance", "far_depth_imbalance", "total_depth")] == [want[c] for c in ("near_depth_imbalance", "far_depth_imbalance", "total_depth")]
+    assert first["far_depth_imbalance"] is None
+
+
+def test_streamed_scores_equal_walk_forward(spark):
+    from tidemark.operators.anomaly import walk_forward_scores
+    from tidemark.streaming.anomaly import stream_scores
+
+    rng = np.random.default_rng(6)
+    parts = [pd.DataFrame({"series_id": s, "snapshot_id": range(n), "a": rng.normal(size=n), "b": rng.normal(size=n)}) for s, n in (("x", 260), ("y", 90))]
+    pdf, schema, folder = pd.concat(parts), "series_id string, snapshot_id long, a double, b double", work_path(spark, "rows")
+    write_batches(spark, folder, [pdf[(pdf["snapshot_id"] >= lo) & (pdf["snapshot_id"] < hi)] for lo, hi in ((0, 70), (70, 130), (130, 131), (131, 260))], schema)
+    settings = {"initial": 60, "refit": 25, "rolling": 80, "trees": 10, "sample": 32}
+    sink = work_path(spark, "scores")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream_scores(stream, ["a", "b"], ["series_id"], sink, work_path(spark, "cp"), **settings)
+    order = ["series_id", "snapshot_id"]
+    got = spark.read.parquet(sink).toPandas().sort_values(order)
+    want = walk_forward_scores(spark.createDataFrame(pdf, schema), ["a", "b"], **settings).toPandas().sort_values(order)
+    assert got["model_id"].tolist() == want["streaming_model_id"].tolist()
+    np.testing.assert_allclose(got["anomaly_score"], want["streaming_score"])

@@ -15,7 +15,7 @@ from tidemark.functions.series import SERIES
 from tidemark.operators.evaluate import binary_measures
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.splits import assign_refit_windows, standardize
-from tidemark.session import fan_out
+from tidemark.session import fan_out, materialised
 
 TREES = 200
 SUBSAMPLE = 256
@@ -84,30 +84,31 @@ def forest_score(x: np.ndarray, forest: Sequence[tuple[np.ndarray, ...]], sample
 def tree_samples(df: DataFrame, cols: Sequence[str], keys: Sequence[str], trees: int, sample: int, seed: int) -> tuple[DataFrame, int]:
     """Every tree's own random rows, drawn by hashes of the row key.
 
-    A large table is first thinned to a pool of a few times ``trees * sample``
-    rows; each tree then takes the ``sample`` pool rows with the smallest hash.
-    What is exploded is bounded by the pool, whatever the table's size.
+    A row's hash places it on a line, and each tree takes the ``sample`` rows
+    that follow its own point there, going round at the end. Rows near a point
+    are found by a share of the line that holds a few times as many rows as
+    wanted; a tree that still lacks rows has its share doubled. The rule is one
+    for all sizes, and no more than that share is copied for a tree.
     """
     n = df.count()
     size = min(sample, n)
-    span = float(2**52)
-
-    def uniform(*parts) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(*parts), 12) / span
-
-    pool_rows = 4 * trees * sample
-    pool = df.select(*keys, *cols)
-    kept = n
-    if n > 2 * pool_rows:
-        pool = pool.filter(uniform(*keys, F.lit(seed)) < 2.0 * pool_rows / n)
-        kept = 2 * pool_rows
-    share = min(1.0, (2.0 * size + 64.0) / max(kept, 1))
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_u", uniform(*keys, "tree", F.lit(seed + 1))
-    )
-    ranked = draws.filter(F.col("_u") < share).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_u", *keys))
-    )
+    place = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 12) / float(2**52)
+    points = np.random.default_rng(seed).random(trees)
+    rows = df.select(*keys, *cols).withColumn("_at", place)
+    share = min(1.0, (2.0 * size + 64.0) / max(n, 1))
+    while True:
+        # A row belongs to the trees whose point lies at most ``share`` before it.
+        behind = F.filter(
+            F.transform(F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(float(p)).alias("p")) for t, p in enumerate(points)]),
+                        lambda t: F.struct(t["tree"].alias("tree"), F.pmod(F.col("_at") - t["p"], F.lit(1.0)).alias("u"))),
+            lambda t: t["u"] <= share,
+        )
+        draws = rows.withColumn("_draw", F.explode(behind)).withColumn("tree", F.col("_draw.tree"))
+        least = draws.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.count(F.lit(1))).first()
+        if share >= 1.0 or (least[1] == trees and least[0] >= size):
+            break
+        share = min(1.0, 2.0 * share)
+    ranked = draws.withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_draw.u", *keys)))
     return ranked.filter(F.col("_rank") <= size).select("tree", F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), size
 
 
@@ -162,6 +163,8 @@ def isolation_forest(
     scored = score_with_forest(scaled, names, forest, size)
     if by_scaled:
         scored = scored.drop(*names)
+    # Stored, so that finding the threshold does not score every row again.
+    scored = materialised(scored, "forest-scores")
     if contamination is None:
         return scored
     cut = exact_quantiles(scored, "anomaly_score", [1.0 - contamination])[0]
@@ -179,8 +182,21 @@ def walk_forward_scores(
     """
     by = list(by)
     placed = assign_refit_windows(df, initial, refit, rolling, by, ts)
+    scored = refit_scores(placed, cols, trees, sample, seed, by, ts)
+    names = {"anomaly_score": "streaming_score", "model_id": "streaming_model_id"}
+    out = df.join(scored.drop("alert").withColumnsRenamed(names), [*by, ts], "left")
+    return out.withColumn("streaming_model_id", F.coalesce("streaming_model_id", F.lit(-1)))
+
+
+def refit_scores(
+    placed: DataFrame, cols: Sequence[str], trees: int, sample: int, seed: int, by: Sequence[str], ts: str, budget: float = CONTAMINATION,
+) -> DataFrame:
+    """Scores of the rows with role ``score`` by the forest of their model's training rows.
+
+    ``alert`` marks scores that reach the budget's quantile among the training rows.
+    """
     rows = placed.select(*by, ts, "model_id", "role", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, ts])
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in [*by, ts])
 
     def fit_and_score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts)
@@ -195,13 +211,12 @@ def walk_forward_scores(
             rng = np.random.default_rng([seed, t])
             forest.append(_as_arrays(grow_tree(train[rng.choice(len(train), size, replace=False)], rng)))
         score = forest_score((np.stack(chunk["x"].to_numpy()) - mean) / std, forest, size)
-        return chunk[[*by, ts]].assign(streaming_score=score, streaming_model_id=int(key[-1]))
+        cut = np.quantile(forest_score(train, forest, size), 1.0 - budget)
+        return chunk[[*by, ts]].assign(anomaly_score=score, alert=score >= cut, model_id=int(key[-1]))
 
-    scored = fan_out(rows, *by, "model_id").groupBy(*by, "model_id").applyInPandas(
-        fit_and_score, f"{kinds}, streaming_score double, streaming_model_id long"
+    return fan_out(rows, *by, "model_id").groupBy(*by, "model_id").applyInPandas(
+        fit_and_score, f"{kinds}, anomaly_score double, alert boolean, model_id long"
     )
-    out = df.join(scored, [*by, ts], "left")
-    return out.withColumn("streaming_model_id", F.coalesce("streaming_model_id", F.lit(-1)))
 
 
 def pca_reconstruction_score(df: DataFrame, cols: Sequence[str], k: int = 3, out: str = "reconstruction_error") -> DataFrame:

@@ -72,7 +72,6 @@ def assign_folds(
     )
 
 
-walk_forward_splits = assign_folds
 
 
 def expanding_folds(df: DataFrame, n_splits: int = 4, by: Sequence[str] = SERIES, ts: str = "ts", slots: bool = True) -> DataFrame:
@@ -99,7 +98,11 @@ def assign_refit_windows(
     and scores the ``refit`` rows from there. The models of a row follow from
     its index, so rows are copied at most ``rolling / refit + 1`` times.
     """
-    numbered = row_index(df, by, ts, name="row_idx", total="_len", slots=slots)
+    return refit_roles(row_index(df, by, ts, name="row_idx", total="_len", slots=slots), initial, refit, rolling).drop("_len")
+
+
+def refit_roles(numbered: DataFrame, initial: int, refit: int, rolling: int) -> DataFrame:
+    """Models and roles of rows that know their index and their series' length."""
     i = F.col("row_idx")
     first = F.greatest(F.lit(0), F.floor((i - initial) / refit))
     last_model = F.floor((F.col("_len") - initial - 1) / refit)
@@ -108,7 +111,7 @@ def assign_refit_windows(
     spread = numbered.withColumn("model_id", F.explode(models))
     end = initial + F.col("model_id") * refit
     role = F.when((i < end) & (i >= end - rolling), "train").when((i >= end) & (i < end + refit), "score")
-    return spread.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_len")
+    return spread.withColumn("role", role).filter(F.col("role").isNotNull())
 
 
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test: float = 0.25, seed: int = 42, out: str = "split") -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.plans.pairs import KALMAN_SQL, region_pairs
 from tidemark.plans.registry import big, day, num, nums, query, shown
 from tidemark.plans.series import BAND_SQL
 from tidemark.plans.surveillance import FOREST_COLS, TS, scored
-from tidemark.session import work_path
+from tidemark.session import materialised, work_path
 from tidemark.streaming import bars as Sb
 from tidemark.streaming.anomaly import stream_scores
 from tidemark.streaming.pairs import stream_kalman, stream_positions
@@ -80,12 +80,23 @@ def streamed_unique_ticks(spark, sf):
     return shown(kept.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").cast("long").alias("quantity")))
 
 
+def in_time_order(spark, rows, ts, files, name):
+    """Rows as a stream of files in time order, written by parallel tasks.
+
+    Ranges are cut in parallel. Files are read in the order of their
+    modification time, so each range is then written alone, as one file.
+    """
+    path = work_path(spark, name)
+    ranged = materialised(rows.repartitionByRange(files, ts).withColumn("_part", F.spark_partition_id()), name)
+    for part in range(files):
+        ranged.filter(F.col("_part") == part).drop("_part").coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def pair_stream(spark, sf):
-    """Region pairs, derived once, as a stream over several files in time order."""
-    path = work_path(spark, "pair-files")
+    """Region pairs as a stream: a file for each time range, one file for each trigger."""
     rows = region_pairs(spark, sf).select("pair", "date", "y", "x")
-    rows.repartitionByRange(1, "date").sortWithinPartitions("date").write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    return in_time_order(spark, rows, "date", 4, "pair-files")
 
 
 @query("streamed_kalman", f"""WITH RECURSIVE {KALMAN_SQL}
@@ -110,9 +121,8 @@ def streamed_positions(spark, sf):
 @query("streamed_alerts")
 def streamed_alerts(spark, sf):
     """Snapshots scored as they arrive by forests refit on stored rows."""
-    source, sink = work_path(spark, "snapshots"), work_path(spark, "alerts")
+    sink = work_path(spark, "alerts")
     rows = scored(spark, sf).select("series_id", TS, *FOREST_COLS)
-    rows.repartitionByRange(4, TS).sortWithinPartitions(TS).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream_scores(stream, FOREST_COLS, ["series_id"], sink, work_path(spark, "alerts-checkpoint"), trees=30, rolling=4_000)
+    stream = in_time_order(spark, rows, TS, 4, "snapshots")
+    stream_scores(stream, FOREST_COLS, ["series_id"], sink, work_path(spark, "alerts-checkpoint"))
     return shown(spark.read.parquet(sink).select("series_id", TS, "anomaly_score", "alert", "model_id"))

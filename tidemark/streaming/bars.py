@@ -29,15 +29,15 @@ def stream_depth_bars(
     stream: DataFrame, near: int = 1, far: int = 5, every: str = "1 minute", watermark: str = "10 minutes",
     by: Sequence[str] = SERIES, ts: str = "ts",
 ) -> DataFrame:
-    """Last depth of every price distance per window; snapshots carry all distances."""
+    """The last snapshot of every window; a distance it does not hold is null."""
     timed = with_event_time(stream, watermark, ts)
 
-    def last(pct: int) -> Column:
-        return F.max_by("depth", F.when(F.col("percentage") == pct, F.col(ts)))
+    def newest(pct: int) -> Column:
+        return F.max(F.when(F.col("percentage") == pct, F.struct(F.col(ts).alias("at"), "depth")))
 
-    wide = timed.groupBy(*by, F.window(ts, every)).agg(
-        last(-near).alias("bn"), last(near).alias("an"), last(-far).alias("bf"), last(far).alias("af")
-    )
+    names = {"bn": -near, "an": near, "bf": -far, "af": far}
+    wide = timed.groupBy(*by, F.window(ts, every)).agg(F.max(ts).alias("last"), *[newest(pct).alias(n) for n, pct in names.items()])
+    wide = wide.withColumns({n: F.when(F.col(f"{n}.at") == F.col("last"), F.col(f"{n}.depth")) for n in names})
     return wide.select(
         *by, "window",
         imbalance(F.col("bn"), F.col("an")).alias("near_depth_imbalance"),
