@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.backtest import classification_pnl
@@ -19,7 +19,22 @@ from tidemark.operators.splits import assign_folds, expanding_folds, standardize
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
+    """Feature vectors for fitting, of the rows that have every feature."""
+    return VectorAssembler(inputCols=list(features), outputCol=out).transform(df.filter(complete(features)))
+
+
+def complete(features: Sequence[str]) -> Column:
+    """Whether all features are there and are numbers."""
+    return reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features])
+
+
+def transform_all(model: Model, df: DataFrame, features: Sequence[str], finish: Callable[[DataFrame], DataFrame], out: str = "features") -> DataFrame:
+    """Apply a fitted model to every row; one with a missing feature gets nulls.
+
+    ``finish`` turns the model's vectors into plain columns.
+    """
+    done = finish(model.transform(assemble(df, features, out)))
+    return done.unionByName(df.filter(~complete(features)), allowMissingColumns=True)
 
 
 def classifier(kind: str, label: str, n_rows: int | None = None, n_features: int | None = None, n_classes: int = 2, **params):
@@ -32,7 +47,7 @@ def classifier(kind: str, label: str, n_rows: int | None = None, n_features: int
         reg = params.pop("regParam", 1.0 / n_rows if n_rows else 0.0)
         return C.LogisticRegression(regParam=reg, standardization=False, maxIter=params.pop("maxIter", 100), **common, **params)
     if kind == "boosted_trees":
-        defaults = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
+        defaults = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
         return C.GBTClassifier(**common, **{**defaults, **params})
     if kind == "random_forest":
         return C.RandomForestClassifier(**common, **{"numTrees": 300, "seed": 42, **params})
@@ -48,7 +63,7 @@ def regressor(kind: str, label: str, **params):
 
     common = {"featuresCol": "features", "labelCol": label}
     if kind == "boosted_trees":
-        defaults = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
+        defaults = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
         return R.GBTRegressor(**common, **{**defaults, **params})
     if kind == "linear":
         return R.LinearRegression(**common, **params)
@@ -69,10 +84,13 @@ def fit_regressor(df: DataFrame, kind: str, features: Sequence[str], label: str,
 
 def predict(model: Model, df: DataFrame, features: Sequence[str], score: str = "score") -> DataFrame:
     """Predictions, and for classifiers the probability of class 1 as ``score``."""
-    out = model.transform(assemble(df, features))
-    if "probability" in out.columns:
-        out = out.withColumn(score, vector_to_array("probability")[1])
-    return out.drop("features", "rawPrediction", "probability")
+
+    def finish(out: DataFrame) -> DataFrame:
+        if "probability" in out.columns:
+            out = out.withColumn(score, vector_to_array("probability")[1])
+        return out.drop("features", "rawPrediction", "probability")
+
+    return transform_all(model, df, features, finish)
 
 
 def feature_importance(model: Model, features: Sequence[str], spark) -> DataFrame:
@@ -154,35 +172,43 @@ def walk_forward_eval(
     return pooled, metrics, classification_pnl(pooled, "prediction", fwd, by=by, ts=ts)
 
 
-def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 7), seed: int = 42):
-    """KMeans for every k with its silhouette; returns (best model, best k, table).
+def _best_start(rows: DataFrame, make: Callable[[int], object], seeds: Sequence[int]):
+    """The fitted model with the best silhouette over several starts, and that silhouette."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    best = None
+    for seed in seeds:
+        model = make(seed).fit(rows)
+        assigned = model.transform(rows)
+        clusters = assigned.agg(F.count_distinct("prediction")).first()[0]
+        score = ClusteringEvaluator().evaluate(assigned) if clusters > 1 else -1.0
+        if best is None or score > best[1]:
+            best = (model, score)
+    return best
+
+
+def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 7), seed: int = 42, starts: int = 10):
+    """KMeans for every k, the best of several starts; returns (best model, best k, table).
 
     Spark's silhouette uses squared Euclidean distance, so its values differ
     from those of the plain distance; the ranking is what is used.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
 
     rows = assemble(df, cols).persist()
-    judge = ClusteringEvaluator()
-    fitted = {k: KMeans(k=k, seed=seed, maxIter=50, initSteps=5).fit(rows) for k in ks}
-    scores = {k: judge.evaluate(m.transform(rows)) for k, m in fitted.items()}
+    fitted = {k: _best_start(rows, lambda s, k=k: KMeans(k=k, seed=s, maxIter=50), range(seed, seed + starts)) for k in ks}
     rows.unpersist()
-    best = max(scores, key=scores.get)
-    table = df.sparkSession.createDataFrame([(k, float(s)) for k, s in scores.items()], "k int, silhouette double")
-    return fitted[best], best, table
+    best = max(fitted, key=lambda k: fitted[k][1])
+    table = df.sparkSession.createDataFrame([(k, float(score)) for k, (_, score) in fitted.items()], "k int, silhouette double")
+    return fitted[best][0], best, table
 
 
-def fit_gmm(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42) -> tuple[Model, float]:
-    """Gaussian mixture and the silhouette of its assignment."""
+def fit_gmm(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, starts: int = 5) -> tuple[Model, float]:
+    """Gaussian mixture, the best of several starts, and the silhouette of its assignment."""
     from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.evaluation import ClusteringEvaluator
 
     rows = assemble(df, cols).persist()
-    model = GaussianMixture(k=k, seed=seed).fit(rows)
-    assigned = model.transform(rows)
-    clusters = assigned.agg(F.count_distinct("prediction")).first()[0]
-    score = ClusteringEvaluator().evaluate(assigned) if clusters > 1 else -1.0
+    model, score = _best_start(rows, lambda s: GaussianMixture(k=k, seed=s), range(seed, seed + starts))
     rows.unpersist()
     return model, score
 
@@ -195,8 +221,8 @@ def detect_regimes(features: DataFrame, cols: Sequence[str], ks: Sequence[int] =
     best = table.agg(F.max("silhouette")).first()[0]
     mixture, mixture_score = fit_gmm(scaled, names, k, seed)
     model, name = (mixture, "GMM") if mixture_score > best else (kmeans, "KMeans")
-    assigned = model.transform(assemble(scaled, names)).withColumn("cluster", F.col("prediction"))
-    return assigned.drop("features", "probability", "prediction", *names), name
+    assigned = transform_all(model, scaled, names, lambda d: d.drop("features", "probability")).withColumn("cluster", F.col("prediction"))
+    return assigned.drop("prediction", *names), name
 
 
 def pca_2d(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, list[float]]:
@@ -208,7 +234,8 @@ def pca_2d(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> tuple[Dat
     rows = assemble(scaled, names, "_x")
     model = PCA(k=2, inputCol="_x", outputCol="_z").fit(rows)
     z = vector_to_array("_z")
-    return model.transform(rows).select(*keys, z[0].alias("pc1"), z[1].alias("pc2")), model.explainedVariance.toArray().tolist()
+    placed = transform_all(model, scaled, names, lambda d: d.withColumns({"pc1": z[0], "pc2": z[1]}).drop("_x", "_z"), "_x")
+    return placed.select(*keys, "pc1", "pc2"), model.explainedVariance.toArray().tolist()
 
 
 __all__ = [

@@ -100,6 +100,8 @@ def _long_only(cov: np.ndarray, a: np.ndarray, start: np.ndarray, rounds: int =
             free[hit] = False
         else:
             w[idx] += step
+    else:  # not at the optimum: no answer is better than a wrong one
+        return np.full(len(w), np.nan)
     return np.maximum(w, 0.0)
 
 

@@ -74,38 +74,38 @@ def direction_logistic(spark, sf):
 
 @query("direction_boosted_trees")
 def direction_boosted_trees(spark, sf):
-    return shown(_direction(spark, sf, "boosted_trees", maxIter=10))
+    return shown(_direction(spark, sf, "boosted_trees"))
 
 
 @query("direction_dense_net")
 def direction_dense_net(spark, sf):
-    return shown(_direction(spark, sf, "dense_net", maxIter=40))
+    return shown(_direction(spark, sf, "dense_net", maxIter=200))
 
 
 @query("boosted_impact_horizons")
 def boosted_impact_horizons(spark, sf):
     """Boosted trees for 1, 5 and 15 bars ahead."""
     rows = materialised(splits.chronological_split(_impact(spark, sf), (0.8, 0.2), ("train", "test"), ts="bin", slots=False), "impact")
-    return shown(M.multi_horizon_eval(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "boosted_trees", IMPACT, maxIter=5))
+    return shown(M.multi_horizon_eval(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "boosted_trees", IMPACT))
 
 
 @query("huber_impact_horizons")
 def huber_impact_horizons(spark, sf):
     rows = materialised(splits.chronological_split(_impact(spark, sf), (0.8, 0.2), ("train", "test"), ts="bin", slots=False), "impact")
-    return shown(M.multi_horizon_eval(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "huber", IMPACT, maxIter=20))
+    return shown(M.multi_horizon_eval(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "huber", IMPACT))
 
 
 @query("impact_feature_importance")
 def impact_feature_importance(spark, sf):
     rows = impact_rows(spark, sf)
-    return shown(M.feature_importance(M.fit_regressor(rows, "boosted_trees", IMPACT, "future_return_1", maxIter=5), IMPACT, spark))
+    return shown(M.feature_importance(M.fit_regressor(rows, "boosted_trees", IMPACT, "future_return_1"), IMPACT, spark))
 
 
 @query("walk_forward_model")
 def walk_forward_model(spark, sf):
     """Three-class walk-forward evaluation and the pooled trading result."""
     rows = materialised(X.deadzone_label(X.ohlcv_features(V.ohlcv(spark, sf))), "labelled")
-    _, metrics, pnl = M.walk_forward_eval(rows, "logistic", CANDLE, n_folds=3, regParam=0.001, maxIter=20)
+    _, metrics, pnl = M.walk_forward_eval(rows, "logistic", CANDLE, n_folds=5, regParam=0.001)
     fold = metrics.groupBy("fold").agg(F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"))
     overall = pnl.agg(F.sum("n_trades").alias("n_trades"), F.sum("net_return_total").alias("net_return_total"))
     return shown(attach_row(fold, overall))
@@ -120,7 +120,7 @@ def text_quality_forest(spark, sf):
     vocab = Tx.vocabulary(train, "headline", ["doc_id"])
     vectors = Tx.as_vectors(Tx.tfidf(parts, "headline", fit_on=train), vocab, ["doc_id"])
     rows = materialised(parts.join(vectors, "doc_id").select("doc_id", "split", F.col("quality").cast("double").alias("quality"), "features"), "vectors")
-    model = M.classifier("random_forest", "quality", numTrees=50).fit(rows.filter("split = 'train'"))
+    model = M.classifier("random_forest", "quality").fit(rows.filter("split = 'train'"))
     scored = model.transform(rows.filter("split = 'test'"))
     return shown(E.multiclass_metrics(scored.withColumn("guess", F.col("prediction").cast("int")), "quality", "guess", [0, 1]))
 
@@ -129,6 +129,6 @@ def text_quality_forest(spark, sf):
 def parameter_search(spark, sf):
     """Random search over linear models on time-ordered folds of all series."""
     rows = impact_rows(spark, sf)
-    space = {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]}
-    _, table = M.time_series_cv(rows, lambda s: M.regressor("linear", "future_return_1", maxIter=10, **s), space, IMPACT, "future_return_1", n_iter=4, n_splits=3, ts="bin")
+    space = {"regParam": [0.0, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0], "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0]}
+    _, table = M.time_series_cv(rows, lambda s: M.regressor("linear", "future_return_1", **s), space, IMPACT, "future_return_1", n_iter=20, n_splits=4, ts="bin")
     return shown(table)

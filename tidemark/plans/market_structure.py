@@ -11,6 +11,7 @@ from tidemark.operators import portfolio as Pf
 from tidemark.operators import regimes as R
 from tidemark.operators.evaluate import adjusted_rand
 from tidemark.operators.ordering import runs
+from tidemark.operators.splits import standardize
 from tidemark.plans import views as V
 from tidemark.plans.market import roll
 from tidemark.plans.registry import big, day, num, nums, query, shown
@@ -28,12 +29,13 @@ def quote_returns(spark, sf):
 
 @query("panel_alignment", f"""WITH {V.REGION_PANEL_SQL}, n AS (SELECT count(DISTINCT series_id) AS n FROM panel),
 d AS (SELECT date FROM panel GROUP BY date HAVING count(*) = (SELECT n FROM n))
-SELECT {day('date', 'date')}, {', '.join(f'''max(CASE WHEN series_id = '{r}' THEN {num('price').split(' AS ')[0]} END) AS "{r.lower()}"''' for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))}
+SELECT {day('date', 'date')}, {', '.join(f'''max(CASE WHEN series_id = '{r}' THEN {num('price').split(' AS ')[0]} END) AS "{r.lower()}"''' for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))}
 FROM panel JOIN d USING (date) GROUP BY date""")
 def panel_alignment(spark, sf):
     """Wide panel of the days on which every region traded."""
-    aligned = B.align_panel(V.region_panel(spark, sf), "inner")
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
+    panel = V.region_panel(spark, sf)
+    aligned = B.align_panel(panel, "inner")
+    names = sorted(r["series_id"] for r in panel.select("series_id").distinct().collect())  # one row for each region
     wide = B.to_wide(aligned, names)
     return shown(wide.select("date", *[F.col(n).alias(n.lower()) for n in names]))
 
@@ -84,9 +86,9 @@ def portfolio_performance(spark, sf):
 
 @query("random_portfolios")
 def random_portfolios(spark, sf):
-    """2,000 random long-only portfolios of the brands."""
+    """5,000 random long-only portfolios of the brands."""
     mean, cov = Pf.annualised_moments(quote_returns(spark, sf))
-    return shown(Pf.random_portfolios(mean, materialised(cov, "cov"), n=2_000))
+    return shown(Pf.random_portfolios(mean, materialised(cov, "cov")))
 
 
 @query("optimal_portfolios")
@@ -94,7 +96,7 @@ def optimal_portfolios(spark, sf):
     """Max-Sharpe, minimum-volatility and frontier portfolios for each year's moments."""
     rows = quote_returns(spark, sf).filter(F.col("ret").isNotNull()).withColumn("basket", F.year("date"))
     mean, cov = Pf.annualised_moments(rows, by=["basket"])
-    best = Pf.optimize_portfolios(mean, cov, n_frontier=20)
+    best = Pf.optimize_portfolios(mean, cov)
     return shown(best.withColumn("n_held", F.size(F.map_filter("weights", lambda _, w: w > 1e-9))).drop("weights"))
 
 
@@ -188,12 +190,21 @@ def index_level(spark, sf):
 def detected_regimes(spark, sf):
     """Clusters of market days: KMeans or mixture by silhouette, with labels and shares."""
     feats = materialised(R.regime_features(region_returns(spark, sf), 20).na.drop(), "regime-features")
-    assigned, model = M.detect_regimes(feats, R.REGIME_FEATURES, range(2, 5))
+    assigned, model = M.detect_regimes(feats, R.REGIME_FEATURES)
     centroids = assigned.groupBy("cluster").agg(F.avg("avg_return").alias("avg_return"), F.avg("avg_volatility").alias("avg_volatility"))
     out = R.attach_labels(R.regime_summary(assigned), R.label_regimes(centroids))
     return shown(out.withColumn("model", F.lit(model)))
 
 
+@query("regime_silhouettes")
+def regime_silhouettes(spark, sf):
+    """Silhouette of KMeans for each number of clusters, the best of ten starts."""
+    feats = materialised(R.regime_features(region_returns(spark, sf), 20).na.drop(), "regime-features")
+    names = list(R.REGIME_FEATURES)
+    (scaled,) = standardize(feats, cols=names)
+    return shown(M.select_k(scaled, names)[2])
+
+
 @query("regime_components")
 def regime_components(spark, sf):
     """Market days on their first two principal components."""

@@ -26,16 +26,16 @@ def tfidf(spark, sf):
 
 
 LEXICON_SQL = """lex AS (SELECT term AS word, CASE WHEN avg(quality) >= (SELECT avg(quality) FROM texts) THEN 1.0 ELSE -1.0 END AS weight
-  FROM (SELECT DISTINCT doc_id, term FROM tf) JOIN texts USING (doc_id) WHERE quality IS NOT NULL AND term NOT LIKE '% %' GROUP BY term)"""
+  FROM (SELECT DISTINCT doc_id, term FROM uni) JOIN texts USING (doc_id) WHERE quality IS NOT NULL GROUP BY term)"""
 
 
 def quality_lexicon(spark, sf):
-    """Frequent words, signed by the mean quality of the labelled texts that use them."""
+    """All words of labelled texts, signed by the mean quality of the texts that use them."""
     docs = V.texts(spark, sf)
     labelled = docs.filter(F.col("quality").isNotNull())
     overall = labelled.agg(F.avg("quality")).first()[0]
-    used = X.tfidf(docs, "headline").select("doc_id", "term").filter(~F.col("term").contains(" "))
-    rows = used.join(labelled.select("doc_id", "quality"), "doc_id").groupBy(F.col("term").alias("word"))
+    words = labelled.select("quality", F.explode(F.array_distinct(X.tokens(F.col("headline")))).alias("word"))
+    rows = words.groupBy("word")
     return rows.agg(F.when(F.avg("quality") >= overall, 1.0).otherwise(-1.0).alias("weight"))
 
 
@@ -99,12 +99,15 @@ def model_scored_texts(spark, sf):
 
     def load_model():
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         def predict(texts):
-            shares = [(sum(ch.isalpha() for ch in t), sum(ch.isdigit() for ch in t), len(t) + 1) for t in texts]
-            letters = np.array([a / n for a, _, n in shares])
-            digits = np.array([d / n for _, d, n in shares])
-            return np.stack([digits, 1.0 - letters - digits, letters], axis=1).astype(np.float64)
+            column = pa.array(texts, pa.string())
+            size = pc.add(pc.utf8_length(column), 1).to_numpy()
+            letters = pc.count_substring_regex(column, r"\p{L}").to_numpy() / size
+            digits = pc.count_substring_regex(column, r"\p{Nd}").to_numpy() / size
+            return np.stack([digits, 1.0 - letters - digits, letters], axis=1)
 
         return predict
 

@@ -80,8 +80,6 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
 
     Adaptive execution merges small shuffle partitions by their bytes, which
     would put many cheap-to-move but slow-to-process groups in one task. A given
-    number of partitions is left alone: the session's, at most four per core.
+    number of partitions is left alone: the session's.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(partitions, 4 * spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

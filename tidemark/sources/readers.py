@@ -28,21 +28,13 @@ def epoch_time(t: Column) -> Column:
 
 
 def _csv(spark: SparkSession, path: str | Sequence[str], schema: str, header: bool, pattern: str | None = None) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+    # A line that does not fit the schema fails the read; nulls in its place would go unseen.
+    reader = spark.read.schema(schema).option("header", header).option("mode", "FAILFAST")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give costly per-row work all cores when a scan has fewer splits than that.
-
-    For plain scans only: a large table has enough splits and stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_ohlcv(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Candles with a header row, or Parquet with the same columns."""
     if fmt == "parquet":
@@ -80,7 +72,7 @@ def read_agg_trades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.schema(HEADLINES).option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.schema(HEADLINES).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST")
     return reader.csv(path)
 
 
