@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
@@ -121,7 +121,7 @@ def risk_metrics(bt: DataFrame, by: Sequence[str] = SERIES, **kw) -> DataFrame:
 
 
 def compare_strategies(signals: DataFrame, series: Sequence[str] = SERIES, ts: str = "date", **costs: float) -> DataFrame:
-    """Gross and net results of every strategy on the same rows and costs, ranked by net Sharpe.
+    """Gross and net results of every strategy on the same rows and costs, ranked by net Sharpe within a series.
 
     ``signals`` is long: one row per strategy and bar. All strategies and series
     go through one backtest; nothing loops over them.
@@ -142,7 +142,9 @@ def compare_strategies(signals: DataFrame, series: Sequence[str] = SERIES, ts: s
         gross["trades_taken"].alias("trades_taken"),
         friction_measures()["total_friction_drag_pct"].alias("friction_drag_pct"),
     )
-    return table.orderBy(F.col("sharpe_net").desc(), *keys)
+    # Ranked on the digits that are shown, so that equal results rank by name.
+    best = Window.partitionBy(*series).orderBy(F.round("sharpe_net", 6).desc(), "strategy")
+    return table.withColumn("rank", F.rank().over(best)).orderBy(*series, "rank")
 
 
 def class_position(pred: Column) -> Column:

@@ -172,19 +172,14 @@ def walk_forward_eval(
     return pooled, metrics, classification_pnl(pooled, "prediction", fwd, by=by, ts=ts)
 
 
-def _best_start(rows: DataFrame, make: Callable[[int], object], seeds: Sequence[int]):
-    """The fitted model with the best silhouette over several starts, and that silhouette."""
+def _best_start(rows: DataFrame, make: Callable[[int], object], seeds: Sequence[int], loss: Callable[[Model], float]):
+    """The fitted model with the least loss over several starts, and its silhouette."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    best = None
-    for seed in seeds:
-        model = make(seed).fit(rows)
-        assigned = model.transform(rows)
-        clusters = assigned.agg(F.count_distinct("prediction")).first()[0]
-        score = ClusteringEvaluator().evaluate(assigned) if clusters > 1 else -1.0
-        if best is None or score > best[1]:
-            best = (model, score)
-    return best
+    model = min((make(seed).fit(rows) for seed in seeds), key=loss)
+    assigned = model.transform(rows)
+    clusters = assigned.agg(F.count_distinct("prediction")).first()[0]
+    return model, ClusteringEvaluator().evaluate(assigned) if clusters > 1 else -1.0
 
 
 def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 7), seed: int = 42, starts: int = 10):
@@ -196,7 +191,7 @@ def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 7)
     from pyspark.ml.clustering import KMeans
 
     rows = assemble(df, cols).persist()
-    fitted = {k: _best_start(rows, lambda s, k=k: KMeans(k=k, seed=s, maxIter=50), range(seed, seed + starts)) for k in ks}
+    fitted = {k: _best_start(rows, lambda s, k=k: KMeans(k=k, seed=s, maxIter=50), range(seed, seed + starts), lambda m: m.summary.trainingCost) for k in ks}
     rows.unpersist()
     best = max(fitted, key=lambda k: fitted[k][1])
     table = df.sparkSession.createDataFrame([(k, float(score)) for k, (_, score) in fitted.items()], "k int, silhouette double")
@@ -208,7 +203,7 @@ def fit_gmm(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, starts:
     from pyspark.ml.clustering import GaussianMixture
 
     rows = assemble(df, cols).persist()
-    model, score = _best_start(rows, lambda s: GaussianMixture(k=k, seed=s), range(seed, seed + starts))
+    model, score = _best_start(rows, lambda s: GaussianMixture(k=k, seed=s), range(seed, seed + starts), lambda m: -m.summary.logLikelihood)
     rows.unpersist()
     return model, score
 

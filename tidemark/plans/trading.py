@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as T
 from tidemark.operators import features as X
+from tidemark.operators import models as M
 from tidemark.operators import signals as G
-from tidemark.operators.splits import chronological_split
+from tidemark.operators.splits import chronological_split, standardize
 from tidemark.plans import views as V
 from tidemark.plans.market import CANDLE_SQL, candle_features, roll
 from tidemark.plans.registry import big, day, num, nums, query, shown
 from tidemark.plans.series import WILDER, W
+from tidemark.session import materialised
 
 LAGGED = X.lagged_columns()
 
@@ -113,17 +115,31 @@ def risk_metrics(spark, sf):
 
 
 @query("compare_strategies", f"""WITH {BACKTEST_SQL}, net AS (SELECT *, sr - cost_taker AS nr FROM bt)
-SELECT strategy, series_id, {num('CASE WHEN stddev_samp(sr) > 0 THEN avg(sr) / stddev_samp(sr) * sqrt(365) ELSE 0 END', 'sharpe_gross')},
+SELECT *, (rank() OVER (PARTITION BY series_id ORDER BY sharpe_net DESC, strategy))::BIGINT AS rank FROM (SELECT strategy, series_id, {num('CASE WHEN stddev_samp(sr) > 0 THEN avg(sr) / stddev_samp(sr) * sqrt(365) ELSE 0 END', 'sharpe_gross')},
   {num('CASE WHEN stddev_samp(nr) > 0 THEN avg(nr) / stddev_samp(nr) * sqrt(365) ELSE 0 END', 'sharpe_net')},
   {num('min(dd)', 'max_drawdown_gross')}, {num('min(dd_taker)', 'max_drawdown_net')}, {num('arg_max(equity, date) - 1', 'total_return_gross')},
   {num('arg_max(eq_taker, date) - 1', 'total_return_net')},
   {num('coalesce(avg(CASE WHEN nr > 0 THEN 1.0 ELSE 0.0 END) FILTER (signal = 1), 0)', 'win_rate_net')},
   {num('avg(CASE WHEN label_up = signal THEN 1.0 ELSE 0.0 END)', 'signal_accuracy')}, {big('count(*) FILTER (signal = 1)', 'trades_taken')},
-  {num('(sum(turnover * 10 / 10000.0) + sum(turnover * slippage_bps / 10000.0)) * 100', 'friction_drag_pct')} FROM net GROUP BY strategy, series_id""")
+  {num('(sum(turnover * 10 / 10000.0) + sum(turnover * slippage_bps / 10000.0)) * 100', 'friction_drag_pct')} FROM net GROUP BY strategy, series_id)""")
 def compare_strategies(spark, sf):
     return shown(T.compare_strategies(test_signals(spark, sf)))
 
 
+@query("compare_model_strategies")
+def compare_model_strategies(spark, sf):
+    """The technical signals next to those of two models, fitted on each series' first 70 percent."""
+    rows = chronological_split(signal_rows(spark, sf), (0.7, 0.3), ("train", "test"), ts="date", slots=False)
+    scaled = [f"scaled_{c}" for c in LAGGED]
+    rows = materialised(rows.withColumns({n: F.col(c) for n, c in zip(scaled, LAGGED)}), "signals")
+    train, test = standardize(rows.filter("split = 'train'"), rows.filter("split = 'test'"), cols=scaled)
+    for kind in ("logistic", "boosted_trees"):
+        scored = M.predict(M.fit_classifier(train, kind, scaled, "label_up"), test, scaled)
+        test = materialised(scored.withColumn(f"signal_{kind}", (F.col("score") >= 0.5).cast("int")).drop("score", "prediction"), "signals")
+    names = [*G.TECHNICAL, "signal_logistic", "signal_boosted_trees"]
+    return shown(T.compare_strategies(G.as_long(test.select("series_id", "date", "return", "label_up", "vol_20d", *names), names)))
+
+
 @query("classification_pnl", f"""WITH {CANDLE_SQL},
 d AS (SELECT series_id, ts, vol_20, ret_1, ln(lead(close) OVER w) - ln(close) AS fwd FROM features WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
 p AS (SELECT *, CASE WHEN ret_1 > 0.3 * vol_20 THEN 1.0 WHEN ret_1 < -0.3 * vol_20 THEN -1.0 ELSE 0.0 END AS pos FROM d WHERE fwd IS NOT NULL),
