@@ -246,7 +246,7 @@ def test_pipeline(spark):
     assert empty <= {repr(r["doc_id"]) for r in got}
     for r in got:
         assert r["doc_id"] is None or r["text"] == clean.get(r["doc_id"], kept[repr(r["doc_id"])])
-    taken = mixing.mix(spark.createDataFrame([(r[0], clean.get(r[0], r[1]), *r[2:]) for r in left], DOCS)).groupBy("doc_id").agg(F.sum("taken") / F.sum("size")).collect()
+    taken = mixing.mix(spark.createDataFrame([(r[0], clean.get(r[0], r[1]), *r[2:]) for r in left], DOCS)).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size"))).collect()
     copies = dict(out.groupBy("doc_id").count().collect())
     repeated = {doc: sum(r[0] == doc for r in left) for doc, _ in taken}
     for doc, share in taken:
