@@ -129,6 +129,18 @@ class Machine:
         self.bias, self.weight, self.factor = float(values[0]), values[1 : n + 1].copy(), values[n + 1 :].reshape(-1, FACTORS).copy()
 
 
+def _chosen(machine: Machine):
+    """Map: keep of each row the chosen terms, as rows of the machine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [machine.slot[terms.values.to_numpy()] for terms in batch.column("terms")]
+            lists = pa.array([s[s >= 0] for s in slots], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("toxic"), lists], ["shard", "toxic", "terms"])
+
+    return run
+
+
 def _fit_shards(machine: Machine, turn: int):
     """Map over one shard per task: fit a copy, return its parameters and rows."""
 
@@ -137,8 +149,7 @@ def _fit_shards(machine: Machine, turn: int):
         labels: dict[int, list] = {}
         for batch in batches:
             for shard, toxic, terms in zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist(), batch.column("terms")):
-                slots = machine.slot[terms.values.to_numpy()]
-                docs.setdefault(shard, []).append(slots[slots >= 0])
+                docs.setdefault(shard, []).append(terms.values.to_numpy())
                 labels.setdefault(shard, []).append(toxic)
         for shard, rows in sorted(docs.items()):
             own = copy.deepcopy(machine)
@@ -180,6 +191,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine | None:
     z = (c1 / n1 - (c - c1) / n0) / error
     chosen = np.sort(term[np.abs(z) >= LEAST_Z].astype(np.int64))
     machine = Machine(chosen, n1 / (n1 + n0))
+    rows = materialised(rows.mapInArrow(_chosen(machine), "shard int, toxic int, terms array<int>"), "toxic_rows")
     for turn in range(ROUNDS):
         parts = rows.repartition(SHARDS, "shard").mapInArrow(_fit_shards(machine, turn), "rows long, parameters binary").collect()
         parts.sort(key=lambda r: r["parameters"])
