@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.attach import attach_row
 from tidemark.plans import views as V
 from tidemark.plans.pairs import KALMAN_SQL, region_pairs
 from tidemark.plans.registry import big, day, num, nums, query, shown
@@ -18,7 +19,10 @@ from tidemark.streaming.pairs import stream_kalman, stream_positions
 def event_stream(spark, sf):
     """The events table as a stream of ticks."""
     schema = V.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+    return as_ticks(spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet"))
+
+
+def as_ticks(raw):
     return raw.select(
         F.col("event_type").alias("series_id"), "ts", F.col("value").alias("price"), "event_id",
         F.get_json_object("props", "$.k").cast("double").alias("quantity"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"),
@@ -55,6 +59,22 @@ def streamed_trade_bars(spark, sf):
     return shown(stored(spark, bars, "stream-bars"))
 
 
+@query("streamed_late_trades", f"""WITH {TICK_SQL}, {BARS_SQL}
+SELECT series_id, {day('bin', 'bin')}, {nums('vwap trade_volume signed_volume')}, {num('signed_volume / nullif(trade_volume, 0)', 'trade_flow_imbalance')} FROM sbars WHERE {CLOSED}""")
+def streamed_late_trades(spark, sf):
+    """All ticks, then those of the first day once more: too late to change any bar."""
+    ticks = as_ticks(V.table(spark, sf, "events"))
+    folder, out, checkpoint = (work_path(spark, n) for n in ("late-ticks", "late-bars", "late-checkpoint"))
+    ticks.write.parquet(folder)
+    stream = spark.readStream.schema(ticks.schema).parquet(folder)
+    bars = Sb.flat_window(Sb.stream_trade_bars(stream, "1 hour"))
+    Sb.run_available(bars, out, checkpoint)
+    first = ticks.agg(F.min("ts").alias("start"))
+    attach_row(ticks, first).filter("ts < start + INTERVAL 1 DAY").drop("start").write.mode("append").parquet(folder)
+    Sb.run_available(bars, out, checkpoint)
+    return shown(spark.read.parquet(out))
+
+
 @query("streamed_depth_bars", f"""WITH {TICK_SQL}, {BOOK_SQL}
 SELECT series_id, {day('bin', 'bin')}, {num('(p - q) / nullif(p + q, 0)', 'near_depth_imbalance')}, {num('(p + q - q * 2) / (p + q + q * 2)', 'far_depth_imbalance')}, {num('p + q + q * 2', 'total_depth')} FROM sbook WHERE {CLOSED}""")
 def streamed_depth_bars(spark, sf):
