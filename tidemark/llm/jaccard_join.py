@@ -3,7 +3,9 @@
 Every text becomes a set of k-word shingles. Equal sets share one 64-bit set id
 and are handled once. Shingles are ordered from rare to frequent: by what a
 fixed-size count sketch over all texts shows above its noise, and below that by
-how often their words would meet by chance. Two sets of similarity t share at least l shingles
+how often their words would meet by chance. The shingles that are then still
+shared by many prefixes, as those of a passage that a few dozen texts quote, are
+counted exactly and moved back in the order. Two sets of similarity t share at least l shingles
 among the first ``n - ceil(t n) + l`` of each, for any l. Each set picks its l by
 estimated cost: a longer prefix reads more postings, but asks for more shared
 shingles before a pair is verified.
@@ -34,6 +36,9 @@ MAX_MATCHES = 4
 #: Cost of verifying one pair, in postings read.
 VERIFY_COST = 40.0
 HUB_ROUNDS = 3
+#: Prefixes that share a shingle for it to be moved back, and how many are moved.
+FREQUENT_LEAST = 4
+FREQUENT_MOST = 1_000_000
 
 
 class Shingles:
@@ -139,9 +144,32 @@ def prefix_choice(weights: np.ndarray, n: int, percent: int, most: int = MAX_MAT
     return chosen
 
 
-def _prefixes(k: int, percent: int, sketch: np.ndarray):
+def _most_frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with the highest counts, ascending, and their counts.
+
+    All that reach the least count at which not more than ``FREQUENT_MOST`` are
+    left, so what the driver gets is bounded by that number.
+    """
+    counts = materialised(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT_LEAST), "frequent")
+    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.col("n").desc()).collect()
+    least, total = None, 0
+    for row in sizes:
+        if (total := total + row["tokens"]) > FREQUENT_MOST:
+            break
+        least = row["n"]
+    if least is None:
+        return np.zeros(0, dtype=U64), np.zeros(0)
+    table = counts.filter(F.col("n") >= least).toArrow()
+    token = table.column("token").to_numpy().view(U64)
+    order = np.argsort(token)
+    return token[order], table.column("n").to_numpy()[order].astype(np.float64)
+
+
+def _prefixes(k: int, percent: int, sketch: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None = None):
     """Map: texts to postings (token, set_id, meta, reader) of their longest prefix.
 
+    Without ``frequent``, only to the tokens of their shortest prefix.
+
     ``meta`` packs the set size, the token's position in the order, and the
     set's own l. ``reader`` is the doc_id. A task emits a set once.
     """
@@ -167,16 +195,23 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
                 seen.add(own)
                 need = -(-percent * n // 100)
                 often = heavy[_bucket(one, width)]
-                length = min(n, n - need + min(MAX_MATCHES, need))
+                length = min(n, n - need + (min(MAX_MATCHES, need) if frequent else 1))
+                if frequent and len(frequent[0]):
+                    place = np.minimum(np.searchsorted(frequent[0], one), len(frequent[0]) - 1)
+                    often = np.maximum(often, np.where(frequent[0][place] == one, frequent[1][place], 0.0))
                 # Chance is a negative logarithm, far smaller than the factor.
                 order = np.argsort(often * 1e6 + rarity[at], kind="stable")[:length]
+                tokens.append(one[order])
+                if not frequent:
+                    continue
                 expected = often[order] + total * np.exp(rarity[at[order]] / 64)
                 matches = prefix_choice(expected, n, percent)
-                tokens.append(one[order])
                 owners.append(np.full(length, own, dtype=U64))
                 metas.append((np.int64(n) << 34) | (np.arange(length) << 4) | matches)
                 readers.append(np.full(length, i))
-            if tokens:
+            if tokens and not frequent:
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(tokens))], ["token"])
+            elif tokens:
                 yield pa.RecordBatch.from_arrays(
                     [signed(np.concatenate(tokens)), signed(np.concatenate(owners)), pa.array(np.concatenate(metas)),
                      rows.column("doc_id").take(pa.array(np.concatenate(readers)))], ["token", "set_id", "meta", "reader"],
@@ -276,7 +311,8 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     docs = docs.filter("doc_id IS NOT NULL")
     per_token = Window.partitionBy("token")
-    postings = docs.mapInArrow(_prefixes(k, percent, sketch), "token long, set_id long, meta long, reader long")
+    frequent = _most_frequent(docs.mapInArrow(_prefixes(k, percent, sketch), "token long"))
+    postings = docs.mapInArrow(_prefixes(k, percent, sketch, frequent), "token long, set_id long, meta long, reader long")
     groups = postings.withColumn("low", F.min("set_id").over(per_token)).withColumn("high", F.max("set_id").over(per_token))
     groups = groups.withColumn("size", F.count(F.lit(1)).over(per_token)).filter("low <> high")
     groups = groups.groupBy("token", "set_id", "meta").agg(F.min("reader").alias("reader"), F.max("size").alias("size")).withColumn("comp", F.col("set_id"))
@@ -301,11 +337,12 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     links.append(_linked(materialised(_open_pairs(groups, percent), "pairs"), docs, k, percent).select("a", "b"))
     joined = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "set_id")
-    classes = owners.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    classes = materialised(classes.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "classes")
-    several = classes.filter("component <> set_id").select("component").distinct()
-    lowest = classes.join(several, "component").groupBy("component").agg(F.min("least").alias("lowest"))
-    final = classes.join(lowest, "component", "left").select("set_id", F.coalesce("lowest", "least").alias("component_id"))
+    classes = materialised(owners.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")), "classes")
+    # Written before they are joined, so that a large component can be split.
+    members = materialised(joined.join(classes, "set_id"), "members")
+    lowest = materialised(members.groupBy("component").agg(F.min("least").alias("lowest")), "components")
+    named = members.select("set_id", "component").join(lowest, "component").select("set_id", "lowest")
+    final = materialised(classes.join(named, "set_id", "left").select("set_id", F.coalesce("lowest", "least").alias("component_id")), "named")
     out = owners.join(final, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
