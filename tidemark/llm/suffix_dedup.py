@@ -9,13 +9,16 @@ are induced by scanning the buckets of first symbols, and common prefixes of
 neighbours in the suffix array show the repeated windows.
 
 A gram with very many different segments (a template, a passage at the start of
-a million texts) is split: its windows are counted by a 128-bit hash instead,
-which combines before it shuffles.
+a million texts) is split: its segments are cut again by the least gram under
+another hash, equal parts are settled by counting, and parts that are still too
+many go on to the next hash. After a few of these, what is left are parts of a
+few windows, which are counted by a 128-bit hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ GRAM = 40
 #: Different segments of one gram that are suffix-sorted in one task.
 SORTED_SEGMENTS = 256
 SORT_BYTES = 1 << 20
+#: How often segments of too frequent grams are cut again.
+CUTS = 4
 #: Window starts looked at together in a very long text.
 PIECE = 1 << 21
 
@@ -39,8 +44,11 @@ def _values(data: np.ndarray, seed: int = 41) -> np.ndarray:
     return random_values(256, seed)[data]
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, window: int, powers: Powers):
-    """Segments of all windows: (gram hash, segment hash, first byte, windows, text)."""
+def segments(data: np.ndarray, offsets: np.ndarray, window: int, powers: Powers, seed: int = 0):
+    """Segments of all windows: (gram hash, segment hash, first byte, windows, text).
+
+    Another ``seed`` ranks grams in another order.
+    """
     gram = min(GRAM, window)
     parts = []
     for piece in range(0, max(1, len(data) - window + 1), PIECE):
@@ -53,6 +61,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, powers: Powers)
         hashes = (sums[gram:] - sums[: n - gram + 1]) * powers.down[: n - gram + 1]
         hashes ^= hashes >> U64(31)
         hashes *= U64(0x9FB21C651E98DF25)
+        if seed:
+            hashes = scramble(hashes ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         low = (hashes & ~U64((1 << 22) - 1)) | starts.astype(U64)
         width, reach = window - gram + 1, 1
         while 2 * reach <= width:
@@ -117,6 +127,28 @@ def _segment_bytes(window: int):
     return run
 
 
+def _cut_again(window: int, seed: int):
+    """Map: segments with bytes to their parts under another order of grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for rows, data, offsets in text_slices(batches, "bytes"):
+            anchor, whole, first, wins, owner = segments(data, offsets, window, powers, seed)
+            raw = data.tobytes()
+            own = pa.array(owner)
+            before = rows.column("anchor").to_numpy().view(U64)[owner]
+            at = rows.column("at").to_numpy()[owner] + first - offsets[owner]
+            last = first + wins - 1 + window
+            yield pa.RecordBatch.from_arrays(
+                [signed(scramble(anchor ^ scramble(before + U64(seed)))), signed(whole), rows.column("doc_id").take(own), rows.column("text_key").take(own),
+                 pa.array(at.astype(np.int32)), pa.array(wins.astype(np.int32)), rows.column("single").take(own),
+                 pa.array([raw[a:b] for a, b in zip(first.tolist(), last.tolist())], pa.binary())],
+                ["anchor", "segment", "doc_id", "text_key", "at", "wins", "single", "bytes"],
+            )
+
+    return run
+
+
 def _window_hashes(window: int):
     """Map: segments with bytes to two hashes of each of their windows."""
 
@@ -358,11 +390,31 @@ def repeated_windows(docs: DataFrame, window: int = 200) -> DataFrame:
     pieces = materialised(texts.mapInArrow(_segment_bytes(window), schema), "segment_bytes")
 
     out = "doc_id long, text_key long, at int, wins int"
-    cold = pieces.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats(window), out)
-    each = materialised(pieces.filter("hot").mapInArrow(_window_hashes(window), "one long, two long, doc_id long, text_key long, at int, single boolean"), "hot_windows")
+    found_spans, hot = [whole], pieces.filter("hot")
+    cold = [pieces.filter("NOT hot")]
+    for turn in range(1, CUTS + 1):
+        if hot.isEmpty():
+            break
+        parts = "anchor long, segment long, doc_id long, text_key long, at int, wins int, single boolean, bytes binary"
+        parts = materialised(hot.drop("hot").mapInArrow(_cut_again(window, turn), parts), "cut_bytes")
+        alike = parts.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("one"))
+        alike = materialised(alike, "cut_segments")
+        kinds = alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+        kinds = materialised(kinds.filter("kinds > 1 AND least = 1").select("anchor", (F.col("kinds") > SORTED_SEGMENTS).alias("hot")), "cut_grams")
+        found_spans.append(parts.filter("single").join(alike.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "text_key", "at", "wins"))
+        # One part stands for all equal ones; where there are several, it needs no answer of its own.
+        several = alike.select("anchor", "segment", (F.col("n") == 1).alias("alone"), "one.*")
+        left = parts.join(several, ["anchor", "segment", "doc_id", "text_key", "at"]).join(kinds, "anchor")
+        left = materialised(left.withColumn("single", F.col("single") & F.col("alone")).select(pieces.columns), "open_parts")
+        cold.append(left.filter("NOT hot"))
+        hot = left.filter("hot")
+    ready = reduce(DataFrame.unionByName, cold)
+    found_spans.append(ready.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats(window), out))
+    each = materialised(hot.mapInArrow(_window_hashes(window), "one long, two long, doc_id long, text_key long, at int, single boolean"), "hot_windows")
     twice = materialised(each.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two"), "repeated_windows")
-    hot = each.filter("single").join(twice, ["one", "two"]).select("doc_id", "text_key", "at", F.lit(1).alias("wins"))
-    spans = whole.unionByName(cold).unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "wins")).alias("spans"))
+    found_spans.append(each.filter("single").join(twice, ["one", "two"]).select("doc_id", "text_key", "at", F.lit(1).alias("wins")))
+    union = reduce(DataFrame.unionByName, found_spans)
+    spans = union.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "wins")).alias("spans"))
     return materialised(spans, "byte_spans")
 
 
