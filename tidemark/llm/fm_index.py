@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import Powers, Words, lower_table, separators, text_slices
@@ -236,18 +236,22 @@ def _search(phrases: Phrases):
 
 
 def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the spans that several blocks of test texts gave one document."""
+    """Merge the spans that several blocks of test texts gave one text."""
     for batch in batches:
         rows = batch.to_pylist()
         for row in rows:
-            if row["spans"]:
-                at = np.array([s["at"] for s in row["spans"]])
-                end = at + np.array([s["words"] for s in row["spans"]])
-                at, end, _ = merged(at, end, np.zeros(len(at), dtype=np.int64))
-                row["spans"] = [{"at": a, "words": b - a} for a, b in zip(at.tolist(), end.tolist())]
+            at = np.array([s["at"] for s in row["spans"]])
+            end = at + np.array([s["words"] for s in row["spans"]])
+            at, end, _ = merged(at, end, np.zeros(len(at), dtype=np.int64))
+            row["spans"] = [{"at": a, "words": b - a} for a, b in zip(at.tolist(), end.tolist())]
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
+def _least(doc_id: str) -> Column:
+    """A doc_id as a key that joins: the least long for null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).withColumn("text_key", F.xxhash64("text"))
 
@@ -277,13 +281,19 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     found = [docs.mapInArrow(_search(b), _FOUND) for b in blocks]
     if len(found) == 1:
         return found[0]
-    union = materialised(found[0], "passages")
-    for more in found[1:]:
-        union = union.unionByName(materialised(more, "passages"))
-    groups = union.groupBy("doc_id", "text_key").agg(
+    # Every row has its words counted; what blocks found is joined to the rows by doc_id and text.
+    hits = None
+    for own in found:
+        own = materialised(own.filter(F.size("spans") > 0).withColumn("doc_id", _least("doc_id")).dropDuplicates(["doc_id", "text_key"]), "passages")
+        hits = own if hits is None else hits.unionByName(own)
+    groups = hits.groupBy("doc_id", "text_key").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return groups.mapInArrow(_merge_blocks, _FOUND)
+    groups = materialised(groups.mapInArrow(_merge_blocks, _FOUND), "passages")
+    hits = groups.select(F.col("doc_id").alias("own_id"), "text_key", "spans", "items")
+    rows = docs.mapInArrow(_search(Phrases([], size)), _FOUND).select("doc_id", "text_key", "n_words", _least("doc_id").alias("own_id"))
+    rows = with_small(rows, hits, ["own_id", "text_key"], "left", "spans", "items")
+    return rows.select("doc_id", "text_key", "n_words", *[F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "items")])
 
 
 def _remove(spans_name: str):
@@ -330,8 +340,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Da
     docs = docs.withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     doc, key, spans = (f"passage_{c}_{len(names)}" for c in ("doc", "key", "spans"))
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    found = find_passages(docs, benchmark, size).filter(F.size("spans") > 0).select(least.alias(doc), F.col("text_key").alias(key), F.col("spans").alias(spans))
+    found = find_passages(docs, benchmark, size).filter(F.size("spans") > 0).select(_least("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(spans))
     found = materialised(found.dropDuplicates([doc, key]), "passages")
-    marked = with_small(docs.withColumn(doc, least).withColumn(key, F.xxhash64("text")), found, [doc, key], "left", spans)
+    marked = with_small(docs.withColumn(doc, _least("doc_id")).withColumn(key, F.xxhash64("text")), found, [doc, key], "left", spans)
     return marked.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(_remove(spans), docs.schema)

@@ -11,13 +11,13 @@ from tidemark.session import materialised
 BROADCAST_ROWS = 500_000
 
 
-def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, items: str | None = None) -> DataFrame:
+def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, *items: str) -> DataFrame:
     """Join a written side: broadcast if counted small, shuffled beyond that.
 
     ``side`` should be read from files, so that counting it is cheap. Its rows
-    have a fixed size, but for the list column ``items``, whose items count too.
+    have a fixed size, but for the list columns ``items``, whose items count too.
     """
-    each = F.lit(1) if items is None else 1 + F.size(items)
+    each = sum((F.size(i) for i in items), F.lit(1))
     if (side.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_ROWS:
         side = F.broadcast(side)
     return df.join(side, on, how)
