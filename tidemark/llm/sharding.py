@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve.
 
 Three properties of a document, its source, language and size, are each cut into
-16 cells; the Hilbert index of the cells orders the documents, so neighbours on
+16 cells, names by their share of the rows in name order; the Hilbert index of the cells orders the documents, so neighbours on
 the curve are alike in all three. The order is cut into runs of equal counts,
 and the files of a shard can be skipped by any of the three.
 """
@@ -16,8 +16,6 @@ from tidemark.llm.ordered import in_ranges, with_prefix_sums
 
 BITS = 4
 SHARDS = 16
-#: Leading bytes of a name that place it in its cell.
-NAME_BYTES = 7
 
 
 def hilbert_index(x: int, y: int, z: int, bits: int = BITS) -> int:
@@ -59,20 +57,28 @@ def curve(bits: int = BITS) -> list[int]:
     return [hilbert_index(c // side // side, c // side % side, c % side, bits) for c in range(side**3)]
 
 
-def name_code(name: Column) -> Column:
-    """The first bytes of a name as a number that sorts like them; null for null."""
-    start = F.substring(F.hex(F.encode(name, "UTF-8")), 1, 2 * NAME_BYTES)
-    return F.conv(F.rpad(start, 2 * NAME_BYTES, "0"), 16, 10).cast("long")
+def name_cells(docs: DataFrame, name: str) -> list[tuple[int, str | None]]:
+    """(cell, least name) for the cells that names fall in, at most 16 rows.
+
+    Whole names stand in byte order, null last; a name's cell is where the middle
+    of its rows stands among all rows. The least name is null where a cell has
+    nulls only.
+    """
+    counts = docs.groupBy(F.col(name).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("missing", F.col("name").isNull())
+    ranged = in_ranges(counts, ["missing", "name"], "names")
+    total = ranged.agg(F.sum("n")).first()[0] or 1
+    placed = with_prefix_sums(ranged, ["missing", "name"], {"before": F.col("n")})
+    cell = F.expr(f"cast(((2 * before + n) * {1 << BITS}) div {2 * total}L as int)")
+    return sorted(tuple(r) for r in placed.groupBy(cell.alias("cell")).agg(F.min("name")).collect())
 
 
-def _cell(code: str, low: int | None, high: int | None) -> Column:
-    """The cell of a code between the least and the greatest; cell 15 for null."""
-    if low is None:
-        return F.lit((1 << BITS) - 1)
-    width = high - low + 1
-    # Long codes are rounded as doubles, so the greatest could step over the last cell.
-    cell = F.least(F.floor((F.col(code) - low).cast("double") * (1 << BITS) / width).cast("int"), F.lit((1 << BITS) - 1))
-    return F.coalesce(cell, F.lit((1 << BITS) - 1))
+def _cell(name: str, cells: list[tuple[int, str | None]]) -> Column:
+    """The last cell whose least name is not above the name; the last of all for null."""
+    out = F.when(F.col(name).isNull(), F.lit(cells[-1][0] if cells else 0))
+    for cell, least in reversed(cells):
+        if least is not None:
+            out = out.when(F.col(name) >= F.lit(least), F.lit(cell))
+    return out.otherwise(F.lit(0))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
@@ -87,15 +93,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None)
     the new names are replaced. An empty table gives an empty result.
     """
     names = [c for c in (keep or docs.columns) if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "range_no")]
-    codes = docs.select(name_code(F.col("source").cast("string")).alias("s"), name_code(F.col("lang").cast("string")).alias("l"))
-    ends = codes.agg(F.min("s"), F.max("s"), F.min("l"), F.max("l")).first()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         *[F.col(f"`{c}`") for c in names], (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
-        name_code(F.col("source").cast("string")).alias("curve_s"), name_code(F.col("lang").cast("string")).alias("curve_l"), F.col("doc_id").cast("long").alias("curve_id"),
+        F.col("source").cast("string").alias("curve_s"), F.col("lang").cast("string").alias("curve_l"), F.col("doc_id").cast("long").alias("curve_id"),
     )
     large = F.least(F.length(F.bin("size")) - 1, F.lit((1 << BITS) - 1))
-    cell = (_cell("curve_s", ends[0], ends[1]) * (1 << 2 * BITS) + _cell("curve_l", ends[2], ends[3]) * (1 << BITS) + large).cast("int")
+    cell = (_cell("curve_s", name_cells(docs, "source")) * (1 << 2 * BITS) + _cell("curve_l", name_cells(docs, "lang")) * (1 << BITS) + large).cast("int")
     rows = rows.withColumn("curve_at", F.element_at(F.lit(np.array(curve(), dtype=np.int32)), cell + 1)).drop("curve_s", "curve_l")
     order = ["curve_at", "text_crc32", "size", "curve_id"]
     ranged = in_ranges(rows, order, "shards")
