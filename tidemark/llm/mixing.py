@@ -59,9 +59,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     rows are rows of their own. Extra columns are left out; an empty table gives
     an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    return _taken(docs, weights, share, epochs, seed)
+
+
+def _taken(docs: DataFrame, weights: tuple, share: float, epochs: int, seed: str, *carry: str) -> DataFrame:
+    """What ``mix`` gives, with the columns ``carry``, which part ties."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), *carry)
     rows = rows.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    order = ["source", "draw", "doc_id", "size"]
+    order = ["source", "draw", "doc_id", "size", *carry]
     ranged = in_ranges(rows, order, "mix")
     targets = materialised(source_targets(ranged, weights, share, epochs), "targets").withColumnRenamed("source", "target_of")
     placed = with_prefix_sums(ranged, order, {"before": F.col("size")}, by="source")
@@ -70,20 +75,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     rest = budget - F.floor(budget / F.greatest("source_size", F.lit(1))) * F.col("source_size")
     times = F.floor(budget / F.greatest("source_size", F.lit(1)))
     part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return marked.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size") + part).cast("long").alias("taken"))
+    return marked.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix as rows of ``docs``: each as often as the mix takes its words.
 
-    A document that the cut runs through is in if at least half of it is.
-    Documents without words stay once: they cost nothing. Rows repeated under
-    one doc_id share what was taken for them evenly.
+    A row that the cut runs through is in if at least half of it is. Rows
+    without words stay once: they cost nothing. Every row is taken for itself,
+    whatever other rows have its doc_id, or none.
     """
-    taken = mix(docs, weights, share, epochs, seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    copies = materialised(taken.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("mix_of"), copies.alias("mix_copies")).filter("mix_copies > 0"), "copies")
     names = docs.columns
-    own = docs.withColumn("mix_of", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    out = with_small(own, copies, ["mix_of"], "inner").withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    row, copies, turn = (f"mix_{c}_{len(names)}" for c in ("row", "copies", "turn"))
+    # Written, so that a row keeps its number for good.
+    docs = materialised(docs.withColumn(row, F.monotonically_increasing_id()), "mix_rows")
+    taken = _taken(docs, weights, share, epochs, seed, row)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    taken = materialised(taken.select(row, times.alias(copies)).filter(F.col(copies) > 0), "copies")
+    out = with_small(docs, taken, [row], "inner").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*[F.col(f"`{c}`") for c in names])
