@@ -2,8 +2,8 @@
 
 Terms are the words of a text, the first letters of its words, and a few marks
 of shouting, hashed into a fixed number of buckets. The machine learns a weight
-and a short factor for each term that tells the classes apart; products of
-factors stand for pairs of terms. It is fitted by rounds of local AdaGrad on a
+and a short factor for each term that a few texts have, however the classes
+share it; products of factors stand for pairs of terms. It is fitted by rounds of local AdaGrad on a
 fixed number of shards, of which the driver only averages the parameters.
 """
 
@@ -26,8 +26,8 @@ FACTORS = 6
 PREFIXES = (3, 4, 5, 6, 7, 9)
 #: Labelled rows the machine is fitted on, at most; beyond, a share drawn by key hash.
 TRAIN_ROWS = 30_000
-#: How many standard errors apart the classes must use a term.
-LEAST_Z = 4.0
+#: Training rows that must have a term; the only screen, so that terms which matter only together stay.
+LEAST_ROWS = 3
 SHARDS = 8
 ROUNDS = 8
 EPOCHS = 6
@@ -85,12 +85,12 @@ class Machine:
         self.slot = np.full(BUCKETS, -1, dtype=np.int32)
         self.slot[chosen] = np.arange(len(chosen))
         self.bias = float(np.log(prior / (1 - prior)))
-        self.weight = np.zeros(len(chosen))
+        self.weight = np.zeros(len(chosen), dtype=np.float32)
         noise = random_values(len(chosen) * FACTORS, 29).astype(np.float64) / 2.0**64
-        self.factor = (noise.reshape(-1, FACTORS) - 0.5) * 0.05
+        self.factor = ((noise.reshape(-1, FACTORS) - 0.5) * 0.05).astype(np.float32)
 
     def raw(self, doc: np.ndarray, term: np.ndarray, n: int):
-        """Scores before the logistic, and the factor sums their gradient needs."""
+        """Scores before the logistic, and the factor sums of their pairs."""
         sums = np.zeros((n, FACTORS))
         squares = np.zeros(n)
         for f in range(FACTORS):
@@ -101,60 +101,76 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int, rate: float = 0.1, shrink: float = 1e-4) -> None:
-        g_bias, g_weight, g_factor = 1e-2, np.full(len(self.weight), 1e-2), np.full(self.factor.shape, 1e-2)
+        """AdaGrad over 64 documents at a time, each with distinct terms."""
+        g_bias, g_weight, g_factor = 1e-2, np.full(len(self.weight), 1e-2, dtype=np.float32), np.full(self.factor.shape, 1e-2, dtype=np.float32)
+        place, seen = np.zeros(len(self.weight), dtype=np.int64), np.zeros(len(self.weight), dtype=bool)
         for epoch in range(epochs):
             order = np.argsort(random_values(len(docs), seed * 131 + epoch))
             for part in np.array_split(order, max(1, len(order) // 64)):
                 term = np.concatenate([docs[i] for i in part])
                 doc = np.repeat(np.arange(len(part)), [len(docs[i]) for i in part])
-                score, sums = self.raw(doc, term, len(part))
-                error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / len(part)
-                self.bias -= rate * error.sum() / (g_bias := g_bias + error.sum() ** 2) ** 0.5
+                seen[term] = True
+                touched = np.flatnonzero(seen)
+                seen[touched] = False
+                place[touched] = np.arange(len(touched))
+                has = np.zeros((len(part), len(touched)), dtype=np.float32)
+                has[doc, place[term]] = 1
+                weight, factor = self.weight[touched], self.factor[touched]
+                sums = has @ factor
+                score = self.bias + has @ weight + 0.5 * ((sums**2).sum(axis=1) - has @ (factor**2).sum(axis=1))
+                error = ((1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / len(part)).astype(np.float32)
+                self.bias -= rate * float(error.sum()) / (g_bias := g_bias + float(error.sum()) ** 2) ** 0.5
                 if not len(term):
                     continue
-                touched, inverse = np.unique(term, return_inverse=True)
-                grad = np.bincount(inverse, error[doc]) + shrink * self.weight[touched]
-                g_weight[touched] += grad**2
-                self.weight[touched] -= rate * grad / np.sqrt(g_weight[touched])
-                for f in range(FACTORS):
-                    grad = np.bincount(inverse, error[doc] * (sums[doc, f] - self.factor[term, f])) + shrink * self.factor[touched, f]
-                    g_factor[touched, f] += grad**2
-                    self.factor[touched, f] -= rate * grad / np.sqrt(g_factor[touched, f])
+                each = error @ has
+                grad = each + shrink * weight
+                g_weight[touched] = total = g_weight[touched] + grad**2
+                self.weight[touched] = weight - rate * grad / np.sqrt(total)
+                grad = has.T @ (error[:, None] * sums) - each[:, None] * factor + shrink * factor
+                g_factor[touched] = total = g_factor[touched] + grad**2
+                self.factor[touched] = factor - rate * grad / np.sqrt(total)
 
     def pack(self) -> bytes:
-        return np.concatenate([[self.bias], self.weight, self.factor.ravel()]).tobytes()
+        return np.concatenate([[self.bias], self.weight, self.factor.ravel()]).astype(np.float32).tobytes()
 
     def unpack(self, values: np.ndarray) -> None:
         n = len(self.weight)
-        self.bias, self.weight, self.factor = float(values[0]), values[1 : n + 1].copy(), values[n + 1 :].reshape(-1, FACTORS).copy()
+        self.bias, self.weight, self.factor = float(values[0]), values[1 : n + 1].astype(np.float32), values[n + 1 :].reshape(-1, FACTORS).astype(np.float32)
 
 
-def _chosen(machine: Machine):
-    """Map: keep of each row the chosen terms, as rows of the machine."""
+_SHARD = "shard int, toxic binary, sizes binary, terms binary"
+
+
+def _packed(machine: Machine):
+    """Map over whole shards: one row for each, its terms as rows of the machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
         for batch in batches:
-            slots = [machine.slot[terms.values.to_numpy()] for terms in batch.column("terms")]
-            lists = pa.array([s[s >= 0] for s in slots], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("toxic"), lists], ["shard", "toxic", "terms"])
+            for shard, toxic, terms in zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist(), batch.column("terms")):
+                slots = machine.slot[terms.values.to_numpy()]
+                found.setdefault(shard, []).append((toxic, slots[slots >= 0]))
+        for shard, rows in sorted(found.items()):
+            # A shard's rows come in any order; the fit has its own.
+            rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+            packed = [np.array([t for t, _ in rows], dtype=np.int32), np.array([len(s) for _, s in rows], dtype=np.int32), np.concatenate([s for _, s in rows])]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], ["shard", "toxic", "sizes", "terms"])
 
     return run
 
 
 def _fit_shards(machine: Machine, turn: int):
-    """Map over one shard per task: fit a copy, return its parameters and rows."""
+    """Map over shards: fit a copy on each, return its parameters and rows."""
+    machine = copy.copy(machine)
+    machine.slot = None  # not sent: shards have rows of the machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: dict[int, list] = {}
-        labels: dict[int, list] = {}
         for batch in batches:
-            for shard, toxic, terms in zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist(), batch.column("terms")):
-                docs.setdefault(shard, []).append(terms.values.to_numpy())
-                labels.setdefault(shard, []).append(toxic)
-        for shard, rows in sorted(docs.items()):
-            own = copy.deepcopy(machine)
-            own.fit(rows, np.array(labels[shard], dtype=np.float64), EPOCHS, turn * SHARDS + shard)
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([own.pack()], pa.binary())], ["rows", "parameters"])
+            for row in batch.to_pylist():
+                labels, sizes, terms = (np.frombuffer(row[c], dtype=np.int32) for c in ("toxic", "sizes", "terms"))
+                own = copy.deepcopy(machine)
+                own.fit(np.split(terms, np.cumsum(sizes)[:-1]), labels.astype(np.float64), EPOCHS, turn * SHARDS + row["shard"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([len(labels)], pa.int64()), pa.array([own.pack()], pa.binary())], ["shard", "rows", "parameters"])
 
     return run
 
@@ -182,22 +198,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine | None:
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return None
-    n1, n0 = size[1], size[0]
-    # One row for each bucket at most, whatever the input's size.
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("c1"), F.count(F.lit(1)).alias("c")).toArrow()
-    term, c1, c = (counts.column(i).to_numpy().astype(np.float64) for i in range(3))
-    share = c / (n1 + n0)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z = (c1 / n1 - (c - c1) / n0) / error
-    chosen = np.sort(term[np.abs(z) >= LEAST_Z].astype(np.int64))
-    machine = Machine(chosen, n1 / (n1 + n0))
-    rows = materialised(rows.mapInArrow(_chosen(machine), "shard int, toxic int, terms array<int>"), "toxic_rows")
+    # One number for each bucket at most, whatever the input's size.
+    counts = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEAST_ROWS)
+    chosen = np.sort(counts.select("term").toArrow().column(0).to_numpy().astype(np.int64))
+    machine = Machine(chosen, size[1] / (size[1] + size[0]))
+    # One row for each shard, dealt out once: a share of TRAIN_ROWS is a few megabytes.
+    shards = rows.repartition(SHARDS, "shard").mapInArrow(_packed(machine), _SHARD)
+    shards = materialised(shards, "toxic_rows")
     for turn in range(ROUNDS):
-        parts = rows.repartition(SHARDS, "shard").mapInArrow(_fit_shards(machine, turn), "rows long, parameters binary").collect()
-        parts.sort(key=lambda r: r["parameters"])
-        weights = np.array([r["rows"] for r in parts], dtype=np.float64)
-        values = np.stack([np.frombuffer(r["parameters"], dtype=np.float64) for r in parts])
-        machine.unpack((weights[:, None] * values).sum(axis=0) / weights.sum())
+        # As Arrow: the driver then holds the shards' parameters about once.
+        parts = shards.mapInArrow(_fit_shards(machine, turn), "shard int, rows long, parameters binary").toArrow()
+        weights, values = parts.column("rows").to_numpy(), parts.column("parameters")
+        total = np.zeros(1 + len(machine.weight) * (1 + FACTORS))
+        for i in np.argsort(parts.column("shard").to_numpy()):
+            total += weights[i] * np.frombuffer(values[int(i)].as_buffer(), dtype=np.float32)
+        machine.unpack(total / weights.sum())
     return machine
 
 
