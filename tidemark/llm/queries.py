@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fm_index, jaccard_join, mixing, recompression, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
+from tidemark.llm import chat, filter_audit, fm_index, jaccard_join, mixing, recompression, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +91,14 @@ def op9_url_trees(spark, sf_dir):
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_filter_audit(spark, sf_dir):
+    """What five filters remove from each language, in every order."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 ORACLES["op1_chat_formatting"] = chat.ORACLE
+ORACLES["op11_filter_audit"] = filter_audit.ORACLE
 
 #: Words of a text as the contracts part them, in DuckDB.
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
