@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, filter_audit, fm_index, jaccard_join, mixing, recompression, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
+from tidemark.llm import chat, filter_audit, fm_index, jaccard_join, mixing, prefix_trie, recompression, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,8 +97,15 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op13_prefix_trie(spark, sf_dir):
+    """All beginnings of the rebuilt conversations, from a z-fast trie."""
+    return prefix_trie.prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op1_chat_formatting"] = chat.ORACLE
 ORACLES["op11_filter_audit"] = filter_audit.ORACLE
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
 
 #: Words of a text as the contracts part them, in DuckDB.
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
