@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.operators.backtest import DAYS_PER_YEAR, sharpe, sortino
-from tidemark.operators.bars import pair_panel
 from tidemark.operators.gram import grouped_gram, unpack
 from tidemark.operators.ordering import cumulative, drawdown, drop_blocks, split_blocks
+from tidemark.operators.panel import pair_moments
+from tidemark.operators.tiles import per_tile_pair
 
 PAIR = ("pair",)
 
@@ -206,15 +207,82 @@ def engle_granger(
     return out.withColumn("cointegrated_5pct", F.col("p_value") < 0.05)
 
 
-def screen_pairs(prices: DataFrame, ts: str = "date") -> DataFrame:
-    """Engle-Granger on log prices for every pair of series, best p-value first."""
+def unit_root_of(values: np.ndarray, constant: bool, n_vars: int, lags: int | None = None, chunk: int = 8192) -> tuple | None:
+    """Augmented Dickey-Fuller test of one series in order; ``lags`` fixes the lag order, which AIC else chooses.
+
+    Cross products of level, lagged differences and the current difference are
+    added over stretches of ``chunk`` rows.
+    """
+    n, diffs = len(values), np.diff(values)
+    most = schwert_lags(n, 1 if constant else 0) if lags is None else lags
+    if n < most + 3:
+        return None
+    width, gram = most + 3, np.zeros((most + 3, most + 3))
+    for start in range(most, n - 1, chunk):
+        t = np.arange(start, min(start + chunk, n - 1))
+        rows = np.column_stack([values[t], *[diffs[t - k] for k in range(1, most + 1)], np.ones(len(t)), diffs[t]])
+        gram += rows.T @ rows
+    if lags is None:
+        return _unit_root_row(gram, n - 1 - most, values[: most + 2], n, most, constant, n_vars)
+    keep = [0, *range(1, most + 1)] + ([width - 2] if constant else [])
+    stat, _ = _t_stat(gram, keep, width - 1, n - 1 - most)
+    crit = [critical_value(level, n_vars, n - 1) for level in ("1%", "5%", "10%")]
+    return stat, unit_root_pvalue(stat, n_vars) if stat == stat else float("nan"), most, n - 1 - most, *crit
+
+
+def tile_tests(names, others, y: np.ndarray, x: np.ndarray, lags: int | None = None) -> pd.DataFrame:
+    """Engle-Granger test of every pair of two tiles over the pair's common dates."""
+    out = []
+    there_y, there_x = ~np.isnan(y), ~np.isnan(x)
+    for i, one in enumerate(names):
+        for j, other in enumerate(others):
+            if one >= other:
+                continue
+            both = there_y[:, i] & there_x[:, j]
+            a, b = y[both, i], x[both, j]
+            if len(a) < 3:
+                continue
+            spread_x = b - b.mean()
+            var = float(spread_x @ spread_x)
+            if not var > 0:
+                continue
+            slope = float(spread_x @ (a - a.mean())) / var
+            found = unit_root_of(a - a.mean() - slope * spread_x, False, 2, lags)
+            if found is not None:
+                out.append((f"{one}/{other}", one, other, found[0], found[1], found[2]))
+    return pd.DataFrame(out, columns=["pair", "y_id", "x_id", "eg_statistic", "eg_pvalue", "used_lag"])
+
+
+def screen_pairs(prices: DataFrame, ts: str = "date", lags: int | None = None) -> DataFrame:
+    """Engle-Granger on log prices for every pair of series, best p-value first.
+
+    Two tiles of series meet in a task; a pair is a row only in the result. Pairs
+    with too few common dates, or a series that does not vary, are left out.
+    """
     logs = prices.select("series_id", ts, F.log("price").alias("price"))
-    # A pair is no longer than its longer series.
-    longest = prices.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    tested = engle_granger(pair_panel(logs, ts=ts), by=["pair", "y_id", "x_id"], ts=ts, longest=longest)
-    return tested.select(
-        "pair", "y_id", "x_id", F.col("statistic").alias("eg_statistic"), F.col("p_value").alias("eg_pvalue"), "cointegrated_5pct"
-    ).orderBy("eg_pvalue", "pair")
+    schema = "pair string, y_id string, x_id string, eg_statistic double, eg_pvalue double, used_lag int"
+    tested = per_tile_pair(logs, lambda names, others, _, y, x: tile_tests(names, others, y, x, lags), schema, ts=ts)
+    return tested.withColumn("cointegrated_5pct", F.col("eg_pvalue") < 0.05).orderBy("eg_pvalue", "pair")
+
+
+def pair_hedges(prices: DataFrame, value: str = "price", ts: str = "date", series: str = "series_id") -> DataFrame:
+    """Slope, intercept and R2 of the lesser series on the greater one for every pair, from their moments.
+
+    Dates are reduced to sums by matrix products before anything is shuffled, so
+    no row for a pair and a date is made.
+    """
+    known = prices.filter(F.col(value).isNotNull())
+    cells = pair_moments(prices, value, ts=ts, series=series).filter(F.col("i") < F.col("j"))
+    origin = known.groupBy(series).agg(F.min(F.col(value).cast("double")).alias("o"))
+    cells = cells.join(origin.select(F.col(series).alias("i"), F.col("o").alias("oy")), "i").join(origin.select(F.col(series).alias("j"), F.col("o").alias("ox")), "j")
+    vx, vy = F.col("sxx"), F.col("syy")
+    # The moments name the lesser series i and its sums x.
+    vi, vj = vx - F.col("sx") * F.col("sx") / F.col("n"), vy - F.col("sy") * F.col("sy") / F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    beta = F.when(vj > 0, cov / vj)
+    alpha = F.col("oy") + F.col("sx") / F.col("n") - beta * (F.col("ox") + F.col("sy") / F.col("n"))
+    r2 = F.when(vj > 0, F.when(vi > 0, cov * cov / (vi * vj)).otherwise(1.0))
+    return cells.select(F.concat_ws("/", "i", "j").alias("pair"), F.col("i").alias("y_id"), F.col("j").alias("x_id"), beta.alias("beta"), alpha.alias("alpha"), r2.alias("r_squared"))
 
 
 # Pair trading costs in basis points per leg.

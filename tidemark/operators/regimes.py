@@ -10,6 +10,7 @@ from tidemark.operators.bars import pair_panel
 from tidemark.operators.panel import correlation, pair_moments
 from tidemark.operators.ordering import window_drawdown
 from tidemark.operators.attach import attach_row
+from tidemark.operators.tiles import mean_rolling_correlation
 
 REGIME_FEATURES = ("avg_return", "avg_volatility", "avg_pairwise_corr", "dispersion", "drawdown")
 MARKET = ("market",)
@@ -23,7 +24,8 @@ def rolling_pair_corr(returns: DataFrame, n: int = 30, ts: str = "date", value:
 
 
 def rolling_mean_corr(returns: DataFrame, n: int = 20, ts: str = "date", value: str = "ret") -> DataFrame:
-    return rolling_pair_corr(returns, n, ts, value).groupBy(ts).agg(F.avg("corr").alias("avg_pairwise_corr"))
+    """Mean over all pairs of their trailing correlation, per date, without a row for a pair and a date."""
+    return mean_rolling_correlation(returns, n, value, ts)
 
 
 def market_rows(returns: DataFrame, ts: str = "date", value: str = "ret") -> DataFrame:

@@ -43,7 +43,7 @@ def pair_panel(spark, sf):
 SELECT pair, {num('regr_slope(y, x)', 'beta')}, {num('regr_intercept(y, x)', 'alpha')}, {num('regr_r2(y, x)', 'r_squared')} FROM pairs GROUP BY pair""")
 def hedge_ratios(spark, sf):
     """Static hedge of every pair of brands."""
-    return shown(P.grouped_ols(B.pair_panel(log_prices(spark, sf, V.panel))))
+    return shown(P.pair_hedges(log_prices(spark, sf, V.panel)).select("pair", "beta", "alpha", "r_squared"))
 
 
 SPREAD_SQL = f"""{REGION_PAIRS_SQL},
