@@ -16,9 +16,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 21
 
 U64 = np.uint64
-#: Odd multiplier of the rolling hashes and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Modulus and base of the rolling hashes.
+PRIME = U64((1 << 61) - 1)
+BASE = 0x1E3779B97F4A7C15 % int(PRIME)
+BASE_INVERSE = pow(BASE, -1, int(PRIME))
 
 
 def separators(*spans: tuple[int, int]) -> np.ndarray:
@@ -76,35 +77,87 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             i = j
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of values below the prime, modulo the prime, from halves that fit 64 bits."""
+    low, high = U64((1 << 31) - 1), U64(31)
+    a1, a0, b1, b0 = a >> high, a & low, b >> high, b & low
+    middle = a0 * b1 + a1 * b0
+    return _fold(((a1 * b1) << U64(1)) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << high) + a0 * b0)
+
+
 class Powers:
-    """Powers of BASE and of its inverse, grown on demand and kept for a task."""
+    """Powers of BASE and of its inverse modulo the prime, grown on demand and kept for a task.
+
+    A prime modulus keeps hashes of long periodic sequences apart, which a power
+    of two would not: there, all even factors of a difference add up.
+    """
 
     def __init__(self) -> None:
         self.up = np.ones(1, dtype=U64)
         self.down = np.ones(1, dtype=U64)
 
+    @staticmethod
+    def _grown(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, dtype=U64)
+        while len(out) < n:
+            out = np.concatenate([out, _times(out, np.full(1, pow(base, len(out), int(PRIME)), dtype=U64))])
+        return out
+
     def need(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(n - 1, BASE, dtype=U64)]), dtype=U64)
-            self.down = np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(n - 1, BASE_INVERSE, dtype=U64)]), dtype=U64)
+            self.up, self.down = (self._grown(b, max(n, 1 << 16)) for b in (BASE, BASE_INVERSE))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of values[i] * BASE**i, with a leading zero."""
+        """Prefix sums of values[i] * BASE**i modulo the prime, with a leading zero."""
         self.need(len(values) + 1)
+        terms = _times(_fold(values), self.up[: len(values)])
+        high = np.cumsum(terms >> U64(32), dtype=U64)
         out = np.zeros(len(values) + 1, dtype=U64)
-        np.cumsum(values * self.up[: len(values)], dtype=U64, out=out[1:])
+        out[1:] = _fold(((high << U64(32)) & PRIME) + (high >> U64(29)) + _fold(np.cumsum(terms & U64(0xFFFFFFFF), dtype=U64)))
         return out
 
+    def raw(self, sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """Sums over spans, the same wherever the span stands, below the prime."""
+        return _times(_fold(sums[end] + (PRIME - sums[start])), self.down[start])
+
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of values[start:end], the same wherever the span stands."""
-        return scramble((sums[end] - sums[start]) * self.down[start] + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+        return scramble(self.raw(sums, start, end) + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+
+
+#: Values of a byte at each of the first 64 places of a word.
+_AT_PLACE = random_values(64 * 256, 11)
+
+
+def letters(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running sums, with a leading zero, of a value for each byte of words and its place in the word.
+
+    The values of different places are independent of each other, so the
+    difference of two sums tells a word, or its beginning, by its bytes.
+    """
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    code = place << 8 | data[np.repeat(start, size) + place]
+    values = _AT_PLACE[np.minimum(code, len(_AT_PLACE) - 1)]
+    far = np.flatnonzero(code >= len(_AT_PLACE))
+    values[far] = scramble(scramble(code[far].astype(U64) + U64(0xA24BAED4963EE407)))
+    out = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values, dtype=U64, out=out[1:])
+    return out
 
 
 class Words:
-    """The words of a slice: byte bounds, hash, and the first word of each text."""
+    """The words of a slice: byte bounds, hash, and the first word of each text.
+
+    ``sums`` and ``at`` give the hash of a word's beginning: sums[at + n] - sums[at].
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, powers: Powers) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, parts: np.ndarray) -> None:
         inside = ~parts[data]
         before = np.zeros(len(data), dtype=bool)
         before[1:] = inside[:-1]
@@ -116,8 +169,10 @@ class Words:
         after[ends[full] - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        values = random_values(256, 11)[data]
-        self.hash = powers.spans(powers.sums(values), self.start, self.end)
+        size = self.end - self.start
+        self.sums, last = letters(data, self.start, size), np.cumsum(size)
+        self.at = last - size
+        self.hash = scramble(self.sums[last] - self.sums[self.at] + size.astype(U64) * U64(0x632BE59BD9B4E019))
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
 

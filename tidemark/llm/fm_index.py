@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import Powers, Words, lower_table, separators, text_slices
+from tidemark.llm.batches import Words, lower_table, separators, text_slices
 from tidemark.llm.frames import with_small
 from tidemark.session import materialised
 
@@ -140,9 +140,9 @@ class Phrases:
     """The windows of a block of test texts, grouped by length, with their items."""
 
     def __init__(self, items: list[tuple], size: int) -> None:
-        powers, parts, lower = Powers(), word_parts(), lower_table()
+        parts, lower = word_parts(), lower_table()
         texts = [(i, np.frombuffer((t or "").encode(), dtype=np.uint8)) for i, t in items]
-        hashes = [(i, Words(lower[t], np.array([0, len(t)]), parts, powers).hash) for i, t in texts]
+        hashes = [(i, Words(lower[t], np.array([0, len(t)]), parts).hash) for i, t in texts]
         self.words = np.unique(np.concatenate([h for _, h in hashes] or [np.zeros(0, dtype=np.uint64)]))
         owners: dict[tuple, set] = {}
         for i, h in hashes:
@@ -214,9 +214,9 @@ _FOUND = "doc_id long, text_key long, n_words long, spans array<struct<at:int,wo
 
 def _search(phrases: Phrases):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, parts, lower = Powers(), word_parts(), lower_table()
+        parts, lower = word_parts(), lower_table()
         for rows, data, offsets in text_slices(batches, limit=SHARD_BYTES):
-            words = Words(lower[data], offsets, parts, powers)
+            words = Words(lower[data], offsets, parts)
             text, first, last, items = _hits(words, phrases)
             n = len(words.count)
             own: list[set] = [set() for _ in range(n)]
@@ -300,14 +300,14 @@ def _remove(spans_name: str):
     """Map: take the spans out of the texts, with what stands between their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, parts, lower = Powers(), word_parts(), lower_table()
+        parts, lower = word_parts(), lower_table()
         for rows, data, offsets in text_slices(batches):
             spans = rows.column(spans_name)
             names = [n for n in rows.schema.names if n != spans_name]
             if spans.null_count == len(spans):
                 yield rows.select(names)
                 continue
-            words = Words(lower[data], offsets, parts, powers)
+            words = Words(lower[data], offsets, parts)
             texts = rows.column("text").to_pylist()
             counts = rows.column("n_chars").to_pylist() if "n_chars" in names else None
             for i, own in enumerate(spans.to_pylist()):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import U64, Powers, Words, lower_table, scramble, signed, text_slices, white_space
+from tidemark.llm.batches import U64, Words, lower_table, scramble, signed, text_slices, white_space
 from tidemark.llm.frames import components, with_small
 from tidemark.session import materialised
 
@@ -45,10 +45,10 @@ class Shingles:
     """Per text of a slice: its distinct shingle hashes, ascending."""
 
     def __init__(self, k: int) -> None:
-        self.k, self.powers, self.parts, self.lower = k, Powers(), white_space(), lower_table()
+        self.k, self.parts, self.lower = k, white_space(), lower_table()
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
-        return Words(self.lower[data], offsets, self.parts, self.powers)
+        return Words(self.lower[data], offsets, self.parts)
 
     def __call__(self, words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The sets, and where in the slice's shingles each member stands first."""

@@ -132,7 +132,7 @@ def _segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, parts = Powers(), white_space()
         for rows, data, offsets in text_slices(batches):
-            words = Words(data, offsets, parts, powers)
+            words = Words(data, offsets, parts)
             anchor, whole, first, wins, owner = segments(words, window, powers, powers.sums(words.hash))
             if len(anchor):
                 own = pa.array(owner)
@@ -156,7 +156,7 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, parts = Powers(), white_space()
         for rows, data, offsets in text_slices(batches):
-            words = Words(data, offsets, parts, powers)
+            words = Words(data, offsets, parts)
             bounds, items = _lists(rows.column("segments"))
             first, wins = items.field("at").to_numpy(), items.field("wins").to_numpy()
             owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))

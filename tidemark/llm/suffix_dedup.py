@@ -58,7 +58,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, powers: Powers,
             break
         sums = powers.sums(_values(data[a:b]))
         starts = np.arange(n - gram + 1)
-        hashes = (sums[gram:] - sums[: n - gram + 1]) * powers.down[: n - gram + 1]
+        hashes = powers.raw(sums, slice(0, n - gram + 1), slice(gram, n + 1))
         hashes ^= hashes >> U64(31)
         hashes *= U64(0x9FB21C651E98DF25)
         if seed:

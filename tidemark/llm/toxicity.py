@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import U64, Powers, Words, lower_table, random_values, separators, text_slices
+from tidemark.llm.batches import U64, Words, lower_table, random_values, scramble, separators, text_slices
 from tidemark.llm.frames import with_small
 from tidemark.session import materialised
 
@@ -42,20 +42,20 @@ class Terms:
     """Distinct hashed terms of the texts of a slice, as (text, bucket) pairs."""
 
     def __init__(self) -> None:
-        self.powers, self.parts, self.lower = Powers(), _letters(), lower_table()
+        self.parts, self.lower = _letters(), lower_table()
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small = self.lower[data]
-        words = Words(small, offsets, self.parts, self.powers)
+        words = Words(small, offsets, self.parts)
         n = len(words.count)
         text = np.repeat(np.arange(n), words.count)
         keys, at = np.unique(text * BUCKETS + (words.hash >> U64(46)).astype(np.int64), return_index=True)
         found = [keys]
         start, end, text = words.start[at], words.end[at], text[at]
-        sums = self.powers.sums(random_values(256, 13)[small])
         for size in PREFIXES:
             longer = end - start > size
-            hashes = self.powers.spans(sums, start[longer], start[longer] + size)
+            first = words.at[at[longer]]
+            hashes = scramble(words.sums[first + size] - words.sums[first] + U64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             found.append(np.unique(text[longer] * BUCKETS + (hashes >> U64(46)).astype(np.int64)))
         # Shouting: how much of the text is upper case, and exclamation marks, in four steps each.
         upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
