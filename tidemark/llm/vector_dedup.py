@@ -93,9 +93,13 @@ def similar_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)).alias("vector")
     )
-    norm = F.aggregate("vector", F.lit(0.0), lambda total, v: total + v * v)
-    fine = F.col("label").isNotNull() & (norm > 0) & (norm < float("inf"))
+    peak = F.array_max(F.transform("vector", F.abs))
+    fine = F.col("label").isNotNull() & F.forall("vector", lambda v: v.isNotNull()) & (peak > 0) & (peak < float("inf"))
     rows = rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "vector")))
+    # A power of two takes no digit and keeps squares in range; in two steps, as one may be out of range itself.
+    high = F.floor(F.log2(peak))
+    half = F.floor(high / 2)
+    rows = rows.withColumn("vector", F.when(F.col("node").isNotNull(), F.transform("vector", lambda v: v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - high))))
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("members"), F.min("vec_id").alias("least")
     )
