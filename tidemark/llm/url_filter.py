@@ -2,8 +2,8 @@
 
 The trees are trained on the URLs that a rule decides. Features are built from
 DataFrame functions: lengths, path depth, share of digits, entropy of the
-characters, counts of parameters, and how often the trained URLs with the same
-hashed host suffix were blocked.
+characters, counts of parameters, and how often the ruled URLs with the same host
+suffix, all of them, are blocked.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.frames import with_small
 from tidemark.session import materialised
 
 #: (host, path, verdict); a rule is written as host and path together.
@@ -25,7 +26,6 @@ RULES = (
 TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 4
-SUFFIX_BUCKETS = 1024
 FEATURES = ("n_url", "n_host", "n_path", "depth", "digit_share", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_blocked", "suffix_known")
 
 
@@ -81,18 +81,17 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.withColumns(_parts(F.col("url"))).withColumn("by_rule", rule_of(rules))
     suffix = F.element_at(F.split("host", "[.]"), -1)
-    rows = rows.withColumns(_features() | {"suffix": F.pmod(F.xxhash64(suffix), F.lit(SUFFIX_BUCKETS)).cast("int")})
+    rows = rows.withColumns(_features() | {"suffix": suffix})
     rows = materialised(rows, "urls")
     ruled = rows.filter("by_rule IS NOT NULL").withColumn("blocked", (F.col("by_rule.verdict") == "block").cast("double"))
     total = ruled.count()
     drawn = F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(min(1.0, TRAIN_ROWS / max(total, 1)) * 1_000_000)
     train = materialised(ruled.filter(drawn), "ruled_urls")
-    # One row for each bucket of suffixes at most.
-    stats = materialised(train.groupBy("suffix").agg(F.avg("blocked").alias("suffix_blocked"), F.log1p(F.count(F.lit(1))).alias("suffix_known")), "suffixes")
+    stats = materialised(ruled.groupBy("suffix").agg(F.avg("blocked").alias("suffix_blocked"), F.log1p(F.count(F.lit(1))).alias("suffix_known")), "suffixes")
     verdicts = [r[0] for r in train.select("by_rule.verdict").distinct().collect()]
 
     def assembled(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(stats), "suffix", "left").fillna(0.0, ["suffix_blocked", "suffix_known"])
+        df = with_small(df, stats, ["suffix"], "left").fillna(0.0, ["suffix_blocked", "suffix_known"])
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     if len(verdicts) == 2:
