@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, filter_audit, fm_index, jaccard_join, mixing, prefix_trie, recompression, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
+from tidemark.llm import chat, filter_audit, fm_index, jaccard_join, mixing, prefix_trie, recompression, recurrent_lm, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,12 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op12_recurrent_lm(spark, sf_dir):
+    """Likelihoods of all texts by a gated recurrent model and by smoothed unigrams."""
+    return recurrent_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_prefix_trie(spark, sf_dir):
     """All beginnings of the rebuilt conversations, from a z-fast trie."""
