@@ -118,10 +118,15 @@ def columns_of(features: int, share: float, candidate: int, tree: int) -> np.nda
     return np.sort(np.random.default_rng([candidate, tree]).permutation(features)[:n])
 
 
-def level_sums(node: np.ndarray, nodes: int, bins: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+def cells_of(bins: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The cell of every row and feature within a node."""
+    return bins[:, columns].astype(np.int64) + np.arange(len(columns)) * BINS
+
+
+def level_sums(node: np.ndarray, nodes: int, cells: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     """(2, nodes, features, bins): sums of gradients and rows."""
-    k = bins.shape[1]
-    cell = ((node * (k * BINS))[:, None] + (bins.astype(np.int64) + np.arange(k) * BINS)).ravel()
+    k = cells.shape[1]
+    cell = (cells + (node * (k * BINS))[:, None]).ravel()
     shape = (nodes, k, BINS)
     return np.stack([np.bincount(cell, np.repeat(gradient, k), nodes * k * BINS).reshape(shape), np.bincount(cell, minlength=nodes * k * BINS).reshape(shape)])
 
@@ -132,7 +137,8 @@ def best_splits(sums: np.ndarray, columns: np.ndarray, penalty: float) -> list[t
     left, n_left = np.cumsum(sums, axis=3)
     right, n_right = total - left, n - n_left
     gain = left * left / (n_left + penalty) + right * right / (n_right + penalty) - total * total / (n + penalty)
-    gain = np.where((n_left > 0) & (n_right > 0), gain, -1.0).reshape(len(gain), -1)
+    gain[(n_left == 0) | (n_right == 0)] = -1.0
+    gain = gain.reshape(len(gain), -1)
     best = gain.argmax(axis=1)
     out = []
     for i, b in enumerate(best):
@@ -168,19 +174,17 @@ def fit_alone(rows: Rows, model: Model) -> tuple[float, int]:
         tree = Tree(s["max_depth"])
         mine = train[drawn(rows.key[train], s["subsample"], model.candidate, t)]
         columns = columns_of(rows.bins.shape[1], s["colsample_bytree"], model.candidate, t)
-        bins, gradient = rows.bins[mine][:, columns], model.gradient(rows.y[mine], prediction[mine])
-        at = np.zeros(len(mine), np.int64)
+        bins, gradient = rows.bins[mine], model.gradient(rows.y[mine], prediction[mine])
+        cells, at, each = cells_of(bins, columns), np.zeros(len(mine), np.int64), np.arange(len(mine))
         for level in range(s["max_depth"]):
             first = 2**level - 1
-            live = at >= first
-            if not live.any():
+            live = slice(None) if (at >= first).all() else at >= first
+            if not len(at[live]):
                 break
-            used, slot = np.unique(at[live], return_inverse=True)
-            choices = best_splits(level_sums(slot, len(used), bins[live], gradient[live]), columns, s["reg_lambda"])
-            for node, choice in zip(used.tolist(), choices):
+            for node, choice in enumerate(best_splits(level_sums(at[live] - first, first + 1, cells[live], gradient[live]), columns, s["reg_lambda"]), first):
                 tree.split(node, choice, model.scale, s)
             f = tree.feature[at]
-            at = np.where(f >= 0, 2 * at + 1 + (rows.bins[mine, np.maximum(f, 0)] > tree.cut[at]), at)
+            at = np.where(f >= 0, 2 * at + 1 + (bins[each, np.maximum(f, 0)] > tree.cut[at]), at)
         prediction += tree.value[tree.nodes(rows.bins, s["max_depth"])]
     test = rows.part == model.fold + 1
     return float(((rows.y[test] - prediction[test]) ** 2).sum()), int(test.sum())
@@ -247,7 +251,7 @@ def _level(models: list[Model], features: int, pending: list[dict], growing: dic
                     mine, at = mine[live], at[live]
                     columns = columns_of(features, m.settings["colsample_bytree"], m.candidate, t)
                     used, slot = np.unique(at, return_inverse=True)
-                    sums = level_sums(slot, len(used), rows.bins[mine][:, columns], m.gradient(rows.y[mine], predictions[m.number, mine]))
+                    sums = level_sums(slot, len(used), cells_of(rows.bins[mine], columns), m.gradient(rows.y[mine], predictions[m.number, mine]))
                     for i, node in enumerate(used.tolist()):
                         before = added.get((m.number, node))
                         added[m.number, node] = sums[:, i] if before is None else before + sums[:, i]

@@ -120,20 +120,20 @@ UNIT_ROOT_FIELDS = "statistic double, p_value double, used_lag int, n_obs long,
 
 
 def unit_root(
-    df: DataFrame, col: str, by: Sequence[str], ts: str, constant: bool, n_vars: int, longest: int | None = None,
+    df: DataFrame, col: str, by: Sequence[str], ts: str, constant: bool, n_vars: int, longest: int | None = None, most: int | None = None,
 ) -> DataFrame:
     """Augmented Dickey-Fuller statistic per group, for all groups in one job.
 
     Lagged differences come from one window per group, their cross products
     from a map-side combined aggregate; only a matrix of about 30 columns per
     group is then solved. ``longest`` bounds the length of a group and is
-    counted when it is not given.
+    counted when it is not given; ``most`` bounds the lag order.
     """
     by = list(by)
     rows = df.filter(F.col(col).isNotNull())
     if longest is None:
         longest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    top = schwert_lags(longest, 0)
+    top = schwert_lags(longest, 0) if most is None else min(most, schwert_lags(longest, 0))
     w = S.ordered(by, ts)
     lagged = rows.withColumns(
         {
@@ -145,7 +145,7 @@ def unit_root(
     lagged = lagged.withColumn("_d", F.col(col) - F.col("_level"))
     n_trend = 1 if constant else 0
     schwert = F.ceil(12.0 * F.pow(F.col("_n") / 100.0, 0.25))
-    lags = F.greatest(F.lit(0), F.least(F.floor(F.col("_n") / 2) - n_trend - 1, schwert)).cast("int")
+    lags = F.greatest(F.lit(0), F.least(F.floor(F.col("_n") / 2) - n_trend - 1, schwert, F.lit(top))).cast("int")
     lagged = lagged.withColumn("_lags", lags)
     history = [F.lag("_d", k).over(w) for k in range(1, top + 1)]
     past = [F.when(F.lit(k) <= F.col("_lags"), h).otherwise(0.0) for k, h in enumerate(history, 1)]
@@ -184,9 +184,9 @@ def unit_root(
     return tidy.mapInPandas(solve, f"{keys}, {UNIT_ROOT_FIELDS}")
 
 
-def adf_test(df: DataFrame, col: str, by: Sequence[str] = S.SERIES, ts: str = "ts") -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant; the lag order is chosen by AIC."""
-    out = unit_root(df, col, by, ts, constant=True, n_vars=1)
+def adf_test(df: DataFrame, col: str, by: Sequence[str] = S.SERIES, ts: str = "ts", most: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant; the lag order is chosen by AIC, up to ``most``."""
+    out = unit_root(df, col, by, ts, constant=True, n_vars=1, most=most)
     return out.withColumn("is_stationary_5pct", F.col("p_value") < 0.05)
 
 
@@ -207,30 +207,27 @@ def engle_granger(
     return out.withColumn("cointegrated_5pct", F.col("p_value") < 0.05)
 
 
-def unit_root_of(values: np.ndarray, constant: bool, n_vars: int, lags: int | None = None, chunk: int = 8192) -> tuple | None:
-    """Augmented Dickey-Fuller test of one series in order; ``lags`` fixes the lag order, which AIC else chooses.
+def unit_root_of(values: np.ndarray, constant: bool, n_vars: int, most: int | None = None, chunk: int = 8192) -> tuple | None:
+    """Augmented Dickey-Fuller test of one series in order, its lag order chosen by AIC up to ``most``.
 
     Cross products of level, lagged differences and the current difference are
-    added over stretches of ``chunk`` rows.
+    added over stretches of ``chunk`` rows. A series too short for its longest
+    lag has no test.
     """
     n, diffs = len(values), np.diff(values)
-    most = schwert_lags(n, 1 if constant else 0) if lags is None else lags
-    if n < most + 3:
+    lags = schwert_lags(n, 1 if constant else 0)
+    lags = lags if most is None else min(lags, most)
+    if n < lags + 3:
         return None
-    width, gram = most + 3, np.zeros((most + 3, most + 3))
-    for start in range(most, n - 1, chunk):
+    gram = np.zeros((lags + 3, lags + 3))
+    for start in range(lags, n - 1, chunk):
         t = np.arange(start, min(start + chunk, n - 1))
-        rows = np.column_stack([values[t], *[diffs[t - k] for k in range(1, most + 1)], np.ones(len(t)), diffs[t]])
+        rows = np.column_stack([values[t], *[diffs[t - k] for k in range(1, lags + 1)], np.ones(len(t)), diffs[t]])
         gram += rows.T @ rows
-    if lags is None:
-        return _unit_root_row(gram, n - 1 - most, values[: most + 2], n, most, constant, n_vars)
-    keep = [0, *range(1, most + 1)] + ([width - 2] if constant else [])
-    stat, _ = _t_stat(gram, keep, width - 1, n - 1 - most)
-    crit = [critical_value(level, n_vars, n - 1) for level in ("1%", "5%", "10%")]
-    return stat, unit_root_pvalue(stat, n_vars) if stat == stat else float("nan"), most, n - 1 - most, *crit
+    return _unit_root_row(gram, n - 1 - lags, values[: lags + 2], n, lags, constant, n_vars)
 
 
-def tile_tests(names, others, y: np.ndarray, x: np.ndarray, lags: int | None = None) -> pd.DataFrame:
+def tile_tests(names, others, y: np.ndarray, x: np.ndarray, most: int | None = None) -> pd.DataFrame:
     """Engle-Granger test of every pair of two tiles over the pair's common dates."""
     out = []
     there_y, there_x = ~np.isnan(y), ~np.isnan(x)
@@ -247,21 +244,22 @@ def tile_tests(names, others, y: np.ndarray, x: np.ndarray, lags: int | None = N
             if not var > 0:
                 continue
             slope = float(spread_x @ (a - a.mean())) / var
-            found = unit_root_of(a - a.mean() - slope * spread_x, False, 2, lags)
+            found = unit_root_of(a - a.mean() - slope * spread_x, False, 2, most)
             if found is not None:
                 out.append((f"{one}/{other}", one, other, found[0], found[1], found[2]))
     return pd.DataFrame(out, columns=["pair", "y_id", "x_id", "eg_statistic", "eg_pvalue", "used_lag"])
 
 
-def screen_pairs(prices: DataFrame, ts: str = "date", lags: int | None = None) -> DataFrame:
+def screen_pairs(prices: DataFrame, ts: str = "date", most: int | None = None) -> DataFrame:
     """Engle-Granger on log prices for every pair of series, best p-value first.
 
     Two tiles of series meet in a task; a pair is a row only in the result. Pairs
     with too few common dates, or a series that does not vary, are left out.
+    ``most`` bounds the lag order that AIC chooses.
     """
     logs = prices.select("series_id", ts, F.log("price").alias("price"))
     schema = "pair string, y_id string, x_id string, eg_statistic double, eg_pvalue double, used_lag int"
-    tested = per_tile_pair(logs, lambda names, others, _, y, x: tile_tests(names, others, y, x, lags), schema, ts=ts)
+    tested = per_tile_pair(logs, lambda names, others, _, y, x: tile_tests(names, others, y, x, most), schema, ts=ts)
     return tested.withColumn("cointegrated_5pct", F.col("eg_pvalue") < 0.05).orderBy("eg_pvalue", "pair")
 
 

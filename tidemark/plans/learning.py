@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting as Bo
 from tidemark.operators import evaluate as E
 from tidemark.operators import features as X
 from tidemark.operators import gram as G
@@ -127,6 +128,13 @@ def text_quality_forest(spark, sf):
 
 @query("parameter_search")
 def parameter_search(spark, sf):
+    """Random search over boosted trees on time-ordered folds of all series: 20 candidates, 4 folds."""
+    _, table = Bo.boosted_search(_impact(spark, sf), IMPACT, "future_return_1", n_iter=20, n_splits=4, ts="bin")
+    return shown(table)
+
+
+@query("linear_parameter_search")
+def linear_parameter_search(spark, sf):
     """Random search over linear models on time-ordered folds of all series."""
     rows = impact_rows(spark, sf)
     space = {"regParam": [0.0, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0], "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0]}

@@ -145,6 +145,26 @@ def stationarity_tests(spark, sf):
     return shown(P.adf_test(log_prices(spark, sf, V.panel), "price", ts="date"))
 
 
+@query("stationarity_lag0", f"""WITH {V.PANEL_SQL}, {LOG_SQL},
+d AS (SELECT series_id, lag(lp) OVER w AS x, lp - lag(lp) OVER w AS y FROM logs WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+m AS (SELECT series_id, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_count(y, x) AS n FROM d GROUP BY series_id)
+SELECT series_id, {num('b / sqrt((syy - b * sxy) / (n - 2) / sxx)', 'statistic', 4)}, {big('n', 'n_obs')} FROM m""")
+def stationarity_lag0(spark, sf):
+    """Dickey-Fuller test without lags of every brand's log price."""
+    return shown(P.adf_test(log_prices(spark, sf, V.panel), "price", ts="date", most=0).select("series_id", "statistic", "n_obs"), 4)
+
+
+@query("pair_screening_lag0", f"""WITH {V.QUOTES_SQL}, logs AS (SELECT series_id, date, ln(price) AS lp FROM quotes), {PAIRS_SQL.format(src='logs', v='lp')},
+h AS (SELECT pair, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM pairs GROUP BY pair),
+e AS (SELECT pair, y_id, x_id, date, y - (alpha + beta * x) AS e FROM pairs JOIN h USING (pair)),
+d AS (SELECT pair, y_id, x_id, lag(e) OVER w AS l, e - lag(e) OVER w AS d FROM e WINDOW w AS (PARTITION BY pair ORDER BY date)),
+m AS (SELECT pair, y_id, x_id, sum(l * d) AS ld, sum(l * l) AS ll, sum(d * d) AS dd, count(d) AS n FROM d GROUP BY ALL)
+SELECT pair, y_id, x_id, {num('ld / ll / sqrt((dd - ld * ld / ll) / (n - 1) / ll)', 'eg_statistic', 4)} FROM m""")
+def pair_screening_lag0(spark, sf):
+    """Engle-Granger test without lags of all pairs of brands."""
+    return shown(P.screen_pairs(V.quotes(spark, sf), most=0).select("pair", "y_id", "x_id", "eg_statistic"), 4)
+
+
 @query("pair_screening")
 def pair_screening(spark, sf):
     """Engle-Granger test of all pairs of brands, best first."""
