@@ -35,6 +35,44 @@ def test_quantiles_with_infinite_values(spark):
     assert got[:2] == [1.0, 2.0] and np.isnan(got[2])
 
 
+def test_quantiles_of_groups_and_columns(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 9000, p=[0.9, 0.09, 0.01]), "x": rng.normal(size=9000), "y": np.round(rng.exponential(size=9000), 1)})
+    pdf.loc[::11, "x"] = np.nan
+    pdf.loc[pdf.k == "c", "y"] = np.inf
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, x double, y double").repartition(5)
+    df = df.unionByName(spark.createDataFrame([(None, 1.0, 2.0), (None, None, 4.0), ("none", None, None)], df.schema))
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+
+    def check():
+        found = {(r["k"], r["column"], r["prob"]): r["value"] for r in Q.quantile_table(df, {"x": probs, "y": probs}, ["k"]).collect()}
+        for key in ("a", "b", "c"):
+            for c in ("x", "y"):
+                if (key, c) == ("c", "y"):
+                    assert all(found[key, c, p] == np.inf for p in probs)
+                else:
+                    want = np.quantile(pdf.loc[(pdf.k == key) & pdf[c].notna(), c], probs)
+                    np.testing.assert_allclose([found[key, c, p] for p in probs], want, rtol=1e-12, atol=1e-12)
+        assert found[None, "x", 0.5] == 1.0 and found[None, "y", 0.5] == 3.0 and found["none", "x", 0.5] is None
+
+    check()
+    monkeypatch.setattr(Q, "FEW_TARGETS", 0)
+    monkeypatch.setattr(Q, "SKETCH", 8)  # brackets miss and are widened
+    check()
+
+
+def test_filled_by_group_and_for_all(spark):
+    from tidemark.operators.features import fill_missing
+
+    rows = [("a", 1.0), ("a", 3.0), ("a", None), ("b", 7.0), ("b", None), (None, 9.0), (None, None), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("_fill", F.lit("kept away")).drop("_fill")
+    got = lambda out: sorted(out.collect(), key=repr)
+    by = {(r["k"], r["v"]) for r in got(fill_missing(df, "v", "median", ["k"]))}
+    assert by == {("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 7.0), (None, 9.0), ("c", None)}
+    assert {r["v"] for r in got(fill_missing(df, "v", "median"))} == {1.0, 3.0, 5.0, 7.0, 9.0}
+    assert {(r["k"], r["v"]) for r in got(fill_missing(df, "v", "mean", ["k"]))} == by
+
+
 def test_scoring_keeps_every_row(spark):
     from tidemark.operators import models as M
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from tidemark.functions import series as S
 from tidemark.functions import shapes
 from tidemark.functions.series import SERIES
 from tidemark.operators.ordering import ewm_mean
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import quantile_table
 from tidemark.operators.attach import attach_row
 
+# Names of the feature columns, which must match the published tables.
 CANDLE_FEATURES = (
     "ret_1", "ret_3", "ret_6", "vol_10", "vol_20", "rsi_14", "sma_ratio_10", "sma_ratio_20",
     "ema_ratio_12", "volume_zscore", "body_ratio", "upper_wick_ratio", "lower_wick_ratio", "momentum_streak",
@@ -109,16 +111,22 @@ def lagged_features(
 
 
 def fill_missing(df: DataFrame, col: str, with_: str | float, by: Sequence[str] = ()) -> DataFrame:
-    """Fill nulls with a constant or the full-sample ``mean``, ``std`` or ``median``.
+    """Fill nulls with a constant or the full-sample ``mean``, ``std`` or ``median``, of all rows or of the row's group.
 
-    Without ``by`` the statistic is one number for the whole table. With ``by``
-    it is a window over the group, for bars that are partitioned by it anyway.
+    Means and deviations are combined before the shuffle, medians found by
+    sketches and counts, so no task holds a group; the statistics are joined back.
     """
     if not isinstance(with_, str):
         return df.fillna({col: with_})
-    if with_ == "median" and not by:
-        return df.fillna({col: exact_quantiles(df, col, [0.5])[0]})
-    stat = {"mean": F.avg(col), "std": F.stddev_samp(col), "median": F.percentile(col, F.lit(0.5))}[with_]
-    if by:
-        return df.withColumn(col, F.coalesce(col, stat.over(Window.partitionBy(*by))))
-    return attach_row(df, df.agg(stat.alias("_fill"))).withColumn(col, F.coalesce(col, "_fill")).drop("_fill")
+    if with_ == "median":
+        stats = quantile_table(df, {col: [0.5]}, by).select(*by, F.col("value").alias("_fill"))
+    else:
+        stat = {"mean": F.avg(col), "std": F.stddev_samp(col)}[with_].alias("_fill")
+        stats = df.groupBy(*by).agg(stat)
+    if not by:
+        filled = attach_row(df, stats.agg(F.max("_fill").alias("_fill")))
+    else:
+        stats = stats.select(*[F.col(b).alias(f"_to_{b}") for b in by], "_fill")
+        same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_to_{b}")) for b in by])
+        filled = df.join(stats, same, "left").drop(*[f"_to_{b}" for b in by])
+    return filled.withColumn(col, F.coalesce(col, "_fill")).drop("_fill")
