@@ -33,6 +33,39 @@ def test_long_only_optima_satisfy_kkt(seed):
     assert (s @ mu - 0.045) / np.sqrt(s @ cov @ s) >= ((cloud @ mu - 0.045) / vols).max() - 1e-9
 
 
+@pytest.mark.parametrize("seed,n", [(0, 2), (1, 5), (2, 12), (3, 30), (4, 12)])
+def test_critical_line_equals_single_goals(seed, n):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, n)) @ rng.normal(size=(n, n)) / 4
+    mu, cov = rng.normal(0.08, 0.1, n), np.cov(x.T)
+    if seed == 4:
+        mu[1] = mu[0] = mu.max() + 0.01  # two assets share the greatest return
+    line = Pf.critical_line(mu, cov)
+    assert (np.diff(line.trade) <= 0).all() and (np.diff(line.returns) <= 1e-12).all() and line.trade[-1] == 0
+    assert np.allclose(line.weights.sum(axis=1), 1) and (line.weights >= 0).all()
+    for trade, w in zip(line.trade[1:], line.weights[1:]):
+        # stationary at its price of return: gradients are equal where held, no less elsewhere
+        grad = cov @ w - trade * mu
+        assert (grad >= grad[w > 1e-9].max() - 1e-8).all()
+    risk = lambda w: float(w @ cov @ w)
+    assert risk(line.weights[-1]) == pytest.approx(risk(Pf.min_volatility(mu, cov)), rel=1e-8)
+    for share in (0.0, 0.2, 0.5, 0.9, 1.0):
+        target = line.returns[-1] + share * (line.returns[0] - line.returns[-1])
+        w = line.at(target)
+        assert float(w @ mu) == pytest.approx(target, abs=1e-10) and risk(w) == pytest.approx(risk(Pf.at_return(mu, cov, target)), rel=1e-6)
+    best, other = line.best_ratio(mu, cov, 0.02), Pf.max_sharpe(mu, cov, 0.02)
+    ratio = lambda w: (float(w @ mu) - 0.02) / risk(w) ** 0.5
+    assert ratio(best) == pytest.approx(ratio(other), rel=1e-8)
+    assert line.best_ratio(mu, cov, mu.max()) is None
+
+
+def test_critical_line_of_one_asset_and_of_none_that_varies():
+    line = Pf.critical_line(np.array([0.1]), np.array([[0.04]]))
+    assert line.at(0.3).tolist() == line.at(-1.0).tolist() == [1.0]
+    flat = Pf.critical_line(np.array([0.1, 0.2]), np.zeros((2, 2)))
+    assert flat is None or np.allclose(flat.weights.sum(axis=1), 1)
+
+
 def test_max_sharpe_without_excess_return():
     mu, cov = moments()
     assert Pf.max_sharpe(mu * 0, cov, 0.045) is None

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -133,6 +136,97 @@ def at_return(mean: np.ndarray, cov: np.ndarray, target: float) -> np.ndarray:
     return _long_only(cov, np.vstack([np.ones(len(mean)), mean]), start)
 
 
+@dataclass
+class Frontier:
+    """The long-only efficient frontier by its turning points, from the greatest return down to the least variance.
+
+    Between two of them weights and returns are straight lines of the price of
+    return ``trade``, which falls to zero at the least variance.
+    """
+
+    trade: np.ndarray
+    weights: np.ndarray
+    returns: np.ndarray
+
+    def at(self, target: float) -> np.ndarray:
+        """Weights of the efficient portfolio with a return; the ends beyond the frontier."""
+        k = int(np.searchsorted(-self.returns, -target))
+        if k == 0 or k == len(self.returns):
+            return self.weights[min(k, len(self.returns) - 1)]
+        high, low = self.returns[k - 1], self.returns[k]
+        share = (high - target) / (high - low) if high > low else 1.0
+        return (1 - share) * self.weights[k - 1] + share * self.weights[k]
+
+    def best_ratio(self, mean: np.ndarray, cov: np.ndarray, rf: float) -> np.ndarray | None:
+        """The greatest excess return per volatility; none if no asset beats the risk-free rate.
+
+        On a segment the ratio has one stationary point, where the straight line
+        from the risk-free rate touches the parabola of the variance.
+        """
+        if not mean.max() > rf:
+            return None
+        found = [self.weights[0], self.weights[-1]]
+        for u, v in itertools.pairwise(self.weights):
+            d = v - u
+            e0, e1 = float(u @ mean) - rf, float(d @ mean)
+            q0, q1, q2 = float(u @ cov @ u), float(u @ cov @ d), float(d @ cov @ d)
+            below = e1 * q1 - e0 * q2
+            t = (e0 * q1 - e1 * q0) / below if below else 0.0
+            found.append(u + min(max(t, 0.0), 1.0) * d)
+        ratio = [(float(w @ mean) - rf) / math.sqrt(max(float(w @ cov @ w), 1e-300)) for w in found]
+        return found[int(np.argmax(ratio))]
+
+
+def critical_line(mean: np.ndarray, cov: np.ndarray) -> Frontier | None:
+    """All turning points of ``min w' cov w / 2 - trade * mean w`` over long-only weights of sum one.
+
+    While the same assets are held, their weights are ``a + trade * b``. As the
+    price of return falls, the next event is that a weight reaches zero or that
+    an asset left out is as good as those held. None if events do not come to an
+    end, as may happen without a proper covariance matrix.
+    """
+    n = len(mean)
+    top = np.flatnonzero(mean >= mean.max())
+    start = np.zeros(n)
+    start[top[int(np.argmin(np.diag(cov)[top]))]] = 1.0
+    if len(top) > 1:
+        start[top] = _long_only(cov[np.ix_(top, top)], np.ones((1, len(top))), start[top])
+    held = start > 0
+    trade, trades, points = math.inf, [], []
+    for _ in range(20 * n + 20):
+        idx = np.flatnonzero(held)
+        k = len(idx)
+        kkt = np.ones((k + 1, k + 1))
+        kkt[:k, :k], kkt[k, k] = cov[np.ix_(idx, idx)], 0.0
+        rhs = np.zeros((k + 1, 2))
+        rhs[k, 0], rhs[:k, 1] = 1.0, mean[idx]
+        solved = np.linalg.lstsq(kkt, rhs, rcond=None)[0]
+        a, b = np.zeros(n), np.zeros(n)
+        a[idx], b[idx] = solved[:k, 0], solved[:k, 1]
+        slack, slope = cov @ a + solved[k, 0], cov @ b + solved[k, 1] - mean
+        events = np.full(n, -math.inf)
+        leaves = held & (b > 1e-14)
+        events[leaves] = -a[leaves] / b[leaves]
+        enters = ~held & (slope > 1e-14)
+        events[enters] = -slack[enters] / slope[enters]
+        # An event just behind is one that rounding has put there.
+        late = events > trade
+        events[late] = np.where(events[late] <= trade * (1 + 1e-9) + 1e-12, trade, -math.inf)
+        which = int(np.argmax(events))
+        here = max(float(events[which]), 0.0)
+        weights = np.maximum(a + here * b, 0.0)
+        trades.append(here)
+        points.append(weights / weights.sum())
+        if here <= 0.0:
+            points.insert(0, start)
+            trades.insert(0, math.inf)
+            points = np.array(points)
+            return Frontier(np.array(trades), points, points @ mean)
+        held[which] = ~held[which]
+        trade = here
+    return None
+
+
 def optimize_portfolios(
     mean: DataFrame, cov: DataFrame, goals: Sequence[str] = ("max_sharpe", "min_vol"), n_frontier: int = 60,
     rf: float = RISK_FREE, basket: str = "basket",
@@ -140,48 +234,36 @@ def optimize_portfolios(
     """Best long-only portfolios of many baskets at once.
 
     The moments of a basket become two arrays (its size is the number of its
-    assets); every goal and frontier point is a row of its own, and rows are
-    solved in parallel. A basket with assets that never traded on a common date
+    assets), once; its turning points give every goal and frontier point. Baskets
+    are solved in parallel. A basket with assets that never traded on a common date
     has no covariance matrix, and one without excess return no best ratio:
     their rows come back with nulls.
     """
     vec = mean.groupBy(basket).agg(F.array_sort(F.collect_list(F.struct("series_id", "mean_return"))).alias("_m"))
     mat = cov.groupBy(basket).agg(F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("_c"))
-    goal = [F.struct(F.lit(g).alias("goal"), F.lit(0).alias("point")) for g in goals]
-    goal += [F.struct(F.lit("frontier").alias("goal"), F.lit(k).alias("point")) for k in range(n_frontier)]
-    tasks = (
-        vec.join(mat, basket)
-        .select(
-            basket, F.col("_m.series_id").alias("ids"), F.col("_m.mean_return").alias("mu"),
-            F.col("_c.value").alias("sigma"), F.explode(F.array(*goal)).alias("_g"),
-        )
-        .select(basket, "ids", "mu", "sigma", "_g.goal", "_g.point")
-    )
-    tasks = fan_out(tasks, basket, "goal", "point")
+    tasks = vec.join(mat, basket).select(basket, F.col("_m.series_id").alias("ids"), F.col("_m.mean_return").alias("mu"), F.col("_c.value").alias("sigma"))
+    tasks = fan_out(tasks, basket)
     kind = mean.schema[basket].dataType.simpleString()
+    wanted = [(g, 0) for g in goals] + [("frontier", k) for k in range(n_frontier)]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                mu = np.asarray(r.mu, dtype=float)
-                if len(r.sigma) != len(mu) ** 2:
-                    out.append((getattr(r, basket), r.goal, int(r.point), None, None, None, None))
-                    continue
-                sigma = np.asarray(r.sigma, dtype=float).reshape(len(mu), len(mu))
-                if r.goal == "max_sharpe":
-                    w = max_sharpe(mu, sigma, rf)
-                elif r.goal == "min_vol":
-                    w = min_volatility(mu, sigma)
-                else:
-                    low = float(min_volatility(mu, sigma) @ mu)
-                    share = r.point / max(n_frontier - 1, 1)
-                    w = at_return(mu, sigma, low + share * (float(mu.max()) - low))
-                if w is None:
-                    out.append((getattr(r, basket), r.goal, int(r.point), None, None, None, None))
-                    continue
-                ret, vol = float(w @ mu), float(np.sqrt(max(w @ sigma @ w, 0.0)))
-                out.append((getattr(r, basket), r.goal, int(r.point), ret, vol, (ret - rf) / vol if vol else None, dict(zip(r.ids, w.tolist()))))
+            for name, ids, mu, sigma in zip(pdf[basket], pdf["ids"], pdf["mu"], pdf["sigma"]):
+                mu, sigma = np.asarray(mu, dtype=float), np.asarray(sigma, dtype=float)
+                line = critical_line(mu, sigma.reshape(len(mu), len(mu))) if len(sigma) == len(mu) ** 2 else None
+                for goal, point in wanted:
+                    w = None
+                    if line is not None:
+                        sigma = sigma.reshape(len(mu), len(mu))
+                        low, high = float(line.returns[-1]), float(mu.max())
+                        share = point / max(n_frontier - 1, 1)
+                        w = line.best_ratio(mu, sigma, rf) if goal == "max_sharpe" else line.weights[-1] if goal == "min_vol" else line.at(low + share * (high - low))
+                    if w is None:
+                        out.append((name, goal, point, None, None, None, None))
+                        continue
+                    ret, vol = float(w @ mu), float(np.sqrt(max(w @ sigma @ w, 0.0)))
+                    out.append((name, goal, point, ret, vol, (ret - rf) / vol if vol else None, dict(zip(ids, w.tolist()))))
             yield pd.DataFrame(out, columns=[basket, "goal", "point", "ret", "vol", "sharpe", "weights"])
 
     return tasks.mapInPandas(solve, f"{basket} {kind}, goal string, point int, ret double, vol double, sharpe double, weights map<string,double>")
