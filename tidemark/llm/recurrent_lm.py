@@ -32,13 +32,15 @@ TABLE = 1 << 18
 CLASSES = 48
 HIDDEN = 16
 #: Steps that an error is carried back over.
-WINDOW = 32
+WINDOW = 16
 #: Texts that run side by side.
-LANES = 256
+LANES = 512
 #: Words held by a task at once (or one longer text).
 WORDS_AT_ONCE = 1 << 22
 ROUNDS = 4
 RATE = 0.15
+#: Largest score whose exponential is safe in single precision without a shift.
+SAFE = 60.0
 #: Tasks' weights are first added in so many groups.
 GROUPS = 32
 
@@ -79,9 +81,11 @@ class Vocabulary:
     head: int
     bounds: np.ndarray = field(init=False)
     by_term: np.ndarray = field(init=False)
+    sorted_terms: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.by_term = np.argsort(self.terms)
+        self.sorted_terms = self.terms[self.by_term]
         share = np.cumsum(self.counts[: self.head]) - self.counts[: self.head]
         of_class = share * CLASSES // max(1, int(self.counts[: self.head].sum()))
         self.bounds = np.append(np.flatnonzero(np.diff(of_class, prepend=-1)), self.head)
@@ -103,8 +107,8 @@ class Vocabulary:
         """Ranks of terms, -1 for what the table does not hold."""
         if not len(self.terms):
             return np.full(len(terms), -1)
-        at = self.by_term[np.minimum(np.searchsorted(self.terms, terms, sorter=self.by_term), len(self.terms) - 1)]
-        return np.where(self.terms[at] == terms, at, -1)
+        at = np.minimum(np.searchsorted(self.sorted_terms, terms), len(self.terms) - 1)
+        return np.where(self.sorted_terms[at] == terms, self.by_term[at], -1)
 
 
 def smoothed(count, total: int, different: int):
@@ -184,8 +188,9 @@ class Network:
         out.x[:] = draw.normal(0, 0.6, out.x.shape)
         out.u[:] = draw.normal(0, hidden**-0.5, out.u.shape)
         counts = np.append(vocabulary.counts[: vocabulary.head], vocabulary.rare()[0]) + 0.5
-        out.bo[:] = np.log(counts)
-        out.bc[:] = np.log(np.bincount(out.of_class, counts))
+        of_class = np.bincount(out.of_class, counts)
+        out.bo[:] = np.log(counts / (of_class / np.bincount(out.of_class))[out.of_class])
+        out.bc[:] = np.log(of_class / of_class.sum())
         return out
 
     def run(self, ids: np.ndarray, keep: np.ndarray, state: np.ndarray, memory: list | None = None) -> np.ndarray:
@@ -208,12 +213,11 @@ class Network:
         """Natural logarithms of the probability of each word after its state; gradients of their sum, negated, into ``grads``."""
         kinds = self.of_class[ids]
         scores = states @ self.wc.T + self.bc
-        scores -= scores.max(axis=1, keepdims=True)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(axis=1, keepdims=True)
-        rows = np.arange(len(ids))
-        out = np.log(scores[rows, kinds])
+        safe, ones, rows = self._safe(), np.ones(max(len(self.bounds), len(self.of_class)), dtype=np.float32), np.arange(len(ids))
+        total = self._exponentials(scores, safe, ones)
+        out = np.log(scores[rows, kinds] / total)
         if grads is not None:
+            scores *= (1.0 / total)[:, None]
             scores[rows, kinds] -= 1.0
             grads["wc"], grads["bc"], back = scores.T @ states, scores.sum(axis=0), scores @ self.wc
             grads["wo"], grads["bo"] = np.zeros_like(self.wo), np.zeros_like(self.bo)
@@ -224,20 +228,33 @@ class Network:
             at = order[edges[k] : edges[k + 1]]
             if b - a < 2 or not len(at):
                 continue
-            mine, rows = states[at], np.arange(len(at))
+            mine, rows, own = states[at], np.arange(len(at)), ids[at] - a
             scores = mine @ self.wo[a:b].T + self.bo[a:b]
-            scores -= scores.max(axis=1, keepdims=True)
-            np.exp(scores, out=scores)
-            scores /= scores.sum(axis=1, keepdims=True)
-            out[at] += np.log(scores[rows, ids[at] - a])
+            total = self._exponentials(scores, safe, ones)
+            out[at] += np.log(scores[rows, own] / total)
             if grads is not None:
-                scores[rows, ids[at] - a] -= 1.0
+                scores *= (1.0 / total)[:, None]
+                scores[rows, own] -= 1.0
                 grads["wo"][a:b], grads["bo"][a:b] = scores.T @ mine, scores.sum(axis=0)
                 back[at] += scores @ self.wo[a:b]
         if grads is not None:
             grads["states"] = back
         return out
 
+    def _safe(self) -> bool:
+        """Whether no score can leave single precision: states lie in (-1, 1), so the weights bound them."""
+        return max(float((np.abs(w).sum(axis=1) + np.abs(shift)).max()) for w, shift in ((self.wc, self.bc), (self.wo, self.bo))) < SAFE
+
+    @staticmethod
+    def _exponentials(scores: np.ndarray, safe: bool, ones: np.ndarray) -> np.ndarray:
+        """Exponentiate scores in place and return their sums."""
+        if not safe:
+            # The least probability keeps a logarithm.
+            scores -= scores.max(axis=1, keepdims=True)
+            np.maximum(scores, -SAFE, out=scores)
+        np.exp(scores, out=scores)
+        return scores @ ones[: scores.shape[1]]
+
     def backward(self, ids: np.ndarray, keep: np.ndarray, before: np.ndarray, memory: list, grads: dict, back: np.ndarray) -> None:
         """Carry errors of the states back through a window, into the gradients of inputs and recurrence."""
         h, (steps, lanes) = self.hidden, ids.shape
@@ -418,7 +435,8 @@ def score_texts(docs: DataFrame, learn: Column | None = None, **settings) -> Dat
 
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((network.bounds, network.of_class, network.hidden, network.values))
-    settings = {"window": WINDOW, "lanes": LANES, "words": WORDS_AT_ONCE} | settings
+    # Only states are kept from step to step here, so windows and lanes are as wide as memory likes.
+    settings = {"words": settings.get("words", WORDS_AT_ONCE), "window": 2 * settings.get("window", WINDOW), "lanes": 2 * settings.get("lanes", LANES)}
     likelihoods = encoded.select("row", "ids").mapInArrow(_likelihoods(sent, settings), "row long, logp double")
     others = encoded.select("row", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
     others = others.join(counts, "term", "left").groupBy("row").agg(
