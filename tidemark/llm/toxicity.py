@@ -39,32 +39,42 @@ def _letters() -> np.ndarray:
 
 
 class Terms:
-    """Distinct hashed terms of the texts of a slice, as (text, bucket) pairs."""
+    """Distinct hashed terms of the texts of a slice, as (text, bucket) pairs, or (text, slot) of the buckets that have one.
 
-    def __init__(self) -> None:
-        self.parts, self.lower = _letters(), lower_table()
+    Terms are looked up once for each different word of the slice, whatever the
+    number of texts it stands in.
+    """
+
+    def __init__(self, slot: np.ndarray | None = None) -> None:
+        self.parts, self.lower, self.slot = _letters(), lower_table(), slot
+
+    def _placed(self, buckets: np.ndarray) -> np.ndarray:
+        return buckets if self.slot is None else np.where(buckets >= 0, self.slot[buckets], -1)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        small = self.lower[data]
-        words = Words(small, offsets, self.parts)
+        words = Words(self.lower[data], offsets, self.parts)
         n = len(words.count)
-        text = np.repeat(np.arange(n), words.count)
-        keys, at = np.unique(text * BUCKETS + (words.hash >> U64(46)).astype(np.int64), return_index=True)
+        kinds, first, kind = np.unique(words.hash, return_index=True, return_inverse=True)
+        pairs = np.unique(np.repeat(np.arange(n), words.count) * max(len(kinds), 1) + kind)
+        size, at = (words.end - words.start)[first], words.at[first]
+        table = np.full((len(kinds), 1 + len(PREFIXES)), -1, dtype=np.int64)
+        table[:, 0] = (kinds >> U64(46)).astype(np.int64)
+        for j, letters in enumerate(PREFIXES, 1):
+            longer = size > letters
+            begin = at[longer]
+            hashes = scramble(words.sums[begin + letters] - words.sums[begin] + U64(letters * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            table[longer, j] = (hashes >> U64(46)).astype(np.int64)
+        terms = self._placed(table)[pairs % max(len(kinds), 1)]
+        keys = ((pairs // max(len(kinds), 1) * BUCKETS)[:, None] + terms)[terms >= 0]
         found = [keys]
-        start, end, text = words.start[at], words.end[at], text[at]
-        for size in PREFIXES:
-            longer = end - start > size
-            first = words.at[at[longer]]
-            hashes = scramble(words.sums[first + size] - words.sums[first] + U64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            found.append(np.unique(text[longer] * BUCKETS + (hashes >> U64(46)).astype(np.int64)))
         # Shouting: how much of the text is upper case, and exclamation marks, in four steps each.
         upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
         marks = np.concatenate([[0], np.cumsum(data == 33)])
         size = np.maximum(np.diff(offsets), 1)
         for seed, total in ((17, upper), (19, marks)):
             step = np.minimum(3, np.diff(total[offsets]) * 8 // size)
-            bucket = (random_values(4, seed) >> U64(46)).astype(np.int64)
-            found.append(np.arange(n) * BUCKETS + bucket[step])
+            bucket = self._placed((random_values(4, seed) >> U64(46)).astype(np.int64))[step]
+            found.append((np.arange(n) * BUCKETS + bucket)[bucket >= 0])
         keys = np.unique(np.concatenate(found))
         return keys // BUCKETS, keys % BUCKETS
 
@@ -102,31 +112,35 @@ class Machine:
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int, rate: float = 0.1, shrink: float = 1e-4) -> None:
         """AdaGrad over 64 documents at a time, each with distinct terms."""
+        terms, sizes = np.concatenate([*docs, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.array([len(d) for d in docs], dtype=np.int64)
         g_bias, g_weight, g_factor = 1e-2, np.full(len(self.weight), 1e-2, dtype=np.float32), np.full(self.factor.shape, 1e-2, dtype=np.float32)
         place, seen = np.zeros(len(self.weight), dtype=np.int64), np.zeros(len(self.weight), dtype=bool)
+        starts = np.cumsum(sizes) - sizes
         for epoch in range(epochs):
-            order = np.argsort(random_values(len(docs), seed * 131 + epoch))
+            order = np.argsort(random_values(len(sizes), seed * 131 + epoch))
             for part in np.array_split(order, max(1, len(order) // 64)):
-                term = np.concatenate([docs[i] for i in part])
-                doc = np.repeat(np.arange(len(part)), [len(docs[i]) for i in part])
+                doc = np.repeat(np.arange(len(part)), sizes[part])
+                term = terms[np.arange(len(doc)) + np.repeat(starts[part] - (np.cumsum(sizes[part]) - sizes[part]), sizes[part])]
                 seen[term] = True
                 touched = np.flatnonzero(seen)
                 seen[touched] = False
                 place[touched] = np.arange(len(touched))
-                has = np.zeros((len(part), len(touched)), dtype=np.float32)
-                has[doc, place[term]] = 1
+                local = place[term]
                 weight, factor = self.weight[touched], self.factor[touched]
-                sums = has @ factor
-                score = self.bias + has @ weight + 0.5 * ((sums**2).sum(axis=1) - has @ (factor**2).sum(axis=1))
+                own = factor[local]
+                sums = np.stack([np.bincount(doc, own[:, f], len(part)) for f in range(FACTORS)], axis=1)
+                squares = np.bincount(doc, np.einsum("tf,tf->t", own, own), len(part))
+                score = self.bias + np.bincount(doc, weight[local], len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
                 error = ((1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / len(part)).astype(np.float32)
                 self.bias -= rate * float(error.sum()) / (g_bias := g_bias + float(error.sum()) ** 2) ** 0.5
                 if not len(term):
                     continue
-                each = error @ has
+                each = np.bincount(local, error[doc], len(touched)).astype(np.float32)
                 grad = each + shrink * weight
                 g_weight[touched] = total = g_weight[touched] + grad**2
                 self.weight[touched] = weight - rate * grad / np.sqrt(total)
-                grad = has.T @ (error[:, None] * sums) - each[:, None] * factor + shrink * factor
+                pull = (error[:, None] * sums).astype(np.float32)
+                grad = np.stack([np.bincount(local, pull[doc, f], len(touched)) for f in range(FACTORS)], axis=1).astype(np.float32) - each[:, None] * factor + shrink * factor
                 g_factor[touched] = total = g_factor[touched] + grad**2
                 self.factor[touched] = factor - rate * grad / np.sqrt(total)
 
@@ -218,14 +232,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
 def _score(machine: Machine | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+        terms = Terms(machine.slot if machine is not None else None)
         for rows, data, offsets in text_slices(batches):
             n = rows.num_rows
             score = np.zeros(n)
             if machine is not None:
-                text, bucket = terms(data, offsets)
-                slot = machine.slot[bucket]
-                raw, _ = machine.raw(text[slot >= 0], slot[slot >= 0], n)
+                raw, _ = machine.raw(*terms(data, offsets), n)
                 score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
             rows = rows.append_column("score", pa.array(score))
             yield rows.select([c for c in rows.schema.names if c != "text"])
@@ -260,12 +272,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 def _keep(machine: Machine | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+        terms = Terms(machine.slot if machine is not None else None)
         for rows, data, offsets in text_slices(batches):
             if machine is not None:
-                text, bucket = terms(data, offsets)
-                slot = machine.slot[bucket]
-                raw, _ = machine.raw(text[slot >= 0], slot[slot >= 0], rows.num_rows)
+                raw, _ = machine.raw(*terms(data, offsets), rows.num_rows)
                 rows = rows.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < threshold))
             yield rows
 
