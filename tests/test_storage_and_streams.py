@@ -1,4 +1,6 @@
-from datetime import timedelta
+
+
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,37 @@ def test_history_appends_and_finds_the_latest(spark):
     assert W.append_run(spark.createDataFrame([("a", 1.0)], "strategy string, sharpe double"), work_path(spark, "u"), "uuid").isalnum()
 
 
+def test_writers_at_the_same_time_get_different_run_ids(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = work_path(spark, "shared-history")
+    rows = spark.createDataFrame([("a", 1.0)], "strategy string, sharpe double")
+    with ThreadPoolExecutor(6) as pool:
+        ids = list(pool.map(lambda _: W.append_run(rows, table), range(6)))
+    assert sorted(ids) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r[0] for r in spark.read.parquet(table).select("run_id").collect()) == sorted(ids)
+    # A number that was reserved by a writer that failed is not used again.
+    assert W.reserve_run_id(spark, table) == 7 and W.append_run(rows, table) == 8
+
+
+def test_late_rows_per_batch(spark):
+    t0 = datetime(2024, 1, 1)
+    folder, path, checkpoint = (work_path(spark, n) for n in ("late-in", "late-table", "late-check"))
+    schema = "series_id string, ts timestamp"
+    batches = [
+        [("a", t0), ("a", t0 + timedelta(minutes=30)), ("b", t0 + timedelta(minutes=5))],
+        [("a", t0 + timedelta(minutes=1)), ("a", t0 + timedelta(minutes=19)), ("a", t0 + timedelta(minutes=20)), ("b", t0)],
+        [("b", t0 + timedelta(minutes=18, seconds=59))],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        Sb.count_late_rows(stream, path, checkpoint, "1 minute", "10 minutes")
+    found = {(r["series_id"], r["batch_id"]): (r["n_rows"], r["n_late"]) for r in spark.read.parquet(path).collect()}
+    # The mark stands at 20 minutes after the first batch: windows that end by then are closed.
+    assert found == {("a", 0): (2, 0), ("b", 0): (1, 0), ("a", 1): (3, 2), ("b", 1): (1, 1), ("b", 2): (1, 1)}
+
+
 def test_upsert_replaces_only_its_keys(spark):
     table = work_path(spark, "u")
     W.upsert_by_key(spark.createDataFrame([(1, 0.5), (5, 0.6)], "horizon int, rmse double"), table, ["horizon"])

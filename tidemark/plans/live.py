@@ -59,20 +59,26 @@ def streamed_trade_bars(spark, sf):
     return shown(stored(spark, bars, "stream-bars"))
 
 
-@query("streamed_late_trades", f"""WITH {TICK_SQL}, {BARS_SQL}
-SELECT series_id, {day('bin', 'bin')}, {nums('vwap trade_volume signed_volume')}, {num('signed_volume / nullif(trade_volume, 0)', 'trade_flow_imbalance')} FROM sbars WHERE {CLOSED}""")
+@query("streamed_late_trades", f"""WITH {TICK_SQL}, {BARS_SQL},
+late AS (SELECT series_id, count(*) AS n FROM tick WHERE ts < (SELECT min(ts) FROM tick) + INTERVAL 1 DAY
+  AND date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR <= (SELECT mark FROM done) GROUP BY series_id)
+SELECT series_id, {day('bin', 'bin')}, {nums('vwap trade_volume signed_volume')}, {num('signed_volume / nullif(trade_volume, 0)', 'trade_flow_imbalance')}, coalesce(n, 0)::BIGINT AS n_late
+FROM sbars LEFT JOIN late USING (series_id) WHERE {CLOSED}""")
 def streamed_late_trades(spark, sf):
-    """All ticks, then those of the first day once more: too late to change any bar."""
+    """All ticks, then those of the first day once more: too late to change any bar, and counted per series."""
     ticks = as_ticks(V.table(spark, sf, "events"))
-    folder, out, checkpoint = (work_path(spark, n) for n in ("late-ticks", "late-bars", "late-checkpoint"))
+    folder, out, checkpoint, counts, counted = (work_path(spark, n) for n in ("late-ticks", "late-bars", "late-checkpoint", "late-counts", "late-counted"))
     ticks.write.parquet(folder)
     stream = spark.readStream.schema(ticks.schema).parquet(folder)
     bars = Sb.flat_window(Sb.stream_trade_bars(stream, "1 hour"))
-    Sb.run_available(bars, out, checkpoint)
     first = ticks.agg(F.min("ts").alias("start"))
-    attach_row(ticks, first).filter("ts < start + INTERVAL 1 DAY").drop("start").write.mode("append").parquet(folder)
-    Sb.run_available(bars, out, checkpoint)
-    return shown(spark.read.parquet(out))
+    for again in (False, True):
+        if again:
+            attach_row(ticks, first).filter("ts < start + INTERVAL 1 DAY").drop("start").write.mode("append").parquet(folder)
+        Sb.run_available(bars, out, checkpoint)
+        Sb.count_late_rows(stream, counts, counted, "1 hour")
+    late = spark.read.parquet(counts).groupBy("series_id").agg(F.sum("n_late").alias("n_late"))
+    return shown(spark.read.parquet(out).join(late, "series_id"))
 
 
 @query("streamed_depth_bars", f"""WITH {TICK_SQL}, {BOOK_SQL}

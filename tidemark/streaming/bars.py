@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.series import SERIES, ratio
 from tidemark.functions.shapes import imbalance
@@ -71,5 +72,35 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark."""
+    """Groups of rows dropped because they came after the watermark; Spark counts them after its partial sums."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def count_late_rows(
+    stream: DataFrame, path: str, checkpoint: str, every: str = "1 minute", watermark: str = "10 minutes", by: Sequence[str] = SERIES, ts: str = "ts",
+) -> StreamingQuery:
+    """Keep a table of how many rows of each batch came too late for their window: (by, batch_id, n_rows, n_late, newest).
+
+    The watermark of a batch is the newest time of all batches before it less the
+    bound on lateness, which the table itself gives; a row is late if its window
+    ends by then. That is what a windowed aggregate with the same bound and
+    batches drops. Each batch is a partition of the table, written anew if the
+    batch is run again.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            before = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        except AnalysisException:
+            before = None
+        end = F.window(ts, every)["end"]
+        mark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        late = F.coalesce(end <= mark, F.lit(False))
+        counts = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(late, 1)).alias("n_late"), F.max(ts).alias("newest"))
+        counts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).select(*by, ts)
+    query = timed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
