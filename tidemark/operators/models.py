@@ -45,12 +45,14 @@ def classifier(kind: str, label: str, n_rows: int | None = None, n_features: int
     if kind == "logistic":
         # An L2 penalty of C = 1 on the summed loss is 1 / n on the mean loss.
         reg = params.pop("regParam", 1.0 / n_rows if n_rows else 0.0)
-        return C.LogisticRegression(regParam=reg, standardization=False, maxIter=params.pop("maxIter", 100), **common, **params)
+        family = "multinomial" if n_classes > 2 else "auto"
+        return C.LogisticRegression(regParam=reg, standardization=False, maxIter=params.pop("maxIter", 100), family=family, **common, **params)
     if kind == "boosted_trees":
         defaults = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
         return C.GBTClassifier(**common, **{**defaults, **params})
     if kind == "random_forest":
-        return C.RandomForestClassifier(**common, **{"numTrees": 300, "seed": 42, **params})
+        # Trees without a limit: 30 is the deepest that Spark grows.
+        return C.RandomForestClassifier(**common, **{"numTrees": 300, "maxDepth": 30, "seed": 42, **params})
     if kind == "dense_net":
         layers = params.pop("layers", [n_features, 64, 32, n_classes])
         return C.MultilayerPerceptronClassifier(layers=layers, **common, **{"seed": 42, "maxIter": 100, **params})

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.shapes import polarity, top_label
 from tidemark.operators.attach import attach_row
-from tidemark.session import materialised
+from tidemark.session import dealt_out, materialised
 
 # A token is a run of letters, digits or underscores of this length.
 NOT_TOKEN = r"[^\p{L}\p{N}_]+"
 SHORTEST = 2
+#: Rows of a word and a number up to which a side is sent to every task.
+FEW_ROWS = 1_000_000
 # Report order of the sentiment categories.
 CATEGORY_ORDER = ("negative", "neutral", "positive")
 
@@ -38,14 +44,43 @@ def ngrams(words: Column, ngram: tuple[int, int] = (1, 2)) -> Column:
     return F.concat(*parts)
 
 
-def term_rows(df: DataFrame, text: str, keys: Sequence[str], ngram: tuple[int, int]) -> DataFrame:
-    return df.select(*keys, tokens(F.col(text)).alias("_w")).select(*keys, F.explode(ngrams(F.col("_w"), ngram)).alias("term"))
+def tokenised(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """The words of every text, written once for the passes that read them."""
+    return materialised(dealt_out(df.select(*keys, text)).select(*keys, tokens(F.col(text)).alias("words")), "words")
+
+
+def term_rows(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int]) -> DataFrame:
+    return words.select(*keys, F.explode(ngrams(F.col("words"), ngram)).alias("term"))
+
+
+def sent(side: DataFrame, rows: int) -> DataFrame:
+    """A side of at most so many short rows, broadcast if that is few enough."""
+    return F.broadcast(side) if rows <= FEW_ROWS else side
+
+
+def top_terms(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int], max_features: int) -> DataFrame:
+    counts = term_rows(words, keys, ngram).groupBy("term").agg(F.count(F.lit(1)).alias("n_total"))
+    return counts.orderBy(F.col("n_total").desc(), "term").limit(max_features)
 
 
 def vocabulary(df: DataFrame, text: str, keys: Sequence[str], ngram: tuple[int, int] = (1, 2), max_features: int = 500) -> DataFrame:
     """The most frequent terms of the corpus; equal counts in alphabetical order."""
-    counts = term_rows(df, text, keys, ngram).groupBy("term").agg(F.count(F.lit(1)).alias("n_total"))
-    return counts.orderBy(F.col("n_total").desc(), "term").limit(max_features)
+    return top_terms(tokenised(df, text, keys), keys, ngram, max_features)
+
+
+def document_frequencies(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int], max_features: int) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) of the vocabulary, and its terms counted per document, both written."""
+    vocab = materialised(top_terms(words, keys, ngram, max_features).select("term"), "vocabulary")
+    counts = materialised(term_counts(words, vocab, keys, ngram, max_features), "term-counts")
+    doc_freq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    n_docs = words.agg(F.count(F.lit(1)).alias("_n"))
+    idf = attach_row(doc_freq, n_docs).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+    return materialised(idf, "idf"), counts
+
+
+def term_counts(words: DataFrame, vocab: DataFrame, keys: Sequence[str], ngram: tuple[int, int], max_features: int) -> DataFrame:
+    kept = term_rows(words, keys, ngram).join(sent(vocab.select("term"), max_features), "term")
+    return kept.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n_in_doc"))
 
 
 def tfidf(
@@ -54,30 +89,45 @@ def tfidf(
 ) -> DataFrame:
     """Unit-length TF-IDF weights, long: ``keys, term, n_in_doc, idf, weight``.
 
-    ``idf = ln((1 + n) / (1 + df)) + 1`` over the documents of ``fit_on``. The
-    vocabulary has at most ``max_features`` rows, which is why it is sent to
-    every task and terms outside it are dropped before anything is shuffled.
+    ``idf = ln((1 + n) / (1 + df)) + 1`` over the documents of ``fit_on``. Texts
+    are split into words once. The vocabulary has at most ``max_features`` rows;
+    terms outside it are dropped before anything but counts is shuffled.
     """
     keys = list(keys)
-    train = df if fit_on is None else fit_on
-    vocab = vocabulary(train, text, keys, ngram, max_features).select("term")
-
-    def counts(d: DataFrame) -> DataFrame:
-        kept = term_rows(d, text, keys, ngram).join(F.broadcast(vocab), "term")
-        return kept.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n_in_doc"))
-
-    n_docs = train.agg(F.count(F.lit(1)).alias("_n"))
-    train_counts = materialised(counts(train), "term-counts")
-    doc_freq = train_counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = attach_row(doc_freq, n_docs).select(
-        "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf")
-    )
-    rows = train_counts if fit_on is None else counts(df)
-    raw = rows.join(F.broadcast(idf), "term").withColumn("_raw", F.col("n_in_doc") * F.col("idf"))
+    words = tokenised(df, text, keys)
+    train = words if fit_on is None else tokenised(fit_on, text, keys)
+    idf, counts = document_frequencies(train, keys, ngram, max_features)
+    rows = counts if fit_on is None else term_counts(words, idf, keys, ngram, max_features)
+    raw = rows.join(sent(idf, max_features), "term").withColumn("_raw", F.col("n_in_doc") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", "n_in_doc", "idf", (F.col("_raw") / norm).alias("weight"))
 
 
+def tfidf_vectors(
+    df: DataFrame, text: str, keys: Sequence[str] = ("doc_id",), ngram: tuple[int, int] = (1, 2), max_features: int = 500,
+    fit_on: DataFrame | None = None, out: str = "features",
+) -> tuple[DataFrame, list[str]]:
+    """``df`` with sparse unit-length TF-IDF vectors, and the terms their places stand for, in alphabetical order.
+
+    Counting, weighting and scaling are Spark ML's own transformers on sparse
+    vectors. A null text, or one without a word of the vocabulary, is all zeros.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    keys = list(keys)
+    train = tokenised(df if fit_on is None else fit_on, text, keys)
+    idf, _ = document_frequencies(train, keys, ngram, max_features)
+    terms = {r["term"]: r["idf"] for r in idf.orderBy("term").collect()}
+    grams = F.coalesce(ngrams(tokens(F.col(text)), ngram), F.array().cast("array<string>"))
+    rows = dealt_out(df).withColumn("_grams", grams)
+    if not terms:
+        return rows.withColumn(out, F.lit(None)).drop("_grams"), []
+    counted = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_grams", outputCol="_counts", minTF=1.0).transform(rows)
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(list(terms.values())), inputCol="_counts", outputCol="_raw").transform(counted)
+    return Normalizer(p=2.0, inputCol="_raw", outputCol=out).transform(weighted).drop("_grams", "_counts", "_raw"), list(terms)
+
+
 def as_vectors(weights: DataFrame, vocab: DataFrame, keys: Sequence[str], out: str = "features") -> DataFrame:
     """One vector per document; term numbers follow the alphabet of the bounded vocabulary."""
     from pyspark.ml.functions import array_to_vector
@@ -98,25 +148,49 @@ def lexicon_probs(df: DataFrame, text: str, lexicon: DataFrame, keys: Sequence[s
     """Class probabilities from a lexicon ``(word, weight)`` of signed weights.
 
     The shares of positive and negative weight per token go through a softmax
-    together with the rest. Spark chooses the join by the lexicon's size;
-    words are counted per document first.
+    together with the rest. A lexicon of at most ``FEW_ROWS`` words is looked up
+    where the text is, in Arrow batches, so neither words nor texts are shuffled;
+    of a longer one the words are counted per document and joined.
     """
     keys = list(keys)
-    words = term_rows(df, text, keys, (1, 1)).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-    hits = words.join(lexicon.select(F.col("word").alias("term"), F.col("weight").alias("_w")), "term", "left")
-    w = F.coalesce("_w", F.lit(0.0)) * F.col("_n")
-    sums = hits.groupBy(*keys).agg(
-        F.sum(F.greatest(w, F.lit(0.0))).alias("_pos"), F.sum(F.greatest(-w, F.lit(0.0))).alias("_neg"), F.sum("_n").alias("_all")
-    )
-    joined = df.join(sums, keys, "left")
-    pos = F.coalesce(F.col("_pos") / F.col("_all"), F.lit(0.0))
-    neg = F.coalesce(F.col("_neg") / F.col("_all"), F.lit(0.0))
+    merged = materialised(lexicon.groupBy("word").agg(F.sum("weight").cast("double").alias("weight")), "lexicon")
+    if merged.count() <= FEW_ROWS:
+        joined = dealt_out(df).withColumn("_sums", _lexicon_sums(merged)(tokens(F.col(text)))).select(*df.columns, "_sums._pos", "_sums._neg", "_sums._all")
+    else:
+        counted = term_rows(tokenised(df, text, keys), keys, (1, 1)).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
+        hits = counted.join(merged.select(F.col("word").alias("term"), F.col("weight").alias("_w")), "term", "left")
+        w = F.coalesce("_w", F.lit(0.0)) * F.col("_n")
+        sums = hits.groupBy(*keys).agg(
+            F.sum(F.greatest(w, F.lit(0.0))).alias("_pos"), F.sum(F.greatest(-w, F.lit(0.0))).alias("_neg"), F.sum("_n").alias("_all")
+        )
+        joined = df.join(sums, keys, "left")
+    pos = F.when(F.col("_all") > 0, F.col("_pos") / F.col("_all")).otherwise(0.0)
+    neg = F.when(F.col("_all") > 0, F.col("_neg") / F.col("_all")).otherwise(0.0)
     e = {"negative": F.exp(neg), "neutral": F.exp(1 - pos - neg), "positive": F.exp(pos)}
     total = e["negative"] + e["neutral"] + e["positive"]
     pairs = [x for name in CATEGORY_ORDER for x in (F.lit(name), e[name] / total)]
     return joined.withColumn(out, F.create_map(*pairs)).drop("_pos", "_neg", "_all")
 
 
+def _lexicon_sums(lexicon: DataFrame) -> Callable[[Column], Column]:
+    """Column function: sums of positive and negative weights, and the number, of an array of words."""
+    table = lexicon.orderBy("word").toArrow()
+    shared = lexicon.sparkSession.sparkContext.broadcast((table.column("word").combine_chunks(), table.column("weight").to_numpy()))
+
+    @F.pandas_udf("_pos double, _neg double, _all long")
+    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known, weights = shared.value
+        for words in batches:
+            lists = pa.array(words, pa.list_(pa.string()))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            w = np.where(at >= 0, weights[np.maximum(at, 0)], 0.0) if len(weights) else np.zeros(len(at))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            yield pd.DataFrame({"_pos": np.bincount(row, np.maximum(w, 0.0), len(sizes)), "_neg": np.bincount(row, np.maximum(-w, 0.0), len(sizes)), "_all": sizes})
+
+    return sums
+
+
 def score_text(
     df: DataFrame, text: str, scorer: DataFrame | Callable, keys: Sequence[str] = ("doc_id",), labels: Sequence[str] = CATEGORY_ORDER,
     batch_size: int = 16,

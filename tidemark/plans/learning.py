@@ -112,18 +112,40 @@ def walk_forward_model(spark, sf):
     return shown(attach_row(fold, overall))
 
 
+def text_vectors(spark, sf):
+    """Labelled texts as sparse TF-IDF vectors, fitted on the training rows, in three classes: toxic, poor, good."""
+    docs = V.texts(spark, sf).filter(F.col("quality").isNotNull())
+    category = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    parts = materialised(splits.stratified_split(docs.withColumn("category", category), "category", ["doc_id"]), "texts")
+    vectors, terms = Tx.tfidf_vectors(parts, "headline", fit_on=parts.filter("split = 'train'"))
+    rows = vectors.select("doc_id", "split", F.col("quality").cast("double").alias("quality"), F.col("category").cast("double").alias("category"), "features")
+    return materialised(rows, "vectors"), terms
+
+
+def _text_metrics(spark, sf, kind, label="category", classes=(0, 1, 2), **params):
+    rows, terms = text_vectors(spark, sf)
+    train = rows.filter("split = 'train'").select("features", label)
+    model = M.classifier(kind, label, train.count(), len(terms), len(classes), **params).fit(train)
+    scored = model.transform(rows.filter("split = 'test'")).withColumn("guess", F.col("prediction").cast("int"))
+    return E.multiclass_metrics(scored, label, "guess", list(classes))
+
+
 @query("text_quality_forest")
 def text_quality_forest(spark, sf):
-    """Random forest on TF-IDF vectors of the labelled texts, held-out metrics."""
-    docs = V.texts(spark, sf).filter(F.col("quality").isNotNull())
-    parts = materialised(splits.stratified_split(docs, "quality", ["doc_id"]), "texts")
-    train = parts.filter("split = 'train'")
-    vocab = Tx.vocabulary(train, "headline", ["doc_id"])
-    vectors = Tx.as_vectors(Tx.tfidf(parts, "headline", fit_on=train), vocab, ["doc_id"])
-    rows = materialised(parts.join(vectors, "doc_id").select("doc_id", "split", F.col("quality").cast("double").alias("quality"), "features"), "vectors")
-    model = M.classifier("random_forest", "quality").fit(rows.filter("split = 'train'"))
-    scored = model.transform(rows.filter("split = 'test'"))
-    return shown(E.multiclass_metrics(scored.withColumn("guess", F.col("prediction").cast("int")), "quality", "guess", [0, 1]))
+    """Random forest without a limit of depth on TF-IDF vectors of the labelled texts, held-out metrics."""
+    return shown(_text_metrics(spark, sf, "random_forest", "quality", (0, 1)))
+
+
+@query("text_category_logistic")
+def text_category_logistic(spark, sf):
+    """Multinomial logistic regression on sparse TF-IDF vectors, held-out metrics."""
+    return shown(_text_metrics(spark, sf, "logistic"))
+
+
+@query("text_category_dense_net")
+def text_category_dense_net(spark, sf):
+    """A dense head of 64 and 32 units on TF-IDF vectors, held-out metrics."""
+    return shown(_text_metrics(spark, sf, "dense_net"))
 
 
 @query("parameter_search")

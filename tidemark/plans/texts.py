@@ -25,6 +25,17 @@ def tfidf(spark, sf):
     return shown(X.tfidf(V.texts(spark, sf), "headline"))
 
 
+@query("tfidf_vectors", f"""WITH {V.TEXTS_SQL}, {TOKEN_SQL}, names AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM idf)
+SELECT doc_id, {big('place')}, {num('n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id))', 'weight')} FROM tf JOIN idf USING (term) JOIN names USING (term)""")
+def tfidf_vectors(spark, sf):
+    """The places and values of the sparse vectors that the text models read."""
+    from pyspark.ml.functions import vector_to_array
+
+    vectors, _ = X.tfidf_vectors(V.texts(spark, sf), "headline")
+    cells = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("place", "weight"))
+    return shown(cells.filter("weight <> 0"))
+
+
 LEXICON_SQL = """lex AS (SELECT term AS word, CASE WHEN avg(quality) >= (SELECT avg(quality) FROM texts) THEN 1.0 ELSE -1.0 END AS weight
   FROM (SELECT DISTINCT doc_id, term FROM uni) JOIN texts USING (doc_id) WHERE quality IS NOT NULL GROUP BY term)"""
 

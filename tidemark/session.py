@@ -75,6 +75,12 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Rows spread over all tasks if their table comes in fewer files than there are tasks."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partition by key for costly Python work per group.
 
