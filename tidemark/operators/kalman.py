@@ -69,6 +69,37 @@ class FilterState:
         return self.alpha, self.beta, err, var, err / var**0.5
 
 
+class FilterBank:
+    """The filters of all pairs of a task as arrays, advanced together."""
+
+    def __init__(self, q: float, r_lambda: float) -> None:
+        self.q, self.r_lambda = q, r_lambda
+        self.numbers: dict[tuple, int] = {}
+        self.state = np.zeros((6, 0))
+
+    def number(self, keys: list[tuple]) -> np.ndarray:
+        """Numbers of pairs; new ones start from the prior, their variance not known."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.numbers]
+        self.numbers |= {k: len(self.numbers) + i for i, k in enumerate(fresh)}
+        start = np.array([0.0, 0.0, PRIOR_SCALE, 0.0, PRIOR_SCALE, np.nan])
+        self.state = np.concatenate([self.state, np.repeat(start[:, None], len(fresh), axis=1)], axis=1)
+        return np.array([self.numbers[k] for k in keys], dtype=np.int64)
+
+    def advance(self, at: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Use one observation of each of some pairs; the rows of ``OUTPUT``, NaN without both prices."""
+        alpha, beta, p_aa, p_ab, p_bb, r = self.state[:, at]
+        p_aa, p_bb = p_aa + self.q, p_bb + self.q
+        known = np.isfinite(y) & np.isfinite(x)
+        err = np.where(known, y - (alpha + beta * x), np.nan)
+        g_a, g_b = p_aa + p_ab * x, p_ab + p_bb * x
+        var = g_a + g_b * x + r
+        with np.errstate(invalid="ignore"):
+            k_a, k_b = g_a / var, g_b / var
+            new = np.stack([alpha + k_a * err, beta + k_b * err, p_aa - k_a * g_a, p_ab - k_a * g_b, p_bb - k_b * g_b, (1.0 - self.r_lambda) * r + self.r_lambda * err * err])
+            self.state[:, at] = np.where(known, new, np.stack([alpha, beta, p_aa, p_ab, p_bb, r]))
+            return np.where(known, np.stack([new[0], new[1], err, var, err / np.sqrt(var)]), np.nan)
+
+
 def kalman_hedge(
     pairs: DataFrame, delta: float = DELTA, burn_in: int = BURN_IN, r_lambda: float = R_LAMBDA,
     y: str = "y", x: str = "x", by: Sequence[str] = ("pair",), ts: str = "date",
@@ -76,10 +107,10 @@ def kalman_hedge(
     """Filtered alpha and beta, innovation, its variance and z-score for every pair.
 
     The variance update squares the innovation, so the recursion cannot be cut
-    in parts; pairs run in parallel. Rows arrive sorted by pair and time and
-    are filtered as they stream through the task, which keeps a few numbers per
-    pair and never a whole series. Rows of the burn-in are held back until the
-    starting variance is known (at most ``burn_in`` per pair).
+    in parts; pairs run in parallel. Rows arrive in time order and stream through
+    the task, which keeps six numbers for each of its pairs and advances all
+    pairs by one observation at a time. Rows of the burn-in are held back until
+    the starting variance is known (at most ``burn_in`` per pair).
     """
     by = list(by)
     keep = [*by, ts, y, x]
@@ -89,32 +120,41 @@ def kalman_hedge(
     schema += "".join(f", {c} double" for c in OUTPUT)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, waiting = None, FilterState(), []
-
-        def flush() -> list[tuple]:
-            state.r = burn_in_variance([w[-2] for w in waiting], [w[-1] for w in waiting])
-            rows = [(*w, *state.advance(w[-2], w[-1], q, r_lambda)) for w in waiting]
-            waiting.clear()
-            return rows
+        bank, waiting = FilterBank(q, r_lambda), None
+
+        def filtered(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+            """Results of the pairs whose variance is known or can be now, and the rows that go on waiting."""
+            kinds = rows[by].drop_duplicates()
+            numbers = bank.number(list(kinds.itertuples(index=False, name=None)))
+            at = rows[by].merge(kinds.assign(_n=numbers), on=by, how="left")["_n"].to_numpy()
+            ys, xs = rows[y].to_numpy(dtype=float, na_value=np.nan), rows[x].to_numpy(dtype=float, na_value=np.nan)
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sizes = np.diff(np.append(starts, len(order)))
+            place = np.empty(len(rows), dtype=np.int64)
+            place[order] = np.arange(len(order)) - np.repeat(starts, sizes)
+            for start, size in zip(starts, sizes):
+                one = at[order[start]]
+                if np.isnan(bank.state[5, one]) and (last or size >= burn_in):
+                    first = order[start : start + burn_in]
+                    bank.state[5, one] = burn_in_variance(ys[first], xs[first])
+            ready = ~np.isnan(bank.state[5, at])
+            out = np.full((len(OUTPUT), len(rows)), np.nan)
+            # The k-th rows of all pairs are one step; a pair is in it once at most.
+            steps = np.flatnonzero(ready)[np.argsort(place[ready], kind="stable")]
+            cuts = np.flatnonzero(np.diff(place[steps])) + 1
+            for step in np.split(steps, cuts) if len(steps) else []:
+                out[:, step] = bank.advance(at[step], ys[step], xs[step])
+            done = rows[ready].assign(**{c: v[ready] for c, v in zip(OUTPUT, out)})
+            return done, rows[~ready]
 
         for pdf in batches:
-            out = []
-            for row in pdf[keep].itertuples(index=False, name=None):
-                key = row[: len(by)]
-                if key != current:
-                    if waiting:
-                        out += flush()
-                    current, state = key, FilterState()
-                if state.r is None:
-                    waiting.append(row)
-                    if len(waiting) == burn_in:
-                        out += flush()
-                else:
-                    out.append((*row, *state.advance(row[-2], row[-1], q, r_lambda)))
-            if out:
-                yield pd.DataFrame(out, columns=[*keep, *OUTPUT]).astype({c: float for c in OUTPUT})
-        if waiting:
-            yield pd.DataFrame(flush(), columns=[*keep, *OUTPUT]).astype({c: float for c in OUTPUT})
-
-    rows = fan_out(pairs.select(*keep), *by).sortWithinPartitions(*by, ts)
+            rows = pdf[keep] if waiting is None or not len(waiting) else pd.concat([waiting, pdf[keep]], ignore_index=True)
+            done, waiting = filtered(rows.reset_index(drop=True), False)
+            if len(done):
+                yield done
+        if waiting is not None and len(waiting):
+            yield filtered(waiting.reset_index(drop=True), True)[0]
+
+    rows = fan_out(pairs.select(*keep), *by).sortWithinPartitions(ts, *by)
     return rows.mapInPandas(run, schema)
