@@ -76,6 +76,33 @@ def test_late_rows_per_batch(spark):
     assert found == {("a", 0): (2, 0), ("b", 0): (1, 0), ("a", 1): (3, 2), ("b", 1): (1, 1), ("b", 2): (1, 1)}
 
 
+def test_a_stream_goes_on_from_another_streams_state(spark):
+    """State is read back as a table and starts a new stream, which then equals one filter over everything."""
+    from tidemark.streaming.pairs import NUMBERS, filter_numbers
+
+    rng = np.random.default_rng(3)
+    parts = []
+    for name, n in (("p", 200), ("q", 170), ("short", 70)):
+        x = np.cumsum(rng.normal(0, 0.02, n)) + 4
+        parts.append(pd.DataFrame({"pair": name, "date": pd.date_range("2024-01-01", periods=n), "y": 1 + 0.5 * x + rng.normal(0, 0.02, n), "x": x}))
+    pdf = pd.concat(parts)
+    schema = "pair string, date timestamp, y double, x double"
+    want = K.kalman_hedge(spark.createDataFrame(pdf, schema)).toPandas().sort_values(["pair", "date"])
+    border = pd.Timestamp("2024-03-10")
+    found, start = [], None
+    for name, part in (("one", pdf[pdf["date"] < border]), ("two", pdf[pdf["date"] >= border])):
+        folder, out, checkpoint = (work_path(spark, f"{name}-{k}") for k in ("in", "out", "state"))
+        spark.createDataFrame(part, schema).repartition(3, "pair").write.parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        Sb.run_available(stream_kalman(stream, start=start), out, checkpoint)
+        found.append(spark.read.parquet(out).toPandas())
+        start = filter_numbers(spark, checkpoint)
+        assert set(start.columns) == {"pair", *NUMBERS}
+    assert start.count() == 3
+    got = pd.concat(found).sort_values(["pair", "date"])
+    np.testing.assert_allclose(got[list(K.OUTPUT)].to_numpy(), want[list(K.OUTPUT)].to_numpy(), rtol=1e-9, atol=1e-12)
+
+
 def test_upsert_replaces_only_its_keys(spark):
     table = work_path(spark, "u")
     W.upsert_by_key(spark.createDataFrame([(1, 0.5), (5, 0.6)], "horizon int, rmse double"), table, ["horizon"])

@@ -106,23 +106,24 @@ def streamed_unique_ticks(spark, sf):
     return shown(kept.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").cast("long").alias("quantity")))
 
 
-def in_time_order(spark, rows, ts, files, name):
-    """Rows as a stream of files in time order, written by parallel tasks.
+def in_time_order(spark, rows, ts, by, name, ranges=8, tasks=4):
+    """Rows as a stream of files in time order, each range of time written by several tasks.
 
-    Ranges are cut in parallel. Files are read in the order of their
-    modification time, so each range is then written alone, as one file.
+    Files are read in the order of their modification time, so ranges are written
+    one after the other. Within a range a key's rows are in one file, in order,
+    so that triggers may end anywhere between files.
     """
     path = work_path(spark, name)
-    ranged = materialised(rows.repartitionByRange(files, ts).withColumn("_part", F.spark_partition_id()), name)
-    for part in range(files):
-        ranged.filter(F.col("_part") == part).drop("_part").coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ranged = materialised(rows.repartitionByRange(ranges, ts).withColumn("_part", F.spark_partition_id()), name)
+    for part in range(ranges):
+        ranged.filter(F.col("_part") == part).drop("_part").repartition(tasks, by).sortWithinPartitions(ts).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", tasks).parquet(path)
 
 
 def pair_stream(spark, sf):
-    """Region pairs as a stream: a file for each time range, one file for each trigger."""
+    """Region pairs as a stream, a few files for each trigger."""
     rows = region_pairs(spark, sf).select("pair", "date", "y", "x")
-    return in_time_order(spark, rows, "date", 4, "pair-files")
+    return in_time_order(spark, rows, "date", "pair", "pair-files")
 
 
 @query("streamed_kalman", f"""WITH RECURSIVE {KALMAN_SQL}
@@ -149,6 +150,6 @@ def streamed_alerts(spark, sf):
     """Snapshots scored as they arrive by forests refit on stored rows."""
     sink = work_path(spark, "alerts")
     rows = scored(spark, sf).select("series_id", TS, *FOREST_COLS)
-    stream = in_time_order(spark, rows, TS, 4, "snapshots")
+    stream = in_time_order(spark, rows, TS, "series_id", "snapshots")
     stream_scores(stream, FOREST_COLS, ["series_id"], sink, work_path(spark, "alerts-checkpoint"))
     return shown(spark.read.parquet(sink).select("series_id", TS, "anomaly_score", "alert", "model_id"))
