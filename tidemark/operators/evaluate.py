@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.shapes import huber
@@ -165,6 +165,14 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(span == 0, 1.0).otherwise(top / span).alias("adjusted_rand"))
 
 
+def ranked(df: DataFrame, by_metric: str, ties: Sequence[str], out: str = "rank") -> DataFrame:
+    """Rows of a result table with their place by a metric, greatest first, missing ones last; equal ones by ``ties``.
+
+    Meant for tables of results, of pairs, budgets or models; one task numbers them.
+    """
+    return df.withColumn(out, F.row_number().over(Window.orderBy(F.col(by_metric).desc_nulls_last(), *ties)))
+
+
 def leaderboard(*metrics: DataFrame) -> DataFrame:
     """Metric tables of several approaches under each other; absent columns are null."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), metrics)

@@ -383,5 +383,10 @@ def top_k(df: DataFrame, col: str, k: int, ascending: bool = False, ties: Sequen
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Seeded sample of ``n`` rows: those with the smallest key hashes."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """Seeded sample of ``n`` rows: those with the smallest key hashes, MD5 so that any engine can draw them."""
+    return df.orderBy(key_digest(keys, seed), *keys).limit(n)
+
+
+def key_digest(keys: Sequence[str], seed: int) -> Column:
+    """MD5 of the seed and a row's keys as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))

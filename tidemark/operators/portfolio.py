@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import ratio
+from tidemark.operators.ordering import key_digest
 from tidemark.operators.panel import both_ways, correlation, covariance, pair_moments
 from tidemark.session import fan_out
 
@@ -61,8 +62,8 @@ def random_weights(mean: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
     tables is needed and a rerun of a task draws the same numbers.
     """
     spread = mean.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("portfolio_id"))
-    bits = F.shiftrightunsigned(F.xxhash64("portfolio_id", "series_id", F.lit(seed)), 11)
-    draw = -F.log((bits + 1) / F.lit(float(2**53)))
+    bits = F.conv(F.substring(key_digest(["portfolio_id", "series_id"], seed), 1, 13), 16, 10).cast("long")
+    draw = -F.log((bits + 0.5) / F.lit(float(2**52)))
     drawn = spread.withColumn("_e", draw)
     total = F.sum("_e").over(Window.partitionBy("portfolio_id"))
     return drawn.select("portfolio_id", "series_id", (F.col("_e") / total).alias("weight"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import SERIES
-from tidemark.operators.ordering import row_index
+from tidemark.operators.ordering import key_digest, row_index
 from tidemark.operators.attach import attach_row
 
 
@@ -121,7 +121,8 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test: float
     slices' sizes give the exact position in the class, so a class that holds
     most rows is still spread over tasks.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    # 60 bits of a digest, as a number that has its order
+    hashed = df.withColumn("_h", F.conv(F.substring(key_digest(keys, seed), 1, 15), 16, 10).cast("long"))
     placed = row_index(
         hashed, by=[label], ts="_h", ties=list(keys), slot_width=1 << 44, name="_idx", total="_len"
     )

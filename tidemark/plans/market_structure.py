@@ -71,20 +71,30 @@ def supplier_weights(spark, sf):
     return q.join(total, "portfolio_id").select("portfolio_id", "series_id", (F.col("q") / F.col("total")).alias("weight"))
 
 
-@query("portfolio_performance", f"""WITH {QRET_SQL}, {PAIR_RET}, {WEIGHT_SQL},
-u AS (SELECT i, j, covar_samp(y, x) * 365 AS value FROM pr WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY i, j),
+PERFORMANCE_SQL = """u AS (SELECT i, j, covar_samp(y, x) * 365 AS value FROM pr WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY i, j),
 c AS (SELECT i, j, value FROM u UNION ALL SELECT j, i, value FROM u UNION ALL SELECT series_id, series_id, var_samp(ret) * 365 FROM qret GROUP BY series_id),
 m AS (SELECT series_id, avg(ret) * 365 AS m FROM qret GROUP BY series_id),
 r AS (SELECT portfolio_id, sum(weight * m) AS ret FROM wt JOIN m USING (series_id) GROUP BY portfolio_id),
 v AS (SELECT a.portfolio_id, sqrt(sum(a.weight * b.weight * value)) AS vol FROM wt a JOIN wt b USING (portfolio_id)
-  JOIN c ON c.i = a.series_id AND c.j = b.series_id GROUP BY a.portfolio_id)
+  JOIN c ON c.i = a.series_id AND c.j = b.series_id GROUP BY a.portfolio_id)"""
+
+
+@query("portfolio_performance", f"""WITH {QRET_SQL}, {PAIR_RET}, {WEIGHT_SQL}, {PERFORMANCE_SQL}
 SELECT portfolio_id, {nums('ret vol')}, {num('(ret - 0.045) / vol', 'sharpe')} FROM r JOIN v USING (portfolio_id)""")
 def portfolio_performance(spark, sf):
     mean, cov = Pf.annualised_moments(quote_returns(spark, sf))
     return shown(Pf.portfolio_performance(supplier_weights(spark, sf), mean, cov))
 
 
-@query("random_portfolios")
+DRAW_SQL = """drawn AS (SELECT p.portfolio_id, s.series_id, md5('42:' || p.portfolio_id || ':' || s.series_id) AS h
+  FROM (SELECT unnest(range(5000)) AS portfolio_id) p, (SELECT DISTINCT series_id FROM qret) s),
+bits AS (SELECT portfolio_id, series_id, list_sum(list_transform(range(1, 14), lambda k: (strpos('0123456789abcdef', substr(h, k, 1)) - 1)::DOUBLE * pow(16::DOUBLE, 13 - k))) AS b FROM drawn),
+ex AS (SELECT portfolio_id, series_id, -ln((b + 0.5) / pow(2::DOUBLE, 52)) AS e FROM bits),
+wt AS (SELECT portfolio_id, series_id, e / sum(e) OVER (PARTITION BY portfolio_id) AS weight FROM ex)"""
+
+
+@query("random_portfolios", f"""WITH {QRET_SQL}, {PAIR_RET}, {DRAW_SQL}, {PERFORMANCE_SQL}
+SELECT portfolio_id, {nums('ret vol')}, {num('(ret - 0.045) / vol', 'sharpe')} FROM r JOIN v USING (portfolio_id)""")
 def random_portfolios(spark, sf):
     """5,000 random long-only portfolios of the brands."""
     mean, cov = Pf.annualised_moments(quote_returns(spark, sf))
@@ -196,6 +206,15 @@ def detected_regimes(spark, sf):
     return shown(out.withColumn("model", F.lit(model)))
 
 
+@query("regime_agreement")
+def regime_agreement(spark, sf):
+    """Adjusted Rand index of the detected clusters and the quarters of the year, as known regimes."""
+    feats = materialised(R.regime_features(region_returns(spark, sf), 20).na.drop(), "regime-features")
+    assigned, model = M.detect_regimes(feats, R.REGIME_FEATURES)
+    known = materialised(assigned.select("cluster", F.quarter("date").alias("known")), "regimes")
+    return shown(adjusted_rand(known, "cluster", "known").withColumn("model", F.lit(model)))
+
+
 @query("regime_silhouettes")
 def regime_silhouettes(spark, sf):
     """Silhouette of KMeans for each number of clusters, the best of ten starts."""

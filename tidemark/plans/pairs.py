@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.operators import bars as B
+from tidemark.operators import evaluate as E
 from tidemark.operators import gram as Gm
 from tidemark.operators import kalman as Kf
 from tidemark.operators import ordering as O
@@ -104,6 +105,13 @@ def pair_backtest(spark, sf):
     return shown(P.pair_backtest(positions(spark, sf)))
 
 
+@query("ranked_pairs", f"WITH RECURSIVE {POSITION_SQL}, {BACKTEST_SQL}, s AS ({SUMMARY_SQL}) SELECT pair, sharpe, total_return, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, pair) AS rank FROM s")
+def ranked_pairs(spark, sf):
+    """Pairs by the Sharpe ratio of their backtest."""
+    rows = shown(P.pair_backtest(positions(spark, sf)))
+    return shown(E.ranked(rows, "sharpe", ["pair"]).select("pair", "sharpe", "total_return", "rank"))
+
+
 KALMAN_SQL = f"""{REGION_PAIRS_SQL},
 obs AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY date) AS rn FROM pairs),
 burn AS (SELECT pair, greatest((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / 58, 1e-8) AS r0 FROM obs WHERE rn <= 60 GROUP BY pair),

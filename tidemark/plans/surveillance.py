@@ -91,6 +91,29 @@ def alert_budgets(spark, sf):
     return shown(E.precision_at_budget(materialised(velocity_scores(spark, sf), "scores"), "score", "truth"))
 
 
+@query("ranked_budgets", f"""WITH {SCORE_SQL}, b AS (SELECT b FROM (VALUES {BUDGET_SQL}) AS v(b)),
+t AS (SELECT b, (SELECT list_sort(list(score)) FROM sc) AS l FROM b),
+h AS (SELECT b, l, (len(l) - 1) * (1 - b::DOUBLE) AS h FROM t),
+c AS (SELECT b, l[floor(h)::BIGINT + 1] + (h - floor(h)) * (l[least(floor(h)::BIGINT + 2, len(l))] - l[floor(h)::BIGINT + 1]) AS cut FROM h),
+m AS (SELECT b, count(*) FILTER (score >= cut) AS n_flagged, count(*) FILTER (score >= cut AND truth) AS tp, count(*) FILTER (truth) AS pos FROM c, sc GROUP BY b, cut),
+f AS (SELECT {num('b::DOUBLE * 100', 'budget_pct')}, {num('coalesce(2.0 * tp / nullif(n_flagged + pos, 0), 0)', 'f1')} FROM m)
+SELECT budget_pct, f1, row_number() OVER (ORDER BY f1 DESC, budget_pct) AS rank FROM f""")
+def ranked_budgets(spark, sf):
+    """Alert budgets by their F1."""
+    table = shown(E.precision_at_budget(materialised(velocity_scores(spark, sf), "scores"), "score", "truth"))
+    return shown(E.ranked(table, "f1", ["budget_pct"]).select("budget_pct", "f1", "rank"))
+
+
+@query("walk_forward_sweeps")
+def walk_forward_sweeps(spark, sf):
+    """Budget sweeps of the forest fitted on everything and of forests refit on the past, on the same snapshots."""
+    rows = materialised(scored(spark, sf).select("series_id", TS, "truth", *FOREST_COLS), "book-scores")
+    walk = A.walk_forward_scores(rows, FOREST_COLS).filter("streaming_score IS NOT NULL").select("series_id", TS, "truth", "streaming_score")
+    batch = A.isolation_forest(rows, FOREST_COLS, ["series_id", TS], contamination=None).select("series_id", TS, "anomaly_score")
+    both = materialised(walk.join(batch, ["series_id", TS]), "both-scores")
+    return shown(E.join_sweeps(E.precision_at_budget(both, "anomaly_score", "truth"), E.precision_at_budget(both, "streaming_score", "truth")))
+
+
 @query("sweeps_side_by_side", f"""WITH {SCORE_SQL}, b AS (SELECT b FROM (VALUES {BUDGET_SQL}) AS v(b)),
 x AS (SELECT 'a' AS k, score AS s FROM sc UNION ALL SELECT 'b', abs(round(order_book_imbalance + 3.1e-9, 6)) FROM sc),
 q AS (SELECT b, k, list_sort(list(s)) AS l FROM x, b GROUP BY b, k), h AS (SELECT b, k, l, (len(l) - 1) * (1 - b::DOUBLE) AS h FROM q),

@@ -96,6 +96,13 @@ def sentiment_from_probabilities(spark, sf):
     return shown(out.select("doc_id", "predicted_label", "sentiment_score"))
 
 
+@query("stratified_rows", f"""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id) AS place, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT {big('doc_id')}, {big('quality')}, CASE WHEN place <= ceil(n * 0.25) THEN 'test' ELSE 'train' END AS split FROM r""")
+def stratified_rows(spark, sf):
+    """Which labelled texts a seeded split with equal test shares puts where."""
+    return shown(splits.stratified_split(V.table(spark, sf, "labels"), "quality", ["doc_id"]).select("doc_id", "quality", "split"))
+
+
 @query("stratified_split", f"""WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality)
 SELECT {big('quality')}, 'test' AS split, {big('ceil(n * 0.25)', 'n_rows')} FROM c UNION ALL SELECT {big('quality')}, 'train', {big('n - ceil(n * 0.25)', 'n_rows')} FROM c""")
 def stratified_split(spark, sf):
