@@ -26,15 +26,16 @@ from tidemark.llm.batches import Words, lower_table, signed, text_slices, white_
 from tidemark.session import materialised
 
 #: Words with an output of their own.
-HEAD = 4096
+HEAD = 2048
 #: Commonest words whose counts every task has at hand; others are joined.
 TABLE = 1 << 18
-CLASSES = 48
+CLASSES = 32
 HIDDEN = 16
 #: Steps that an error is carried back over.
 WINDOW = 16
-#: Texts that run side by side.
-LANES = 512
+#: Texts that run side by side, at most; fewer where a task's share would else be gone in a few updates.
+LANES = 1024
+UPDATES = 100
 #: Words held by a task at once (or one longer text).
 WORDS_AT_ONCE = 1 << 22
 ROUNDS = 4
@@ -351,8 +352,9 @@ def _fit(network, settings: dict) -> Callable:
         bounds, of_class, hidden, values = network.value
         own, read = Network(bounds, of_class, hidden, values.copy()), 0
         for _, texts in _gathered(batches, settings["words"]):
-            state = None
-            for ids, keep, live, _ in windows(texts, settings["window"], settings["lanes"]):
+            state, words = None, sum(map(len, texts))
+            lanes = max(1, min(settings["lanes"], words // (settings["window"] * UPDATES)))
+            for ids, keep, live, _ in windows(texts, settings["window"], lanes):
                 state = np.zeros((ids.shape[1], hidden), dtype=np.float32) if state is None else state[: ids.shape[1]]
                 own.step(ids, keep, live, state, settings["rate"])
                 read += int(live.sum())
@@ -436,7 +438,7 @@ def score_texts(docs: DataFrame, learn: Column | None = None, **settings) -> Dat
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((network.bounds, network.of_class, network.hidden, network.values))
     # Only states are kept from step to step here, so windows and lanes are as wide as memory likes.
-    settings = {"words": settings.get("words", WORDS_AT_ONCE), "window": 2 * settings.get("window", WINDOW), "lanes": 2 * settings.get("lanes", LANES)}
+    settings = {"words": settings.get("words", WORDS_AT_ONCE), "window": 2 * settings.get("window", WINDOW), "lanes": settings.get("lanes", LANES)}
     likelihoods = encoded.select("row", "ids").mapInArrow(_likelihoods(sent, settings), "row long, logp double")
     others = encoded.select("row", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
     others = others.join(counts, "term", "left").groupBy("row").agg(
