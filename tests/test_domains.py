@@ -66,6 +66,36 @@ def test_critical_line_of_one_asset_and_of_none_that_varies():
     assert flat is None or np.allclose(flat.weights.sum(axis=1), 1)
 
 
+def test_a_stored_forest_scores_the_same_in_another_engine(spark):
+    """Trees are rows: read back, and walked by recursive SQL outside of Spark, they give Spark's scores."""
+    import duckdb
+
+    from tidemark.operators import anomaly as A
+    from tidemark.session import work_path
+
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(300, 3)), rng.normal(6, 1, size=(6, 3))])
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(id=np.arange(len(x)))
+    df = spark.createDataFrame(pdf)
+    forest, size = A.fit_forest(df, ["a", "b", "c"], ["id"], trees=40, sample=64)
+    table = work_path(spark, "forests")
+    assert [A.store_forest(spark, f, size, table) for f in (forest[:5], forest)] == [1, 2]
+    again, same_size = A.read_forest(spark, table)
+    assert same_size == size and len(again) == 40 and len(A.read_forest(spark, table, 1)[0]) == 5
+    scored = A.score_with_forest(df, ["a", "b", "c"], again, size).toPandas().set_index("id")["anomaly_score"]
+    nodes, points = spark.read.parquet(table).filter("run_id = 2").toPandas(), pdf  # noqa: F841
+    scale = float(A.path_correction(size))
+    sql = f"""WITH RECURSIVE walk AS (
+      SELECT id, tree, 0 AS node FROM points, (SELECT DISTINCT tree FROM nodes)
+      UNION ALL
+      SELECT w.id, w.tree, CASE WHEN [p.a, p.b, p.c][n.feature + 1] <= n.threshold THEN n.left ELSE n.right END
+      FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN points p ON p.id = w.id WHERE n.feature >= 0)
+    SELECT id, pow(2, -avg(depth_cost) / {scale!r}) AS score FROM walk JOIN nodes USING (tree, node) WHERE feature < 0 GROUP BY id"""
+    found = duckdb.sql(sql).df().set_index("id")["score"]
+    np.testing.assert_allclose(found.loc[scored.index], scored, rtol=1e-12)
+    assert scored.loc[300:].min() > scored.loc[:299].median()
+
+
 def test_max_sharpe_without_excess_return():
     mu, cov = moments()
     assert Pf.max_sharpe(mu * 0, cov, 0.045) is None

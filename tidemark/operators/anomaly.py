@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import SERIES
@@ -16,6 +16,7 @@ from tidemark.operators.evaluate import binary_measures
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.splits import assign_refit_windows, standardize
 from tidemark.session import fan_out, materialised
+from tidemark.sources.writers import append_run
 
 TREES = 200
 SUBSAMPLE = 256
@@ -134,6 +135,32 @@ def fit_forest(df: DataFrame, cols: Sequence[str], keys: Sequence[str], trees: i
     return forest, size
 
 
+def forest_table(spark: SparkSession, forest: Sequence[tuple[np.ndarray, ...]], sample: int) -> DataFrame:
+    """A forest as rows: (tree, node, feature, threshold, left, right, depth_cost, sample).
+
+    ``feature`` counts the columns from 0 and is -1 at leaves; a row goes left if
+    its value is at most the threshold. Any engine can score with it.
+    """
+    parts = []
+    for t, (feature, threshold, left, right, cost) in enumerate(forest):
+        parts.append(pd.DataFrame({"tree": t, "node": np.arange(len(feature)), "feature": feature, "threshold": threshold, "left": left, "right": right, "depth_cost": cost, "sample": sample}))
+    return spark.createDataFrame(pd.concat(parts, ignore_index=True), f"tree int, {NODE_FIELDS}, sample int")
+
+
+def store_forest(spark: SparkSession, forest: Sequence[tuple[np.ndarray, ...]], sample: int, table: str) -> int:
+    """Add a forest to a table of versions; returns its version, which no other writer gets."""
+    return append_run(forest_table(spark, forest, sample), table)
+
+
+def read_forest(spark: SparkSession, table: str, version: int | None = None) -> tuple[list[tuple[np.ndarray, ...]], int]:
+    """A stored forest and its sample size; the newest one by default. Its size is bounded by its settings."""
+    rows = spark.read.parquet(table)
+    version = rows.agg(F.max("run_id")).first()[0] if version is None else version
+    nodes = rows.filter(F.col("run_id") == version).orderBy("tree", "node").toPandas()
+    forest = [_as_arrays(list(part[["node", "feature", "threshold", "left", "right", "depth_cost"]].itertuples(index=False, name=None))) for _, part in nodes.groupby("tree")]
+    return forest, int(nodes["sample"].iloc[0])
+
+
 def score_with_forest(df: DataFrame, cols: Sequence[str], forest, sample: int, out: str = "anomaly_score") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(forest)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
+from tidemark.functions.shapes import horizontal_mean
 from tidemark.operators import ordering as O
 from tidemark.operators import signals as G
 from tidemark.plans import views as V
@@ -34,6 +35,15 @@ def series_returns(spark, sf):
     ))
 
 
+@query("mean_prices", f"""WITH {V.OHLCV_SQL}
+SELECT series_id, {day('ts', 'ts')}, {num('list_avg([CASE WHEN open > close THEN open END, high, CASE WHEN volume > 100 THEN low END, close])', 'mean_price')},
+  {num('list_avg([CASE WHEN open > close THEN open END, CASE WHEN volume > 100 THEN low END])', 'mean_of_some')} FROM ohlcv""")
+def mean_prices(spark, sf):
+    """Mean over the columns of a candle that are there; none of them gives null."""
+    rows = V.ohlcv(spark, sf).withColumns({"falling": F.when(F.col("open") > F.col("close"), F.col("open")), "busy": F.when(F.col("volume") > 100, F.col("low"))})
+    return shown(rows.select("series_id", "ts", horizontal_mean("falling", "high", "busy", "close").alias("mean_price"), horizontal_mean("falling", "busy").alias("mean_of_some")))
+
+
 @query("rolling_statistics", f"""WITH {RETURNS_SQL}
 SELECT series_id, {day('date', 'date')}, {num(roll('avg', 'ret', 20, 'date'), 'mean_20')}, {num(roll('stddev_samp', 'ret', 20, 'date'), 'std_20')},
   {num(roll('sum', 'ret', 5, 'date'), 'sum_5')}, {num(roll('avg', 'ret', 50, 'date', 10), 'mean_50_min_10')},
