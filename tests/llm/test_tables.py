@@ -10,7 +10,8 @@ from brute import mixed, raw, similar, texts
 from compare import compare, duck
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fm_index, mixing, queries, sharding, toxicity, url_filter, vector_dedup
+from tidemark.llm import chat, mixing, queries, sharding, toxicity, url_filter, vector_dedup
+from tidemark.session import work_path
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -226,7 +227,7 @@ def test_pipeline(spark):
     rows = rows_of(texts() + [(100 + i, t) for i, t, _ in toxic])
     documents = spark.createDataFrame(rows, DOCS)
     items = rows[9][1].split()[4:20]
-    folder = f"{fm_index.materialised.__globals__['work_path'](spark, 'corpus')}"
+    folder = work_path(spark, "corpus")
     documents.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(100 + i, 1, x) for i, _, x in toxic], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, " ".join(items))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
