@@ -6,6 +6,7 @@ task's memory follows ``SLICE_BYTES`` (or the longest single text), not the batc
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     Null texts are empty. Offsets count from the start of the given bytes.
     """
     limit = limit or SLICE_BYTES
+    try:
+        yield from _slices(batches, column, limit)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker is kept for other tasks, next to which its unused memory counts."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int):
     for batch in batches:
         texts = pc.fill_null(batch.column(column).cast(pa.large_binary()), b"")
         n = len(texts)
@@ -141,14 +157,19 @@ def letters(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     The values of different places are independent of each other, so the
     difference of two sums tells a word, or its beginning, by its bytes.
     """
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    code = place << 8 | data[np.repeat(start, size) + place]
-    values = _AT_PLACE[np.minimum(code, len(_AT_PLACE) - 1)]
+    total = int(size.sum())
+    kind = np.int32 if len(data) < 1 << 23 else np.int64
+    inside = np.arange(total, dtype=kind)
+    inside -= np.repeat((np.cumsum(size) - size).astype(kind), size)
+    code = np.repeat(start.astype(kind), size)
+    code += inside
+    code = data[code].astype(kind)
+    code |= inside << 8
+    out = np.zeros(total + 1, dtype=U64)
+    np.take(_AT_PLACE, code, mode="clip", out=out[1:])
     far = np.flatnonzero(code >= len(_AT_PLACE))
-    values[far] = scramble(scramble(code[far].astype(U64) + U64(0xA24BAED4963EE407)))
-    out = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values, dtype=U64, out=out[1:])
-    return out
+    out[far + 1] = scramble(scramble(code[far].astype(U64) + U64(0xA24BAED4963EE407)))
+    return np.cumsum(out, dtype=U64, out=out)
 
 
 class Words:
