@@ -26,10 +26,10 @@ from tidemark.llm.batches import Words, lower_table, signed, text_slices, white_
 from tidemark.session import materialised
 
 #: Words with an output of their own.
-HEAD = 2048
+HEAD = 4096
 #: Commonest words whose counts every task has at hand; others are joined.
 TABLE = 1 << 18
-CLASSES = 32
+CLASSES = 48
 HIDDEN = 16
 #: Steps that an error is carried back over.
 WINDOW = 16
