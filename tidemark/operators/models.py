@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.backtest import classification_pnl
 from tidemark.operators.evaluate import adjusted_rand, multiclass_metrics, regression_metrics
-from tidemark.operators.splits import assign_folds, expanding_folds, standardize
+from tidemark.operators.splits import assign_folds, expanding_folds, scaled, scaler_stats, standardize
+from tidemark.session import materialised
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -158,19 +159,25 @@ def walk_forward_eval(
 
     Returns the pooled predictions, the metrics per fold, and the trading
     result per series over the joined test blocks, in which positions carry
-    over fold borders.
+    over fold borders. Folds are placed and scaled together and written once;
+    their fits are submitted side by side, and the pooled predictions are
+    written for all that is read from them.
     """
-    placed = assign_folds(df, n_folds, by=by, ts=ts).persist()
-    parts, tables = [], []
-    for k in range(n_folds):
-        rows = placed.filter(F.col("fold") == k)
-        train, test = standardize(rows.filter("role = 'train'"), rows.filter("role = 'test'"), cols=features)
-        scored = predict(fit_classifier(train, kind, features, label, n_classes, **params), test, features)
-        scored = scored.withColumn("prediction", F.col("prediction").cast("int"))
-        parts.append(scored)
-        tables.append(multiclass_metrics(scored, label, "prediction", range(n_classes)).withColumn("fold", F.lit(k)))
-    pooled = reduce(lambda a, b: a.unionByName(b), parts)
-    metrics = reduce(lambda a, b: a.unionByName(b), tables)
+    placed = materialised(assign_folds(df, n_folds, by=by, ts=ts).filter("role <> 'val'"), "folds")
+    # One row for each fold.
+    stats = F.broadcast(scaler_stats(placed.filter("role = 'train'"), features, ["fold"]))
+    ready = materialised(scaled(placed.join(stats, "fold"), features), "scaled-folds")
+
+    def scored(k: int) -> DataFrame:
+        rows = ready.filter(F.col("fold") == k)
+        model = fit_classifier(rows.filter("role = 'train'"), kind, features, label, n_classes, **params)
+        out = predict(model, rows.filter("role = 'test'"), features)
+        return out.withColumn("prediction", F.col("prediction").cast("int"))
+
+    with ThreadPoolExecutor(n_folds) as pool:
+        parts = list(pool.map(scored, range(n_folds)))
+    pooled = materialised(reduce(lambda a, b: a.unionByName(b), parts), "pooled")
+    metrics = multiclass_metrics(pooled, label, "prediction", range(n_classes), ["fold"])
     return pooled, metrics, classification_pnl(pooled, "prediction", fwd, by=by, ts=ts)
 
 

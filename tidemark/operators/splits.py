@@ -139,16 +139,17 @@ def scaler_stats(train: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
 def standardize(train: DataFrame, *others: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> list[DataFrame]:
     """Scale by the training rows' mean and population deviation (0 counts as 1)."""
     stats = scaler_stats(train, cols, by)
-    out = []
-    for df in (train, *others):
-        joined = df.join(stats, list(by)) if by else attach_row(df, stats)
-        scaled = {
-            c: (F.col(c) - F.col(f"_mean_{c}"))
-            / F.when(F.col(f"_std_{c}") > 0, F.col(f"_std_{c}")).otherwise(1.0)
-            for c in cols
-        }
-        out.append(joined.withColumns(scaled).drop(*[f"_{k}_{c}" for k in ("mean", "std") for c in cols]))
-    return out
+    return [scaled(df.join(stats, list(by)) if by else attach_row(df, stats), cols) for df in (train, *others)]
+
+
+def scaled(joined: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows that carry their ``scaler_stats``, scaled by them."""
+    values = {
+        c: (F.col(c) - F.col(f"_mean_{c}"))
+        / F.when(F.col(f"_std_{c}") > 0, F.col(f"_std_{c}")).otherwise(1.0)
+        for c in cols
+    }
+    return joined.withColumns(values).drop(*[f"_{k}_{c}" for k in ("mean", "std") for c in cols])
 
 
 def zscore_flag(df: DataFrame, col: str, threshold: float = 3.0, by: Sequence[str] = ()) -> DataFrame:

@@ -126,7 +126,8 @@ def _text_metrics(spark, sf, kind, label="category", classes=(0, 1, 2), **params
     rows, terms = text_vectors(spark, sf)
     train = rows.filter("split = 'train'").select("features", label)
     model = M.classifier(kind, label, train.count(), len(terms), len(classes), **params).fit(train)
-    scored = model.transform(rows.filter("split = 'test'")).withColumn("guess", F.col("prediction").cast("int"))
+    guessed = model.transform(rows.filter("split = 'test'")).select(label, F.col("prediction").cast("int").alias("guess"))
+    scored = materialised(guessed, "guesses")  # the metrics read them several times
     return E.multiclass_metrics(scored, label, "guess", list(classes))
 
 
