@@ -27,3 +27,49 @@ def test_walk_forward_predictions_are_written_once_and_measured_per_fold(spark):
         for c in alone.columns:
             assert np.allclose(alone[c], mine[c])
         assert np.isclose(mine["accuracy"].iloc[0], (part["prediction"] == part["label_direction"]).mean())
+
+
+def test_long_lexicon_moves_only_words_that_are_not_looked_up(spark, monkeypatch):
+    from tidemark.operators import text as X
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, 40) % 90) for _ in range(60)] + [None, "", "Never seen"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string").repartition(3)
+    lexicon = spark.createDataFrame([(f"w{k}", -1.0 if k % 3 else 1.0, 100 - k) for k in range(80)], "word string, weight double, n long")
+    want = {r["doc_id"]: r["probs"] for r in X.lexicon_probs(df, "t", lexicon, ["doc_id"]).collect()}
+    moved = []
+    plain = X.term_rows
+    monkeypatch.setattr(X, "term_rows", lambda *a, **b: moved.append(a) or plain(*a, **b))
+    for rows in (79, 20, 0):
+        monkeypatch.setattr(X, "FEW_ROWS", rows)
+        got = {r["doc_id"]: r["probs"] for r in X.lexicon_probs(df, "t", lexicon, ["doc_id"]).collect()}
+        assert got == want, rows
+    assert not moved, "all words were counted per document and shuffled"
+
+
+def test_frequent_grams_are_counted_without_building_all(spark, monkeypatch):
+    from collections import Counter
+
+    from tidemark.operators import text as X
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 50) % 400) for _ in range(40)] + ["aa aa aa aa aa aa " * 30, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string")
+    grams = Counter()
+    for t in filter(None, texts):
+        w = t.split()
+        grams.update([a for a in w if len(a) > 1] + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    sizes = []
+    plain = X.term_rows
+
+    def counted(*a, **b):
+        rows = plain(*a, **b)
+        sizes.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(X, "term_rows", counted)
+    for size in (1, 25, 10_000):
+        got = [tuple(r) for r in X.vocabulary(df, "t", ["doc_id"], (1, 2), size).collect()]
+        assert got == sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:size]
+        if size == 25:
+            assert max(sizes) < sum(grams.values()), "every gram of every text was built"

@@ -21,6 +21,8 @@ NOT_TOKEN = r"[^\p{L}\p{N}_]+"
 SHORTEST = 2
 #: Rows of a word and a number up to which a side is sent to every task.
 FEW_ROWS = 1_000_000
+#: Words up to which a set of them is written into an expression.
+FEW_WORDS = 5_000
 # Report order of the sentiment categories.
 CATEGORY_ORDER = ("negative", "neutral", "positive")
 
@@ -49,8 +51,18 @@ def tokenised(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return materialised(dealt_out(df.select(*keys, text)).select(*keys, tokens(F.col(text)).alias("words")), "words")
 
 
-def term_rows(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int]) -> DataFrame:
-    return words.select(*keys, F.explode(ngrams(F.col("words"), ngram)).alias("term"))
+def term_rows(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int], only: Sequence[str] | None = None) -> DataFrame:
+    """One row for every n-gram; with ``only``, for every one made of those words alone."""
+    return words.select(*keys, F.explode(grams_of(F.col("words"), ngram, only)).alias("term"))
+
+
+def grams_of(words: Column, ngram: tuple[int, int], only: Sequence[str] | None = None) -> Column:
+    """The n-grams of a token array; with ``only``, those made of these words alone, the others are never built."""
+    if only is None:
+        return ngrams(words, ngram)
+    # A gram with a null in it is null.
+    known = F.transform(words, lambda w: F.when(w.isin(list(only)), w))
+    return F.filter(ngrams(known, ngram), lambda g: g.isNotNull())
 
 
 def sent(side: DataFrame, rows: int) -> DataFrame:
@@ -59,7 +71,24 @@ def sent(side: DataFrame, rows: int) -> DataFrame:
 
 
 def top_terms(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int], max_features: int) -> DataFrame:
-    counts = term_rows(words, keys, ngram).groupBy("term").agg(F.count(F.lit(1)).alias("n_total"))
+    """The most frequent terms, counted.
+
+    A gram is no more frequent than any of its words, and the term that comes
+    last is at least as frequent as the last of the most frequent words. So words
+    are counted first, and longer grams only of words that are frequent enough.
+    """
+    only = None
+    if ngram[0] == 1 < ngram[1] and max_features <= FEW_WORDS:
+        single = materialised(term_rows(words, keys, (1, 1)).groupBy("term").agg(F.count(F.lit(1)).alias("n_total")), "word-counts")
+        first = single.orderBy(F.col("n_total").desc(), "term").limit(max_features).agg(F.count(F.lit(1)), F.min("n_total")).first()
+        # Fewer words than terms wanted leave no bound.
+        frequent = single.filter(F.col("n_total") >= (first[1] if first[0] == max_features else 0)).limit(FEW_WORDS + 1).select("term").collect()
+        only = [r["term"] for r in frequent] if len(frequent) <= FEW_WORDS else None
+    if only is None:
+        counts = term_rows(words, keys, ngram).groupBy("term").agg(F.count(F.lit(1)).alias("n_total"))
+    else:
+        longer = term_rows(words, keys, (2, ngram[1]), only).groupBy("term").agg(F.count(F.lit(1)).alias("n_total"))
+        counts = single.unionByName(longer)
     return counts.orderBy(F.col("n_total").desc(), "term").limit(max_features)
 
 
@@ -68,18 +97,31 @@ def vocabulary(df: DataFrame, text: str, keys: Sequence[str], ngram: tuple[int,
     return top_terms(tokenised(df, text, keys), keys, ngram, max_features)
 
 
+def words_in(terms: DataFrame, max_features: int) -> list[str] | None:
+    """The words that the terms are made of, if they are few."""
+    if max_features > FEW_WORDS:
+        return None
+    return sorted({w for r in terms.select("term").collect() for w in r["term"].split(" ")})
+
+
+def inverse_frequencies(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, idf) from one row for each document and term of ``words``, written."""
+    doc_freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    n_docs = words.agg(F.count(F.lit(1)).alias("_n"))
+    idf = attach_row(doc_freq, n_docs).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+    return materialised(idf, "idf")
+
+
 def document_frequencies(words: DataFrame, keys: Sequence[str], ngram: tuple[int, int], max_features: int) -> tuple[DataFrame, DataFrame]:
     """(term, idf) of the vocabulary, and its terms counted per document, both written."""
     vocab = materialised(top_terms(words, keys, ngram, max_features).select("term"), "vocabulary")
     counts = materialised(term_counts(words, vocab, keys, ngram, max_features), "term-counts")
-    doc_freq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    n_docs = words.agg(F.count(F.lit(1)).alias("_n"))
-    idf = attach_row(doc_freq, n_docs).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
-    return materialised(idf, "idf"), counts
+    return inverse_frequencies(counts, words), counts
 
 
 def term_counts(words: DataFrame, vocab: DataFrame, keys: Sequence[str], ngram: tuple[int, int], max_features: int) -> DataFrame:
-    kept = term_rows(words, keys, ngram).join(sent(vocab.select("term"), max_features), "term")
+    rows = term_rows(words, keys, ngram, words_in(vocab, max_features))
+    kept = rows.join(sent(vocab.select("term"), max_features), "term")
     return kept.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n_in_doc"))
 
 
@@ -117,9 +159,13 @@ def tfidf_vectors(
 
     keys = list(keys)
     train = tokenised(df if fit_on is None else fit_on, text, keys)
-    idf, _ = document_frequencies(train, keys, ngram, max_features)
+    vocab = materialised(top_terms(train, keys, ngram, max_features).select("term"), "vocabulary")
+    only = words_in(vocab, max_features)
+    # A document's terms are told apart where its words are; only counts of documents are moved.
+    each = train.select(F.explode(F.array_distinct(grams_of(F.col("words"), ngram, only))).alias("term"))
+    idf = inverse_frequencies(each.join(sent(vocab, max_features), "term"), train)
     terms = {r["term"]: r["idf"] for r in idf.orderBy("term").collect()}
-    grams = F.coalesce(ngrams(tokens(F.col(text)), ngram), F.array().cast("array<string>"))
+    grams = F.coalesce(grams_of(tokens(F.col(text)), ngram, only), F.array().cast("array<string>"))
     rows = dealt_out(df).withColumn("_grams", grams)
     if not terms:
         return rows.withColumn(out, F.lit(None)).drop("_grams"), []
@@ -149,20 +195,27 @@ def lexicon_probs(df: DataFrame, text: str, lexicon: DataFrame, keys: Sequence[s
 
     The shares of positive and negative weight per token go through a softmax
     together with the rest. A lexicon of at most ``FEW_ROWS`` words is looked up
-    where the text is, in Arrow batches, so neither words nor texts are shuffled;
-    of a longer one the words are counted per document and joined.
+    where the text is, in Arrow batches, so neither words nor texts are shuffled.
+    Of a longer one the words used most, by a column ``n`` that says how often,
+    are looked up so, and only those that are not among them are joined.
     """
     keys = list(keys)
-    merged = materialised(lexicon.groupBy("word").agg(F.sum("weight").cast("double").alias("weight")), "lexicon")
+    n = F.sum("n") if "n" in lexicon.columns else F.lit(1)
+    merged = materialised(lexicon.groupBy("word").agg(F.sum("weight").cast("double").alias("weight"), n.cast("long").alias("n")), "lexicon")
     if merged.count() <= FEW_ROWS:
         joined = dealt_out(df).withColumn("_sums", _lexicon_sums(merged)(tokens(F.col(text)))).select(*df.columns, "_sums._pos", "_sums._neg", "_sums._all")
     else:
-        counted = term_rows(tokenised(df, text, keys), keys, (1, 1)).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-        hits = counted.join(merged.select(F.col("word").alias("term"), F.col("weight").alias("_w")), "term", "left")
-        w = F.coalesce("_w", F.lit(0.0)) * F.col("_n")
-        sums = hits.groupBy(*keys).agg(
-            F.sum(F.greatest(w, F.lit(0.0))).alias("_pos"), F.sum(F.greatest(-w, F.lit(0.0))).alias("_neg"), F.sum("_n").alias("_all")
-        )
+        least = _least_use(merged, FEW_ROWS)
+        look = _lexicon_sums(merged.filter(F.col("n") >= least), rest=True)
+        looked = dealt_out(df.select(*keys, text)).withColumn("_sums", look(tokens(F.col(text)))).select(*keys, "_sums.*")
+        looked = materialised(looked, "looked-up")
+        rest = looked.select(*keys, F.explode("_rest").alias("word"))
+        rare = rest.join(merged.filter(F.col("n") < least).select("word", "weight"), "word")
+        parts = [
+            looked.select(*keys, "_pos", "_neg", "_all"),
+            rare.select(*keys, F.greatest("weight", F.lit(0.0)).alias("_pos"), F.greatest(-F.col("weight"), F.lit(0.0)).alias("_neg"), F.lit(0).cast("long").alias("_all")),
+        ]
+        sums = parts[0].unionByName(parts[1]).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_pos", "_neg", "_all")])
         joined = df.join(sums, keys, "left")
     pos = F.when(F.col("_all") > 0, F.col("_pos") / F.col("_all")).otherwise(0.0)
     neg = F.when(F.col("_all") > 0, F.col("_neg") / F.col("_all")).otherwise(0.0)
@@ -172,21 +225,40 @@ def lexicon_probs(df: DataFrame, text: str, lexicon: DataFrame, keys: Sequence[s
     return joined.withColumn(out, F.create_map(*pairs)).drop("_pos", "_neg", "_all")
 
 
-def _lexicon_sums(lexicon: DataFrame) -> Callable[[Column], Column]:
-    """Column function: sums of positive and negative weights, and the number, of an array of words."""
-    table = lexicon.orderBy("word").toArrow()
+def _least_use(lexicon: DataFrame, rows: int) -> int:
+    """The least ``n`` for which no more than so many words of the lexicon are used as often."""
+    sizes = lexicon.groupBy("n").agg(F.count(F.lit(1)).alias("_words"))
+    # No more different numbers than the square root of twice their sum.
+    total, least = 0, None
+    for r in sizes.orderBy(F.col("n").desc()).toLocalIterator():
+        total += r["_words"]
+        if total > rows:
+            break
+        least = r["n"]
+    return least if least is not None else 2**62
+
+
+def _lexicon_sums(lexicon: DataFrame, rest: bool = False) -> Callable[[Column], Column]:
+    """Column function: sums of positive and negative weights, and the number, of an array of words; and the words not found."""
+    table = lexicon.orderBy("word").select("word", "weight").toArrow()
     shared = lexicon.sparkSession.sparkContext.broadcast((table.column("word").combine_chunks(), table.column("weight").to_numpy()))
 
-    @F.pandas_udf("_pos double, _neg double, _all long")
+    @F.pandas_udf("_pos double, _neg double, _all long" + ", _rest array<string>" * rest)
     def sums(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, weights = shared.value
         for words in batches:
             lists = pa.array(words, pa.list_(pa.string()))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            at = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
             w = np.where(at >= 0, weights[np.maximum(at, 0)], 0.0) if len(weights) else np.zeros(len(at))
             row = np.repeat(np.arange(len(sizes)), sizes)
-            yield pd.DataFrame({"_pos": np.bincount(row, np.maximum(w, 0.0), len(sizes)), "_neg": np.bincount(row, np.maximum(-w, 0.0), len(sizes)), "_all": sizes})
+            out = pd.DataFrame({"_pos": np.bincount(row, np.maximum(w, 0.0), len(sizes)), "_neg": np.bincount(row, np.maximum(-w, 0.0), len(sizes)), "_all": sizes})
+            if rest:
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[at < 0], minlength=len(sizes)))])
+                left = flat.filter(pa.array(at < 0)).to_pylist()
+                out["_rest"] = [left[i:j] for i, j in zip(ends[:-1], ends[1:])]
+            yield out
 
     return sums
 

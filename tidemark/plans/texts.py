@@ -22,7 +22,7 @@ idf AS (SELECT term, ln((1 + (SELECT count(*) FROM texts)) / (1 + count(*))) + 1
 @query("tfidf", f"""WITH {V.TEXTS_SQL}, {TOKEN_SQL}
 SELECT doc_id, term, {big('n', 'n_in_doc')}, {nums('idf')}, {num('n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id))', 'weight')} FROM tf JOIN idf USING (term)""")
 def tfidf(spark, sf):
-    return shown(X.tfidf(V.texts(spark, sf), "headline"))
+    return shown(X.tfidf(V.headlines(spark, sf), "headline"))
 
 
 @query("tfidf_vectors", f"""WITH {V.TEXTS_SQL}, {TOKEN_SQL}, names AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM idf)
@@ -31,7 +31,7 @@ def tfidf_vectors(spark, sf):
     """The places and values of the sparse vectors that the text models read."""
     from pyspark.ml.functions import vector_to_array
 
-    vectors, _ = X.tfidf_vectors(V.texts(spark, sf), "headline")
+    vectors, _ = X.tfidf_vectors(V.headlines(spark, sf), "headline")
     cells = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("place", "weight"))
     return shown(cells.filter("weight <> 0"))
 
@@ -47,7 +47,7 @@ def quality_lexicon(spark, sf):
     overall = labelled.agg(F.avg("quality")).first()[0]
     words = labelled.select("quality", F.explode(F.array_distinct(X.tokens(F.col("headline")))).alias("word"))
     rows = words.groupBy("word")
-    return rows.agg(F.when(F.avg("quality") >= overall, 1.0).otherwise(-1.0).alias("weight"))
+    return rows.agg(F.when(F.avg("quality") >= overall, 1.0).otherwise(-1.0).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 SCORE_SQL = f"""{TOKEN_SQL}, {LEXICON_SQL},
@@ -61,7 +61,7 @@ scored AS (SELECT *, positive - negative AS sentiment_score,
 
 def scored(spark, sf):
     lexicon = materialised(quality_lexicon(spark, sf), "lexicon")
-    return X.score_text(V.texts(spark, sf), "headline", lexicon)
+    return X.score_text(V.headlines(spark, sf), "headline", lexicon)
 
 
 @query("text_scores", f"""WITH {V.TEXTS_SQL}, {SCORE_SQL}
@@ -129,5 +129,5 @@ def model_scored_texts(spark, sf):
 
         return predict
 
-    out = X.score_text(V.texts(spark, sf), "headline", load_model)
+    out = X.score_text(V.headlines(spark, sf), "headline", load_model)
     return shown(out.select("doc_id", "predicted_label", "sentiment_score"))

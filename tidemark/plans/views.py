@@ -229,6 +229,18 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def headlines(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``texts`` without what labels say.
+
+    The join changes no row unless a document has several labels, and would move
+    every text, so it is left out where there are none such.
+    """
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").filter("doc_id IS NOT NULL").select("doc_id")
+    several = labels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    rows = docs if several.isEmpty() else docs.join(labels, "doc_id", "left")
+    return rows.select("doc_id", F.col("source").alias("ticker"), F.col("text").alias("headline"), F.col("n_chars").cast("double").alias("volume"))
+
+
 TEXTS_SQL = """texts AS (
   SELECT doc_id, source AS ticker, text AS headline, n_chars::DOUBLE AS volume, quality, toxic
   FROM documents LEFT JOIN labels USING (doc_id))"""
