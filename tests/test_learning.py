@@ -73,3 +73,17 @@ def test_frequent_grams_are_counted_without_building_all(spark, monkeypatch):
         assert got == sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:size]
         if size == 25:
             assert max(sizes) < sum(grams.values()), "every gram of every text was built"
+
+
+def test_vectors_of_words_equal_those_of_texts(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemark.operators import text as X
+
+    df = spark.createDataFrame([(1, "Bb aa bb, aa c"), (2, "aa cc"), (3, None), (4, "")], "doc_id long, t string")
+    words = X.tokenised(df, "t", ["doc_id"])
+    a, terms = X.tfidf_vectors(df, "t", max_features=4)
+    b, same = X.tfidf_vectors(words, "words", max_features=4)
+    assert terms == same
+    rows = [sorted((r[0], *r[1]) for r in x.select("doc_id", vector_to_array("features")).collect()) for x in (a, b)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4

@@ -46,8 +46,15 @@ def ngrams(words: Column, ngram: tuple[int, int] = (1, 2)) -> Column:
     return F.concat(*parts)
 
 
+def is_words(df: DataFrame, text: str) -> bool:
+    """Whether the column holds words, not a text."""
+    return isinstance(df.schema[text].dataType, T.ArrayType)
+
+
 def tokenised(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """The words of every text, written once for the passes that read them."""
+    """The words of every text, written once for the passes that read them; a column of words is read as it is."""
+    if is_words(df, text):
+        return df.select(*keys, F.col(text).alias("words"))
     return materialised(dealt_out(df.select(*keys, text)).select(*keys, tokens(F.col(text)).alias("words")), "words")
 
 
@@ -153,6 +160,7 @@ def tfidf_vectors(
 
     Counting, weighting and scaling are Spark ML's own transformers on sparse
     vectors. A null text, or one without a word of the vocabulary, is all zeros.
+    ``text`` may be a written column of words, which then is not split again.
     """
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
@@ -165,7 +173,8 @@ def tfidf_vectors(
     each = train.select(F.explode(F.array_distinct(grams_of(F.col("words"), ngram, only))).alias("term"))
     idf = inverse_frequencies(each.join(sent(vocab, max_features), "term"), train)
     terms = {r["term"]: r["idf"] for r in idf.orderBy("term").collect()}
-    grams = F.coalesce(grams_of(tokens(F.col(text)), ngram, only), F.array().cast("array<string>"))
+    words = F.col(text) if is_words(df, text) else tokens(F.col(text))
+    grams = F.coalesce(grams_of(words, ngram, only), F.array().cast("array<string>"))
     rows = dealt_out(df).withColumn("_grams", grams)
     if not terms:
         return rows.withColumn(out, F.lit(None)).drop("_grams"), []

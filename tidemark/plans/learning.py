@@ -116,8 +116,9 @@ def text_vectors(spark, sf):
     """Labelled texts as sparse TF-IDF vectors, fitted on the training rows, in three classes: toxic, poor, good."""
     docs = V.texts(spark, sf).filter(F.col("quality").isNotNull())
     category = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    parts = materialised(splits.stratified_split(docs.withColumn("category", category), "category", ["doc_id"]), "texts")
-    vectors, terms = Tx.tfidf_vectors(parts, "headline", fit_on=parts.filter("split = 'train'"))
+    parts = splits.stratified_split(docs.withColumn("category", category), "category", ["doc_id"])
+    parts = materialised(parts.withColumn("words", Tx.tokens(F.col("headline"))).drop("headline"), "words")
+    vectors, terms = Tx.tfidf_vectors(parts, "words", fit_on=parts.filter("split = 'train'"))
     rows = vectors.select("doc_id", "split", F.col("quality").cast("double").alias("quality"), F.col("category").cast("double").alias("category"), "features")
     return materialised(rows, "vectors"), terms
 

@@ -31,7 +31,7 @@ def tfidf_vectors(spark, sf):
     """The places and values of the sparse vectors that the text models read."""
     from pyspark.ml.functions import vector_to_array
 
-    vectors, _ = X.tfidf_vectors(V.headlines(spark, sf), "headline")
+    vectors, _ = X.tfidf_vectors(X.tokenised(V.headlines(spark, sf), "headline", ["doc_id"]), "words")
     cells = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("place", "weight"))
     return shown(cells.filter("weight <> 0"))
 
