@@ -1,6 +1,9 @@
 """Terms that matter only together are learned, whatever their own share in the classes."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import toxicity
 
@@ -20,3 +23,35 @@ def test_balanced_terms_that_are_toxic_together(spark):
     out = toxicity.score_toxicity(docs, machine).withColumn("held", toxicity.held_out()).filter("held").collect()
     right = {k: np.mean([(r["score"] >= toxicity.THRESHOLD) == (k in ("both", "slur")) for r in out if kind[r["doc_id"]] == k]) for k in set(kind.values())}
     assert min(right.values()) > 0.9
+
+
+def test_terms_are_looked_up_for_a_small_slice_at_once():
+    """Memory of a task follows TERM_BYTES: the terms of a slice take many times its bytes."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"word{w}" for w in rng.integers(0, 5000, 300)) for _ in range(1500)]
+    machine = toxicity.Machine(np.arange(1000), 0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], ["doc_id", "text"])
+    run = toxicity._score(machine)
+    list(run(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    scores = np.concatenate([b.column("score").to_numpy() for b in run(iter([batch]))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == 1500 and peak < 40e6
+
+
+def test_fit_follows_the_gradient_of_every_text():
+    """One step over few texts, one of them without terms, against the formula written out."""
+    machine = toxicity.Machine(np.arange(5), 0.3)
+    bias, weight, factor = machine.bias, machine.weight.astype(float), machine.factor.astype(float)
+    docs, labels = [np.array([0, 3]), np.array([], dtype=int), np.array([3, 4, 1])], np.array([1.0, 0.0, 0.0])
+    machine.fit(docs, labels, 1, 7, rate=0.1, shrink=1e-4)
+    x = np.array([[i in d for i in range(5)] for d in docs], dtype=float)
+    sums = x @ factor
+    error = (1 / (1 + np.exp(-(bias + x @ weight + 0.5 * (sums**2 - x @ factor**2).sum(axis=1)))) - labels) / 3
+    touched = x.any(axis=0)
+    g_weight = x.T @ error + 1e-4 * weight
+    g_factor = x.T @ (error[:, None] * sums) - (x.T @ error)[:, None] * factor + 1e-4 * factor
+    assert np.allclose(machine.weight, weight - touched * 0.1 * g_weight / np.sqrt(1e-2 + g_weight**2), atol=1e-6)
+    assert np.allclose(machine.factor, factor - touched[:, None] * 0.1 * g_factor / np.sqrt(1e-2 + g_factor**2), atol=1e-6)
+    assert np.isclose(machine.bias, bias - 0.1 * error.sum() / (1e-2 + error.sum() ** 2) ** 0.5)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import U64, Words, lower_table, random_values, scramble, separators, text_slices
+from tidemark.llm.batches import U64, Words, give_back, lower_table, random_values, scramble, separators, text_slices
 from tidemark.llm.frames import with_small
 from tidemark.session import materialised
 
@@ -32,6 +32,8 @@ SHARDS = 8
 ROUNDS = 8
 EPOCHS = 6
 THRESHOLD = 0.3
+#: Text bytes whose terms are looked up at once (or one longer text); a word makes up to seven terms.
+TERM_BYTES = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -81,7 +83,7 @@ class Terms:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
-    for rows, data, offsets in text_slices(batches):
+    for rows, data, offsets in text_slices(batches, limit=TERM_BYTES):
         text, bucket = terms(data, offsets)
         bounds = np.searchsorted(text, np.arange(rows.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket.astype(np.int32)))
@@ -119,29 +121,35 @@ class Machine:
         for epoch in range(epochs):
             order = np.argsort(random_values(len(sizes), seed * 131 + epoch))
             for part in np.array_split(order, max(1, len(order) // 64)):
+                full = np.flatnonzero(sizes[part])
+                begin = np.cumsum(sizes[part]) - sizes[part]
                 doc = np.repeat(np.arange(len(part)), sizes[part])
-                term = terms[np.arange(len(doc)) + np.repeat(starts[part] - (np.cumsum(sizes[part]) - sizes[part]), sizes[part])]
+                term = np.take(terms, np.arange(len(doc)) + np.repeat(starts[part] - begin, sizes[part]))
                 seen[term] = True
                 touched = np.flatnonzero(seen)
                 seen[touched] = False
                 place[touched] = np.arange(len(touched))
-                local = place[term]
-                weight, factor = self.weight[touched], self.factor[touched]
-                own = factor[local]
-                sums = np.stack([np.bincount(doc, own[:, f], len(part)) for f in range(FACTORS)], axis=1)
-                squares = np.bincount(doc, np.einsum("tf,tf->t", own, own), len(part))
-                score = self.bias + np.bincount(doc, weight[local], len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+                local = np.take(place, term)
+                # Weight, square and factors of a term lie side by side, so that a text's are summed in one pass.
+                weight, factor = np.take(self.weight, touched), np.take(self.factor, touched, axis=0)
+                own = np.column_stack([weight, np.einsum("tf,tf->t", factor, factor), factor])
+                sums = np.zeros((len(part), own.shape[1]), dtype=np.float32)
+                if len(term):
+                    sums[full] = np.add.reduceat(np.take(own, local, axis=0), begin[full], axis=0)
+                linear, squares, sums = sums[:, 0], sums[:, 1], sums[:, 2:]
+                score = self.bias + linear + 0.5 * ((sums.astype(np.float64) ** 2).sum(axis=1) - squares)
                 error = ((1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / len(part)).astype(np.float32)
                 self.bias -= rate * float(error.sum()) / (g_bias := g_bias + float(error.sum()) ** 2) ** 0.5
                 if not len(term):
                     continue
-                each = np.bincount(local, error[doc], len(touched)).astype(np.float32)
+                pull = np.vstack([error, error * sums.T]).astype(np.float64)
+                each, *pull = (np.bincount(local, np.take(one, doc), len(touched)).astype(np.float32) for one in pull)
                 grad = each + shrink * weight
-                g_weight[touched] = total = g_weight[touched] + grad**2
-                self.weight[touched] = weight - rate * grad / np.sqrt(total)
-                pull = (error[:, None] * sums).astype(np.float32)
-                grad = np.stack([np.bincount(local, pull[doc, f], len(touched)) for f in range(FACTORS)], axis=1).astype(np.float32) - each[:, None] * factor + shrink * factor
-                g_factor[touched] = total = g_factor[touched] + grad**2
+                total = np.take(g_weight, touched) + grad**2
+                np.put(g_weight, touched, total)
+                np.put(self.weight, touched, weight - rate * grad / np.sqrt(total))
+                grad = np.stack(pull, axis=1) - each[:, None] * factor + shrink * factor
+                g_factor[touched] = total = np.take(g_factor, touched, axis=0) + grad**2
                 self.factor[touched] = factor - rate * grad / np.sqrt(total)
 
     def pack(self) -> bytes:
@@ -169,6 +177,8 @@ def _packed(machine: Machine):
             rows.sort(key=lambda r: (r[0], r[1].tobytes()))
             packed = [np.array([t for t, _ in rows], dtype=np.int32), np.array([len(s) for _, s in rows], dtype=np.int32), np.concatenate([s for _, s in rows])]
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], ["shard", "toxic", "sizes", "terms"])
+        found.clear()
+        give_back()
 
     return run
 
@@ -185,6 +195,8 @@ def _fit_shards(machine: Machine, turn: int):
                 own = copy.deepcopy(machine)
                 own.fit(np.split(terms, np.cumsum(sizes)[:-1]), labels.astype(np.float64), EPOCHS, turn * SHARDS + row["shard"])
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([len(labels)], pa.int64()), pa.array([own.pack()], pa.binary())], ["shard", "rows", "parameters"])
+                del own, labels, sizes, terms, row
+        give_back()
 
     return run
 
@@ -233,7 +245,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine | None:
 def _score(machine: Machine | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(machine.slot if machine is not None else None)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=TERM_BYTES):
             n = rows.num_rows
             score = np.zeros(n)
             if machine is not None:
@@ -273,7 +285,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def _keep(machine: Machine | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(machine.slot if machine is not None else None)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=TERM_BYTES):
             if machine is not None:
                 raw, _ = machine.raw(*terms(data, offsets), rows.num_rows)
                 rows = rows.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < threshold))
