@@ -5,6 +5,7 @@ import pytest
 from brute import bytes_kept, passages, similar, texts, words_kept
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm import fm_index, frames, jaccard_join, recompression, suffix_dedup
 from tidemark.llm.batches import Powers
 
@@ -183,3 +184,39 @@ def test_empty_tables(spark, none):
     assert fm_index.find_passages(none, tests).count() == 0
     docs = spark.createDataFrame([(1, "some words")], SCHEMA)
     assert [tuple(r)[2:] for r in fm_index.find_passages(docs, tests).collect()] == [(2, [], [])]
+
+
+def test_parities_never_hide_a_shared_shingle():
+    """The bound holds for sets of any sizes, and is tight enough to tell unlike sets apart."""
+    rng = np.random.default_rng(6)
+    for n, m, shared in [(1, 1, 1), (3, 900, 2), (700, 5000, 650), (5000, 5100, 4700), (4000, 4000, 10), (20_000, 19_000, 18_500)]:
+        pool = np.unique(rng.integers(0, 2**63, 2 * (n + m), dtype=np.uint64))
+        rng.shuffle(pool)
+        x, y = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        for one, other in ((x, y), (y, x)):
+            bound = jaccard_join.most_shared(jaccard_join.parities(one), jaccard_join.parities(other), n + m)
+            assert bound >= shared
+    assert jaccard_join.most_shared(*map(jaccard_join.parities, (pool[:4000], pool[4000:8000])), 8000) < 0.92 * 4000
+
+
+def test_sets_of_unlike_texts_are_not_moved(spark, monkeypatch):
+    """Pairs that share a passage but cannot link are dropped before whole sets are joined."""
+    sizes = {}
+
+    def noted(df, name):
+        out = session.materialised(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialised", noted)
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([*(f"w{w}" for w in rng.integers(0, 10**9, 40)), *passage[i % 3 :]])) for i in range(3)]
+    rows += [(i + 10, text + " end") for i, text in rows]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    same(jaccard_join.similar_texts(docs, 4, 85), similar(rows, 4, 85))
+    readers = spark.createDataFrame([(a, b, a, b, a, b) for a, b in [(0, 10), (0, 1), (1, 12)]], "a long, b long, a_comp long, b_comp long, a_reader long, b_reader long")
+    ids = {r["doc_id"]: r["set_id"] for r in docs.mapInArrow(jaccard_join._read_sets(4, 20), "doc_id long, n_shingles long, set_id long, chunk int, counts binary").filter("doc_id IS NOT NULL").collect()}
+    pairs = spark.createDataFrame([(ids[r["a"]], ids[r["b"]], r["a"], r["b"], r["a"], r["b"]) for r in readers.collect()], readers.schema)
+    sizes.clear()
+    assert jaccard_join._linked(pairs, docs, 4, 85).count() == 1 and sizes["possible"] == [1] and sizes["possible_sets"] == [2]

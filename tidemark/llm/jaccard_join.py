@@ -30,6 +30,8 @@ from tidemark.llm.batches import U64, Words, lower_table, scramble, signed, text
 from tidemark.llm.frames import components, with_small
 from tidemark.session import materialised
 
+#: Text bytes whose shingles are made at once (or one longer text).
+SLICE = 1 << 18
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 14
 MAX_MATCHES = 4
@@ -93,7 +95,7 @@ def _read_sets(k: int, bits: int):
         counts = np.zeros(2 * width, dtype=np.int32)
         names = ["doc_id", "n_shingles", "set_id", "chunk", "counts"]
         salt = 0
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             words = shingles.words(data, offsets)
             sets, _ = shingles(words)
             ids = _id_of_empty(len(sets), salt)
@@ -184,7 +186,7 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray, frequent: tuple[np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         seen: set[int] = set()
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             words = shingles.words(data, offsets)
             rarity = shingles.sums(words, chance[_bucket(words.hash, width)])
             tokens, owners, metas, readers = [], [], [], []
@@ -220,21 +222,61 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray, frequent: tuple[np.ndarr
     return run
 
 
+def parities(one: np.ndarray) -> np.ndarray:
+    """A bit for each bucket of a set's tokens, packed: whether it holds an odd number. About one bit for each token.
+
+    Two sets differ in at least as many tokens as bits.
+    """
+    width = 1 << max(9, int(len(one) - 1).bit_length())
+    return np.packbits(np.bincount(_bucket(one, width), minlength=width).astype(np.uint8) & 1, bitorder="little")
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, sizes: int) -> int:
+    """The most tokens that two sets of these parities, with ``sizes`` tokens together, can share."""
+    if len(x) > len(y):
+        x, y = y, x
+    # Halves fold: a narrower bucket holds what both of its wider ones hold.
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return (sizes - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def _set_tokens(k: int):
-    """Map: texts to (set_id, tokens) for verification, each set once for a task."""
+    """Map: texts to (set_id, n, parities, tokens) for verification, each set once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         seen: set[int] = set()
-        for rows, data, offsets in text_slices(batches):
-            ids, tokens = [], []
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
+            ids, sizes, bits, tokens = [], [], [], []
             for one in shingles(shingles.words(data, offsets))[0]:
                 if len(one) and (own := int(_set_id(one))) not in seen:
                     seen.add(own)
                     ids.append(own)
+                    sizes.append(len(one))
+                    bits.append(parities(one).tobytes())
                     tokens.append(one.tobytes())
             if ids:
-                yield pa.RecordBatch.from_arrays([signed(np.array(ids, dtype=U64)), pa.array(tokens, pa.binary())], ["set_id", "tokens"])
+                columns = [signed(np.array(ids, dtype=U64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["set_id", "n", "bits", "tokens"])
+
+    return run
+
+
+_PAIR = "a long, b long, a_comp long, b_comp long"
+
+
+def _possible(percent: int):
+    """Map: pairs with the parities of both sets to those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            sizes = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            for i, (x, y) in enumerate(zip(batch.column("a_bits"), batch.column("b_bits"))):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint8), np.frombuffer(y.as_buffer(), dtype=np.uint8)
+                shared = most_shared(x, y, int(sizes[i]))
+                keep[i] = 100 * shared >= percent * (int(sizes[i]) - shared)
+            yield batch.select(["a", "b", "a_comp", "b_comp"]).filter(pa.array(keep))
 
     return run
 
@@ -265,12 +307,20 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     of texts to read them from.
     """
     readers = materialised(pairs.select(F.explode(F.array("a_reader", "b_reader")).alias("doc_id")).distinct(), "readers")
-    sets = with_small(docs, readers, ["doc_id"], "left_semi").mapInArrow(_set_tokens(k), "set_id long, tokens binary")
+    sets = with_small(docs, readers, ["doc_id"], "left_semi").mapInArrow(_set_tokens(k), "set_id long, n long, bits binary, tokens binary")
     sets = materialised(sets, "sets")
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("b_tokens"))
-    checked = pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long, a_comp long, b_comp long")
-    return materialised(checked, "links")
+
+    def both(rows: DataFrame, table: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            rows = rows.join(table.toDF(side, *[f"{side}_{c}" for c in table.columns[1:]]), side)
+        return rows
+
+    # Whole sets are only moved for the pairs that their parities leave.
+    pairs = both(pairs.select("a", "b", "a_comp", "b_comp"), sets.select("set_id", "n", "bits").dropDuplicates(["set_id"]))
+    pairs = materialised(pairs.mapInArrow(_possible(percent), _PAIR), "possible")
+    needed = materialised(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "possible_sets")
+    checked = both(pairs, with_small(sets.select("set_id", "tokens"), needed, ["set_id"], "left_semi"))
+    return materialised(checked.mapInArrow(_verify(percent), _PAIR), "links")
 
 
 def _fitting(percent: int, a: str, b: str) -> str:
@@ -319,7 +369,7 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     groups = materialised(groups, "postings")
     # Where the other sets of its lists gather around a set, it is the better hub.
     centre = groups.groupBy("set_id").agg((F.sum("size") / F.shiftright(F.max("meta"), 34)).alias("rank"))
-    groups = groups.drop("size").join(centre, "set_id")
+    ranked = groups.drop("size").join(centre, "set_id")
 
     links = []
     for turn in range(HUB_ROUNDS):
@@ -327,6 +377,8 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         load = many.agg((F.sum(F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         if not load["pairs"] or load["pairs"] <= 4 * load["rows"]:
             break
+        if turn == 0:
+            groups = materialised(ranked, "ranked")
         pairs = materialised(_star_pairs(groups, percent, turn), "star_pairs")
         found = _linked(pairs, docs, k, percent)
         links.append(found.select("a", "b"))
@@ -386,15 +438,20 @@ def _open_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """All pairs between components that share as many prefix shingles as they must."""
     open_tokens = groups.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     rest = groups.join(open_tokens, "token")
-    names = ("set_id", "meta", "comp", "reader")
+    names = ("set_id", "meta", "comp")
     x = rest.select("token", *[F.col(c).alias(f"a_{c}") for c in names])
     y = rest.select("token", *[F.col(c).alias(f"b_{c}") for c in names])
     asked = F.expr("greatest(a_meta & 15, b_meta & 15)")
     pairs = x.join(y, "token").filter("a_set_id < b_set_id AND a_comp <> b_comp").filter(_fitting(percent, "a_meta", "b_meta"))
-    pairs = pairs.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(
-        F.count(F.lit(1)).alias("matches"), F.max(asked).alias("asked"), *[F.min(c).alias(c) for c in ("a_comp", "b_comp", "a_reader", "b_reader")]
-    )
-    return pairs.filter("matches >= asked").drop("matches", "asked")
+    # Only the ids move for each shared shingle; the rest is brought to the few pairs that share enough.
+    pairs = pairs.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(F.count(F.lit(1)).cast("int").alias("matches"), F.max(asked.cast("int")).alias("asked"))
+    pairs = materialised(pairs.filter("matches >= asked").select("a", "b"), "open_pairs")
+    about = groups.groupBy("set_id").agg(F.min("comp").alias("comp"), F.min("reader").alias("reader"))
+    needed = materialised(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "open_sets")
+    about = materialised(with_small(about, needed, ["set_id"], "left_semi"), "open_readers")
+    for side in ("a", "b"):
+        pairs = with_small(pairs, about.toDF(side, f"{side}_comp", f"{side}_reader"), [side], "inner")
+    return pairs.select("a", "b", "a_comp", "b_comp", "a_reader", "b_reader")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
