@@ -1,6 +1,9 @@
 """Text operators against plain-Python versions, with odd rows and clashing columns."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import bytes_kept, passages, similar, texts, words_kept
 from pyspark.sql import functions as F
@@ -220,3 +223,19 @@ def test_sets_of_unlike_texts_are_not_moved(spark, monkeypatch):
     pairs = spark.createDataFrame([(ids[r["a"]], ids[r["b"]], r["a"], r["b"], r["a"], r["b"]) for r in readers.collect()], readers.schema)
     sizes.clear()
     assert jaccard_join._linked(pairs, docs, 4, 85).count() == 1 and sizes["possible"] == [1] and sizes["possible_sets"] == [2]
+
+
+def test_windows_are_hashed_for_a_small_slice_at_once():
+    """Memory of a task follows SLICE, and segments do not depend on where slices end."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(range(900)), pa.array(texts)], ["doc_id", "text_key", "text"])
+    run = suffix_dedup._segments(200)
+    list(run(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    got = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    alone = [b for i in range(900) for b in run(iter([batch.slice(i, 1)]))]
+    assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(alone).to_pydict()

@@ -31,6 +31,8 @@ from tidemark.llm.frames import with_small
 from tidemark.session import materialised
 
 GRAM = 40
+#: Text bytes whose windows are hashed at once (or one longer text): arrays of eight bytes for each stay in the cache.
+SLICE = 1 << 17
 #: Different segments of one gram that are suffix-sorted in one task.
 SORTED_SEGMENTS = 256
 SORT_BYTES = 1 << 20
@@ -93,7 +95,7 @@ def _segments(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             anchor, whole, first, wins, owner = segments(data, offsets, window, powers)
             if len(anchor):
                 own = pa.array(owner)
@@ -110,7 +112,7 @@ def _segment_bytes(window: int):
     """Map: texts with a list of segments to the segments' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             lengths = pc.fill_null(rows.column("segments").value_lengths(), 0).to_numpy()
             items = rows.column("segments").flatten()
             owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -132,7 +134,7 @@ def _cut_again(window: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for rows, data, offsets in text_slices(batches, "bytes"):
+        for rows, data, offsets in text_slices(batches, "bytes", SLICE):
             anchor, whole, first, wins, owner = segments(data, offsets, window, powers, seed)
             raw = data.tobytes()
             own = pa.array(owner)
@@ -154,7 +156,7 @@ def _window_hashes(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for rows, data, offsets in text_slices(batches, "bytes"):
+        for rows, data, offsets in text_slices(batches, "bytes", SLICE):
             wins = rows.column("wins").to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(len(wins)), wins)
             inside = np.arange(len(owner)) - np.repeat(np.cumsum(wins) - wins, wins)
