@@ -55,3 +55,23 @@ def test_fit_follows_the_gradient_of_every_text():
     assert np.allclose(machine.weight, weight - touched * 0.1 * g_weight / np.sqrt(1e-2 + g_weight**2), atol=1e-6)
     assert np.allclose(machine.factor, factor - touched[:, None] * 0.1 * g_factor / np.sqrt(1e-2 + g_factor**2), atol=1e-6)
     assert np.isclose(machine.bias, bias - 0.1 * error.sum() / (1e-2 + error.sum() ** 2) ** 0.5)
+
+
+def test_rows_stay_while_their_texts_are_scored(spark):
+    """Whole rows do not move through Python; batches of texts are bounded by bytes, not by 10000 rows."""
+    rows = [(i, f"word{i % 7} fine day", "en") for i in range(400)] + [(i, f"word{i % 7} scumbag", None) for i in range(400, 500)]
+    rows += [(500, None, "en"), (501, "", "de"), (None, "word1 scumbag", "en"), (None, "word1 fine day", "en"), (3, "word3 fine day", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", "text", "doc_id")
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i in range(500)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 22
+    machine = toxicity.fit_toxicity(docs, labels)
+    scored = toxicity._score(machine)(iter([pa.RecordBatch.from_pylist([{"text": r[1], "at": i} for i, r in enumerate(rows)])]))
+    want = [(rows[r["at"]][2], *rows[r["at"]][1::-1]) for b in scored for r in b.to_pylist() if r["score"] < toxicity.THRESHOLD]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr) and 400 < len(want) < 410
+
+
+def test_no_machine_keeps_every_row(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert toxicity.drop_toxic(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")).count() == 2

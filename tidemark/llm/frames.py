@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialised
 
 #: Rows of fixed-size keys up to which a side is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch that Spark hands to a Python task, or one longer row.
+BATCH_BYTES = 1 << 22
 
 
 def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, *items: str) -> DataFrame:
@@ -23,6 +25,17 @@ def with_small(df: DataFrame, side: DataFrame, on: list[str], how: str, *items:
     return df.join(side, on, how)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless it sets a bound itself.
+
+    Spark counts rows, 10000 for a batch. Of whole texts that is a task's share,
+    which the executor then holds several times outside of its heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, component), component the least node.
 

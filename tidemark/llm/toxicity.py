@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import U64, Words, give_back, lower_table, random_values, scramble, separators, text_slices
-from tidemark.llm.frames import with_small
+from tidemark.llm.frames import small_batches, with_small
 from tidemark.session import materialised
 
 BUCKETS = 1 << 18
@@ -114,7 +114,7 @@ class Machine:
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int, rate: float = 0.1, shrink: float = 1e-4) -> None:
         """AdaGrad over 64 documents at a time, each with distinct terms."""
-        terms, sizes = np.concatenate([*docs, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.array([len(d) for d in docs], dtype=np.int64)
+        terms, sizes = np.concatenate([*docs, np.zeros(0, dtype=np.int32)]), np.array([len(d) for d in docs], dtype=np.int64)
         g_bias, g_weight, g_factor = 1e-2, np.full(len(self.weight), 1e-2, dtype=np.float32), np.full(self.factor.shape, 1e-2, dtype=np.float32)
         place, seen = np.zeros(len(self.weight), dtype=np.int64), np.zeros(len(self.weight), dtype=bool)
         starts = np.cumsum(sizes) - sizes
@@ -213,6 +213,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine | None:
     Rows without a text or a label of 0 or 1 are left out. None if a class is
     missing.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(_remainder("doc_id") != 2)
     total = known.count()
@@ -264,6 +265,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None) -> DataFrame:
     texts without words, and all rows get 0 where no machine could be fitted.
     Repeated rows get equal scores; extra columns are left out.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_score(machine), "doc_id long, score double")
 
@@ -276,19 +278,18 @@ def held_out(doc_id: str = "doc_id"):
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold."""
     machine = fit_toxicity(docs, labels)
-    names = docs.columns
-    texts = docs.withColumn("text", F.col("text").cast("string"))
-    kept = texts.mapInArrow(_keep(machine, threshold), texts.schema)
-    return kept.select(names)
+    if machine is None:
+        return docs
+    # Only texts move to Python and only scores back; the rows stay where they are.
+    return docs.filter(_text_score(machine)(F.col("text").cast("string")) < threshold)
 
 
-def _keep(machine: Machine | None, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(machine.slot if machine is not None else None)
-        for rows, data, offsets in text_slices(batches, limit=TERM_BYTES):
-            if machine is not None:
-                raw, _ = machine.raw(*terms(data, offsets), rows.num_rows)
-                rows = rows.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < threshold))
-            yield rows
+def _text_score(machine: Machine):
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = _score(machine)
+        for one in texts:
+            parts = run(iter([pa.RecordBatch.from_arrays([one], ["text"])]))
+            yield pa.concat_arrays([pa.array([], pa.float64()), *[part.column("score") for part in parts]])
 
-    return run
+    return score
