@@ -239,3 +239,16 @@ def test_windows_are_hashed_for_a_small_slice_at_once():
     assert peak < 30e6
     alone = [b for i in range(900) for b in run(iter([batch.slice(i, 1)]))]
     assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(alone).to_pydict()
+
+
+def test_passages_are_searched_in_a_small_shard_at_once():
+    """Memory of a task follows SHARD_BYTES: words and index take about 40 times a shard's bytes."""
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"word{w}" for w in draw.integers(0, 3000, 400)) for _ in range(1500)]
+    phrases = fm_index.Phrases([(0, texts[0]), (1, texts[900])], 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts), pa.array(range(1500))], ["doc_id", "text", "text_key"])
+    tracemalloc.start()
+    items = [i for b in fm_index._search(phrases)(iter([batch])) for i in b.column("items").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, own in enumerate(items) if own] == [0, 900] and peak < 60e6

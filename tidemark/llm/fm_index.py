@@ -22,7 +22,7 @@ from tidemark.llm.batches import Words, lower_table, separators, text_slices
 from tidemark.llm.frames import with_small
 from tidemark.session import materialised
 
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 19
 #: Bytes of test texts that are searched, and sent to every task, at once.
 BLOCK_BYTES = 1 << 22
 SAMPLE_EVERY = 16
@@ -301,7 +301,7 @@ def _remove(spans_name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, lower = word_parts(), lower_table()
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SHARD_BYTES):
             spans = rows.column(spans_name)
             names = [n for n in rows.schema.names if n != spans_name]
             if spans.null_count == len(spans):
