@@ -252,3 +252,19 @@ def test_passages_are_searched_in_a_small_shard_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [i for i, own in enumerate(items) if own] == [0, 900] and peak < 60e6
+
+
+def test_ranks_of_hubs_need_no_join(spark, monkeypatch):
+    """A set's postings meet once by a window; a join of all postings grew with them."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join([*base[:d % 50], f"x{d}", *base[d % 50 + 1 :]])) for d in range(60)]
+    plans, plain = {}, jaccard_join.materialised
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialised", written)
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    same(jaccard_join.similar_texts(docs, 4, 85), similar(rows, 4, 85))
+    assert "Join" not in plans["ranked"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import U64, Words, lower_table, scramble, signed, text_slices, white_space
-from tidemark.llm.frames import components, with_small
+from tidemark.llm.frames import components, small_batches, with_small
 from tidemark.session import materialised
 
 #: Text bytes whose shingles are made at once (or one longer text).
@@ -350,6 +350,7 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nothing and have a null component. Repeated rows give repeated rows. Extra
     columns are left out. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, set_id long, chunk int, counts binary"
     read = materialised(docs.mapInArrow(_read_sets(k, SKETCH_BITS), schema), "set_ids")
@@ -367,9 +368,9 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     groups = groups.withColumn("size", F.count(F.lit(1)).over(per_token)).filter("low <> high")
     groups = groups.groupBy("token", "set_id", "meta").agg(F.min("reader").alias("reader"), F.max("size").alias("size")).withColumn("comp", F.col("set_id"))
     groups = materialised(groups, "postings")
-    # Where the other sets of its lists gather around a set, it is the better hub.
-    centre = groups.groupBy("set_id").agg((F.sum("size") / F.shiftright(F.max("meta"), 34)).alias("rank"))
-    ranked = groups.drop("size").join(centre, "set_id")
+    # Where the other sets of its lists gather around a set, it is the better hub. A set's postings meet once, without a join.
+    per_set = Window.partitionBy("set_id")
+    ranked = groups.withColumn("rank", F.sum("size").over(per_set) / F.shiftright(F.max("meta").over(per_set), 34)).drop("size")
 
     links = []
     for turn in range(HUB_ROUNDS):
