@@ -113,6 +113,28 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - grad[at]) < 2e-2 * max(1, abs(grad[at])), (name, at)
 
 
+def test_gates_and_words_are_whole_runs_of_memory():
+    """A window's states lie by lane, and its gradients equal those of each lane alone."""
+    net, draw = network(hidden=6), np.random.default_rng(7)
+    ids, keep = draw.integers(0, 21, (5, 9)), np.ones((5, 9), dtype=np.float32)
+    keep[0], keep[2, 4] = 0.0, 0.0
+
+    def grads(ids, keep):
+        memory, out = [], {}
+        before = net.run(ids, keep, np.zeros((ids.shape[1], net.hidden), dtype=np.float32), memory)
+        net.predict(before.reshape(-1, net.hidden), ids.ravel(), out)
+        net.backward(ids, keep, before, memory, out, out.pop("states").reshape(before.shape))
+        x = np.zeros_like(net.x)
+        x[out.pop("rows")] = out["x"]
+        return before, out | {"x": x}
+
+    before, whole = grads(ids, keep)
+    assert before.transpose(0, 2, 1).flags.c_contiguous
+    alone = [grads(ids[:, i : i + 1], keep[:, i : i + 1])[1] for i in range(9)]
+    for name, grad in whole.items():
+        assert np.allclose(grad, sum(one[name] for one in alone), atol=1e-4), name
+
+
 def sample():
     draw = np.random.default_rng(4)
     rows = []

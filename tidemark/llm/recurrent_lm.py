@@ -195,56 +195,74 @@ class Network:
         return out
 
     def run(self, ids: np.ndarray, keep: np.ndarray, state: np.ndarray, memory: list | None = None) -> np.ndarray:
-        """States before each step of a window (steps, lanes); ``state`` goes on, ``keep`` is 0 where a text begins."""
+        """States before each step of a window (steps, lanes); ``state`` goes on, ``keep`` is 0 where a text begins.
+
+        Inside, lanes come last, so that each gate is one run of memory.
+        """
         h, (steps, lanes) = self.hidden, ids.shape
-        before = np.empty((steps, lanes, h), dtype=np.float32)
-        inputs = self.x[ids]
+        before = np.empty((steps, h, lanes), dtype=np.float32)
+        inputs, u, after = np.ascontiguousarray(np.take(self.x, ids, axis=0, mode="clip").transpose(0, 2, 1)), np.ascontiguousarray(self.u.T), np.ascontiguousarray(state.T)
         for t in range(steps):
-            now = before[t]
-            np.multiply(state, keep[t][:, None], out=now)
-            pulled = now @ self.u
-            gates = 1.0 / (1.0 + np.exp(-(inputs[t, :, : 2 * h] + pulled[:, : 2 * h])))
-            new = np.tanh(inputs[t, :, 2 * h :] + gates[:, h:] * pulled[:, 2 * h :])
-            state[:] = new + gates[:, :h] * (now - new)
+            now = np.multiply(after, keep[t], out=before[t])
+            pulled = u @ now
+            gates = inputs[t, : 2 * h] + pulled[: 2 * h]
+            np.exp(np.negative(gates, out=gates), out=gates)
+            gates += 1.0
+            np.reciprocal(gates, out=gates)
+            new = gates[h:] * pulled[2 * h :]
+            new += inputs[t, 2 * h :]
+            np.tanh(new, out=new)
+            after = now - new
+            after *= gates[:h]
+            after += new
             if memory is not None:
-                memory.append((gates, new, pulled[:, 2 * h :]))
-        return before
+                memory.append((gates, new, pulled[2 * h :]))
+        state[:] = after.T
+        return before.transpose(0, 2, 1)
 
     def predict(self, states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural logarithms of the probability of each word after its state; gradients of their sum, negated, into ``grads``."""
-        kinds = self.of_class[ids]
-        scores = states @ self.wc.T + self.bc
-        safe, ones, rows = self._safe(), np.ones(max(len(self.bounds), len(self.of_class)), dtype=np.float32), np.arange(len(ids))
-        total = self._exponentials(scores, safe, ones)
-        out = np.log(scores[rows, kinds] / total)
+        kinds, h = self.of_class[ids], self.hidden
+        safe, ones, rows = self._safe(), np.ones(max(len(self.bounds), len(self.of_class), len(ids)), dtype=np.float32), np.arange(len(ids))
+        # With a last column of ones, shifts are part of the products.
+        order = np.argsort(kinds.astype(np.uint8 if len(self.bounds) < 256 else np.int64), kind="stable")
+        kinds, ids, states = kinds[order], ids[order], np.column_stack([states[order], ones[: len(ids)]])
+        out = np.empty(len(ids), dtype=np.float32)
+
+        def one(mine: np.ndarray, weights: np.ndarray, plain: np.ndarray, own: np.ndarray):
+            """Logarithms of the probability of each state's own row of the weights, and gradients."""
+            scores, here = mine @ weights.T, rows[: len(mine)]
+            total = self._exponentials(scores, safe, ones)
+            logs = np.log(scores[here, own] / total)
+            if grads is None:
+                return logs, None, None
+            scores[here, own] -= total
+            share = (1.0 / total)[:, None]
+            return logs, scores.T @ (mine * share), (scores @ plain) * share
+
+        logs, of_weights, of_states = one(states, np.column_stack([self.wc, self.bc]), self.wc, kinds)
+        out[order] = logs
         if grads is not None:
-            scores *= (1.0 / total)[:, None]
-            scores[rows, kinds] -= 1.0
-            grads["wc"], grads["bc"], back = scores.T @ states, scores.sum(axis=0), scores @ self.wc
+            grads["wc"], grads["bc"], back = of_weights[:, :h], of_weights[:, h], of_states
             grads["wo"], grads["bo"] = np.zeros_like(self.wo), np.zeros_like(self.bo)
-        order = np.argsort(kinds.astype(np.uint8 if len(self.bounds) < 256 else np.int64), kind="stable")
-        edges = np.searchsorted(kinds[order], np.arange(len(self.bounds) + 1))
+        edges, words = np.searchsorted(kinds, np.arange(len(self.bounds) + 1)), np.column_stack([self.wo, self.bo])
         for k in range(len(self.bounds) - 1):
-            a, b = self.bounds[k], self.bounds[k + 1]
-            at = order[edges[k] : edges[k + 1]]
-            if b - a < 2 or not len(at):
+            a, b, i, j = self.bounds[k], self.bounds[k + 1], edges[k], edges[k + 1]
+            if b - a < 2 or i == j:
                 continue
-            mine, rows, own = states[at], np.arange(len(at)), ids[at] - a
-            scores = mine @ self.wo[a:b].T + self.bo[a:b]
-            total = self._exponentials(scores, safe, ones)
-            out[at] += np.log(scores[rows, own] / total)
+            logs, of_weights, of_states = one(states[i:j], words[a:b], self.wo[a:b], ids[i:j] - a)
+            out[order[i:j]] += logs
             if grads is not None:
-                scores *= (1.0 / total)[:, None]
-                scores[rows, own] -= 1.0
-                grads["wo"][a:b], grads["bo"][a:b] = scores.T @ mine, scores.sum(axis=0)
-                back[at] += scores @ self.wo[a:b]
+                grads["wo"][a:b], grads["bo"][a:b] = of_weights[:, :h], of_weights[:, h]
+                back[i:j] += of_states
         if grads is not None:
-            grads["states"] = back
+            grads["states"] = np.empty_like(back)
+            grads["states"][order] = back
         return out
 
     def _safe(self) -> bool:
         """Whether no score can leave single precision: states lie in (-1, 1), so the weights bound them."""
-        return max(float((np.abs(w).sum(axis=1) + np.abs(shift)).max()) for w, shift in ((self.wc, self.bc), (self.wo, self.bo))) < SAFE
+        return max(float((np.abs(w) @ np.ones(self.hidden, dtype=np.float32) + np.abs(shift)).max()) for w, shift in ((self.wc, self.bc), (self.wo, self.bo))) < SAFE
 
     @staticmethod
     def _exponentials(scores: np.ndarray, safe: bool, ones: np.ndarray) -> np.ndarray:
@@ -259,31 +277,44 @@ class Network:
     def backward(self, ids: np.ndarray, keep: np.ndarray, before: np.ndarray, memory: list, grads: dict, back: np.ndarray) -> None:
         """Carry errors of the states back through a window, into the gradients of inputs and recurrence."""
         h, (steps, lanes) = self.hidden, ids.shape
-        pulls, inputs = np.empty((steps, lanes, 3 * h), dtype=np.float32), np.empty((steps, lanes, 3 * h), dtype=np.float32)
-        error = np.zeros((lanes, h), dtype=np.float32)
+        pulls, inputs = np.empty((steps, 3 * h, lanes), dtype=np.float32), np.empty((steps, 3 * h, lanes), dtype=np.float32)
+        before, back = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in (before, back))
+        error = np.zeros((h, lanes), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
             gates, new, pulled = memory[t]
-            z, r = gates[:, :h], gates[:, h:]
-            d_new = error * (1 - z) * (1 - new * new)
-            inputs[t, :, :h] = error * (before[t] - new) * z * (1 - z)
-            inputs[t, :, h : 2 * h] = d_new * pulled * r * (1 - r)
-            inputs[t, :, 2 * h :] = d_new
-            pulls[t] = inputs[t]
-            pulls[t, :, 2 * h :] *= r
-            error = (error * z + pulls[t] @ self.u.T + back[t]) * keep[t][:, None]
-        grads["u"] = before.reshape(-1, h).T @ pulls.reshape(-1, 3 * h)
+            z, r, mine, pull = gates[:h], gates[h:], inputs[t], pulls[t]
+            kept = error * z
+            error -= kept
+            np.multiply(error, 1 - new * new, out=mine[2 * h :])
+            np.multiply((before[t] - new) * kept, 1 - z, out=mine[:h])
+            np.multiply(mine[2 * h :], r, out=pull[2 * h :])
+            np.multiply(pull[2 * h :] * pulled, 1 - r, out=mine[h : 2 * h])
+            pull[: 2 * h] = mine[: 2 * h]
+            error = self.u @ pull
+            error += kept
+            error += back[t]
+            error *= keep[t]
+        grads["u"] = (before @ pulls.transpose(0, 2, 1)).sum(axis=0)
+        inputs = inputs.transpose(0, 2, 1)
         flat = ids.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16 if len(self.of_class) <= 1 << 16 else np.int64), kind="stable")
         starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["rows"], grads["x"] = flat[order][starts], np.add.reduceat(inputs.reshape(-1, 3 * h)[order], starts, axis=0)
+        # As complex numbers, two are added at once.
+        pair = np.float32 if h % 2 else np.complex64
+        sums = np.add.reduceat(np.take(inputs.reshape(-1, 3 * h), order, axis=0).view(pair), starts, axis=0)
+        grads["rows"], grads["x"] = flat[order[starts]], sums.view(np.float32)
 
     def step(self, ids: np.ndarray, keep: np.ndarray, live: np.ndarray, state: np.ndarray, rate: float) -> None:
         """One update on a window; ``live`` marks the steps of lanes that have not run out."""
         memory, grads = [], {}
         before = self.run(ids, keep, state, memory)
-        self.predict(before[live], ids[live], grads)
-        back = np.zeros_like(before)
-        back[live] = grads.pop("states")
+        if live.all():
+            self.predict(before.reshape(-1, self.hidden), ids.ravel(), grads)
+            back = grads.pop("states").reshape(before.shape)
+        else:
+            self.predict(before[live], ids[live], grads)
+            back = np.zeros(before.shape, dtype=np.float32)
+            back[live] = grads.pop("states")
         self.backward(ids, keep, before, memory, grads, back)
         n, rows = np.float32(live.sum()), grads.pop("rows")
         for name in ("u", "wc", "bc", "bo"):
@@ -291,11 +322,11 @@ class Network:
             seen += g * g
             getattr(self, name)[...] -= rate * g / np.sqrt(seen + 1e-12)
         g = grads["x"] / n
-        self.gx[rows] += (g * g).mean(axis=1, keepdims=True)
-        self.x[rows] -= rate * g / np.sqrt(self.gx[rows] + 1e-12)
+        self.gx[rows] += np.einsum("ij,ij->i", g, g)[:, None] / g.shape[1]
+        self.x[rows] -= g * (rate / np.sqrt(self.gx[rows] + 1e-12))
         g = grads["wo"] / n
-        self.gwo += (g * g).mean(axis=1, keepdims=True)
-        self.wo -= rate * g / np.sqrt(self.gwo + 1e-12)
+        self.gwo += np.einsum("ij,ij->i", g, g)[:, None] / g.shape[1]
+        self.wo -= g * (rate / np.sqrt(self.gwo + 1e-12))
 
 
 def in_lanes(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
