@@ -40,6 +40,25 @@ def test_terms_are_looked_up_for_a_small_slice_at_once():
     assert len(scores) == 1500 and peak < 40e6
 
 
+def test_terms_of_a_text_are_told_apart_without_hashing_all_of_them(monkeypatch):
+    """Pairs are marked in a table or sorted; both give each text the terms it has alone, once each."""
+    texts = [b"", b"Fine fine FINE day!!!", None, b"", b"antidisestablishment Antidisestablished day", "\u00e9t\u00e9 12 -".encode(), b"day", b"!"]
+    texts += [b" ".join(b"word%d" % (i * j % 97) for j in range(40)) for i in range(30)]
+    data = np.frombuffer(b"".join(t or b"" for t in texts), np.uint8)
+    offsets = np.cumsum([0] + [len(t or b"") for t in texts])
+    alone = [toxicity.Terms()(data[a:b], np.array([0, b - a]))[1].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert all(x == sorted(set(x)) for x in alone) and alone[0] == alone[2] and len(alone[6]) == 3
+    monkeypatch.setattr(toxicity.np, "unique", None)
+    slot = np.where(np.arange(toxicity.BUCKETS) % 3 == 1, -1, np.arange(toxicity.BUCKETS))
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        text, term = toxicity.Terms()(data, offsets)
+        assert [term[text == i].tolist() for i in range(len(texts))] == alone and (np.diff(text) >= 0).all()
+        text, term = toxicity.Terms(slot)(data, offsets)
+        assert [term[text == i].tolist() for i in range(len(texts))] == [[x for x in one if x % 3 != 1] for one in alone]
+        assert [len(x) for x in toxicity.Terms()(data[:0], np.zeros(4, dtype=np.int64))] == [6, 6]
+
+
 def test_fit_follows_the_gradient_of_every_text():
     """One step over few texts, one of them without terms, against the formula written out."""
     machine = toxicity.Machine(np.arange(5), 0.3)

@@ -34,6 +34,8 @@ EPOCHS = 6
 THRESHOLD = 0.3
 #: Text bytes whose terms are looked up at once (or one longer text); a word makes up to seven terms.
 TERM_BYTES = 1 << 17
+#: Cells of texts and terms up to which pairs are marked in a table; beyond, they are sorted.
+CELLS = 1 << 22
 
 
 def _letters() -> np.ndarray:
@@ -55,30 +57,56 @@ class Terms:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = Words(self.lower[data], offsets, self.parts)
-        n = len(words.count)
-        kinds, first, kind = np.unique(words.hash, return_index=True, return_inverse=True)
-        pairs = np.unique(np.repeat(np.arange(n), words.count) * max(len(kinds), 1) + kind)
-        size, at = (words.end - words.start)[first], words.at[first]
+        n, texts = len(words.count), np.arange(len(words.count))
+        order = np.argsort(words.hash)
+        fresh = np.diff(words.hash[order], prepend=~words.hash[order[:1]]) != 0
+        kind = np.empty(len(order), dtype=np.int64)
+        kind[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        kinds, size, at = words.hash[first], (words.end - words.start)[first], words.at[first]
         table = np.full((len(kinds), 1 + len(PREFIXES)), -1, dtype=np.int64)
         table[:, 0] = (kinds >> U64(46)).astype(np.int64)
         for j, letters in enumerate(PREFIXES, 1):
-            longer = size > letters
+            longer = np.flatnonzero(size > letters)
             begin = at[longer]
             hashes = scramble(words.sums[begin + letters] - words.sums[begin] + U64(letters * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             table[longer, j] = (hashes >> U64(46)).astype(np.int64)
-        terms = self._placed(table)[pairs % max(len(kinds), 1)]
-        keys = ((pairs // max(len(kinds), 1) * BUCKETS)[:, None] + terms)[terms >= 0]
-        found = [keys]
         # Shouting: how much of the text is upper case, and exclamation marks, in four steps each.
-        upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-        marks = np.concatenate([[0], np.cumsum(data == 33)])
-        size = np.maximum(np.diff(offsets), 1)
-        for seed, total in ((17, upper), (19, marks)):
-            step = np.minimum(3, np.diff(total[offsets]) * 8 // size)
-            bucket = self._placed((random_values(4, seed) >> U64(46)).astype(np.int64))[step]
-            found.append((np.arange(n) * BUCKETS + bucket)[bucket >= 0])
-        keys = np.unique(np.concatenate(found))
-        return keys // BUCKETS, keys % BUCKETS
+        length, steps = np.maximum(np.diff(offsets), 1), []
+        for seed, marked in ((17, (data >= 65) & (data <= 90)), (19, data == 33)):
+            total = np.concatenate([[0], np.cumsum(marked)])
+            step = np.minimum(3, np.diff(total[offsets]) * 8 // length)
+            steps.append(self._placed((random_values(4, seed) >> U64(46)).astype(np.int64))[step])
+        table = self._placed(table)
+        # Terms of the slice are numbered, so that a text's distinct ones are few cells.
+        here = np.zeros(BUCKETS, dtype=bool)
+        for some in (table, *steps):
+            here[some[some >= 0]] = True
+        found = np.flatnonzero(here)
+        place = np.zeros(BUCKETS, dtype=np.int64)
+        place[found] = np.arange(len(found))
+        text, kind = distinct(np.repeat(texts, words.count), kind, n, len(kinds))
+        table = np.where(table >= 0, place[table], -1)[kind]
+        text = np.concatenate([np.repeat(text, 1 + len(PREFIXES)), texts, texts])
+        term = np.concatenate([table.ravel(), *[np.where(step >= 0, place[step], -1) for step in steps]])
+        real = term >= 0
+        text, term = distinct(text[real], term[real], n, len(found))
+        return text, found[term]
+
+
+def distinct(row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a row and a column, sorted; cells of a table where it is small enough."""
+    keys = row * columns + column
+    if rows * columns <= CELLS:
+        cells = np.zeros(rows * columns, dtype=bool)
+        cells[keys] = True
+        keys = np.flatnonzero(cells)
+    else:
+        keys = np.sort(keys)
+        keys = keys[np.diff(keys, prepend=-1) != 0]
+    row = np.searchsorted(keys, np.arange(rows + 1) * columns)
+    row = np.repeat(np.arange(rows), np.diff(row))
+    return row, keys - row * columns
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +130,15 @@ class Machine:
         self.factor = ((noise.reshape(-1, FACTORS) - 0.5) * 0.05).astype(np.float32)
 
     def raw(self, doc: np.ndarray, term: np.ndarray, n: int):
-        """Scores before the logistic, and the factor sums of their pairs."""
-        sums = np.zeros((n, FACTORS))
-        squares = np.zeros(n)
-        for f in range(FACTORS):
-            v = self.factor[term, f]
-            sums[:, f] = np.bincount(doc, v, n)
-            squares += np.bincount(doc, v * v, n)
-        linear = np.bincount(doc, self.weight[term], n)
+        """Scores before the logistic of sorted (text, term) pairs, and the texts' factor sums."""
+        # Weight, square and factors of a term lie side by side, so that a text's are summed in one pass.
+        begin = np.searchsorted(doc, np.arange(n + 1))
+        full = np.flatnonzero(np.diff(begin))
+        sums = np.zeros((n, 2 + FACTORS))
+        if len(doc):
+            factor = np.take(self.factor, term, axis=0)
+            sums[full] = np.add.reduceat(np.column_stack([np.take(self.weight, term), np.einsum("tf,tf->t", factor, factor), factor]), begin[full], axis=0, dtype=np.float64)
+        linear, squares, sums = sums[:, 0], sums[:, 1], sums[:, 2:]
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int, rate: float = 0.1, shrink: float = 1e-4) -> None:
