@@ -5,8 +5,10 @@ import os
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,33 @@ def test_gates_and_words_are_whole_runs_of_memory():
         assert np.allclose(grad, sum(one[name] for one in alone), atol=1e-4), name
 
 
+def test_words_are_found_by_their_first_bits():
+    """A few looks for each word, whatever the size of the table; words that it does not hold have no rank."""
+    draw = np.random.default_rng(5)
+    terms = draw.permutation(np.unique(np.append(draw.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, 1, 1 << 63, (1 << 64) - 1], dtype=np.uint64))))
+    known, asked = lm.Vocabulary(9, len(terms), terms, np.ones(len(terms), dtype=np.int64), 40), np.append(draw.integers(0, 1 << 64, 900, dtype=np.uint64), terms ^ np.uint64(1))
+    rank = {t: i for i, t in enumerate(terms.tolist())}
+    assert known.ranks(terms).tolist() == list(range(len(terms))) and known.most < 12
+    assert known.ranks(asked).tolist() == [rank.get(t, -1) for t in asked.tolist()]
+    none = lm.Vocabulary(0, 0, terms[:0], np.zeros(0, dtype=np.int64), 0)
+    assert none.ranks(asked[:3]).tolist() == [-1] * 3 and known.ranks(asked[:0]).tolist() == []
+
+
+def test_steps_reuse_the_memory_of_the_last(monkeypatch):
+    """Updates do not have their arrays mapped anew each time: 600 lanes took about 1800 new pages a step."""
+    resource = pytest.importorskip("resource")
+    draw, net = np.random.default_rng(6), lm.Network.fresh(vocabulary(np.random.default_rng(6).integers(1, 900, 4200), 4096), 16)
+    texts = [draw.integers(0, 4097, 16 * 60).astype(np.uint16).tobytes() for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts, pa.binary())], ["row", "ids"])
+    sent, pages = SimpleNamespace(value=(net.bounds, net.of_class, 16, net.values)), []
+    step, count = lm.Network.step, lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    monkeypatch.setattr(lm.Network, "step", lambda *x: (pages.append(count()), step(*x)))
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    (out,) = lm._fit(sent, {"words": 1 << 22, "window": 16, "lanes": 600, "rate": 0.1})(iter([batch]))
+    assert out.column("read").to_pylist() == [600 * 960] and len(pages) >= 50
+    assert np.median(np.diff(pages)[10:]) < 300
+
+
 def sample():
     draw = np.random.default_rng(4)
     rows = []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import Words, lower_table, signed, text_slices, white_space
+from tidemark.llm.batches import Words, keeping_memory, lower_table, signed, text_slices, white_space
 from tidemark.session import materialised
 
 #: Words with an output of their own.
@@ -65,6 +65,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, bounds
 
 
+@keeping_memory
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, offsets in text_slices(batches):
         terms, n = np.unique(_tokens(data, offsets)[0], return_counts=True)
@@ -83,10 +84,17 @@ class Vocabulary:
     bounds: np.ndarray = field(init=False)
     by_term: np.ndarray = field(init=False)
     sorted_terms: np.ndarray = field(init=False)
+    shift: np.uint64 = field(init=False)
+    begins: np.ndarray = field(init=False)
+    most: int = field(init=False)
 
     def __post_init__(self) -> None:
         self.by_term = np.argsort(self.terms)
         self.sorted_terms = self.terms[self.by_term]
+        bits = max(1, len(self.terms)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(self.sorted_terms >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.begins, append=len(self.terms)).max())
         share = np.cumsum(self.counts[: self.head]) - self.counts[: self.head]
         of_class = share * CLASSES // max(1, int(self.counts[: self.head].sum()))
         self.bounds = np.append(np.flatnonzero(np.diff(of_class, prepend=-1)), self.head)
@@ -108,8 +116,16 @@ class Vocabulary:
         """Ranks of terms, -1 for what the table does not hold."""
         if not len(self.terms):
             return np.full(len(terms), -1)
-        at = np.minimum(np.searchsorted(self.sorted_terms, terms), len(self.terms) - 1)
-        return np.where(self.sorted_terms[at] == terms, self.by_term[at], -1)
+        # Terms are hashes, so their first bits lead to the few that can be equal.
+        at = np.take(self.begins, terms >> self.shift)
+        rank = np.full(len(terms), -1)
+        left = np.arange(len(terms))
+        for _ in range(self.most):
+            held = np.minimum(at, len(self.terms) - 1)
+            equal = np.take(self.sorted_terms, held) == terms[left]
+            rank[left[equal]] = np.take(self.by_term, held[equal])
+            left, at = left[~equal], at[~equal] + 1
+        return rank
 
 
 def smoothed(count, total: int, different: int):
@@ -139,6 +155,7 @@ def _encode(vocabulary: Vocabulary) -> Callable:
     rare_of = smoothed(vocabulary.counts, rare, rare_kinds)
     rare_of[:head] = 0.0
 
+    @keeping_memory
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch, data, offsets in text_slices(batches):
@@ -227,35 +244,35 @@ class Network:
         # With a last column of ones, shifts are part of the products.
         order = np.argsort(kinds.astype(np.uint8 if len(self.bounds) < 256 else np.int64), kind="stable")
         kinds, ids, states = kinds[order], ids[order], np.column_stack([states[order], ones[: len(ids)]])
-        out = np.empty(len(ids), dtype=np.float32)
 
-        def one(mine: np.ndarray, weights: np.ndarray, plain: np.ndarray, own: np.ndarray):
+        def one(mine: np.ndarray, weights: np.ndarray, plain: np.ndarray, own: np.ndarray, of_weights: np.ndarray | None):
             """Logarithms of the probability of each state's own row of the weights, and gradients."""
-            scores, here = mine @ weights.T, rows[: len(mine)]
-            total = self._exponentials(scores, safe, ones)
-            logs = np.log(scores[here, own] / total)
-            if grads is None:
-                return logs, None, None
-            scores[here, own] -= total
+            scores, own = mine @ weights.T, rows[: len(mine)] * len(weights) + own
+            total, flat = self._exponentials(scores, safe, ones), scores.reshape(-1)
+            chosen = np.take(flat, own)
+            logs = np.log(chosen / total)
+            if of_weights is None:
+                return logs, None
+            flat[own] = chosen - total
             share = (1.0 / total)[:, None]
-            return logs, scores.T @ (mine * share), (scores @ plain) * share
-
-        logs, of_weights, of_states = one(states, np.column_stack([self.wc, self.bc]), self.wc, kinds)
-        out[order] = logs
-        if grads is not None:
-            grads["wc"], grads["bc"], back = of_weights[:, :h], of_weights[:, h], of_states
-            grads["wo"], grads["bo"] = np.zeros_like(self.wo), np.zeros_like(self.bo)
-        edges, words = np.searchsorted(kinds, np.arange(len(self.bounds) + 1)), np.column_stack([self.wo, self.bo])
-        for k in range(len(self.bounds) - 1):
-            a, b, i, j = self.bounds[k], self.bounds[k + 1], edges[k], edges[k + 1]
+            np.matmul(scores.T, mine * share, out=of_weights)
+            return logs, (scores @ plain) * share
+
+        classes, words = np.column_stack([self.wc, self.bc]), np.column_stack([self.wo, self.bo])
+        of_classes, of_words = (None, None) if grads is None else (np.empty_like(classes), np.zeros_like(words))
+        logs, back = one(states, classes, self.wc, kinds, of_classes)
+        edges, bounds = np.searchsorted(kinds, np.arange(len(self.bounds) + 1)).tolist(), self.bounds.tolist()
+        for a, b, i, j in zip(bounds, bounds[1:], edges, edges[1:]):
             if b - a < 2 or i == j:
                 continue
-            logs, of_weights, of_states = one(states[i:j], words[a:b], self.wo[a:b], ids[i:j] - a)
-            out[order[i:j]] += logs
+            inner, of_states = one(states[i:j], words[a:b], self.wo[a:b], ids[i:j] - a, None if grads is None else of_words[a:b])
+            logs[i:j] += inner
             if grads is not None:
-                grads["wo"][a:b], grads["bo"][a:b] = of_weights[:, :h], of_weights[:, h]
                 back[i:j] += of_states
+        out = np.empty(len(ids), dtype=np.float32)
+        out[order] = logs
         if grads is not None:
+            grads["wc"], grads["bc"], grads["wo"], grads["bo"] = of_classes[:, :h], of_classes[:, h], of_words[:, :h], of_words[:, h]
             grads["states"] = np.empty_like(back)
             grads["states"][order] = back
         return out
@@ -379,6 +396,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int):
 
 
 def _fit(network, settings: dict) -> Callable:
+    @keeping_memory
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, of_class, hidden, values = network.value
         own, read = Network(bounds, of_class, hidden, values.copy()), 0
@@ -431,6 +449,7 @@ def fit_network(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS
 
 
 def _likelihoods(network, settings: dict) -> Callable:
+    @keeping_memory
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, of_class, hidden, values = network.value
         own = Network(bounds, of_class, hidden, values)
