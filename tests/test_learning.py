@@ -87,3 +87,17 @@ def test_vectors_of_words_equal_those_of_texts(spark):
     assert terms == same
     rows = [sorted((r[0], *r[1]) for r in x.select("doc_id", vector_to_array("features")).collect()) for x in (a, b)]
     assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
+def test_forest_keeps_the_nodes_that_rows_have_reached(spark):
+    """Same trees as with rows led down from the roots for every group of nodes, and checkpoints to cut the lineage."""
+    from tidemark.operators import models as M
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame(pd.DataFrame({"f": x[:, 0], "g": x[:, 1], "h": x[:, 2], "y": (x[:, 0] * x[:, 1] + rng.normal(0, 0.3, 300) > 0).astype(float)}))
+    assert M.classifier("random_forest", "y").getCacheNodeIds()
+    kept = M.fit_classifier(df, "random_forest", ["f", "g", "h"], "y", numTrees=8)
+    assert spark.sparkContext.getCheckpointDir()
+    led = M.fit_classifier(df, "random_forest", ["f", "g", "h"], "y", numTrees=8, cacheNodeIds=False)
+    assert kept.toDebugString.split("\n", 1)[1] == led.toDebugString.split("\n", 1)[1] and max(t.depth for t in kept.trees) > 5

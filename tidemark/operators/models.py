@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.backtest import classification_pnl
 from tidemark.operators.evaluate import adjusted_rand, multiclass_metrics, regression_metrics
 from tidemark.operators.splits import assign_folds, expanding_folds, scaled, scaler_stats, standardize
-from tidemark.session import materialised
+from tidemark.session import allow_checkpoints, materialised
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -52,8 +52,9 @@ def classifier(kind: str, label: str, n_rows: int | None = None, n_features: int
         defaults = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
         return C.GBTClassifier(**common, **{**defaults, **params})
     if kind == "random_forest":
-        # Trees without a limit: 30 is the deepest that Spark grows.
-        return C.RandomForestClassifier(**common, **{"numTrees": 300, "maxDepth": 30, "seed": 42, **params})
+        # Trees without a limit: 30 is the deepest that Spark grows. Rows keep the nodes they have
+        # reached, instead of being led down from the roots for every group of nodes.
+        return C.RandomForestClassifier(**common, **{"numTrees": 300, "maxDepth": 30, "cacheNodeIds": True, "seed": 42, **params})
     if kind == "dense_net":
         layers = params.pop("layers", [n_features, 64, 32, n_classes])
         return C.MultilayerPerceptronClassifier(layers=layers, **common, **{"seed": 42, "maxIter": 100, **params})
@@ -78,6 +79,7 @@ def regressor(kind: str, label: str, **params):
 def fit_classifier(df: DataFrame, kind: str, features: Sequence[str], label: str, n_classes: int = 2, **params) -> Model:
     rows = assemble(df, features).select("features", F.col(label).cast("double").alias(label))
     n = rows.count() if kind == "logistic" and "regParam" not in params else None
+    allow_checkpoints(df.sparkSession)
     return classifier(kind, label, n, len(features), n_classes, **params).fit(rows)
 
 

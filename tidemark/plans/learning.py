@@ -15,7 +15,7 @@ from tidemark.operators.attach import attach_row
 from tidemark.plans import views as V
 from tidemark.plans.market import _impact
 from tidemark.plans.registry import query, shown
-from tidemark.session import materialised
+from tidemark.session import allow_checkpoints, materialised
 
 IMPACT = list(X.IMPACT_FEATURES)
 CANDLE = list(X.CANDLE_FEATURES)
@@ -126,6 +126,7 @@ def text_vectors(spark, sf):
 def _text_metrics(spark, sf, kind, label="category", classes=(0, 1, 2), **params):
     rows, terms = text_vectors(spark, sf)
     train = rows.filter("split = 'train'").select("features", label)
+    allow_checkpoints(spark)
     model = M.classifier(kind, label, train.count(), len(terms), len(classes), **params).fit(train)
     guessed = model.transform(rows.filter("split = 'test'")).select(label, F.col("prediction").cast("int").alias("guess"))
     scored = materialised(guessed, "guesses")  # the metrics read them several times

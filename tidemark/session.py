@@ -57,11 +57,15 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
+    allow_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
+def allow_checkpoints(spark: SparkSession) -> None:
+    """Let Spark cut the lineage of iterative work in the shared folder."""
     folder = _shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
