@@ -101,3 +101,32 @@ def test_forest_keeps_the_nodes_that_rows_have_reached(spark):
     assert spark.sparkContext.getCheckpointDir()
     led = M.fit_classifier(df, "random_forest", ["f", "g", "h"], "y", numTrees=8, cacheNodeIds=False)
     assert kept.toDebugString.split("\n", 1)[1] == led.toDebugString.split("\n", 1)[1] and max(t.depth for t in kept.trees) > 5
+
+
+def test_texts_are_placed_by_their_keys(spark, tmp_path, monkeypatch):
+    """Words do not move to be split; repeated documents and labels give a row for each pair, as a join does."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import text as X
+    from tidemark.plans import learning as L
+
+    rng = np.random.default_rng(6)
+    docs = [(int(i) if i < 78 else None, " ".join(f"w{k}" for k in rng.zipf(1.5, 30) % 50)) for i in range(80)] + [(3, "again w1 w2"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'s' AS source", "length(text) AS n_chars").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, None if i % 10 == 9 else int(i % 7 > 0), int(i % 5 == 0)) for i in range(0, 90, 2)] + [(3, 1, 0), (3, 0, None), (9, None, 1), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = L.V.texts(spark, str(tmp_path)).filter("quality IS NOT NULL")
+    want = want.withColumn("category", F.expr("CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END"))
+    plain, placed = L.splits.stratified_split, []
+    want = sorted(tuple(r) for r in plain(want, "category", ["doc_id"]).select("doc_id", "category", "quality", "split").collect())
+    monkeypatch.setattr(L.splits, "stratified_split", lambda df, *a: placed.append(df) or plain(df, *a))
+    seen = []
+    for few in (X.FEW_ROWS, 0):
+        monkeypatch.setattr(X, "FEW_ROWS", few)
+        rows, terms = L.text_vectors(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in rows.select("doc_id", "category", "quality", "split").collect())
+        assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in want]
+        assert {r for r in got if r[0] != 3} == {r for r in want if r[0] != 3}  # the order of equal keys is open
+        seen.append((terms, sorted(map(str, rows.collect()))))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 40
+    assert not any(set(df.columns) & {"words", "headline", "text"} for df in placed), "texts are moved to be split"

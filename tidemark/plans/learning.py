@@ -115,10 +115,16 @@ def walk_forward_model(spark, sf):
 
 def text_vectors(spark, sf):
     """Labelled texts as sparse TF-IDF vectors, fitted on the training rows, in three classes: toxic, poor, good."""
-    docs = V.texts(spark, sf).filter(F.col("quality").isNotNull())
+    labels = V.table(spark, sf, "labels").filter("quality IS NOT NULL")
     category = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    parts = splits.stratified_split(docs.withColumn("category", category), "category", ["doc_id"])
-    parts = materialised(parts.withColumn("words", Tx.tokens(F.col("headline"))).drop("headline"), "words")
+    docs = V.table(spark, sf, "documents").select("doc_id", "text").join(Tx.sent(labels, labels.count()), "doc_id")
+    rows = docs.select("doc_id", "quality", category.alias("category"), Tx.tokens(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("_row"))
+    # Rows are placed by their keys; words are not moved for it.
+    rows = materialised(rows, "words")
+    split = materialised(splits.stratified_split(rows.select("_row", "doc_id", "category"), "category", ["doc_id"]).select("_row", "split"), "split")
+    n = split.count()
+    parts = rows.join(Tx.sent(split, n), "_row").drop("_row")
+    parts = parts if n <= Tx.FEW_ROWS else materialised(parts, "parts")
     vectors, terms = Tx.tfidf_vectors(parts, "words", fit_on=parts.filter("split = 'train'"))
     rows = vectors.select("doc_id", "split", F.col("quality").cast("double").alias("quality"), F.col("category").cast("double").alias("category"), "features")
     return materialised(rows, "vectors"), terms
