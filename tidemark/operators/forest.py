@@ -112,7 +112,7 @@ def cells_by_sorting(seen: np.ndarray, node: np.ndarray, y: np.ndarray, weight:
     """Cells and counts of rows (rows, k) of many small nodes."""
     k = seen.shape[1]
     seen = seen.ravel()
-    at = np.flatnonzero(seen)
+    at = np.flatnonzero(seen != 0)
     row = at // k
     # Node and feature, bin, class, times drawn; a draw is of less than 2^16, there are less than 2^8 classes.
     key = ((node * k) << 32 | y << 16 | weight)[row] + ((at - row * k) << 32) + (seen[at].astype(np.int64) << 24)
@@ -131,6 +131,16 @@ def node_sums(seen: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int)
     return np.bincount(cell.ravel(), np.repeat(weight, k), k * BINS * classes).astype(np.int64).reshape(k, BINS, classes)
 
 
+def filled_sums(seen: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int) -> np.ndarray:
+    """``node_sums`` without those of bin 0, which most values of sparse rows are in."""
+    k = seen.shape[1]
+    seen = seen.ravel()
+    at = np.flatnonzero(seen != 0)
+    row = at // k
+    cell = ((at - row * k) * BINS + seen[at]) * classes + y[row]
+    return np.bincount(cell, weight[row], k * BINS * classes).astype(np.int64).reshape(k, BINS, classes)
+
+
 def cells_of_sums(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = sums.reshape(-1, sums.shape[2])
     cell = np.flatnonzero(flat.any(axis=1) & (np.arange(len(flat)) % BINS > 0))
@@ -173,11 +183,13 @@ class Level:
         (n, k), width, flat = feature.shape, self.bins.shape[1], self.bins.ravel()
         if len(self.row) > CHUNK:
             parts = [self.row[i : i + CHUNK] for i in range(0, len(self.row), CHUNK)]
-            sums = sum(node_sums(flat[(r * width)[:, None] + feature], self.y[r], self.weight[r], self.classes) for r in parts)
+            sums = sum(filled_sums(flat.take((r * width)[:, None] + feature), self.y[r], self.weight[r], self.classes) for r in parts)
             cells = cells_of_sums(sums)
         else:
             node = np.repeat(np.arange(n), self.size)
-            seen = flat[(self.row * width)[:, None] + feature[node]]
+            at = feature.take(node, axis=0)
+            at += (self.row * width)[:, None]
+            seen = flat.take(at)
             cells = cells_by_sorting(seen, node, self.y[self.row], self.weight[self.row], self.classes)
         place, cut = best_cuts(*cells, total, k)
         return np.where(place >= 0, feature[np.arange(n), np.maximum(place, 0)], -1), cut
